@@ -29,8 +29,9 @@ def format_money(x, sep: str = ",") -> Column:
     v = _c(x).cast("bigint")
     a = F.abs(v)
     sign = F.when(v < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.format_string(f"%d{sep}%02d", F.floor(a / 100).cast("bigint"),
+    text = F.concat(sign, F.format_string(f"%d{sep}%02d", F.floor(a / 100).cast("bigint"),
                                           F.pmod(a, F.lit(100))))
+    return F.when(v.isNotNull(), text)
 
 
 def format_money_dot(x) -> Column:

@@ -241,5 +241,5 @@ def mailing(customers: DataFrame, letter_date: str, kind: str = "flyer") -> Data
 
 
 def letter_payload(letter: Column) -> Column:
-    """The letter record as base64 of its JSON text."""
-    return F.base64(F.encode(F.to_json(letter), "UTF-8"))
+    """The letter record as base64 of its JSON text (one line, no MIME breaks)."""
+    return F.regexp_replace(F.base64(F.encode(F.to_json(letter), "UTF-8")), r"[\r\n]", "")

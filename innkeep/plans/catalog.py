@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from innkeep.plans import oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-MODULES = ["q_stats", "q_stays", "q_search", "q_invoices", "q_migration", "q_quality"]
+MODULES = ["q_stats", "q_stays", "q_search", "q_invoices", "q_migration", "q_quality", "q_exports"]
 
 # Report parameters shared by the Spark queries and their oracle SQL.
 STAT_MONTH = "1997-02-01"
