@@ -103,9 +103,23 @@ def search_text(df: DataFrame, query: str, tokens_col: str = "tokens") -> DataFr
 
 
 def search_documents(documents: DataFrame, query: str) -> DataFrame:
-    """Full-text search over a text column (tokens computed on the fly)."""
-    d = documents.select("doc_id", "lang", tokens_of("text").alias("tokens"))
-    return search_text(d, query).select("doc_id", "lang", F.size("tokens").alias("n_tokens"))
+    """Full-text search over a text column, tokenising the whole texts on the fly.
+
+    The token array is bound once per row (a single-element array fed to
+    ``transform`` acts as a let-binding) and the hit test and token count come
+    out of one generator (``inline`` of the filtered array), so each text is
+    tokenised exactly once: a plain filter would be pushed below the projection
+    and re-run the regex per term.
+    """
+    d = documents.select("doc_id", "lang", F.array(tokens_of("text")).alias("_t1"))
+
+    def facts(t):
+        cond = websearch(query, t)
+        return F.struct((F.lit(True) if cond is None else cond).alias("hit"),
+                        F.size(t).alias("n_tokens"))
+
+    hits = F.filter(F.transform("_t1", facts), lambda s: s["hit"])
+    return d.select("doc_id", "lang", F.inline(hits)).select("doc_id", "lang", "n_tokens")
 
 
 def page(df: DataFrame, n: int = 0, size: int = PAGE_SIZE, extra: int = 0) -> DataFrame:

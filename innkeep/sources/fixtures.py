@@ -34,6 +34,7 @@ from innkeep.functions import periods as P
 from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, customer_text, tokens
 from innkeep.operators.invoices import invoice_document
 from innkeep.session import scratch_root
+from innkeep.sources.tables import read_table, write_bookings
 
 MODEL_VERSION = "3"
 
@@ -49,7 +50,8 @@ class Model:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given test table (spread over the cores when it is a single small file)."""
+    return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def _titles() -> Column:
@@ -238,39 +240,50 @@ def model_location(spark: SparkSession, sf_dir: str) -> str | None:
     return f"{root.rstrip('/')}/innkeep-model/{_model_key(os.path.abspath(sf_dir))}"
 
 
-def load_model(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Model:
-    """The model for ``sf_dir``: read from the shared folder, written there first
-    if missing; without a shared folder, the lazily derived plan."""
-    loc = model_location(spark, sf_dir) if materialize else None
+_LOADED: dict[tuple[str, str], tuple[Model, int | None]] = {}
+
+
+def _write_model(spark: SparkSession, sf_dir: str, loc: str) -> None:
+    m = derive_model(spark, sf_dir)
+    (m.customers.repartition("id").sortWithinPartitions("id")
+     .write.mode("overwrite").parquet(f"{loc}/customers"))
+    customers = spark.read.parquet(f"{loc}/customers")
+    write_bookings(derive_bookings(spark, sf_dir, customers), f"{loc}/bookings")
+    bookings = spark.read.parquet(f"{loc}/bookings")
+    derive_invoice_numbers(bookings).write.mode("overwrite").parquet(f"{loc}/invoice_numbers")
+    stats = bookings.agg(F.max(F.datediff("departure", "arrival")).alias("max_nights")).first()
+    meta = {"max_nights": int(stats["max_nights"] or 0), "version": MODEL_VERSION}
+    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{loc}/_meta")
+    spark.createDataFrame([("ok",)], "value string").coalesce(1) \
+        .write.mode("overwrite").text(f"{loc}/_COMPLETE")
+
+
+def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
+    loc = model_location(spark, sf_dir)
     if loc is None:
+        return derive_model(spark, sf_dir), None
+    key = (spark.sparkContext.applicationId, loc)
+    if key not in _LOADED:
+        if not _exists(spark, f"{loc}/_COMPLETE"):
+            _write_model(spark, sf_dir, loc)
+        model = Model(spark.read.parquet(f"{loc}/customers"),
+                      spark.read.parquet(f"{loc}/bookings"),
+                      spark.read.parquet(f"{loc}/invoice_numbers"))
+        meta = json.loads(spark.read.text(f"{loc}/_meta").first()["value"])
+        _LOADED[key] = (model, int(meta["max_nights"]))
+    return _LOADED[key]
+
+
+def load_model(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Model:
+    """The model for ``sf_dir``: read from the shared folder (written there first
+    if missing; plans are reused within a session); without a shared folder, the
+    lazily derived plan."""
+    if not materialize:
         return derive_model(spark, sf_dir)
-    done = f"{loc}/_COMPLETE"
-    if not _exists(spark, done):
-        m = derive_model(spark, sf_dir)
-        (m.customers.repartition("id").sortWithinPartitions("id")
-         .write.mode("overwrite").parquet(f"{loc}/customers"))
-        customers = spark.read.parquet(f"{loc}/customers")
-        b = derive_bookings(spark, sf_dir, customers)
-        (b.withColumn("arrival_year", F.year("arrival"))
-         .repartition("arrival_year").sortWithinPartitions("arrival", "id")
-         .write.mode("overwrite").partitionBy("arrival_year").parquet(f"{loc}/bookings"))
-        bookings = spark.read.parquet(f"{loc}/bookings")
-        derive_invoice_numbers(bookings).write.mode("overwrite").parquet(f"{loc}/invoice_numbers")
-        stats = bookings.agg(F.max(F.datediff("departure", "arrival")).alias("max_nights")).first()
-        meta = {"max_nights": int(stats["max_nights"] or 0), "version": MODEL_VERSION}
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(f"{loc}/_meta")
-        spark.createDataFrame([("ok",)], "value string").coalesce(1) \
-            .write.mode("overwrite").text(done)
-    return Model(spark.read.parquet(f"{loc}/customers"),
-                 spark.read.parquet(f"{loc}/bookings"),
-                 spark.read.parquet(f"{loc}/invoice_numbers"))
+    return _load(spark, sf_dir)[0]
 
 
 def model_max_nights(spark: SparkSession, sf_dir: str) -> int | None:
     """Longest stay recorded when the model was written (for partition pruning)."""
-    loc = model_location(spark, sf_dir)
-    if loc is None or not _exists(spark, f"{loc}/_meta"):
-        return None
-    row = spark.read.text(f"{loc}/_meta").first()
-    return int(json.loads(row["value"])["max_nights"])
+    return _load(spark, sf_dir)[1]

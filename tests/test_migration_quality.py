@@ -74,9 +74,8 @@ def test_legacy_csv_dialects(spark):
     root = tempfile.mkdtemp(prefix="legacy-")
     path = os.path.join(root, "export")
     LG.write_legacy_csv(legacy(spark, rows), path, sep=";")
-    with open([os.path.join(path, f) for f in os.listdir(path) if f.endswith(".csv")][0],
-              "rb") as fh:
-        raw = fh.read()
+    raw = b"".join(open(os.path.join(path, f), "rb").read()
+                   for f in sorted(os.listdir(path)) if f.endswith(".csv"))
     assert b"\r\n" in raw and "äöü".encode("latin-1") in raw
     back = LG.read_legacy_csv(spark, path, sep=";")
     _, bookings = MG.migrate(back, dialect="de")
