@@ -96,10 +96,11 @@ def with_customer(bookings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def embed_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
-    """Customer with its bookings (arrival, departure, id), newest first.
+    """Customer with its bookings (arrival, departure, id), newest first, as one
+    nested list per customer.
 
-    Bookings are grouped by customer (partial aggregation before the shuffle),
-    then left-joined: customers without bookings get an empty list.
+    For bounded customer sets (a result page): the list of a customer is
+    collected into one row.  For whole tables use ``embedded_bookings``.
     """
     per = (bookings.groupBy(F.col("customer").alias("id"))
            .agg(F.sort_array(F.collect_list(F.struct("arrival", "departure", "id")), asc=False)
@@ -111,6 +112,30 @@ def embed_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
             .withColumn("bookings", F.coalesce(F.col("bookings"), empty)))
 
 
+def embedded_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
+    """The embed in flat form for whole tables: one row per (customer, booking)
+    with the booking's position in the customer's newest-first list and the
+    list length; customers without bookings appear once with null booking.
+
+    Positions come from the distributed global index (range partitioning on
+    customer and the sort keys), so a customer holding a third of all bookings
+    is spread over many tasks instead of one; the counts are a partial
+    aggregate.
+    """
+    from innkeep.operators.ordering import with_global_index
+    b = bookings.select(F.col("customer").alias("id"), F.col("id").alias("booking"), "arrival",
+                        "departure")
+    keyed = b.select("*", F.datediff(F.lit("2100-01-01"), "arrival").alias("_ka"),
+                     F.datediff(F.lit("2100-01-01"), "departure").alias("_kd"),
+                     (-F.col("booking")).alias("_kb"))
+    pos = with_global_index(keyed, ["_ka", "_kd", "_kb"], partition_col="id",
+                            index_col="position").drop("_ka", "_kd", "_kb")
+    counts = b.groupBy("id").agg(F.count(F.lit(1)).alias("n_bookings"))
+    return (customers.select("id").join(counts, "id", "left").join(pos, "id", "left")
+            .select("id", F.coalesce("n_bookings", F.lit(0)).alias("n_bookings"), "position",
+                    "booking", "arrival", "departure"))
+
+
 def last_stays(bookings: DataFrame) -> DataFrame:
     """Last stay per customer: max by (arrival, departure, id).  A plain max
     aggregate: partial per partition, so a customer with a third of all
@@ -167,3 +192,25 @@ def previous_month(today) -> dt.date:
     """Default statistics month: the first of the previous month."""
     t = _as_date(today).replace(day=1)
     return (t - dt.timedelta(days=1)).replace(day=1)
+
+
+def rebook_template(bookings: DataFrame, today, nights: int = 7) -> DataFrame:
+    """A new-booking template per customer from the customer's last booking:
+    guests and tax flag copied; allocations, deposits, note and invoice cleared;
+    period = today + ``nights`` (7 by default).  The last booking is chosen with a
+    partial ``max_by`` aggregate (no per-customer list is collected)."""
+    d = _as_date(today)
+    last = (bookings.groupBy("customer")
+            .agg(F.max_by(F.struct(F.col("data.guests").alias("guests"),
+                                   F.col("data.tax_free").alias("tax_free")),
+                          F.struct("arrival", "departure", "id")).alias("src")))
+    empty_allocs = F.array_repeat(F.struct(F.lit("").alias("room"),
+                                           F.lit(0).cast("bigint").alias("price_per_bed"),
+                                           F.lit(0).alias("beds"), F.lit("").alias("description")), 0)
+    period = F.struct(F.lit(d).alias("a"), F.lit(d + dt.timedelta(days=nights)).alias("b"))
+    data = F.struct(period.alias("period"), F.lit(None).cast("bigint").alias("deposit_asked"),
+                    F.lit(None).cast("bigint").alias("deposit_got"),
+                    F.col("src.tax_free").alias("tax_free"), F.lit("").alias("note"),
+                    F.col("src.guests").alias("guests"), empty_allocs.alias("allocs"),
+                    F.lit(None).alias("invoice"))
+    return last.select("customer", data.alias("data"))

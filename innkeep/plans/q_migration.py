@@ -253,3 +253,48 @@ def j4_attach_guests(spark, sf_dir):
     text = F.array_join(F.transform("guests", lambda g: F.concat_ws(
         "|", g["given"], g["family"], F.coalesce(g["born"].cast("string"), F.lit("")))), ";")
     return b.select("id", F.size("guests").alias("n_guests"), text.alias("guests"))
+
+
+def _once(spark, path, write):
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        write(path)
+    return path
+
+
+@register("s4_raw_copy", LEGACY_SQL + """
+SELECT RECORDID, GROUPID, SUCH, BEMAUFE FROM lg
+""")
+def s4_raw_copy(spark, sf_dir):
+    """An untouched copy of the raw import kept as a parquet (bronze) table."""
+    loc = model_location(spark, sf_dir)
+    src = legacy_source(spark, sf_dir)
+    if loc is None:
+        raw = src
+    else:
+        raw = spark.read.parquet(_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
+                                       lambda p: LG.write_raw(src, p)))
+    return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c)
+                        for c in ("RECORDID", "GROUPID", "SUCH", "BEMAUFE")])
+
+
+@register("s5_import_json", LEGACY_SQL + f"""
+SELECT SUCH AS keyword, VORNAME AS given, NAME AS family, {_NOTE_SQL} AS note
+FROM (SELECT *, row_number() OVER (PARTITION BY groupid_n ORDER BY recordid_n DESC) AS rn FROM lgt)
+WHERE rn = 1
+""")
+def s5_import_json(spark, sf_dir):
+    """Imported customers emitted as JSON Lines of ``{{"data": ...}}`` and read back."""
+    from pyspark.sql import types as T
+    from innkeep import schemas
+    customers, _ = MG.migrate(legacy_source(spark, sf_dir))
+    loc = model_location(spark, sf_dir)
+    if loc is None:
+        back = customers.select("data")
+    else:
+        path = _once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
+                     lambda p: LG.write_import_json(customers, p))
+        back = spark.read.schema(T.StructType([T.StructField("data", schemas.CUSTOMER_DOC)])) \
+            .json(path)
+    d = F.col("data")
+    return back.select(d["keyword"].alias("keyword"), d["name"]["given"].alias("given"),
+                       d["name"]["family"].alias("family"), d["note"].alias("note"))

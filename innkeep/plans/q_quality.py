@@ -222,3 +222,25 @@ def s7_restore_customers(spark, sf_dir):
         c, _ = RS.restore(spark, path, CUSTOMER_START, BOOKING_START)
     return c.select("id", F.col("data._import_key").alias("import_key"),
                     F.col("data.keyword").alias("keyword"), "created", "modified")
+
+
+@register("s8_bulk_append", """
+SELECT CAST(year(arrival) AS INTEGER) AS arrival_year, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum
+FROM bk GROUP BY year(arrival)
+""")
+def s8_bulk_append(spark, sf_dir):
+    """Bulk create: the bookings appended to a fresh table in two batches
+    (stays before 1998, then the rest) and read back per arrival year."""
+    import uuid
+    m = load_model(spark, sf_dir)
+    b = m.bookings.select("id", "customer", "arrival", "departure")
+    root = scratch_root(spark)
+    if root is None:
+        out = b
+    else:
+        path = f"{root.rstrip('/')}/innkeep-append/{uuid.uuid4().hex}"
+        RS.append(b.where(F.year("arrival") < 1998), path)
+        RS.append(b.where(F.year("arrival") >= 1998), path)
+        out = spark.read.parquet(path)
+    return out.groupBy(F.year("arrival").alias("arrival_year")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("id_sum"))

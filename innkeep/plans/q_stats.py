@@ -82,3 +82,33 @@ def a2_all_months_stats(spark, sf_dir):
     """A2: every month's statistics by country in one pass."""
     m, _ = _model(spark, sf_dir)
     return stats.all_months_stats(m.bookings, m.customers)
+
+
+@register("o4_invoice_row_order", _ROWS + """
+SELECT scnt.id, CAST(row_number() OVER (ORDER BY coalesce(inv.invoice_no, '') DESC, scnt.id) - 1
+                     AS BIGINT) AS position
+FROM scnt JOIN inv ON inv.booking = scnt.id
+""")
+def o4_invoice_row_order(spark, sf_dir):
+    """The month's invoice rows by invoice number, descending, missing last."""
+    from innkeep.operators.ordering import with_global_index
+    m, mx = _model(spark, sf_dir)
+    rows = stats.statistics_rows(m.bookings, m.customers, STAT_MONTH, mx)
+    keyed = rows.select("id", F.col("invoice_no"))
+    return with_global_index(keyed, [F.col("invoice_no").desc(), F.col("id")],
+                             index_col="position").select("id", "position")
+
+
+@register("o6_country_summary_order", _ROWS + """
+SELECT country, CAST(row_number() OVER (ORDER BY country IS NULL, country DESC) - 1 AS BIGINT)
+         AS position
+FROM (SELECT country FROM scnt GROUP BY ROLLUP (country))
+""")
+def o6_country_summary_order(spark, sf_dir):
+    """Country summary in descending key order, total row last."""
+    from innkeep.operators.ordering import with_global_index
+    m, mx = _model(spark, sf_dir)
+    s = stats.month_stats(m.bookings, m.customers, STAT_MONTH, with_total=True, max_nights=mx)
+    return with_global_index(s.select("country", F.col("country").isNull().alias("_total")),
+                             ["_total", F.col("country").desc()], index_col="position") \
+        .select("country", "position")

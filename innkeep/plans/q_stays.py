@@ -107,22 +107,17 @@ def f5_lookup_booking(spark, sf_dir):
 
 
 @register("j1_embed_bookings", """
-SELECT cu.id, CAST(count(bk.id) AS INTEGER) AS n_bookings,
-       coalesce(string_agg(strftime(bk.arrival, '%Y-%m-%d') || '/' || strftime(bk.departure, '%Y-%m-%d')
-                           || '/' || CAST(bk.id AS VARCHAR), ';'
-                           ORDER BY bk.arrival DESC, bk.departure DESC, bk.id DESC), '') AS bookings
+SELECT cu.id, count(bk.id) OVER (PARTITION BY cu.id) AS n_bookings,
+       CASE WHEN bk.id IS NOT NULL THEN row_number() OVER (PARTITION BY cu.id ORDER BY bk.arrival DESC,
+            bk.departure DESC, bk.id DESC) - 1 END AS position,
+       bk.id AS booking, bk.arrival, bk.departure
 FROM cu LEFT JOIN bk ON bk.customer = cu.id
-GROUP BY cu.id
 """)
 def j1_embed_bookings(spark, sf_dir):
-    """Every customer with its bookings newest first (empty list when none)."""
+    """Every customer's bookings newest first (position in the list), customers
+    without bookings once with an empty list."""
     m = load_model(spark, sf_dir)
-    e = stays.embed_bookings(m.customers.select("id"),
-                             m.bookings.select("id", "customer", "arrival", "departure"))
-    text = F.array_join(F.transform("bookings", lambda b: F.concat_ws(
-        "/", b["arrival"].cast("string"), b["departure"].cast("string"), b["id"].cast("string"))),
-        ";")
-    return e.select("id", F.size("bookings").alias("n_bookings"), text.alias("bookings"))
+    return stays.embedded_bookings(m.customers, m.bookings)
 
 
 @register("j2_with_customer", """
@@ -209,3 +204,66 @@ def o2_more_pages(spark, sf_dir):
     """O2: is there a page after page 5?"""
     m = load_model(spark, sf_dir)
     return search.more_pages(m.customers.select("id", "modified"), 5)
+
+
+REBOOK_DAY = "2001-09-01"
+
+
+@register("t20_rebook_template", f"""
+SELECT customer, DATE '{REBOOK_DAY}' AS arrival, CAST(DATE '{REBOOK_DAY}' + 7 AS DATE) AS departure,
+       CAST(n_guests AS INTEGER) AS n_guests, tax_free, '' AS note
+FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY arrival DESC, departure DESC,
+                                   id DESC) AS rn FROM bk) WHERE rn = 1
+""")
+def t20_rebook_template(spark, sf_dir):
+    """New-booking template per customer from the last booking (guests and tax
+    flag kept, the rest cleared, 7-night default period)."""
+    m = load_model(spark, sf_dir)
+    t = stays.rebook_template(m.bookings, REBOOK_DAY)
+    return t.select("customer", F.col("data.period.a").alias("arrival"),
+                    F.col("data.period.b").alias("departure"),
+                    F.size("data.guests").alias("n_guests"), F.col("data.tax_free").alias("tax_free"),
+                    F.col("data.note").alias("note"))
+
+
+@register("o5_customers_by_last_departure", """
+SELECT cu.id, CAST(row_number() OVER (ORDER BY coalesce(strftime(l.departure, '%Y%m%d'), ''), cu.id) - 1
+                AS BIGINT) AS position,
+       coalesce(strftime(l.departure, '%Y%m%d'), '') AS sort_key
+FROM cu LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY arrival DESC,
+                 departure DESC, id DESC) AS rn FROM bk) WHERE rn = 1) l ON l.customer = cu.id
+""")
+def o5_customers_by_last_departure(spark, sf_dir):
+    """The customer table sorted by a date column: basic ISO form, missing as
+    empty text (first); global positions from the distributed index."""
+    from innkeep.operators.ordering import with_global_index
+    m = load_model(spark, sf_dir)
+    rows = stays.customer_rows(m.customers, m.bookings)
+    keyed = rows.select("id", F.coalesce(F.date_format("till_date", "yyyyMMdd"), F.lit(""))
+                        .alias("sort_key"))
+    return with_global_index(keyed, ["sort_key", "id"], index_col="position") \
+        .select("id", "position", "sort_key")
+
+
+@register("u2_append_pages", page_sql(n=0).replace("rn < 250", "rn < 500"))
+def u2_append_pages(spark, sf_dir):
+    """Pages 0 and 1 appended by global position (overlapping keys are an error)."""
+    m = load_model(spark, sf_dir)
+    p0 = search.search_page(m.customers, m.bookings, None, 0)
+    p1 = search.search_page(m.customers, m.bookings, None, 1)
+    return search.append_pages(p0, p1)
+
+
+@register("f8_changed_in_period", """
+SELECT id, customer, modified FROM bk
+WHERE modified >= TIMESTAMP '1998-01-01 00:00:00' AND modified < TIMESTAMP '1998-07-01 00:00:00'
+  AND departure > arrival
+""")
+def f8_changed_in_period(spark, sf_dir):
+    """F8: comparison predicates on the typed columns (modified range, nights > 0)."""
+    m = load_model(spark, sf_dir)
+    b = m.bookings.where((F.col("modified") >= F.lit("1998-01-01 00:00:00").cast("timestamp_ntz"))
+                         & (F.col("modified") < F.lit("1998-07-01 00:00:00").cast("timestamp_ntz"))
+                         & (F.col("departure") > F.col("arrival")))
+    return b.select("id", "customer", "modified")
