@@ -15,6 +15,7 @@ from innkeep.functions import guests as G
 from innkeep.functions.money import format_money, format_money_dot
 from innkeep.functions.periods import local_date, period_text
 from innkeep.functions.text import alloc_phrase
+from innkeep.functions.util import let
 from innkeep.operators import invoices as INV
 from innkeep.operators.stays import with_customer
 
@@ -194,21 +195,26 @@ def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date:
 
 def invoice_lines(invoice="data.invoice") -> Column:
     """Rendered invoice rows: positions with tax labels, sum, deposit, rest and
-    the tax table (label, rate or split text, included tax)."""
+    the tax table (label, rate or split text, included tax).  The tax table,
+    labels and sum are bound once per invoice."""
     inv = _c(invoice)
-    labels = INV.position_labels(inv)
-    total = INV.invoice_sum(inv)
-    pos = F.transform(inv["positions"], lambda p, i: F.format_string(
-        "%dx|%s|%s|%s€|%s€", p["quantity"], p["description"], labels[i],
-        format_money(p["price"]), format_money(p["quantity"].cast("bigint") * p["price"])))
-    sums = F.array(F.format_string("Summe|%s€", format_money(total)),
-                   F.format_string("Anzahlung|%s€", format_money(inv["deposit"])),
-                   F.format_string("Restsumme|%s€", format_money(total - inv["deposit"])))
-    taxes = F.transform(INV.tax_rows(inv), lambda r: F.when(
-        r["kind"] == 0, F.format_string("%s|%d%%|%s€", r["label"], r["rate"],
-                                        format_money(r["tax_cents"])))
-        .otherwise(F.format_string("%s|%s", r["label"], r["description"])))
-    return F.concat(pos, sums, taxes)
+
+    def render(table, labels, total):
+        pos = F.transform(inv["positions"], lambda p, i: F.format_string(
+            "%dx|%s|%s|%s€|%s€", p["quantity"], p["description"], labels[i],
+            format_money(p["price"]), format_money(p["quantity"].cast("bigint") * p["price"])))
+        sums = F.array(F.format_string("Summe|%s€", format_money(total)),
+                       F.format_string("Anzahlung|%s€", format_money(inv["deposit"])),
+                       F.format_string("Restsumme|%s€", format_money(total - inv["deposit"])))
+        taxes = F.transform(table, lambda r: F.when(
+            r["kind"] == 0, F.format_string("%s|%d%%|%s€", r["label"], r["rate"],
+                                            format_money(r["tax_cents"])))
+            .otherwise(F.format_string("%s|%s", r["label"], r["description"])))
+        return F.concat(pos, sums, taxes)
+
+    return let(INV.tax_rows(inv), lambda table: let(
+        INV.labels_for(inv["positions"], table), lambda labels: let(
+            INV.invoice_sum(inv), lambda total: render(table, labels, total))))
 
 
 def invoice_letters(bookings: DataFrame) -> DataFrame:

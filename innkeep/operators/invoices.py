@@ -18,6 +18,7 @@ from innkeep.functions import rooms as R
 from innkeep.functions import taxes as TX
 from innkeep.functions.periods import period_text
 from innkeep.functions.text import recipient_block
+from innkeep.functions.util import let
 
 # Texts of a generated invoice.
 TITLE = "Rechnung"
@@ -36,14 +37,17 @@ def _c(x) -> Column:
 def invoice_number(rooms: Column, departure) -> Column:
     """``yymmdd-room`` from the smallest room; year is ``year % 1000`` (so 1997 -> 997,
     2005 -> 05); a numeric room is padded to three digits; null without a room."""
-    first = R.first_room(rooms)
     dep = _c(departure)
-    room = (F.when(first.rlike(r"^[+-]?[0-9]+$"),
-                   F.format_string("%03d", first.try_cast("bigint")))
-            .otherwise(first))
-    return F.when(first.isNotNull(),
-                  F.format_string("%02d%02d%02d-%s", F.year(dep) % 1000, F.month(dep),
-                                  F.dayofmonth(dep), room))
+
+    def number(first):
+        room = (F.when(first.rlike(r"^[+-]?[0-9]+$"),
+                       F.format_string("%03d", first.try_cast("bigint")))
+                .otherwise(first))
+        return F.when(first.isNotNull(),
+                      F.format_string("%02d%02d%02d-%s", F.year(dep) % 1000, F.month(dep),
+                                      F.dayofmonth(dep), room))
+
+    return let(R.first_room(rooms), number)
 
 
 def _position(quantity, description, price, tax, legacy_rate=None) -> Column:
@@ -60,11 +64,11 @@ def invoice_positions(data="data", arrival="arrival", departure="departure",
     """Room lines (split tax) plus the local-tax line, quantities times nights.
 
     ``room_tax`` optionally overrides the tax code of the room lines (a struct
-    ``tax, legacy_rate``), as stored invoices may carry older codes.
+    ``tax, legacy_rate``), as stored invoices may carry older codes.  The
+    tax-payer count is bound once per booking.
     """
     d = _c(data)
     n = F.datediff(_c(departure), _c(arrival))
-    payers = G.tax_payer_count(d["guests"], departure)
 
     def room_line(a):
         tax = F.lit(TX.SPLIT) if room_tax is None else room_tax["tax"]
@@ -72,23 +76,26 @@ def invoice_positions(data="data", arrival="arrival", departure="departure",
         return _position(a["beds"] * n, F.format_string(STAY_DESCRIPTION, a["description"]),
                          a["price_per_bed"], tax, rate)
 
-    local = F.array(_position(payers * n, F.lit(LOCAL_TAX_DESCRIPTION),
-                              TX.local_tax_cents(departure), TX.REDUCED7))
-    empty = F.array_repeat(local[0], 0)
-    return F.concat(F.transform(d["allocs"], room_line),
-                    F.when((payers > 0) & ~d["tax_free"], local).otherwise(empty))
+    def with_payers(payers):
+        local = F.array(_position(payers * n, F.lit(LOCAL_TAX_DESCRIPTION),
+                                  TX.local_tax_cents(departure), TX.REDUCED7))
+        empty = F.array_repeat(local[0], 0)
+        return F.concat(F.transform(d["allocs"], room_line),
+                        F.when((payers > 0) & ~d["tax_free"], local).otherwise(empty))
+
+    return let(G.tax_payer_count(d["guests"], departure), with_payers)
 
 
 def invoice_document(data="data", customer_data="customer_data", arrival="arrival",
                      departure="departure", invoice_date=None,
                      recipient: Column | None = None,
                      room_tax: Column | None = None) -> Column:
-    """Generate the invoice document of a booking (STRUCT of ``schemas.INVOICE``)."""
+    """Generate the invoice document of a booking (STRUCT of ``schemas.INVOICE``);
+    the booking's room tokens are bound once."""
     d = _c(data)
-    rooms = R.rooms_of(d["allocs"])
     inv_date = F.lit(None).cast("date") if invoice_date is None else _c(invoice_date)
     return F.struct(
-        invoice_number(rooms, departure).alias("id"),
+        let(R.rooms_of(d["allocs"]), lambda rooms: invoice_number(rooms, departure)).alias("id"),
         (recipient_block(customer_data) if recipient is None else recipient).alias("recipient"),
         inv_date.cast("date").alias("invoice_date"),
         _c(departure).alias("departure_date"),
@@ -163,9 +170,8 @@ def tax_rows(invoice="data.invoice") -> Column:
     """
     positions = _c(invoice)["positions"]
     rules = F.array_sort(F.array_distinct(F.flatten(F.transform(positions, _rule_of))))
-    parts = F.flatten(F.transform(positions, TX.tax_parts))
 
-    def row(rule, i):
+    def row(rule, i, parts):
         gross = F.aggregate(parts, F.lit(0).cast("bigint"),
                             lambda acc, x: acc + F.when(x["rate"] == rule["rate"], x["gross"])
                             .otherwise(F.lit(0).cast("bigint")))
@@ -179,7 +185,9 @@ def tax_rows(invoice="data.invoice") -> Column:
             .otherwise(F.lit(0).cast("bigint")).alias("tax_cents"),
         )
 
-    return F.transform(rules, row)
+    # the taxed parts are bound once per invoice, not recomputed per rule
+    return let(F.flatten(F.transform(positions, TX.tax_parts)),
+               lambda parts: F.transform(rules, lambda rule, i: row(rule, i, parts)))
 
 
 def tax_table(bookings: DataFrame) -> DataFrame:
@@ -191,11 +199,8 @@ def tax_table(bookings: DataFrame) -> DataFrame:
                        "t.tax_cents")
 
 
-def position_labels(invoice="data.invoice") -> Column:
-    """Label of each position's rule (``?`` when the table has none)."""
-    inv = _c(invoice)
-    table = tax_rows(inv)
-
+def labels_for(positions: Column, table: Column) -> Column:
+    """Label of each position's rule in a bound tax table (``?`` when absent)."""
     def label(p):
         kind = F.when(p["tax"] == TX.SPLIT, F.lit(1)).otherwise(F.lit(0))
         rate = F.when(p["tax"] == TX.SPLIT, F.lit(None).cast("int")) \
@@ -203,7 +208,14 @@ def position_labels(invoice="data.invoice") -> Column:
         hit = F.filter(table, lambda r: (r["kind"] == kind) & r["rate"].eqNullSafe(rate))
         return F.coalesce(F.try_element_at(hit, F.lit(1))["label"], F.lit("?"))
 
-    return F.transform(inv["positions"], label)
+    return F.transform(positions, label)
+
+
+def position_labels(invoice="data.invoice") -> Column:
+    """Label of each position's rule (``?`` when the table has none); the tax
+    table is computed once per invoice."""
+    inv = _c(invoice)
+    return let(tax_rows(inv), lambda table: labels_for(inv["positions"], table))
 
 
 def compat_tax_codes(bookings: DataFrame) -> DataFrame:

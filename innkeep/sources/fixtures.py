@@ -214,8 +214,13 @@ def derive_model(spark: SparkSession, sf_dir: str) -> Model:
 
 def _model_key(sf_dir: str) -> str:
     h = hashlib.sha1(MODEL_VERSION.encode())
-    with open(__file__, "rb") as fh:
-        h.update(fh.read())
+    pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for sub in ("sources", "functions", "operators"):
+        folder = os.path.join(pkg, sub)
+        for name in sorted(os.listdir(folder)):
+            if name.endswith(".py"):
+                with open(os.path.join(folder, name), "rb") as fh:
+                    h.update(fh.read())
     for name in ("customer", "nation", "orders", "lineitem"):
         p = os.path.join(sf_dir, f"{name}.parquet")
         try:
