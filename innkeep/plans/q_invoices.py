@@ -205,3 +205,28 @@ def t4_decode_invoice(spark, sf_dir):
                       F.size(inv["positions"]).alias("n_positions"),
                       INV.invoice_sum(inv).alias("total"),
                       F.array_join(F.array_sort(F.array_distinct(codes)), ",").alias("taxes"))
+
+
+@register("e20_tax_code_labels", """
+SELECT DISTINCT tax, legacy_rate,
+       CASE tax WHEN 'General19' THEN 'general19' WHEN 'Reduced7' THEN 'reduced7'
+                WHEN 'Reduced7With3EuroDrinks19' THEN 'reduced7-3€-drinks19'
+                ELSE 'custom' || CAST(legacy_rate AS VARCHAR) END AS tax_key,
+       CASE tax WHEN 'General19' THEN 'Generell, 19%' WHEN 'Reduced7' THEN 'Reduziert, 7%'
+                WHEN 'Reduced7With3EuroDrinks19' THEN 'Reduziert, 3€ Getränke'
+                ELSE CAST(legacy_rate AS VARCHAR) || '% (alt)' END AS tax_label,
+       CASE tax WHEN 'General19' THEN '19%' WHEN 'Reduced7' THEN '7%'
+                WHEN 'Reduced7With3EuroDrinks19' THEN '7% (*)'
+                ELSE CAST(legacy_rate AS VARCHAR) || '%' END AS tax_short
+FROM po
+""")
+def e20_tax_code_labels(spark, sf_dir):
+    """The tax codes used by stored invoices with their form key, label and
+    printed form (a distinct over all positions, partial per partition)."""
+    b = _model(spark, sf_dir).bookings.where(F.col("data.invoice").isNotNull())
+    p = b.select(F.explode("data.invoice.positions").alias("p")).select("p.tax", "p.legacy_rate")
+    codes = p.distinct()
+    return codes.select("tax", "legacy_rate",
+                        TX.tax_key("tax", "legacy_rate").alias("tax_key"),
+                        TX.tax_label("tax", "legacy_rate").alias("tax_label"),
+                        TX.tax_short("tax", "legacy_rate").alias("tax_short"))

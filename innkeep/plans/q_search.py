@@ -72,3 +72,31 @@ def f4_fulltext_customers(spark, sf_dir):
     m = load_model(spark, sf_dir)
     hits = search.search_text(m.customers.select("id", "tokens"), CUSTOMER_QUERY)
     return hits.select("id", F.size("tokens").alias("n_tokens"))
+
+
+@register("t2_keywords", """
+SELECT id, keyword FROM cu
+""")
+def t2_keywords(spark, sf_dir):
+    """The generated keyword column of every customer (from the document)."""
+    from innkeep.operators.stays import with_keyword
+    m = load_model(spark, sf_dir)
+    return with_keyword(m.customers.select("id", "data")).select("id", "keyword")
+
+
+@register("t3_customer_tokens", f"""
+, lt AS (SELECT * FROM (VALUES ('Herrn', 'Sehr geehrter Herr'),
+    ('Herrn und Frau', 'Sehr geehrte Frau, sehr geehrter Herr'), ('Frau', 'Sehr geehrte Frau'),
+    ('Herrn Dr.', 'Sehr geehrter Herr Dr.'), ('Frau Dr.', 'Sehr geehrte Frau Dr.'),
+    ('Familie', 'Liebe Familie')) v(title, letter))
+SELECT cu.id, CAST(len(t) AS INTEGER) AS n_tokens, array_to_string(t, ' ') AS tokens
+FROM (SELECT cu.id, {tok_sql("concat_ws(' ', cu.title, coalesce(lt.letter, ''), given, family, company, '', street, "
+                     "postal_code, city, country, country_code, phone, '', '', '', '', mail, '', '', keyword, '')")}
+        AS t
+      FROM cu LEFT JOIN lt ON lt.title = cu.title) cu
+""")
+def t3_customer_tokens(spark, sf_dir):
+    """The generated search tokens of every customer (all string leaves)."""
+    m = load_model(spark, sf_dir)
+    return m.customers.select("id", F.size("tokens").alias("n_tokens"),
+                              F.array_join("tokens", " ").alias("tokens"))

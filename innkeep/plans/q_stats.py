@@ -112,3 +112,38 @@ def o6_country_summary_order(spark, sf_dir):
     return with_global_index(s.select("country", F.col("country").isNull().alias("_total")),
                              ["_total", F.col("country").desc()], index_col="position") \
         .select("country", "position")
+
+
+@register("e17_month_titles", """
+SELECT DISTINCT CAST(date_trunc('month', arrival) AS DATE) AS month,
+       'Statistik ' || ['Januar', 'Februar', 'März', 'April', 'Mai', 'Juni', 'Juli', 'August',
+                        'September', 'Oktober', 'November', 'Dezember'][month(arrival)]
+         || ' ' || CAST(year(arrival) AS VARCHAR) AS title,
+       strftime(CAST(date_trunc('month', arrival) AS DATE), '%-d.%-m.%Y') AS first_day,
+       strftime(last_day(arrival), '%-d.%-m.%Y') AS last_day
+FROM bk
+""")
+def e17_month_titles(spark, sf_dir):
+    """E16 + E17: statistics titles and month bounds (local date text) of every
+    month with an arrival."""
+    from innkeep.functions import periods as P
+    m, _ = _model(spark, sf_dir)
+    months = m.bookings.select(P.month_start("arrival").alias("month")).distinct()
+    return months.select("month", F.concat(F.lit("Statistik "), P.month_name("month"), F.lit(" "),
+                                           F.year("month").cast("string")).alias("title"),
+                         P.local_date("month").alias("first_day"),
+                         P.local_date(P.month_end("month")).alias("last_day"))
+
+
+@register("e2_customer_stay_span", """
+SELECT customer, min(arrival) AS first_arrival, max(departure) AS last_departure,
+       CAST(count(*) AS BIGINT) AS n_stays
+FROM bk GROUP BY customer
+""")
+def e2_customer_stay_span(spark, sf_dir):
+    """The smallest period covering all stays of a customer (the covering
+    period folded as a partial min/max aggregate)."""
+    m, _ = _model(spark, sf_dir)
+    return (m.bookings.groupBy("customer")
+            .agg(F.min("arrival").alias("first_arrival"), F.max("departure").alias("last_departure"),
+                 F.count(F.lit(1)).alias("n_stays")))

@@ -127,3 +127,33 @@ def test_leap_day_cutoff(spark):
     r = df.select(G.years_before("dep", 15).alias("cut"), G.is_tax_payer(g, F.col("dep")).alias("p")
                   ).first()
     assert r.cut == dt.date(2009, 2, 28) and r.p is False
+
+
+def test_cover_update_and_coalesce_helpers(spark):
+    from innkeep.functions import text as TXT
+    df = spark.createDataFrame([(dt.date(2020, 1, 5), dt.date(2020, 1, 9), dt.date(2020, 1, 1),
+                                 dt.date(2020, 1, 6), None, "", "x", " ", "Familie", "Dr.")],
+                               "a1 date, b1 date, a2 date, b2 date, n date, e string, x string, "
+                               "s string, t1 string, t2 string")
+    lo, hi = P.cover("a1", "b1", "a2", "b2")
+    upd = P.update_period(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), b="n")
+    upd2 = P.update_period(F.struct(F.col("a1").alias("a"), F.col("b1").alias("b")), a="a2")
+    r = df.select(lo.alias("lo"), hi.alias("hi"), upd.alias("u"), upd2.alias("u2"),
+                  TXT.coalesce_blank("e", "x").alias("c1"), TXT.coalesce_blank("x", "e").alias("c2"),
+                  TXT.blank_to_null("s").alias("bn"), TXT.letter_for_title("t1").alias("l1"),
+                  TXT.letter_for_title("t2").alias("l2")).first()
+    assert (r.lo, r.hi) == (dt.date(2020, 1, 1), dt.date(2020, 1, 9))
+    assert (r.u.a, r.u.b) == (dt.date(2020, 1, 5), dt.date(2020, 1, 9))
+    assert (r.u2.a, r.u2.b) == (dt.date(2020, 1, 1), dt.date(2020, 1, 9))
+    assert (r.c1, r.c2, r.bn) == ("x", "x", None)
+    assert (r.l1, r.l2) == ("Liebe Familie", None)
+
+
+def test_month_helpers(spark):
+    df = spark.createDataFrame([(dt.date(2020, 2, 17),)], "d date")
+    r = df.select(P.month_start("d").alias("s"), P.month_end("d").alias("e"),
+                  P.month_name("d").alias("n")).first()
+    assert (r.s, r.e, r.n) == (dt.date(2020, 2, 1), dt.date(2020, 2, 29), "Februar")
+    from innkeep.operators import stays
+    assert stays.month_bounds("2020-02-17") == (dt.date(2020, 2, 1), dt.date(2020, 2, 29))
+    assert stays.previous_month("2021-01-15") == dt.date(2020, 12, 1)
