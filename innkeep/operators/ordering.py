@@ -19,16 +19,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _stable(df: DataFrame) -> DataFrame:
+    """Materialise once so that both uses see the same rows and partitioning: a
+    reliable checkpoint in the shared folder; without one (no
+    ``spark.checkpoint.dir``), a persisted copy (recomputed only if lost)."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint(eager=True)
+    kept = df.persist()
+    kept.count()
+    return kept
+
+
 def with_global_index(df: DataFrame, order_cols: list, partition_col: str | None = None,
                       index_col: str = "index", num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     grp = [partition_col] if partition_col else []
     keys = grp + list(order_cols)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id())
-              .checkpoint(eager=True))
+    tagged = _stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                     .withColumn("_pid", F.spark_partition_id())
+                     .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid", *grp).agg(F.count(F.lit(1)).alias("_n"),
                                              F.min("_mid").alias("_first"))
     w = (Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))).orderBy("_pid") \

@@ -48,6 +48,15 @@ def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> Dat
     return child.join(p, fk, "left_anti")
 
 
+def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -> DataFrame:
+    """C4 at scale: number of child rows without a parent.  The child is first
+    counted per key (partial aggregation, so a hot key costs one row per
+    partition), then anti-joined with the parent keys and summed."""
+    per_key = child.groupBy(fk).agg(F.count(F.lit(1)).alias("_n"))
+    lost = per_key.join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+    return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n"))
+
+
 def touch_customers(customers: DataFrame, booking_changes: DataFrame,
                     customer_col: str = "customer", ts_col: str = "ts") -> DataFrame:
     """C5 + C6: every booking insert/update/delete touches its customer's

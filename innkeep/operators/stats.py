@@ -100,21 +100,22 @@ def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
     b = stays.has_invoice(bookings).select(
         "id", "customer", "arrival", "departure", F.col("data.invoice").alias("invoice"),
         G.guest_count("data.guests").alias("n_guests"))
+    c = customers.select(F.col("id").alias("customer"), F.col("keyword").alias("ckw"),
+                         F.col("data.address.country_code").alias("ccode"))
+    # the country is fixed per booking: join and derive it before the expansion
+    j = b.join(c, "customer", "inner").select(
+        "arrival", "departure", "n_guests",
+        invoice_facts(F.col("invoice"), F.col("ckw"), F.col("ccode"))["country"].alias("country"))
     a, d = F.col("arrival"), F.col("departure")
     first = F.trunc(a, "MM")
     months = (F.when(d > a, F.sequence(first, F.trunc(F.date_sub(d, 1), "MM"),
                                        F.expr("INTERVAL 1 MONTH")))
               .when(F.dayofmonth(a) != 1, F.array(first))
               .otherwise(F.array_repeat(first, 0)))
-    per_month = b.select("*", F.explode(months).alias("month"))
-    c = customers.select(F.col("id").alias("customer"), F.col("keyword").alias("ckw"),
-                         F.col("data.address.country_code").alias("ccode"))
-    j = per_month.join(c, "customer", "inner")
+    per_month = j.select("*", F.explode(months).alias("month"))
     start = F.col("month")
     end = F.last_day(start)
-    facts = invoice_facts(F.col("invoice"), F.col("ckw"), F.col("ccode"))
-    rows = j.select("month", facts["country"].alias("country"),
-                    *_counts(F.col("n_guests"), start, end))
+    rows = per_month.select("month", "country", *_counts(F.col("n_guests"), start, end))
     return (rows.groupBy("month", "country")
             .agg(F.sum("arrivals").cast("bigint").alias("arrivals"),
                  F.sum("nights").cast("bigint").alias("nights"),

@@ -131,9 +131,18 @@ def embedded_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
     pos = with_global_index(keyed, ["_ka", "_kd", "_kb"], partition_col="id",
                             index_col="position").drop("_ka", "_kd", "_kb")
     counts = b.groupBy("id").agg(F.count(F.lit(1)).alias("n_bookings"))
-    return (customers.select("id").join(counts, "id", "left").join(pos, "id", "left")
-            .select("id", F.coalesce("n_bookings", F.lit(0)).alias("n_bookings"), "position",
-                    "booking", "arrival", "departure"))
+    # the (possibly skewed) booking rows stay on the probe side of an inner join;
+    # customers without bookings are added by an anti join on the per-customer counts
+    with_n = pos.join(counts, "id", "inner")
+    none = (customers.select("id").join(counts, "id", "left_anti")
+            .select("id", F.lit(0).cast("bigint").alias("n_bookings"),
+                    F.lit(None).cast("bigint").alias("position"),
+                    F.lit(None).cast("bigint").alias("booking"),
+                    F.lit(None).cast("date").alias("arrival"),
+                    F.lit(None).cast("date").alias("departure")))
+    cols = ["id", "n_bookings", "position", "booking", "arrival", "departure"]
+    return with_n.join(customers.select("id"), "id", "left_semi").select(*cols) \
+        .unionByName(none.select(*cols))
 
 
 def last_stays(bookings: DataFrame) -> DataFrame:
