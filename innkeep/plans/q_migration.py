@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from innkeep.operators import migration as MG
 from innkeep.plans.catalog import register
 from innkeep.sources import legacy as LG
-from innkeep.sources.fixtures import _exists, load_model, model_location
+from innkeep.sources.fixtures import load_model, model_location
+from innkeep.sources.shared import publish_once
 
 # DuckDB: the legacy wide rows written from the model (same rules as legacy_rows).
 _SLOT = """
@@ -95,9 +96,8 @@ def legacy_source(spark, sf_dir):
     loc = model_location(spark, sf_dir)
     if loc is None:
         return LG.legacy_rows(m.bookings, m.customers)
-    path = f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv"
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        LG.write_legacy_csv(LG.legacy_rows(m.bookings, m.customers), path)
+    path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv",
+                        lambda p: LG.write_legacy_csv(LG.legacy_rows(m.bookings, m.customers), p))
     return LG.read_legacy_csv(spark, path)
 
 
@@ -255,12 +255,6 @@ def j4_attach_guests(spark, sf_dir):
     return b.select("id", F.size("guests").alias("n_guests"), text.alias("guests"))
 
 
-def _once(spark, path, write):
-    if not _exists(spark, f"{path}/_SUCCESS"):
-        write(path)
-    return path
-
-
 @register("s4_raw_copy", LEGACY_SQL + """
 SELECT RECORDID, GROUPID, SUCH, BEMAUFE FROM lg
 """)
@@ -271,7 +265,7 @@ def s4_raw_copy(spark, sf_dir):
     if loc is None:
         raw = src
     else:
-        raw = spark.read.parquet(_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
+        raw = spark.read.parquet(publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
                                        lambda p: LG.write_raw(src, p)))
     return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c)
                         for c in ("RECORDID", "GROUPID", "SUCH", "BEMAUFE")])
@@ -291,7 +285,7 @@ def s5_import_json(spark, sf_dir):
     if loc is None:
         back = customers.select("data")
     else:
-        path = _once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
+        path = publish_once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
                      lambda p: LG.write_import_json(customers, p))
         back = spark.read.schema(T.StructType([T.StructField("data", schemas.CUSTOMER_DOC)])) \
             .json(path)

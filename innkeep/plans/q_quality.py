@@ -11,7 +11,8 @@ from innkeep.operators import quality as Q
 from innkeep.operators import restore as RS
 from innkeep.plans.catalog import register
 from innkeep.session import scratch_root
-from innkeep.sources.fixtures import _exists, load_model, model_location, table
+from innkeep.sources.fixtures import load_model, model_location, table
+from innkeep.sources.shared import publish_once
 from innkeep.streaming import changes as ST
 
 CUSTOMER_START = 1_000_000
@@ -179,9 +180,8 @@ def _backup_path(spark, sf_dir):
     m = load_model(spark, sf_dir)
     if loc is None:
         return None, m
-    path = f"{loc}/backup-v1"
-    if not _exists(spark, f"{path}/bookings/_SUCCESS"):
-        RS.backup(m.customers, m.bookings, path)
+    path = publish_once(spark, f"{loc}/backup-v1",
+                        lambda p: RS.backup(m.customers, m.bookings, p))
     return path, m
 
 

@@ -34,6 +34,7 @@ from innkeep.functions import periods as P
 from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, customer_text, tokens
 from innkeep.operators.invoices import invoice_document
 from innkeep.session import scratch_root
+from innkeep.sources import shared
 from innkeep.sources.tables import read_table, write_bookings
 
 MODEL_VERSION = "3"
@@ -232,10 +233,7 @@ def _model_key(sf_dir: str) -> str:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(hpath)
+    return shared.exists(spark, path)
 
 
 def model_location(spark: SparkSession, sf_dir: str) -> str | None:
@@ -260,8 +258,6 @@ def _write_model(spark: SparkSession, sf_dir: str, loc: str) -> None:
     meta = {"max_nights": int(stats["max_nights"] or 0), "version": MODEL_VERSION}
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1) \
         .write.mode("overwrite").text(f"{loc}/_meta")
-    spark.createDataFrame([("ok",)], "value string").coalesce(1) \
-        .write.mode("overwrite").text(f"{loc}/_COMPLETE")
 
 
 def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
@@ -270,8 +266,8 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
         return derive_model(spark, sf_dir), None
     key = (spark.sparkContext.applicationId, loc)
     if key not in _LOADED:
-        if not _exists(spark, f"{loc}/_COMPLETE"):
-            _write_model(spark, sf_dir, loc)
+        # written into a temporary folder and published with one rename
+        shared.publish_once(spark, loc, lambda target: _write_model(spark, sf_dir, target))
         model = Model(spark.read.parquet(f"{loc}/customers"),
                       spark.read.parquet(f"{loc}/bookings"),
                       spark.read.parquet(f"{loc}/invoice_numbers"))
