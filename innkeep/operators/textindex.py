@@ -1,0 +1,104 @@
+"""Full-text search through an inverted index (F4 at scale).
+
+Index (built once, published in the shared folder):
+
+* ``doc_tokens``: doc_id, lang, tokens - the stored search vector of every
+  document (tokenised once, like a generated tsvector column);
+* ``postings``: token, doc_id - one row per distinct token of a document,
+  range-partitioned on (token, doc_id) and sorted inside the files, so a lookup
+  of a few tokens skips all other row groups by their min/max statistics and a
+  token present in most documents is still split over many files.
+
+Query: every OR-group with positive words narrows the candidates to the
+documents holding all of them (postings of those words, counted per document:
+a partial aggregate over at most ``words`` rows per document); groups made only
+of negations fall back to all documents.  The exact predicate (phrases by token
+adjacency, negations, OR) is then checked on the stored tokens of the
+candidates, so the result equals the scan over whole texts.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import os
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from innkeep.functions.text import tokens as tokens_of
+from innkeep.operators.search import parse_websearch, websearch
+from innkeep.session import scratch_root
+from innkeep.sources import shared
+
+INDEX_VERSION = "1"
+
+
+@dataclass
+class TextIndex:
+    doc_tokens: DataFrame
+    postings: DataFrame
+
+
+def build_index(documents: DataFrame, path: str) -> None:
+    """Write ``doc_tokens`` and ``postings`` under ``path``."""
+    docs = documents.select("doc_id", "lang", tokens_of("text").alias("tokens"))
+    docs.write.mode("overwrite").parquet(f"{path}/doc_tokens")
+    stored = documents.sparkSession.read.parquet(f"{path}/doc_tokens")
+    postings = stored.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
+    (postings.repartitionByRange("token", "doc_id").sortWithinPartitions("token", "doc_id")
+     .write.mode("overwrite").parquet(f"{path}/postings"))
+
+
+def _index_key(source: str) -> str:
+    h = hashlib.sha1(INDEX_VERSION.encode())
+    here = os.path.dirname(os.path.abspath(__file__))
+    for name in ("textindex.py", "search.py", os.path.join("..", "functions", "text.py")):
+        with open(os.path.join(here, name), "rb") as fh:
+            h.update(fh.read())
+    try:
+        st = os.stat(source)
+        h.update(f"{os.path.abspath(source)}:{st.st_size}:{int(st.st_mtime)}".encode())
+    except OSError:
+        h.update(source.encode())
+    return h.hexdigest()[:16]
+
+
+def open_index(spark: SparkSession, documents: DataFrame, source: str) -> TextIndex:
+    """The index of ``documents`` (read from ``source``), built on first use in the
+    shared folder; without a shared folder the index frames are derived lazily."""
+    root = scratch_root(spark)
+    if root is None:
+        docs = documents.select("doc_id", "lang", tokens_of("text").alias("tokens"))
+        return TextIndex(docs, docs.select(F.explode(F.array_distinct("tokens")).alias("token"),
+                                           "doc_id"))
+    path = f"{root.rstrip('/')}/innkeep-text-index/{_index_key(source)}"
+    shared.publish_once(spark, path, lambda p: build_index(documents, p))
+    return TextIndex(spark.read.parquet(f"{path}/doc_tokens"), spark.read.parquet(f"{path}/postings"))
+
+
+def candidates(index: TextIndex, query: str) -> DataFrame | None:
+    """doc_ids that may match; None when some group has no positive word (then
+    every document is a candidate)."""
+    out = None
+    for group in parse_websearch(query):
+        words = sorted({w for t in group if not t.negated for w in t.words})
+        if not words:
+            return None
+        hits = (index.postings.where(F.col("token").isin(words))
+                .groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k"))
+                .where(F.col("_k") == len(words)).select("doc_id"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.distinct() if out is not None else None
+
+
+def search_index(index: TextIndex, query: str) -> DataFrame:
+    """Documents matching a web-search query: doc_id, lang, n_tokens."""
+    cond = websearch(query, F.col("tokens"))
+    docs = index.doc_tokens
+    cand = candidates(index, query)
+    if cand is not None:
+        docs = docs.join(cand, "doc_id", "left_semi")
+    if cond is not None:
+        docs = docs.where(cond)
+    return docs.select("doc_id", "lang", F.size("tokens").alias("n_tokens"))

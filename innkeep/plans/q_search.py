@@ -52,6 +52,23 @@ def f4_fulltext_documents(spark, sf_dir):
     return search.search_documents(table(spark, sf_dir, "documents"), DOC_QUERY)
 
 
+@register("f4_fulltext_documents_indexed", f"""
+SELECT doc_id, lang, CAST(len(t) AS INTEGER) AS n_tokens
+FROM (SELECT doc_id, lang, {tok_sql('text')} AS t FROM documents)
+WHERE (list_contains(t, 'the') AND instr(' ' || array_to_string(t, ' ') || ' ', ' of the ') > 0
+       AND NOT list_contains(t, 'die'))
+   OR list_contains(t, 'und')
+""")
+def f4_fulltext_documents_indexed(spark, sf_dir):
+    """F4 through the inverted index: candidates from the postings of the query's
+    positive words, exact predicate on the stored tokens of the candidates."""
+    from innkeep.operators import textindex as TI
+    import os
+    src = os.path.join(sf_dir, "documents.parquet")
+    index = TI.open_index(spark, table(spark, sf_dir, "documents"), src)
+    return TI.search_index(index, DOC_QUERY)
+
+
 @register("f4_fulltext_customers", f"""
 , ct AS (
   SELECT id, {tok_sql("concat_ws(' ', title, letter, given, family, company, '', street, postal_code, "
