@@ -7,9 +7,10 @@ Steps (all per row, no shuffle) except the master-record choice:
     -> blank prefix-only phone numbers (T12) -> customer document (T13, T14)
     -> booking document (T15-T18, U1) ; one master record per group (W1)
 
-W1 keeps, per group, the row with the highest record id.  It is a ``max_by``
-aggregate, i.e. partial per partition before the shuffle, so a group holding a
-third of all rows costs one row per partition, never one task for the group.
+W1 keeps, per group, the row with the highest record id: a fixed-width ``max``
+per group (partial per partition before the shuffle), joined back on the unique
+(group, record) key, so a group holding a third of all rows never lands in one
+task.
 """
 
 from __future__ import annotations
@@ -202,8 +203,7 @@ def migrate(raw: DataFrame, dialect: str = "iso") -> tuple[DataFrame, DataFrame]
         legacy_guests().alias("guests"),
         legacy_allocs().alias("allocs"),
     )
-    customers = (rows.groupBy(F.col("groupid").alias("id"))
-                 .agg(F.max_by("customer", "recordid").alias("data")))
+    customers = master_customers(typed)
     bookings = rows.where(F.col("period").isNotNull()).select(
         F.col("recordid").alias("id"), F.col("groupid").alias("customer"),
         F.struct(F.col("period"), F.col("deposit_asked"), F.col("deposit_got"),
@@ -215,11 +215,21 @@ def migrate(raw: DataFrame, dialect: str = "iso") -> tuple[DataFrame, DataFrame]
 
 
 def master_records(typed: DataFrame) -> DataFrame:
-    """W1 on a typed frame: per group the row with the highest record id."""
-    cols = [c for c in typed.columns if c not in ("groupid",)]
-    return (typed.groupBy("groupid")
-            .agg(F.max_by(F.struct(*cols), "recordid").alias("r"))
-            .select("groupid", "r.*"))
+    """W1 on a typed frame: per group the row with the highest record id.
+
+    The winning record id per group is a fixed-width hash aggregate (partial per
+    partition); the rows are then joined back on the unique (group, record) key,
+    so a group holding a third of all rows is spread by record id, and the
+    documents are built for the winners only.
+    """
+    win = typed.groupBy("groupid").agg(F.max("recordid").alias("recordid"))
+    return typed.join(win, ["groupid", "recordid"], "inner")
+
+
+def master_customers(typed: DataFrame) -> DataFrame:
+    """W1 + T13 + T14: one customer per legacy group, id = group id."""
+    return master_records(typed).select(F.col("groupid").alias("id"),
+                                        legacy_customer().alias("data"))
 
 
 def guests_per_booking(guest_rows: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from innkeep.plans.catalog import register
 from innkeep.sources import legacy as LG
 from innkeep.sources.fixtures import load_model, model_location
 from innkeep.sources.shared import publish_once
+from innkeep.sources.tables import at_least_parallelism
 
 # DuckDB: the legacy wide rows written from the model (same rules as legacy_rows).
 _SLOT = """
@@ -97,7 +98,8 @@ def legacy_source(spark, sf_dir):
     if loc is None:
         return LG.legacy_rows(m.bookings, m.customers)
     path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv",
-                        lambda p: LG.write_legacy_csv(LG.legacy_rows(m.bookings, m.customers), p))
+                        lambda p: LG.write_legacy_csv(
+                            at_least_parallelism(LG.legacy_rows(m.bookings, m.customers)), p))
     return LG.read_legacy_csv(spark, path)
 
 

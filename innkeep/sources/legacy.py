@@ -31,7 +31,7 @@ COLUMNS = (["RECORDID", "GROUPID", "ANREDE", "ANREDEBR", "VORNAME", "NAME", "FIR
            + [f"GEB_DAT0{i}" for i in range(1, 7)]
            + ["P_VORNAME", "P_NAME"] + [f"P_{p}{i}" for i in range(3, 7) for p in ("VORNAME", "NAME")])
 
-EXPORT_VERSION = 2
+EXPORT_VERSION = 3
 LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
 

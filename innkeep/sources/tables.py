@@ -26,6 +26,13 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if n_files < target else df
 
 
+def at_least_parallelism(df: DataFrame) -> DataFrame:
+    """Repartition (round robin) only when the frame has fewer partitions than the
+    default parallelism, e.g. before writing a one-time export of a small table."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     reader = spark.read if schema is None else spark.read.schema(schema)
     return spread(reader.parquet(path))
