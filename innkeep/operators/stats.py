@@ -37,7 +37,7 @@ def invoice_facts(invoice: Column, customer_keyword: Column, customer_code: Colu
     customer's keyword and code.
     """
     lines = F.split(F.regexp_replace(invoice["recipient"], r"\r?\n$", ""), r"\r?\n")
-    has_lines = invoice.isNotNull() & (F.coalesce(invoice["recipient"], F.lit("")) != "")
+    has_lines = F.coalesce(invoice["recipient"], F.lit("")) != ""
     last = F.element_at(lines, -1)
     raw = F.when(F.instr(last, "-") > 0, F.substring_index(last, "-", 1)).otherwise(customer_code)
     return F.struct(

@@ -81,6 +81,11 @@ def lookup(df: DataFrame, key: int) -> DataFrame:
 
 
 def has_invoice(bookings: DataFrame) -> DataFrame:
+    """bookings with an invoice.  Uses the stored ``invoiced`` flag when the
+    table has it (pushed into the scan, and the invoice struct is not read just
+    to test it for null), else the document itself."""
+    if "invoiced" in bookings.columns:
+        return bookings.where(F.col("invoiced"))
     return bookings.where(F.col("data.invoice").isNotNull())
 
 

@@ -60,12 +60,14 @@ def read_bookings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataF
 
 def write_bookings(bookings: DataFrame, path: str) -> None:
     """Bookings laid out for date filters: partitioned by arrival year, sorted by
-    arrival inside the files (row-group statistics skip the rest).
+    arrival inside the files (row-group statistics skip the rest); the
+    generated flag ``invoiced`` is stored next to the stay dates.
 
     Rows are range-partitioned on (arrival, id) before the write, so every task
     writes an equal slice of one or two years; partitioning by the year itself
     would send a whole year to one task.
     """
     (bookings.withColumn("arrival_year", F.year("arrival"))
+     .withColumn("invoiced", F.col("data.invoice").isNotNull())
      .repartitionByRange("arrival", "id").sortWithinPartitions("arrival", "id")
      .write.mode("overwrite").partitionBy("arrival_year").parquet(path))
