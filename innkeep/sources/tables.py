@@ -71,3 +71,36 @@ def write_bookings(bookings: DataFrame, path: str) -> None:
      .withColumn("invoiced", F.col("data.invoice").isNotNull())
      .repartitionByRange("arrival", "id").sortWithinPartitions("arrival", "id")
      .write.mode("overwrite").partitionBy("arrival_year").parquet(path))
+
+
+def write_tables(customers: DataFrame, bookings: DataFrame, path: str,
+                 invoice_numbers: DataFrame | None = None) -> None:
+    """Store a model under ``path`` (customers by id, bookings by arrival layout)."""
+    from innkeep.functions.text import customer_text, tokens
+    c = customers
+    if "keyword" not in c.columns:
+        c = c.withColumn("keyword", F.col("data.keyword"))
+    if "tokens" not in c.columns:
+        c = c.withColumn("tokens", tokens(customer_text("data")))
+    for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):
+        if col not in c.columns:
+            c = c.withColumn(col, F.lit(None).cast(typ))
+    c.repartition("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/customers")
+    from innkeep.functions.periods import arrival_of, departure_of
+    b = bookings
+    for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):
+        if col not in b.columns:
+            b = b.withColumn(col, F.lit(None).cast(typ))
+    # generated columns are recomputed from the document when absent
+    if "arrival" not in b.columns:
+        b = b.withColumn("arrival", arrival_of("data.period"))
+    if "departure" not in b.columns:
+        b = b.withColumn("departure", departure_of("data.period"))
+    write_bookings(b, f"{path}/bookings")
+    if invoice_numbers is not None:
+        invoice_numbers.write.mode("overwrite").parquet(f"{path}/invoice_numbers")
+
+
+def open_tables(spark: SparkSession, path: str):
+    """(customers, bookings) of a folder written by ``write_tables``."""
+    return spark.read.parquet(f"{path}/customers"), spark.read.parquet(f"{path}/bookings")
