@@ -28,3 +28,10 @@ def test_all_months_figures(spark):
     a2 = E.queries()["a2_all_months_stats"](spark, SF)
     r = a2.agg(F.countDistinct("month").alias("m"), F.sum("nights").alias("n")).first()
     assert (r.m, r.n) == (80, 60438)
+
+
+def test_guests_born_at_cutoff(spark):
+    from innkeep.sources.fixtures import load_model
+    m = load_model(spark, SF)
+    g = m.bookings.select("departure", F.explode("data.guests").alias("g"))
+    assert g.where(F.col("g.born") == F.add_months("departure", -180)).count() == 252
