@@ -49,8 +49,3 @@ def rooms_text(rooms: Column) -> Column:
 def first_room(rooms: Column) -> Column:
     """Smallest token as text (null if none or if it is the empty token)."""
     return token_text(F.try_element_at(rooms, F.lit(1)))
-
-
-def rooms_sort_key(rooms: Column) -> Column:
-    """Orderable key equal to the token-list order (lexicographic)."""
-    return rooms

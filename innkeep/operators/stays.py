@@ -18,12 +18,6 @@ from innkeep.functions import periods as P
 from innkeep.functions import rooms as R
 
 
-def _lit_date(d) -> Column:
-    if isinstance(d, Column):
-        return d
-    return F.lit(d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d)))
-
-
 def _as_date(d) -> dt.date:
     return d if isinstance(d, dt.date) else dt.date.fromisoformat(str(d))
 

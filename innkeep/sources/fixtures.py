@@ -12,9 +12,11 @@ independently.  The DuckDB oracle (``innkeep.plans.oracle``) restates the same
 mapping in SQL.
 
 Scale: the only shuffle is lineitem grouped by order key (map-side partial
-collection, then one row per order); customer ⋈ nation and orders ⋈ customers
-are equi-joins that AQE turns into broadcasts only when the measured size of
-the small side allows.  When the session names a shared checkpoint folder the
+collection, then one row per order).  The room lines of a booking are part of
+its document, so they are gathered per order; an order has at most 7 lines by
+the TPC-H rules (13 in these fixtures), which bounds that list.  customer ⋈
+nation and orders ⋈ customers are equi-joins that AQE turns into broadcasts
+only when the measured size of the small side allows.  When the session names a shared checkpoint folder the
 model is written there once (bookings partitioned by arrival year, sorted by
 arrival inside the files, so that date filters prune by statistics) and every
 later query reads it.

@@ -12,11 +12,6 @@ from innkeep.functions import taxes as TX
 from innkeep.operators.invoices import invoice_number
 
 
-def one(spark, col, row=None, schema=None):
-    df = spark.createDataFrame([row or (1,)], schema or "x int")
-    return df.select(col.alias("v")).first()["v"]
-
-
 def test_period_either_order(spark):
     df = spark.createDataFrame([(dt.date(2020, 5, 7), dt.date(2020, 5, 1))], "a date, b date")
     r = df.select(P.arrival_of(F.struct("a", "b")).alias("x"),

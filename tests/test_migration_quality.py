@@ -5,7 +5,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from innkeep.operators import exports as EX
 from innkeep.operators import migration as MG
