@@ -42,7 +42,7 @@ class Lodging:
                         dialect: str = "iso") -> "Lodging":
         from innkeep.operators.migration import migrate
         from innkeep.sources.legacy import read_legacy_csv
-        customers, bookings = migrate(read_legacy_csv(spark, path, sep), dialect)
+        customers, bookings = migrate(read_legacy_csv(spark, path, sep), dialect, materialize=True)
         return cls(customers, bookings)
 
     def save(self, path: str) -> None:

@@ -56,7 +56,7 @@ def main(argv=None) -> None:
 def run(spark, args) -> None:
     if args.cmd == "migrate":
         raw = legacy.read_legacy_csv(spark, args.csv, args.sep)
-        customers, bookings = migration.migrate(raw, args.dialect)
+        customers, bookings = migration.migrate(raw, args.dialect, materialize=True)
         tables.write_tables(customers, bookings, args.out)
     elif args.cmd == "backup":
         c, b = tables.open_tables(spark, args.tables)

@@ -187,13 +187,22 @@ def legacy_allocs() -> Column:
     return F.flatten(F.transform(valid, copies))
 
 
-def migrate(raw: DataFrame, dialect: str = "iso") -> tuple[DataFrame, DataFrame]:
+def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
+            ) -> tuple[DataFrame, DataFrame]:
     """Legacy rows -> (customers, bookings).
 
     customers: one per group (highest record id wins, W1), id = group id.
     bookings: one per row with a stay (T11), id = record id, customer = group id.
+
+    With ``materialize`` the typed rows are parsed once and kept through a
+    reliable checkpoint (columnar, in the shared folder), for jobs that write
+    both tables from one export.  Without it each output re-reads the export;
+    the master-record aggregate then parses only the two id columns.
     """
+    from innkeep.operators.ordering import stable
     typed = cast_legacy(raw, dialect)
+    if materialize:
+        typed = stable(typed)
     rows = typed.select(
         "recordid", "groupid",
         legacy_customer().alias("customer"),

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _stable(df: DataFrame) -> DataFrame:
+def stable(df: DataFrame) -> DataFrame:
     """Materialise once so that both uses see the same rows and partitioning: a
     reliable checkpoint in the shared folder; without one (no
     ``spark.checkpoint.dir``), a persisted copy (recomputed only if lost)."""
@@ -36,7 +36,7 @@ def with_global_index(df: DataFrame, order_cols: list, partition_col: str | None
     grp = [partition_col] if partition_col else []
     keys = grp + list(order_cols)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tagged = _stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    tagged = stable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
                      .withColumn("_pid", F.spark_partition_id())
                      .withColumn("_mid", F.monotonically_increasing_id()))
     counts = tagged.groupBy("_pid", *grp).agg(F.count(F.lit(1)).alias("_n"),

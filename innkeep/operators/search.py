@@ -150,9 +150,13 @@ def more_pages(df: DataFrame, n: int = 0, size: int = PAGE_SIZE) -> DataFrame:
 def search_page(customers: DataFrame, bookings: DataFrame, cond: Column | None,
                 n: int = 0) -> DataFrame:
     """Customer rows of one result page with their last stay."""
+    from innkeep.operators.ordering import stable
     c = customers if cond is None else customers.where(cond)
     pg = page(c.select("id", "modified", "keyword", "data"), n)
-    pg = with_position(pg, n)
+    # the page (at most 250 rows) is materialised once: it is both the output and
+    # the key set of the bookings lookup, and would otherwise be scanned and
+    # top-k-sorted twice
+    pg = stable(with_position(pg, n))
     ids = pg.select(F.col("id").alias("customer"))
     mine = bookings.select("customer", "arrival", "departure", "id") \
         .join(F.broadcast(ids), "customer", "left_semi")
