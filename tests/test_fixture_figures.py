@@ -35,3 +35,25 @@ def test_guests_born_at_cutoff(spark):
     m = load_model(spark, SF)
     g = m.bookings.select("departure", F.explode("data.guests").alias("g"))
     assert g.where(F.col("g.born") == F.add_months("departure", -180)).count() == 252
+
+
+def test_all_months_nights_equal_guest_nights(spark):
+    from innkeep.sources.fixtures import load_model
+    m = load_model(spark, SF)
+    invoiced = m.bookings.where(F.col("data.invoice").isNotNull())
+    direct = invoiced.agg(F.sum(F.size("data.guests") * F.datediff("departure", "arrival"))
+                          .alias("s")).first().s
+    months = E.queries()["a2_all_months_stats"](spark, SF).agg(F.sum("nights").alias("s")).first().s
+    assert direct == months
+
+
+def test_split_parts_sum_to_gross(spark):
+    from innkeep.functions import taxes as TX
+    from innkeep.sources.fixtures import load_model
+    m = load_model(spark, SF)
+    pos = m.bookings.where(F.col("data.invoice").isNotNull()) \
+        .select(F.explode("data.invoice.positions").alias("p"))
+    parts = pos.select((F.col("p.quantity").cast("bigint") * F.col("p.price")).alias("gross"),
+                       F.aggregate(TX.tax_parts(F.col("p")), F.lit(0).cast("bigint"),
+                                   lambda acc, x: acc + x["gross"]).alias("parts"))
+    assert parts.where(F.col("gross") != F.col("parts")).count() == 0
