@@ -213,3 +213,13 @@ def test_split_legacy_documents(spark):
     assert c.first().data.asDict() == {"keyword": "kw"}
     assert sorted((r.id, r.customer, r.data.note) for r in b.collect()) == \
         [(-1, 7, "n1"), (-1, 7, "n2")]
+
+
+def test_registration_xml_is_escaped(spark):
+    cust = customers_df(spark, [(1, "m", customer_doc(family="Smith & <Sons>"))])
+    book = bookings_df(spark, [(1, 1, booking_doc("2020-05-01", "2020-05-03"))])
+    out = os.path.join(tempfile.mkdtemp(prefix="xmlesc-"), "forms")
+    EX.write_registration_xml(EX.registration_forms(book, cust), out)
+    xml = "".join(open(os.path.join(out, p), encoding="utf-8").read()
+                  for p in os.listdir(out) if not p.startswith(("_", ".")))
+    assert "Smith &amp; &lt;Sons&gt;" in xml and "<Sons>" not in xml
