@@ -23,7 +23,11 @@ def stable(df: DataFrame) -> DataFrame:
     """Materialise once so that both uses see the same rows and partitioning: a
     reliable checkpoint in the shared folder; without one (no
     ``spark.checkpoint.dir``), a persisted copy (recomputed only if lost)."""
-    if df.sparkSession.sparkContext.getCheckpointDir():
+    from innkeep.session import has_jvm, scratch_root
+    spark = df.sparkSession
+    reliable = (spark.sparkContext.getCheckpointDir() if has_jvm(spark)
+                else scratch_root(spark))
+    if reliable:
         return df.checkpoint(eager=True)
     kept = df.persist()
     kept.count()

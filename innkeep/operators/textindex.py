@@ -67,8 +67,9 @@ def _index_key(source: str) -> str:
 def open_index(spark: SparkSession, documents: DataFrame, source: str) -> TextIndex:
     """The index of ``documents`` (read from ``source``), built on first use in the
     shared folder; without a shared folder the index frames are derived lazily."""
+    from innkeep.session import has_jvm
     root = scratch_root(spark)
-    if root is None:
+    if root is None or not has_jvm(spark):
         docs = documents.select("doc_id", "lang", tokens_of("text").alias("tokens"))
         return TextIndex(docs, docs.select(F.explode(F.array_distinct("tokens")).alias("token"),
                                            "doc_id"))

@@ -62,3 +62,18 @@ def scratch_root(spark: SparkSession) -> str | None:
     if not value:
         value = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return value or None
+
+
+def has_jvm(spark: SparkSession) -> bool:
+    """True for a classic session with a reachable JVM (False on Spark Connect)."""
+    try:
+        return spark.sparkContext._jvm is not None
+    except Exception:  # noqa: BLE001 - Connect sessions have no SparkContext
+        return False
+
+
+def default_parallelism(spark: SparkSession) -> int | None:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        return None

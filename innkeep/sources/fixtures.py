@@ -239,8 +239,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def model_location(spark: SparkSession, sf_dir: str) -> str | None:
+    """Folder of the published model, or None (no shared folder, or a session
+    without JVM access, where the model is derived lazily instead)."""
+    from innkeep.session import has_jvm
     root = scratch_root(spark)
-    if not root:
+    if not root or not has_jvm(spark):
         return None
     return f"{root.rstrip('/')}/innkeep-model/{_model_key(os.path.abspath(sf_dir))}"
 
@@ -266,7 +269,7 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
     loc = model_location(spark, sf_dir)
     if loc is None:
         return derive_model(spark, sf_dir), None
-    key = (spark.sparkContext.applicationId, loc)
+    key = (spark.sparkContext.applicationId, loc)   # a JVM session here (see model_location)
     if key not in _LOADED:
         # written into a temporary folder and published with one rename
         shared.publish_once(spark, loc, lambda target: _write_model(spark, sf_dir, target))

@@ -17,8 +17,10 @@ from innkeep import schemas
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism
+    from innkeep.session import default_parallelism
+    target = min_partitions or default_parallelism(df.sparkSession)
+    if not target:
+        return df
     try:
         n_files = len(df.inputFiles())
     except Exception:  # pragma: no cover - non-file sources
@@ -29,7 +31,10 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
 def at_least_parallelism(df: DataFrame) -> DataFrame:
     """Repartition (round robin) only when the frame has fewer partitions than the
     default parallelism, e.g. before writing a one-time export of a small table."""
-    target = df.sparkSession.sparkContext.defaultParallelism
+    from innkeep.session import default_parallelism, has_jvm
+    target = default_parallelism(df.sparkSession)
+    if not target or not has_jvm(df.sparkSession):
+        return df
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
