@@ -8,27 +8,28 @@ one row per partition in the shuffle) before they meet the table.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def violations(customers: DataFrame, bookings: DataFrame) -> DataFrame:
     """C1 + C2: rows breaking the table constraints: ids >= 0, keyword present and
-    not blank after trimming, both stay dates present.  Columns: table, id, rule."""
-    c = customers.select("id", "keyword")
-    b = bookings.select("id", "arrival", "departure")
-    checks = [
-        c.where(F.col("id") < 0).select(F.lit("customers").alias("table"), "id",
-                                        F.lit("id >= 0").alias("rule")),
-        c.where(F.col("keyword").isNull() | (F.trim("keyword") == ""))
-        .select(F.lit("customers"), "id", F.lit("keyword not blank")),
-        b.where(F.col("id") < 0).select(F.lit("bookings"), "id", F.lit("id >= 0")),
-        b.where(F.col("arrival").isNull() | F.col("departure").isNull())
-        .select(F.lit("bookings"), "id", F.lit("stay dates present")),
-    ]
-    return reduce(DataFrame.unionAll, checks)
+    not blank after trimming, both stay dates present.  Columns: table, id, rule.
+    Each table is read once; a row yields one output row per broken rule."""
+    def broken(df: DataFrame, table: str, rules: list[tuple[str, object]]) -> DataFrame:
+        names = F.filter(F.array(*[F.when(cond, F.lit(name)) for name, cond in rules]),
+                         lambda x: x.isNotNull())
+        return (df.select(F.lit(table).alias("table"), "id", names.alias("_r"))
+                .where(F.size("_r") > 0)
+                .select("table", "id", F.explode("_r").alias("rule")))
+
+    c = broken(customers.select("id", "keyword"), "customers", [
+        ("id >= 0", F.col("id") < 0),
+        ("keyword not blank", F.col("keyword").isNull() | (F.trim("keyword") == ""))])
+    b = broken(bookings.select("id", "arrival", "departure"), "bookings", [
+        ("id >= 0", F.col("id") < 0),
+        ("stay dates present", F.col("arrival").isNull() | F.col("departure").isNull())])
+    return c.unionByName(b)
 
 
 def clean_keyword(customers: DataFrame) -> DataFrame:
