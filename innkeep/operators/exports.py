@@ -17,7 +17,7 @@ from innkeep.functions.periods import local_date, period_text
 from innkeep.functions.text import alloc_phrase
 from innkeep.functions.util import let
 from innkeep.operators import invoices as INV
-from innkeep.operators.stays import with_customer
+from innkeep.operators.stays import has_invoice, with_customer
 
 INTERCHANGE_HEADER = "2014_EXCEL_BR_V2_pQ06eaXd"
 PROPERTY_ID = "0550"
@@ -227,7 +227,7 @@ def invoice_letters(bookings: DataFrame) -> DataFrame:
                           F.when(inv["departure_date"].isNotNull(),
                                  F.concat(F.lit("Abreise-Datum: "),
                                           local_date(inv["departure_date"]))))
-    return (bookings.where(inv.isNotNull())
+    return (has_invoice(bookings)
             .select("id", inv["title"].alias("subject"),
                     F.regexp_replace(inv["recipient"], "\n", "<br>").alias("recipient"),
                     sidebar.alias("sidebar"),

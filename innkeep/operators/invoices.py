@@ -51,11 +51,13 @@ def invoice_number(rooms: Column, departure) -> Column:
 
 
 def _position(quantity, description, price, tax, legacy_rate=None) -> Column:
+    """An invoice position struct; ``tax`` is a code name or a Column."""
+    tax_col = F.lit(tax) if isinstance(tax, str) else tax
+    rate_col = F.lit(None) if legacy_rate is None else legacy_rate
     return F.struct(
         quantity.cast("int").alias("quantity"), description.alias("description"),
-        price.cast("bigint").alias("price"), F.lit(tax).cast("string").alias("tax")
-        if isinstance(tax, str) else tax.alias("tax"),
-        (F.lit(None) if legacy_rate is None else legacy_rate).cast("int").alias("legacy_rate"),
+        price.cast("bigint").alias("price"), tax_col.cast("string").alias("tax"),
+        rate_col.cast("int").alias("legacy_rate"),
     )
 
 
@@ -127,10 +129,16 @@ def invoice_sum(invoice="data.invoice") -> Column:
                        lambda acc, p: acc + position_total(p))
 
 
+def _invoiced(bookings: DataFrame) -> DataFrame:
+    """Bookings with a stored invoice (the pushed-down flag when the table has it)."""
+    from innkeep.operators.stays import has_invoice
+    return has_invoice(bookings)
+
+
 def invoice_totals(bookings: DataFrame) -> DataFrame:
     """Per stored invoice: sum of quantity x price, deposit, rest."""
     inv = F.col("data.invoice")
-    return (bookings.where(inv.isNotNull())
+    return (_invoiced(bookings)
             .select(F.col("id"), inv["id"].alias("invoice_no"),
                     F.size(inv["positions"]).alias("n_positions"),
                     invoice_sum(inv).alias("total"),
@@ -193,7 +201,7 @@ def tax_rows(invoice="data.invoice") -> Column:
 def tax_table(bookings: DataFrame) -> DataFrame:
     """One row per invoice and tax rule (stored invoices only)."""
     inv = F.col("data.invoice")
-    rows = (bookings.where(inv.isNotNull())
+    rows = (_invoiced(bookings)
             .select("id", inv["id"].alias("invoice_no"), F.explode(tax_rows(inv)).alias("t")))
     return rows.select("id", "invoice_no", "t.label", "t.kind", "t.rate", "t.description",
                        "t.tax_cents")
@@ -224,7 +232,7 @@ def compat_tax_codes(bookings: DataFrame) -> DataFrame:
     extra = F.filter(inv["positions"], lambda p: ~p["tax"].isin(*ACTIVE_CODES))
     keys = F.reverse(F.array_distinct(F.transform(extra, lambda p: TX.tax_key(p["tax"],
                                                                              p["legacy_rate"]))))
-    return (bookings.where(inv.isNotNull())
+    return (_invoiced(bookings)
             .select("id", F.array_join(keys, ",").alias("compat_codes"),
                     F.size(keys).alias("n_compat")))
 
