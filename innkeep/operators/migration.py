@@ -205,7 +205,6 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
         typed = stable(typed)
     rows = typed.select(
         "recordid", "groupid",
-        legacy_customer().alias("customer"),
         legacy_period(typed).alias("period"),
         F.col("agef").alias("deposit_asked"), F.col("aeing").alias("deposit_got"),
         booking_note(dialect).alias("note"),
@@ -242,7 +241,8 @@ def master_customers(typed: DataFrame) -> DataFrame:
 
 
 def guests_per_booking(guest_rows: DataFrame) -> DataFrame:
-    """Guest rows (booking_id, slot, given, family, born) -> ordered array."""
+    """Guest rows (booking_id, slot, given, family, born) -> ordered array.
+    A booking has at most six guest slots, which bounds the collected list."""
     return (guest_rows.groupBy("booking_id")
             .agg(F.sort_array(F.collect_list(F.struct("slot", "given", "family", "born")))
                  .alias("g"))
