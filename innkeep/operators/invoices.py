@@ -148,14 +148,14 @@ def invoice_totals(bookings: DataFrame) -> DataFrame:
 
 def summarise(bookings: DataFrame) -> DataFrame:
     """Guest count, tax-payer count and rooms of every booking."""
-    rooms = R.rooms_of("data.allocs")
+    facts = let(R.rooms_of("data.allocs"), lambda rooms: F.struct(
+        R.rooms_text(rooms).alias("rooms"), R.first_room(rooms).alias("first_room")))
     return bookings.select(
         "id",
         G.guest_count("data.guests").alias("guests"),
         G.tax_payer_count("data.guests", "departure").alias("tax_payers"),
-        R.rooms_text(rooms).alias("rooms"),
-        R.first_room(rooms).alias("first_room"),
-    )
+        facts.alias("f"),
+    ).select("id", "guests", "tax_payers", "f.rooms", "f.first_room")
 
 
 def _rule_of(p: Column) -> Column:

@@ -26,28 +26,51 @@ from pyspark.sql import functions as F
 
 from innkeep.functions import guests as G
 from innkeep.functions.periods import local_date
+from innkeep.functions.util import let
 from innkeep.operators import stays
 
 
+def _recipient_lines(invoice: Column) -> Column:
+    """Lines of the recipient (a trailing newline and ``\r`` do not make lines)."""
+    return F.split(F.regexp_replace(invoice["recipient"], r"\r?\n$", ""), r"\r?\n")
+
+
+def _has_lines(invoice: Column) -> Column:
+    return F.coalesce(invoice["recipient"], F.lit("")) != ""
+
+
+def _country(lines: Column, has_lines: Column, customer_code: Column) -> Column:
+    last = F.element_at(lines, -1)
+    raw = F.when(F.instr(last, "-") > 0, F.substring_index(last, "-", 1)).otherwise(customer_code)
+    return F.when(has_lines, F.trim(raw)).otherwise(customer_code)
+
+
+def invoice_country(invoice: Column, customer_code: Column) -> Column:
+    """Country of a statistics row: text before the first dash of the recipient's
+    last line (trimmed), else the customer's code."""
+    return let(_recipient_lines(invoice),
+               lambda lines: _country(lines, _has_lines(invoice), customer_code))
+
+
 def invoice_facts(invoice: Column, customer_keyword: Column, customer_code: Column) -> Column:
     """STRUCT<invoice_no, invoice_date, name, country> of a statistics row.
 
-    Lines of the recipient are split on newlines (a trailing newline and ``\\r``
-    do not make lines); no invoice or an empty recipient falls back to the
-    customer's keyword and code.
+    Lines of the recipient are split on newlines once per row; no invoice or an
+    empty recipient falls back to the customer's keyword and code.
     """
-    lines = F.split(F.regexp_replace(invoice["recipient"], r"\r?\n$", ""), r"\r?\n")
-    has_lines = F.coalesce(invoice["recipient"], F.lit("")) != ""
-    last = F.element_at(lines, -1)
-    raw = F.when(F.instr(last, "-") > 0, F.substring_index(last, "-", 1)).otherwise(customer_code)
-    return F.struct(
-        F.when(has_lines, F.coalesce(invoice["id"], F.lit(""))).otherwise(F.lit(""))
-        .alias("invoice_no"),
-        F.when(has_lines, F.coalesce(local_date(invoice["invoice_date"]), F.lit("")))
-        .otherwise(F.lit("")).alias("invoice_date"),
-        F.when(has_lines, F.element_at(lines, 1)).otherwise(customer_keyword).alias("name"),
-        F.when(has_lines, F.trim(raw)).otherwise(customer_code).alias("country"),
-    )
+    has_lines = _has_lines(invoice)
+
+    def facts(lines):
+        return F.struct(
+            F.when(has_lines, F.coalesce(invoice["id"], F.lit(""))).otherwise(F.lit(""))
+            .alias("invoice_no"),
+            F.when(has_lines, F.coalesce(local_date(invoice["invoice_date"]), F.lit("")))
+            .otherwise(F.lit("")).alias("invoice_date"),
+            F.when(has_lines, F.element_at(lines, 1)).otherwise(customer_keyword).alias("name"),
+            _country(lines, has_lines, customer_code).alias("country"),
+        )
+
+    return let(_recipient_lines(invoice), facts)
 
 
 def _counts(n: Column, start: Column, end: Column) -> list[Column]:
@@ -80,8 +103,16 @@ def statistics_rows(bookings: DataFrame, customers: DataFrame, month,
 def month_stats(bookings: DataFrame, customers: DataFrame, month, with_total: bool = True,
                 max_nights: int | None = None) -> DataFrame:
     """Country summary of one month; ``with_total`` adds the grand-total row
-    (country null) through ``rollup``."""
-    rows = statistics_rows(bookings, customers, month, max_nights)
+    (country null) through ``rollup``.  Only the country of each row is derived."""
+    start, end = stays.month_bounds(month)
+    b = stays.has_invoice(stays.overlapping(bookings, start, end, max_nights))
+    b = b.select("customer", "arrival", "departure", F.col("data.invoice").alias("invoice"),
+                 G.guest_count("data.guests").alias("n_guests"))
+    c = customers.select(F.col("id").alias("customer"),
+                         F.col("data.address.country_code").alias("ccode"))
+    rows = b.join(c, "customer", "inner").select(
+        invoice_country(F.col("invoice"), F.col("ccode")).alias("country"),
+        *_counts(F.col("n_guests"), F.lit(start), F.lit(end)))
     aggs = [F.sum("arrivals").cast("bigint").alias("arrivals"),
             F.sum("nights").cast("bigint").alias("nights"),
             F.sum("carry").cast("bigint").alias("carry")]
@@ -100,12 +131,12 @@ def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
     b = stays.has_invoice(bookings).select(
         "id", "customer", "arrival", "departure", F.col("data.invoice").alias("invoice"),
         G.guest_count("data.guests").alias("n_guests"))
-    c = customers.select(F.col("id").alias("customer"), F.col("keyword").alias("ckw"),
+    c = customers.select(F.col("id").alias("customer"),
                          F.col("data.address.country_code").alias("ccode"))
     # the country is fixed per booking: join and derive it before the expansion
     j = b.join(c, "customer", "inner").select(
         "arrival", "departure", "n_guests",
-        invoice_facts(F.col("invoice"), F.col("ckw"), F.col("ccode"))["country"].alias("country"))
+        invoice_country(F.col("invoice"), F.col("ccode")).alias("country"))
     a, d = F.col("arrival"), F.col("departure")
     first = F.trunc(a, "MM")
     months = (F.when(d > a, F.sequence(first, F.trunc(F.date_sub(d, 1), "MM"),

@@ -172,21 +172,26 @@ def agenda(bookings: DataFrame, customers: DataFrame, day, max_nights: int | Non
            ) -> DataFrame:
     """In-house bookings of a day, split into arrive (checked first) / leave / stay,
     with the card facts (keyword, guests, period text, rooms) and the room sort key."""
+    from innkeep.functions.util import let
     d = _as_date(day)
     b = in_house(bookings, d, max_nights)
-    rooms = R.rooms_of("data.allocs")
     kind = (F.when(F.col("arrival") == F.lit(d), F.lit("arrive"))
             .when(F.col("departure") == F.lit(d), F.lit("leave"))
             .otherwise(F.lit("stay")))
     n = G.guest_count("data.guests")
     persons = F.when(n != 1, F.format_string("%d Personen", n)).otherwise(F.lit("1 Person"))
-    rtxt = R.rooms_text(rooms)
-    card = F.format_string("%s vom %s %s", persons, P.period_text("arrival", "departure"),
-                           F.coalesce(F.concat(F.lit(" in Zimmer "), rtxt), F.lit("")))
+
+    def facts(rooms):
+        rtxt = R.rooms_text(rooms)
+        card = F.format_string("%s vom %s %s", persons, P.period_text("arrival", "departure"),
+                               F.coalesce(F.concat(F.lit(" in Zimmer "), rtxt), F.lit("")))
+        return F.struct(rtxt.alias("rooms"), card.alias("card"), rooms.alias("room_key"))
+
     out = with_customer(b.select("id", "customer", "data", "arrival", "departure"), customers)
     return out.select("id", "customer", F.col("customer_keyword").alias("keyword"),
-                      kind.alias("kind"), n.alias("guests"), rtxt.alias("rooms"),
-                      card.alias("card"), rooms.alias("room_key"))
+                      kind.alias("kind"), n.alias("guests"),
+                      let(R.rooms_of("data.allocs"), facts).alias("f")) \
+        .select("id", "customer", "keyword", "kind", "guests", "f.rooms", "f.card", "f.room_key")
 
 
 def month_bounds(month) -> tuple[dt.date, dt.date]:
