@@ -38,13 +38,14 @@ def decode_tax(raw) -> Column:
     """
     r = F.trim(_c(raw))
     as_int = F.when(r.rlike(r"^-?[0-9]+$"), r.try_cast("int"))
-    arr = F.from_json(r, "array<string>")
-    code = F.element_at(arr, 1)
-    arr_rate = F.try_element_at(arr, F.lit(2)).try_cast("int")
+    # the variant form is a JSON array of a code name and an optional integer
+    variant = r"^\[\s*\"([A-Za-z0-9]+)\"\s*(?:,\s*(-?[0-9]+)\s*)?\]$"
+    code = F.nullif(F.regexp_extract(r, variant, 1), F.lit(""))       # '' when no match
+    arr_rate = F.nullif(F.regexp_extract(r, variant, 2), F.lit("")).try_cast("int")
     tax = (F.when(as_int == 19, F.lit(GENERAL19))
            .when(as_int == 7, F.lit(REDUCED7))
            .when(as_int.isNotNull(), F.lit(LEGACY))
-           .when(code.isin(GENERAL19, REDUCED7, SPLIT), code)
+           .when(code.isin(GENERAL19, REDUCED7, SPLIT) & arr_rate.isNull(), code)
            .when((code == LEGACY) & arr_rate.isNotNull(), F.lit(LEGACY)))
     rate = (F.when(as_int.isNotNull() & ~as_int.isin(7, 19), as_int)
             .when(as_int.isNull() & (code == LEGACY), arr_rate))

@@ -268,29 +268,34 @@ def invoice_json(invoice="data.invoice", old_shape=None) -> Column:
 
 def decode_invoice(json_text) -> Column:
     """JSON text -> invoice struct; the older shape (single ``date``) is upgraded:
-    invoice_date = date, departure_date = null.  Unparsable text -> null."""
-    j = _c(json_text)
-    doc = F.from_json(j, schemas.INVOICE_JSON)
-    # A document is read in the older shape when it carries ``date`` and neither
-    # newer date.  An old document whose date is null decodes the same way under
-    # both readings (both dates null), so the parsed fields suffice and the text
-    # is parsed only once.
-    is_old = (doc["date"].isNotNull() & doc["invoice_date"].isNull()
-              & doc["departure_date"].isNull())
+    invoice_date = date, departure_date = null.  Unparsable text -> null.
 
+    The text is parsed once per row (the parsed document is bound with ``let``;
+    every field reads the bound value) and each position's tax is decoded once.
+    """
     def pos(p):
-        t = TX.decode_tax(p["tax"])
-        return F.struct(p["quantity"].alias("quantity"), p["description"].alias("description"),
-                        M.cents_of_units(p["price"]).alias("price"), t["tax"].alias("tax"),
-                        t["legacy_rate"].alias("legacy_rate"))
-
-    parsed = F.struct(
-        doc["id"].alias("id"), doc["recipient"].alias("recipient"),
-        F.when(is_old, doc["date"]).otherwise(doc["invoice_date"]).alias("invoice_date"),
-        F.when(is_old, F.lit(None).cast("date")).otherwise(doc["departure_date"])
-        .alias("departure_date"),
-        doc["title"].alias("title"), doc["intro"].alias("intro"),
-        F.transform(doc["positions"], pos).alias("positions"),
-        doc["closing"].alias("closing"), M.cents_of_units(doc["deposit"]).alias("deposit"),
-    )
-    return F.when(doc.isNotNull() & doc["recipient"].isNotNull(), parsed)
+        def build(t):
+            return F.struct(p["quantity"].alias("quantity"),
+                            p["description"].alias("description"),
+                            M.cents_of_units(p["price"]).alias("price"), t["tax"].alias("tax"),
+                            t["legacy_rate"].alias("legacy_rate"))
+        return let(TX.decode_tax(p["tax"]), build)
+
+    def upgrade(doc):
+        # The older shape carries ``date`` and neither newer date.  An old document
+        # whose date is null decodes the same way under both readings (both dates
+        # null), so the parsed fields suffice.
+        is_old = (doc["date"].isNotNull() & doc["invoice_date"].isNull()
+                  & doc["departure_date"].isNull())
+        parsed = F.struct(
+            doc["id"].alias("id"), doc["recipient"].alias("recipient"),
+            F.when(is_old, doc["date"]).otherwise(doc["invoice_date"]).alias("invoice_date"),
+            F.when(is_old, F.lit(None).cast("date")).otherwise(doc["departure_date"])
+            .alias("departure_date"),
+            doc["title"].alias("title"), doc["intro"].alias("intro"),
+            F.transform(doc["positions"], pos).alias("positions"),
+            doc["closing"].alias("closing"), M.cents_of_units(doc["deposit"]).alias("deposit"),
+        )
+        return F.when(doc.isNotNull() & doc["recipient"].isNotNull(), parsed)
+
+    return let(F.from_json(_c(json_text), schemas.INVOICE_JSON), upgrade)
