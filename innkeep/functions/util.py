@@ -16,3 +16,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     lambda) then do not recompute it.
     """
     return F.transform(F.array(value), body)[0]
+
+
+def spread(struct_col: Column) -> Column:
+    """Generator turning one struct per row into its fields as columns.
+
+    Selecting ``struct.*`` lets the optimizer copy the struct's expression into
+    every output column; a generator evaluates it once per row.
+    """
+    return F.inline(F.array(struct_col))

@@ -63,48 +63,58 @@ def item_groups(allocs="data.allocs") -> Column:
         x["description"].alias("description")))
 
 
-def top_items(groups: Column, k: int = 3) -> list[Column]:
-    """The first k item groups spread into columns (empty text when missing)."""
-    cols = []
-    for i in range(1, k + 1):
-        g = F.try_element_at(groups, F.lit(i))
-        cols += [F.coalesce(g["n"].cast("string"), F.lit("")).alias(f"item{i}_n"),
-                 F.coalesce(g["description"], F.lit("")).alias(f"item{i}_description"),
-                 F.coalesce(format_money_dot(g["price_per_bed"]), F.lit("")).alias(f"item{i}_price"),
-                 F.coalesce((g["beds"] * 100).cast("string"), F.lit("")).alias(f"item{i}_percent")]
-    return cols
+def top_items(groups: Column, k: int = 3) -> Column:
+    """The first k item groups spread into fields item{i}_n, _description,
+    _price, _percent (empty text when missing); the groups are bound once."""
+    def spread(gs):
+        fields = []
+        for i in range(1, k + 1):
+            g = F.try_element_at(gs, F.lit(i))
+            fields += [F.coalesce(g["n"].cast("string"), F.lit("")).alias(f"item{i}_n"),
+                       F.coalesce(g["description"], F.lit("")).alias(f"item{i}_description"),
+                       F.coalesce(format_money_dot(g["price_per_bed"]), F.lit(""))
+                       .alias(f"item{i}_price"),
+                       F.coalesce((g["beds"] * 100).cast("string"), F.lit(""))
+                       .alias(f"item{i}_percent")]
+        return F.struct(*fields)
+
+    return let(groups, spread)
 
 
 def interchange_text(data="data", cdata="customer_data", arrival="arrival",
                      departure="departure") -> Column:
-    """The 30-line interchange record of a booking."""
+    """The 30-line interchange record of a booking (item groups and the
+    tax-payer count are computed once per booking)."""
     d, c = _c(data), _c(cdata)
-    groups = item_groups(d["allocs"])
-    payers = G.tax_payer_count(d["guests"], departure)
-    no_tax = (payers < 1) | d["tax_free"]
-
-    def item(i, with_percent=True):
-        g = F.try_element_at(groups, F.lit(i + 1))
-        out = [F.coalesce(g["n"].cast("string"), F.lit("")),
-               F.coalesce(g["description"], F.lit("")),
-               F.coalesce(format_money_dot(g["price_per_bed"]), F.lit(""))]
-        if with_percent:
-            out.append(F.coalesce((g["beds"] * 100).cast("string"), F.lit("")))
-        return out
-
-    lines = [F.lit(INTERCHANGE_HEADER),
-             F.coalesce(F.try_element_at(d["allocs"], F.lit(1))["room"], F.lit("")),
-             c["name"]["title"], c["name"]["letter"], c["name"]["family"], c["name"]["given"],
-             F.lit(""), F.lit(""),
-             c["address"]["country_code"], c["address"]["postal_code"], c["address"]["city"],
-             c["address"]["street_with_num"], c["contact"]["phone"],
-             local_date(arrival), local_date(departure),
-             *item(0), *item(1), *item(2, with_percent=False),
-             F.when(d["tax_free"], F.lit("0")).otherwise(payers.cast("string")),
-             F.when(no_tax, F.lit("")).otherwise(F.lit("Kurtaxe")),
-             F.when(no_tax, F.lit("0.00")).otherwise(F.lit("2.00")),
-             format_money_dot(F.coalesce(d["deposit_got"], F.lit(0).cast("bigint")))]
-    return F.concat_ws("\n", *lines)
+
+    def render(groups, payers):
+        no_tax = (payers < 1) | d["tax_free"]
+
+        def item(i, with_percent=True):
+            g = F.try_element_at(groups, F.lit(i + 1))
+            out = [F.coalesce(g["n"].cast("string"), F.lit("")),
+                   F.coalesce(g["description"], F.lit("")),
+                   F.coalesce(format_money_dot(g["price_per_bed"]), F.lit(""))]
+            if with_percent:
+                out.append(F.coalesce((g["beds"] * 100).cast("string"), F.lit("")))
+            return out
+
+        lines = [F.lit(INTERCHANGE_HEADER),
+                 F.coalesce(F.try_element_at(d["allocs"], F.lit(1))["room"], F.lit("")),
+                 c["name"]["title"], c["name"]["letter"], c["name"]["family"], c["name"]["given"],
+                 F.lit(""), F.lit(""),
+                 c["address"]["country_code"], c["address"]["postal_code"], c["address"]["city"],
+                 c["address"]["street_with_num"], c["contact"]["phone"],
+                 local_date(arrival), local_date(departure),
+                 *item(0), *item(1), *item(2, with_percent=False),
+                 F.when(d["tax_free"], F.lit("0")).otherwise(payers.cast("string")),
+                 F.when(no_tax, F.lit("")).otherwise(F.lit("Kurtaxe")),
+                 F.when(no_tax, F.lit("0.00")).otherwise(F.lit("2.00")),
+                 format_money_dot(F.coalesce(d["deposit_got"], F.lit(0).cast("bigint")))]
+        return F.concat_ws("\n", *lines)
+
+    return let(item_groups(d["allocs"]), lambda groups: let(
+        G.tax_payer_count(d["guests"], departure), lambda payers: render(groups, payers)))
 
 
 def interchange(bookings: DataFrame, customers: DataFrame) -> DataFrame:

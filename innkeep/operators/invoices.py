@@ -18,7 +18,7 @@ from innkeep.functions import rooms as R
 from innkeep.functions import taxes as TX
 from innkeep.functions.periods import period_text
 from innkeep.functions.text import recipient_block
-from innkeep.functions.util import let
+from innkeep.functions.util import let, spread
 
 # Texts of a generated invoice.
 TITLE = "Rechnung"
@@ -154,8 +154,8 @@ def summarise(bookings: DataFrame) -> DataFrame:
         "id",
         G.guest_count("data.guests").alias("guests"),
         G.tax_payer_count("data.guests", "departure").alias("tax_payers"),
-        facts.alias("f"),
-    ).select("id", "guests", "tax_payers", "f.rooms", "f.first_room")
+        spread(facts),
+    )
 
 
 def _rule_of(p: Column) -> Column:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions import guests as G
 from innkeep.functions.periods import local_date
-from innkeep.functions.util import let
+from innkeep.functions.util import let, spread
 from innkeep.operators import stays
 
 
@@ -94,9 +94,9 @@ def statistics_rows(bookings: DataFrame, customers: DataFrame, month,
                          F.col("data.address.country_code").alias("ccode"))
     j = b.join(c, "customer", "inner")
     facts = invoice_facts(F.col("invoice"), F.col("ckw"), F.col("ccode"))
-    return j.select("id", "customer", "arrival", "departure", facts.alias("f"),
+    return j.select("id", "customer", "arrival", "departure", spread(facts),
                     *_counts(F.col("n_guests"), F.lit(start), F.lit(end))) \
-            .select("id", "customer", "f.invoice_no", "f.invoice_date", "f.name", "f.country",
+            .select("id", "customer", "invoice_no", "invoice_date", "name", "country",
                     "arrival", "departure", "arrivals", "nights", "carry")
 
 

@@ -172,7 +172,7 @@ def agenda(bookings: DataFrame, customers: DataFrame, day, max_nights: int | Non
            ) -> DataFrame:
     """In-house bookings of a day, split into arrive (checked first) / leave / stay,
     with the card facts (keyword, guests, period text, rooms) and the room sort key."""
-    from innkeep.functions.util import let
+    from innkeep.functions.util import let, spread
     d = _as_date(day)
     b = in_house(bookings, d, max_nights)
     kind = (F.when(F.col("arrival") == F.lit(d), F.lit("arrive"))
@@ -190,8 +190,7 @@ def agenda(bookings: DataFrame, customers: DataFrame, day, max_nights: int | Non
     out = with_customer(b.select("id", "customer", "data", "arrival", "departure"), customers)
     return out.select("id", "customer", F.col("customer_keyword").alias("keyword"),
                       kind.alias("kind"), n.alias("guests"),
-                      let(R.rooms_of("data.allocs"), facts).alias("f")) \
-        .select("id", "customer", "keyword", "kind", "guests", "f.rooms", "f.card", "f.room_key")
+                      spread(let(R.rooms_of("data.allocs"), facts)))
 
 
 def month_bounds(month) -> tuple[dt.date, dt.date]:

@@ -63,7 +63,8 @@ FROM bk LEFT JOIN grp ON grp.booking = bk.id GROUP BY bk.id
 def w4_top_items(spark, sf_dir):
     """Top three item groups of every booking spread into columns."""
     b = load_model(spark, sf_dir).bookings
-    return b.select("id", *EX.top_items(EX.item_groups("data.allocs")))
+    from innkeep.functions.util import spread
+    return b.select("id", spread(EX.top_items(EX.item_groups("data.allocs"))))
 
 
 def _item_lines_sql(i: int, percent: bool = True) -> str:

@@ -62,7 +62,7 @@ GROUP BY ALL
 def t19_generate_invoices(spark, sf_dir):
     """T19 (+ E9, E11, E12, E13, E14, U3, A5): generate an invoice for every booking."""
     m = _model(spark, sf_dir)
-    from innkeep.functions.util import let
+    from innkeep.functions.util import let, spread
     g = INV.generate_invoices(m.bookings, m.customers, INVOICE_DATE)
     inv = F.col("invoice")
     # the positions are built once per booking and both counted and summed
@@ -72,9 +72,8 @@ def t19_generate_invoices(spark, sf_dir):
     return g.select("id", inv["id"].alias("invoice_no"), inv["recipient"].alias("recipient"),
                     inv["invoice_date"].alias("invoice_date"),
                     inv["departure_date"].alias("departure_date"), inv["intro"].alias("intro"),
-                    pos.alias("p"), inv["deposit"].alias("deposit")) \
-        .select("id", "invoice_no", "recipient", "invoice_date", "departure_date", "intro",
-                F.col("p.n").alias("n_positions"), F.col("p.s").alias("total"), "deposit")
+                    spread(pos), inv["deposit"].alias("deposit")) \
+        .withColumnRenamed("n", "n_positions").withColumnRenamed("s", "total")
 
 
 @register("u3_invoice_positions", _GEN + """
