@@ -20,6 +20,8 @@ _LOCAL_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # checkpoints of frames that are no longer referenced are removed by Spark
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
