@@ -19,11 +19,15 @@ from innkeep.functions.util import let
 from innkeep.operators import invoices as INV
 from innkeep.operators.stays import has_invoice, with_customer
 
+# First line of the interchange record and the property id of
+# the registration records.
 INTERCHANGE_HEADER = "2014_EXCEL_BR_V2_pQ06eaXd"
 PROPERTY_ID = "0550"
+# Sender line and signature of the letters: settings of the business running the
+# library (neutral defaults; pass your own to the letter functions).
+SENDER = "Gästehaus, Musterweg 1, D-12345 Musterstadt"
+SIGNER = "Ihre Gastgeber"
 # Letter texts.
-SENDER = "Pension Keller, Am Vögelisberg 13, D-78479 Reichenau"
-SIGNER = "Christine Keller"
 GREETING = "Mit freundlichen Grüßen"
 CONFIRM_SUBJECT = "Reservierungsbestätigung"
 CONFIRM_INTRO = ("vielen Dank für Ihre Bestellung. Hiermit bestätigen wir Ihre "
@@ -165,7 +169,7 @@ def _p(text: Column) -> Column:
 
 
 def _letter(subject: Column, body_parts: list[Column], cdata: Column, sidebar: Column,
-            attachments: Column) -> Column:
+            attachments: Column, sender: str = SENDER, signer: str = SIGNER) -> Column:
     """Letter record (sender, recipient, sidebar, subject, body, attachments)."""
     recipient = F.concat_ws("\n", F.lit("<br/>"),
                             F.format_string("%s %s", cdata["name"]["given"], cdata["name"]["family"]),
@@ -175,14 +179,14 @@ def _letter(subject: Column, body_parts: list[Column], cdata: Column, sidebar: C
                                             cdata["address"]["city"]))
     opening = _p(F.format_string("%s %s,", cdata["name"]["letter"], cdata["name"]["family"]))
     body = F.concat_ws("\n", opening, *body_parts, F.lit("<br/>"), _p(F.lit(GREETING)),
-                       _p(F.lit(SIGNER)))
-    return F.struct(F.lit(SENDER).alias("sender"), recipient.alias("recipient"),
+                       _p(F.lit(signer)))
+    return F.struct(F.lit(sender).alias("sender"), recipient.alias("recipient"),
                     sidebar.alias("sidebar"), subject.alias("subject"), body.alias("body"),
                     attachments.alias("attachments"))
 
 
-def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date: str
-                         ) -> DataFrame:
+def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date: str,
+                         sender: str = SENDER, signer: str = SIGNER) -> DataFrame:
     """D3: reservation confirmation per booking: enumerated room lines (commas,
     "und" before the last), the period, and a deposit paragraph when one is asked."""
     j = with_customer(bookings.select("id", "customer", "data", "arrival", "departure"), customers)
@@ -199,7 +203,7 @@ def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date:
             _p(F.format_string(CONFIRM_PERIOD, period_text("arrival", "departure"))),
             _p(deposit), _p(F.lit(CONFIRM_ARRIVAL))]
     letter = _letter(F.lit(CONFIRM_SUBJECT), body, F.col("customer_data"),
-                     _p(F.lit(letter_date)), F.lit(""))
+                     _p(F.lit(letter_date)), F.lit(""), sender, signer)
     return j.select("id", letter.alias("letter"))
 
 
@@ -244,7 +248,8 @@ def invoice_letters(bookings: DataFrame) -> DataFrame:
                     F.array_join(invoice_lines(inv), "\n").alias("body")))
 
 
-def mailing(customers: DataFrame, letter_date: str, kind: str = "flyer") -> DataFrame:
+def mailing(customers: DataFrame, letter_date: str, kind: str = "flyer",
+            sender: str = SENDER, signer: str = SIGNER) -> DataFrame:
     """Mailing letters (``blank`` or ``flyer``) for every customer."""
     c = F.col("data")
     if kind == "flyer":
@@ -252,7 +257,7 @@ def mailing(customers: DataFrame, letter_date: str, kind: str = "flyer") -> Data
         subject, att = F.lit(FLYER_SUBJECT), F.lit(f"<p><b>Anlagen:</b><br/>{FLYER_ATTACHMENTS}</p>")
     else:
         body, subject, att = [_p(F.lit("..."))], F.lit("Betreff"), F.lit("")
-    letter = _letter(subject, body, c, _p(F.lit(letter_date)), att)
+    letter = _letter(subject, body, c, _p(F.lit(letter_date)), att, sender, signer)
     return customers.select("id", letter.alias("letter"))
 
 

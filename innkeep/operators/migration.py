@@ -25,10 +25,13 @@ from innkeep.sources.legacy import COLUMNS, GUEST_SLOTS
 # Whitespace removed by trimming (space, tab, newline, carriage return, form feed).
 WS = " \t\n\r\x0c"
 PHONE_COLUMNS = ["TELEFON", "TELEFON2", "TELEFAX", "TELEFAX2", "MOBILTEL"]
-# Labelled optional fields of the customer note.
+# The import lines of the notes, the labelled optional fields of
+# the customer note, the booking-note item line and the local-tax item name.
+IMPORT_NOTE = "Importiert aus Combit (%s).\n"
+BOOKING_IMPORT_NOTE = "Importiert aus Combit (%s).\n\n"
 NOTE_FIELDS = [("KUNDENNUMMER", "Kunden-Nr."), ("KATEGORIE", "Kategorie"), ("PLZP", "Plzp"),
                ("POSTFACH", "Fach")]
-IMPORT_NOTE = "Importiert aus Combit (%s).\n"
+ITEM_LINE = "- %sx %s à %s€ (%s%%)\n"
 LOCAL_TAX_ITEM = "Kurtaxe"
 _INT = r"^[+-]?[0-9]+$"
 
@@ -139,12 +142,12 @@ def legacy_customer() -> Column:
 def booking_note(dialect: str = "iso") -> Column:
     """Import line, one line per non-empty item slot, then the remark."""
     zero = "0.00" if dialect == "iso" else "0,00"
-    head = F.format_string("Importiert aus Combit (%s).\n\n", F.col("RECORDID_text"))
+    head = F.format_string(BOOKING_IMPORT_NOTE, F.col("RECORDID_text"))
     lines = []
     for i in range(1, 5):
         art, preis = F.col(f"ART{i}"), F.col(f"PREIS{i}")
         lines.append(F.when((art == "") & (preis == zero), F.lit("")).otherwise(
-            F.format_string("- %sx %s à %s€ (%s%%)\n", F.col(f"ANZAHL{i}"), art, preis,
+            F.format_string(ITEM_LINE, F.col(f"ANZAHL{i}"), art, preis,
                             F.col(f"PROZ{i}"))))
     return F.btrim(F.concat(head, *lines, F.lit("\n"), F.col("BEMAUFE")), F.lit(WS))
 

@@ -135,7 +135,7 @@ def _recipient_sql() -> str:
 
 def _body_sql(parts: str) -> str:
     return (f"concat_ws(chr(10), '<p>' || coalesce(lt.letter, '') || ' ' || cu.family || ',</p>', "
-            f"{parts}, '<br/>', '<p>Mit freundlichen Grüßen</p>', '<p>Christine Keller</p>')")
+            f"{parts}, '<br/>', '<p>Mit freundlichen Grüßen</p>', '<p>' || 'Ihre Gastgeber' || '</p>')")
 
 
 @register("d3_confirmation_letters", LEGACY_SQL + f"""
@@ -218,7 +218,7 @@ def d4_invoice_letters(spark, sf_dir):
 
 _FLYER_SQL = f"""
 , letters AS (
-  SELECT cu.id, 'Pension Keller, Am Vögelisberg 13, D-78479 Reichenau' AS sender,
+  SELECT cu.id, 'Gästehaus, Musterweg 1, D-12345 Musterstadt' AS sender,
          {_recipient_sql()} AS recipient, '<p>{LETTER_DATE}</p>' AS sidebar, 'Hausprospekt' AS subject,
          {_body_sql(
              "'<p>wir freuen uns sehr über Ihr Interesse an unserem Haus und darüber dass Sie Ihren "
