@@ -44,27 +44,41 @@ class RestoreError(ValueError):
     pass
 
 
-def check_restorable(customers: DataFrame, bookings: DataFrame) -> None:
-    """Raise when old customer ids repeat or a booking's customer is missing.
-    Only the (empty or tiny) violation frames are looked at."""
+def check_unique_customers(customers: DataFrame) -> None:
+    """Raise when old customer ids repeat (only the tiny violation frame is read)."""
     dup = customers.groupBy("id").count().where(F.col("count") > 1)
     if dup.limit(1).count() > 0:
         raise RestoreError("duplicate customer ids in backup")
+
+
+def check_restorable(customers: DataFrame, bookings: DataFrame) -> None:
+    """Raise when old customer ids repeat or a booking's customer is missing.
+    Only the (empty or tiny) violation frames are looked at."""
+    check_unique_customers(customers)
     lost = bookings.join(customers.select(F.col("id").alias("customer")), "customer", "left_anti")
     if lost.limit(1).count() > 0:
         raise RestoreError("customer id mismatch")
 
 
+def remap_customers(customers: DataFrame, customer_start: int, check: bool = True
+                    ) -> DataFrame:
+    """New customer ids in ascending order of the old ids; the old id is kept in
+    ``data._import_key``."""
+    if check:
+        check_unique_customers(customers)
+    c = with_global_index(customers, ["id"], index_col="_n")
+    return c.select((F.col("_n") + customer_start).alias("id"),
+                    F.col("data").withField("_import_key", F.col("id")).alias("data"),
+                    "created", "modified")
+
+
 def remap_ids(customers: DataFrame, bookings: DataFrame, customer_start: int,
               booking_start: int, check: bool = True) -> tuple[DataFrame, DataFrame]:
     """New ids for a restore.  Returns (customers, bookings) with new ids;
     customers keep the old id in ``data._import_key``."""
     if check:
         check_restorable(customers, bookings)
-    c = with_global_index(customers, ["id"], index_col="_n")
-    new_c = c.select((F.col("_n") + customer_start).alias("id"),
-                     F.col("data").withField("_import_key", F.col("id")).alias("data"),
-                     "created", "modified")
+    new_c = remap_customers(customers, customer_start, check=False)
     key = new_c.select(F.col("data._import_key").alias("_old"), F.col("id").alias("_new"))
     b = with_global_index(bookings.select(
         "*", (-F.col("customer")).alias("_c_desc"), (-F.col("id")).alias("_b_desc")),

@@ -216,10 +216,8 @@ FROM nc JOIN cu ON cu.id = nc.old_id
 def s7_restore_customers(spark, sf_dir):
     """S6 + S7: restored customers (new ids, old id kept as import key, timestamps kept)."""
     path, m = _backup_path(spark, sf_dir)
-    if path is None:
-        c, _ = RS.remap_ids(m.customers, m.bookings, CUSTOMER_START, BOOKING_START)
-    else:
-        c, _ = RS.restore(spark, path, CUSTOMER_START, BOOKING_START)
+    customers = m.customers if path is None else RS.read_backup(spark, path)[0]
+    c = RS.remap_customers(customers, CUSTOMER_START)
     return c.select("id", F.col("data._import_key").alias("import_key"),
                     F.col("data.keyword").alias("keyword"), "created", "modified")
 
