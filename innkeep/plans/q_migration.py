@@ -89,10 +89,10 @@ def cents_sql(x: str) -> str:
             f"+ 0.5) AS BIGINT) END")
 
 
-def legacy_source(spark, sf_dir):
+def legacy_export(spark, sf_dir):
     """The legacy export of the model as a CSV file in the shared folder (written
-    once: header, Latin-1, CRLF, quoted multi-line cells), read back with the
-    legacy reader.  Without a shared folder the rows are used directly."""
+    once: header, Latin-1, CRLF, quoted multi-line cells), read with the legacy
+    reader.  Without a shared folder the rows are used directly."""
     m = load_model(spark, sf_dir)
     loc = model_location(spark, sf_dir)
     if loc is None:
@@ -103,12 +103,25 @@ def legacy_source(spark, sf_dir):
     return LG.read_legacy_csv(spark, path)
 
 
+def legacy_source(spark, sf_dir):
+    """The staging table of the import: the export loaded once from the CSV into
+    an untouched parquet copy (S4), on which every migration step runs, as the
+    SQL importer loads the file into a table first.  Without a shared folder the
+    export is read directly."""
+    loc = model_location(spark, sf_dir)
+    csv = legacy_export(spark, sf_dir)
+    if loc is None:
+        return csv
+    return spark.read.parquet(publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
+                                           lambda p: LG.write_raw(csv, p)))
+
+
 @register("s3_legacy_csv_roundtrip", LEGACY_SQL + """
 SELECT RECORDID, GROUPID, SUCH, BEMAUFE, TELEFAX, PREIS1, GEB_DAT02 FROM lg
 """)
 def s3_legacy_csv_roundtrip(spark, sf_dir):
     """S3: the legacy export read back (quoted multi-line cells, Latin-1, CRLF)."""
-    src = legacy_source(spark, sf_dir)
+    src = legacy_export(spark, sf_dir)
     return src.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in
                         ("RECORDID", "GROUPID", "SUCH", "BEMAUFE", "TELEFAX", "PREIS1",
                          "GEB_DAT02")])
@@ -262,13 +275,7 @@ SELECT RECORDID, GROUPID, SUCH, BEMAUFE FROM lg
 """)
 def s4_raw_copy(spark, sf_dir):
     """An untouched copy of the raw import kept as a parquet (bronze) table."""
-    loc = model_location(spark, sf_dir)
-    src = legacy_source(spark, sf_dir)
-    if loc is None:
-        raw = src
-    else:
-        raw = spark.read.parquet(publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
-                                       lambda p: LG.write_raw(src, p)))
+    raw = legacy_source(spark, sf_dir)
     return raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c)
                         for c in ("RECORDID", "GROUPID", "SUCH", "BEMAUFE")])
 
