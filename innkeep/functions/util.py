@@ -25,3 +25,31 @@ def spread(struct_col: Column) -> Column:
     every output column; a generator evaluates it once per row.
     """
     return F.inline(F.array(struct_col))
+
+
+def session_cached(fn):
+    """Cache a builder of unresolved Columns per Spark application.
+
+    Expression builders that depend only on their (hashable) arguments, such as
+    the ninety-column typed view of the legacy export, are assembled once per
+    session; the Columns are unresolved expressions and can be reused in any
+    DataFrame of that session.
+    """
+    import functools
+
+    cache: dict = {}
+
+    @functools.wraps(fn)
+    def wrapper(*args):
+        from pyspark.sql import SparkSession
+        spark = SparkSession.getActiveSession()
+        try:
+            app = spark.sparkContext.applicationId if spark is not None else None
+        except Exception:  # noqa: BLE001 - sessions without a SparkContext
+            app = id(spark)
+        key = (app, args)
+        if key not in cache:
+            cache[key] = fn(*args)
+        return cache[key]
+
+    return wrapper

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from innkeep import schemas
 from innkeep.functions.money import cents_of_units
+from innkeep.functions.util import session_cached
 from innkeep.sources.legacy import COLUMNS, GUEST_SLOTS
 
 # Whitespace removed by trimming (space, tab, newline, carriage return, form feed).
@@ -48,7 +49,10 @@ def _int_opt(c) -> Column:
 
 def needed_columns(raw: DataFrame) -> DataFrame:
     """Keep the columns the migration reads (Catalyst prunes the rest)."""
-    return raw.select(*[c for c in COLUMNS if c in raw.columns])
+    present = raw.columns
+    if present == COLUMNS:
+        return raw
+    return raw.select(*[c for c in COLUMNS if c in present])
 
 
 def _date(c, dialect: str) -> Column:
@@ -72,10 +76,16 @@ def cast_legacy(raw: DataFrame, dialect: str = "iso", drop_negative_deposits: bo
     Text columns are trimmed (empty when missing); ``recordid``/``groupid`` are
     integers (group defaults to the record, T9); dates parse in the dialect's
     format (blank or invalid -> null); ``agef``/``aeing`` are cents with zero
-    (T17) and negative amounts (T10) -> null; ``price1_cents..price4_cents`` are cents; phone
-    numbers holding only an area-code prefix ending in ``/`` are blanked (T12).
+    (T17) and negative amounts (T10) -> null; ``price1_cents..price4_cents`` are
+    cents; phone numbers holding only an area-code prefix ending in ``/`` are
+    blanked (T12).
     """
     d = needed_columns(raw)
+    return d.select(*_typed_columns(tuple(d.columns), dialect, drop_negative_deposits))
+
+
+@session_cached
+def _typed_columns(columns: tuple, dialect: str, drop_negative_deposits: bool) -> list:
     rid = _int_opt("RECORDID")
     out = [rid.alias("recordid"), F.coalesce(_int_opt("GROUPID"), rid).alias("groupid"),
            _t("RECORDID").alias("RECORDID_text"), _t("GROUPID").alias("GROUPID_text")]
@@ -86,14 +96,14 @@ def cast_legacy(raw: DataFrame, dialect: str = "iso", drop_negative_deposits: bo
         keep = (cents != 0) & (cents >= 0) if drop_negative_deposits else (cents != 0)
         out.append(F.when(keep, cents).alias(c.lower()))
     out += [money_cents(f"PREIS{i}", dialect).alias(f"price{i}_cents") for i in range(1, 5)]
-    for c in d.columns:
+    for c in columns:
         if c in ("RECORDID", "GROUPID") or c in dates or c in ("AGEF", "AEING"):
             continue
         v = _t(c)
         if c in PHONE_COLUMNS:
             v = F.when(v.endswith("/"), F.lit("")).otherwise(v)
         out.append(v.alias(c))
-    return d.select(*out)
+    return out
 
 
 def legacy_period(df: DataFrame) -> Column:
@@ -115,6 +125,7 @@ def customer_note(id_text: Column) -> Column:
     return F.concat(*parts)
 
 
+@session_cached
 def legacy_customer() -> Column:
     """Customer document of a (typed) legacy row."""
     id_text = F.when(F.col("GROUPID_text") != "", F.col("GROUPID_text")) \
@@ -139,6 +150,7 @@ def legacy_customer() -> Column:
     )
 
 
+@session_cached
 def booking_note(dialect: str = "iso") -> Column:
     """Import line, one line per non-empty item slot, then the remark."""
     zero = "0.00" if dialect == "iso" else "0,00"
@@ -152,6 +164,7 @@ def booking_note(dialect: str = "iso") -> Column:
     return F.btrim(F.concat(head, *lines, F.lit("\n"), F.col("BEMAUFE")), F.lit(WS))
 
 
+@session_cached
 def legacy_guests() -> Column:
     """U1 + F7: six guest slots -> guests, slot order 1..6, blank slots dropped."""
     slots = F.array(*[F.struct(F.col(g).alias("given"), F.col(f).alias("family"),
@@ -161,6 +174,7 @@ def legacy_guests() -> Column:
                                        & s["born"].isNull()))
 
 
+@session_cached
 def legacy_allocs() -> Column:
     """Item slots 1-4 -> room lines.
 

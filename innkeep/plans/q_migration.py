@@ -112,8 +112,9 @@ def legacy_source(spark, sf_dir):
     csv = legacy_export(spark, sf_dir)
     if loc is None:
         return csv
-    return spark.read.parquet(publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
-                                           lambda p: LG.write_raw(csv, p)))
+    path = publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
+                        lambda p: LG.write_raw(csv, p))
+    return spark.read.schema(LG.LEGACY_SCHEMA).parquet(path)   # all text, schema known
 
 
 @register("s3_legacy_csv_roundtrip", LEGACY_SQL + """
