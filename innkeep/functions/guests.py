@@ -25,6 +25,7 @@ def years_before(day, years: int) -> Column:
 
 
 def is_tax_payer(guest: Column, departure) -> Column:
+    """Unknown birth date, or born strictly before departure - 15 years."""
     cutoff = years_before(departure, TAX_AGE_YEARS)
     return guest["born"].isNull() | (guest["born"] < cutoff)
 
@@ -34,11 +35,13 @@ def guest_count(guests="data.guests") -> Column:
 
 
 def tax_payer_count(guests="data.guests", departure="departure") -> Column:
+    """Number of tax-paying guests of a booking."""
     dep = _c(departure)
     return F.size(F.filter(_c(guests), lambda g: is_tax_payer(g, dep)))
 
 
 def age_category(born, departure) -> Column:
+    """Registration category: '7' under 6, '8' under 15, else '1' (at departure)."""
     b = _c(born)
 
     def younger(x):

@@ -19,16 +19,19 @@ def _c(x) -> Column:
 
 
 def arrival_of(period="data.period") -> Column:
+    """Arrival: the smaller end of the stored period (either order)."""
     p = _c(period)
     return F.least(p.getField("a"), p.getField("b"))
 
 
 def departure_of(period="data.period") -> Column:
+    """Departure: the larger end of the stored period."""
     p = _c(period)
     return F.greatest(p.getField("a"), p.getField("b"))
 
 
 def nights(arrival="arrival", departure="departure") -> Column:
+    """Nights of a stay (half open: departure - arrival)."""
     return F.datediff(_c(departure), _c(arrival))
 
 

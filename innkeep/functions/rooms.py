@@ -19,6 +19,7 @@ def _c(x) -> Column:
 
 
 def room_token(room) -> Column:
+    """Room text -> token STRUCT<kind, num, txt> (0 number, 1 text, 2 empty)."""
     s = F.trim(_c(room))
     num = F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("bigint"))
     kind = (F.when(s == "", F.lit(2)).when(num.isNotNull(), F.lit(0)).otherwise(F.lit(1))

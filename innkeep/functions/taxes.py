@@ -77,6 +77,7 @@ def tax_key(tax, legacy_rate) -> Column:
 
 
 def tax_of_key(key) -> Column:
+    """Form key -> STRUCT<tax, legacy_rate> (inverse of ``tax_key``)."""
     k = _c(key)
     n = F.regexp_extract(k, r"^custom(-?[0-9]+)", 1)
     tax = (F.when(k == "general19", F.lit(GENERAL19))

@@ -122,6 +122,7 @@ def interchange_text(data="data", cdata="customer_data", arrival="arrival",
 
 
 def interchange(bookings: DataFrame, customers: DataFrame) -> DataFrame:
+    """D2 for every booking: id, text (30 lines)."""
     j = with_customer(bookings.select("id", "customer", "data", "arrival", "departure"), customers)
     return j.select("id", interchange_text().alias("text"))
 

@@ -36,6 +36,9 @@ def stable(df: DataFrame) -> DataFrame:
 
 def with_global_index(df: DataFrame, order_cols: list, partition_col: str | None = None,
                       index_col: str = "index", num_partitions: int | None = None) -> DataFrame:
+    """Add ``index_col``: the 0-based position of each row in the order of
+    ``order_cols`` (within ``partition_col`` when given), computed without
+    funnelling a group into one task (see the module docstring)."""
     spark = df.sparkSession
     grp = [partition_col] if partition_col else []
     keys = grp + list(order_cols)

@@ -39,6 +39,7 @@ def keyword_pattern(query: str) -> str | None:
 
 
 def keyword_filter(query: str, column: str = "keyword") -> Column | None:
+    """ILIKE Column of a keyword query on ``column`` (None: no filter)."""
     p = keyword_pattern(query)
     return None if p is None else F.col(column).ilike(p)
 
@@ -98,6 +99,7 @@ def websearch(query: str, tokens: Column) -> Column | None:
 
 
 def search_text(df: DataFrame, query: str, tokens_col: str = "tokens") -> DataFrame:
+    """Rows whose token array matches a web-search query."""
     cond = websearch(query, F.col(tokens_col))
     return df if cond is None else df.where(cond)
 

@@ -71,6 +71,7 @@ def in_house(bookings: DataFrame, day, max_nights: int | None = None) -> DataFra
 
 
 def lookup(df: DataFrame, key: int) -> DataFrame:
+    """rows with the given key."""
     return df.where(F.col("id") == F.lit(key))
 
 

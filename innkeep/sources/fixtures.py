@@ -63,6 +63,7 @@ def _titles() -> Column:
 
 
 def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer ⋈ nation -> customers (id, created, modified, data, keyword, tokens)."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                                 "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -141,6 +142,7 @@ def _guests(k: Column, departure: Column, custkey: Column) -> Column:
 
 
 def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+    """orders + lineitem lines (+ customers for the stored invoices) -> bookings."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
                                               "o_orderdate")
     k = F.col("o_orderkey")
@@ -204,12 +206,14 @@ def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> D
 
 
 def derive_invoice_numbers(bookings: DataFrame) -> DataFrame:
+    """The invoice numbers of the stored invoices (number, booking)."""
     inv = F.col("data.invoice")
     return (bookings.where(inv.isNotNull() & inv["id"].isNotNull())
             .select(inv["id"].alias("number"), F.col("id").alias("booking")))
 
 
 def derive_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The lazily derived model of a scale-factor folder (no writes)."""
     customers = derive_customers(spark, sf_dir)
     bookings = derive_bookings(spark, sf_dir, customers)
     return Model(customers, bookings, derive_invoice_numbers(bookings))

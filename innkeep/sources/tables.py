@@ -17,6 +17,8 @@ from innkeep import schemas
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a scan over the default parallelism only when it has fewer
+    files than that (decided from the file listing; a no-op at scale)."""
     from innkeep.session import default_parallelism
     target = min_partitions or default_parallelism(df.sparkSession)
     if not target:
@@ -39,6 +41,7 @@ def at_least_parallelism(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """Read a parquet table (optionally with a known schema), spread if tiny."""
     reader = spark.read if schema is None else spark.read.schema(schema)
     return spread(reader.parquet(path))
 
