@@ -299,3 +299,13 @@ def decode_invoice(json_text) -> Column:
         return F.when(doc.isNotNull() & doc["recipient"].isNotNull(), parsed)
 
     return let(F.from_json(_c(json_text), schemas.INVOICE_JSON), upgrade)
+
+
+def decode_invoices(df: DataFrame, json_col: str = "invoice_json") -> DataFrame:
+    """T4 on a frame: adds ``invoice`` (decoded, older shape upgraded) and
+    ``_corrupt`` (the raw text of rows that decode to nothing, else null), so bad
+    documents are kept and can be inspected instead of being dropped."""
+    decoded = df.withColumn("invoice", decode_invoice(json_col))
+    return decoded.withColumn(
+        "_corrupt", F.when(F.col("invoice").isNull() & F.col(json_col).isNotNull(),
+                           F.col(json_col)))

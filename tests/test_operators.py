@@ -210,3 +210,13 @@ def test_text_index_matches_scan(spark):
         a = sorted((r.doc_id, r.n_tokens) for r in TI.search_index(index, q).collect())
         b = sorted((r.doc_id, r.n_tokens) for r in S.search_documents(docs, q).collect())
         assert a == b, q
+
+
+def test_decode_invoices_keeps_corrupt_rows(spark):
+    ok = ('{"id":"a","recipient":"r","invoice_date":"2019-05-02","departure_date":null,'
+          '"title":"t","intro":"","positions":[],"closing":"","deposit":0}')
+    df = spark.createDataFrame([(1, ok), (2, "{broken"), (3, None)], "id int, invoice_json string")
+    rows = {r.id: r for r in INV.decode_invoices(df).collect()}
+    assert rows[1].invoice.id == "a" and rows[1]._corrupt is None
+    assert rows[2].invoice is None and rows[2]._corrupt == "{broken"
+    assert rows[3].invoice is None and rows[3]._corrupt is None
