@@ -158,10 +158,12 @@ def registration_forms(bookings: DataFrame, customers: DataFrame,
         main["vorname"].alias("vorname"), companions.alias("begleitperson"))
 
 
-def write_registration_xml(forms: DataFrame, path: str) -> None:
+def write_registration_xml(forms: DataFrame, path: str, keep_id: bool = False) -> None:
     """Registration records as XML (one ``meldeschein`` element per booking;
-    companions repeat as ``begleitperson`` elements; text is escaped)."""
-    (forms.drop("id").write.mode("overwrite").format("xml")
+    companions repeat as ``begleitperson`` elements; text is escaped).  The
+    booking id is not part of the record unless ``keep_id``."""
+    out = forms if keep_id else forms.drop("id")
+    (out.write.mode("overwrite").format("xml")
      .option("rootTag", "meldescheine").option("rowTag", "meldeschein").save(path))
 
 

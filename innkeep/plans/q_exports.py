@@ -106,7 +106,7 @@ _CAT = ("CASE WHEN {b} IS NOT NULL AND CAST({d} - to_months(72) AS DATE) < {b} T
         "WHEN {b} IS NOT NULL AND CAST({d} - to_months(180) AS DATE) < {b} THEN '8' ELSE '1' END")
 
 
-@register("d1_registration", f"""
+_D1_SQL = f"""
 , cat AS (SELECT booking, i, given, family, {_CAT.format(b='born', d='departure')} AS kategorie FROM gs)
 SELECT bk.id, '0550' AS hotelid, strftime(bk.arrival, '%Y-%m-%d') AS anreise,
        strftime(bk.departure, '%Y-%m-%d') AS abreise, cu.street AS strasse, '.' AS hausnummer,
@@ -116,7 +116,10 @@ SELECT bk.id, '0550' AS hotelid, strftime(bk.arrival, '%Y-%m-%d') AS anreise,
        coalesce((SELECT string_agg(kategorie || '|' || family || '|' || given, ';' ORDER BY i)
                  FROM cat WHERE cat.booking = bk.id AND cat.i > 1), '') AS begleitpersonen
 FROM bk JOIN cu ON cu.id = bk.customer LEFT JOIN cat m ON m.booking = bk.id AND m.i = 1
-""")
+"""
+
+
+@register("d1_registration", _D1_SQL)
 def d1_registration(spark, sf_dir):
     """D1 + E10: guest registration record of every booking (first guest main,
     others companions, customer as adult when no guest)."""
@@ -255,3 +258,34 @@ def d6_letter_payload(spark, sf_dir):
     """Letter record as base64 of its JSON text (the letter page's payload)."""
     c = EX.mailing(load_model(spark, sf_dir).customers, LETTER_DATE, "flyer")
     return c.select("id", EX.letter_payload(F.col("letter")).alias("payload"))
+
+
+@register("d1_registration_xml", _D1_SQL)
+def d1_registration_xml(spark, sf_dir):
+    """D1 through the XML sink: the registration records written once as XML
+    (``meldeschein`` rows, companions as repeated ``begleitperson`` elements) in
+    the shared folder and read back with the XML reader and an explicit schema."""
+    from pyspark.sql import types as T
+    from innkeep.sources.fixtures import model_location
+    from innkeep.sources.shared import publish_once
+    m = load_model(spark, sf_dir)
+    forms = EX.registration_forms(m.bookings, m.customers)
+    loc = model_location(spark, sf_dir)
+    if loc is not None:
+        path = publish_once(spark, f"{loc}/registrations-xml-v1",
+                            lambda p: EX.write_registration_xml(forms, p, keep_id=True))
+        person = T.StructType([T.StructField(n, T.StringType())
+                               for n in ("kategorie", "name", "vorname")])
+        schema = T.StructType(
+            [T.StructField("id", T.LongType())]
+            + [T.StructField(n, T.StringType()) for n in
+               ("hotelid", "anreise", "abreise", "strasse", "hausnummer", "plz", "ort", "land",
+                "kategorie", "name", "vorname")]
+            + [T.StructField("begleitperson", T.ArrayType(person))])
+        forms = (spark.read.format("xml").option("rowTag", "meldeschein").schema(schema)
+                 .load(path))
+    comp = F.array_join(F.transform(F.coalesce("begleitperson", F.array()), lambda p: F.concat_ws(
+        "|", p["kategorie"], p["name"], p["vorname"])), ";")
+    return forms.select("id", "hotelid", "anreise", "abreise", "strasse", "hausnummer", "plz",
+                        "ort", "land", "kategorie", "name", "vorname",
+                        comp.alias("begleitpersonen"))
