@@ -58,3 +58,7 @@ def test_query_matches_oracle(spark, con, name):
     assert sorted(sdf.columns) == sorted(dcols)
     assert len(srows) == len(drows)
     assert _rows(sdf.columns, srows) == _rows(dcols, drows)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    for bad in ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
+                "ArrowEvalPython"):
+        assert bad not in plan, f"{name}: {bad} in plan"
