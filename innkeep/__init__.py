@@ -8,8 +8,17 @@ Layout
 ``innkeep.operators``   DataFrame -> DataFrame business operators.
 ``innkeep.plans``       registered queries (Spark) and their DuckDB oracle SQL.
 ``innkeep.streaming``   the change-propagation job as a Structured Streaming query.
+``innkeep.api``         ``Lodging``: the stored tables and the business questions as methods.
 """
 
 from innkeep.session import get_session, scratch_root
 
-__all__ = ["get_session", "scratch_root"]
+
+def __getattr__(name):
+    if name == "Lodging":          # imported on first use
+        from innkeep.api import Lodging
+        return Lodging
+    raise AttributeError(name)
+
+
+__all__ = ["Lodging", "get_session", "scratch_root"]
