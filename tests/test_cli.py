@@ -30,3 +30,17 @@ def test_migrate_backup_restore_stats(spark):
     assert spark.read.parquet(f"{root}/a").count() >= 1
     cli.run(spark, ns(cmd="interchange", tables=f"{root}/r", out=f"{root}/x"))
     assert os.path.isdir(f"{root}/x")
+
+
+def test_registrations_xml_command(spark):
+    root = tempfile.mkdtemp(prefix="cli-xml-")
+    rows = [dict(BASE, RECORDID=str(i), GROUPID="1", AVON="2020-03-01", ABIS="2020-03-04",
+                 P_VORNAME="Kim", GEB_DAT02="2015-01-01") for i in range(1, 4)]
+    LG.write_legacy_csv(legacy(spark, rows), f"{root}/export.csv")
+    ns = argparse.Namespace
+    cli.run(spark, ns(cmd="migrate", csv=f"{root}/export.csv", out=f"{root}/t", sep=",", dialect="iso"))
+    cli.run(spark, ns(cmd="registrations", tables=f"{root}/t", out=f"{root}/xml"))
+    back = spark.read.format("xml").option("rowTag", "meldeschein").load(f"{root}/xml")
+    assert back.count() == 3
+    first = back.select("name", "begleitperson").first()
+    assert first.name == "Muster"
