@@ -106,14 +106,10 @@ def _split_mask(mask: int, parts: int) -> list[int]:
     return [sum(1 << b for b in free[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-def key_tree(widths: tuple[int, ...], max_bits: int, limit: int) -> list[list[int]]:
-    """Key masks by level.  The mask of level 0 with number ``i`` has the children
-    ``i * (max_bits + 1) + j`` at the next level, and so on; the last level's masks
-    leave so few bits that a bucket cannot exceed ``limit``."""
-    levels = [ring_masks(widths)]
-    while min(bin(m).count("1") for m in levels[-1]) < 64 - limit.bit_length() + 1:
-        levels.append([m | extra for m in levels[-1] for extra in _split_mask(m, max_bits + 1)])
-    return levels
+def deeper_masks(masks: list[int], max_bits: int) -> list[int]:
+    """Key masks of the next level: mask ``i`` has the children ``i * (max_bits + 1) + j``,
+    each with one part of its remaining bits added."""
+    return [m | extra for m in masks for extra in _split_mask(m, max_bits + 1)]
 
 
 def links_in_bucket(fps: np.ndarray, max_bits: int = MAX_BITS,
@@ -160,17 +156,17 @@ def _key(fp: Column, masks: list[int], numbers) -> Column:
 def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, widths: tuple[int, ...] = WIDTHS,
           limit: int = LIMIT) -> DataFrame:
     """(a, b): links that connect every component of the fingerprints (column ``fp``)."""
-    levels = key_tree(widths, max_bits, limit)
+    masks = ring_masks(widths)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [e for fps in b["fps"] for e in links_in_bucket(np.asarray(fps), max_bits, widths)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    rows = distinct_fps.select("fp", F.explode(_key(F.col("fp"), levels[0], range(len(levels[0]))))
+    rows = distinct_fps.select("fp", F.explode(_key(F.col("fp"), masks, range(len(masks))))
                                .alias("k")).select("fp", "k.no", "k.key")
     out = None
-    for depth in range(len(levels)):
+    while True:
         sizes = cut_lineage(rows.groupBy("no", "key").agg(F.count("*").alias("n")).where("n > 1"))
         shared = rows.join(sizes, ["no", "key"])
         small = shared.where(F.col("n") <= limit).groupBy("no", "key").agg(F.collect_list("fp").alias("fps"))
@@ -178,8 +174,8 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, widths: tuple[int,
         out = part if out is None else out.unionByName(part)
         if sizes.where(F.col("n") > limit).isEmpty():
             break
-        fan = max_bits + 1
-        lut = F.split(F.lit(",".join(str(_signed(m)) for m in levels[depth + 1])), ",").cast("array<bigint>")
+        fan, masks = max_bits + 1, deeper_masks(masks, max_bits)
+        lut = F.split(F.lit(",".join(str(_signed(m)) for m in masks)), ",").cast("array<bigint>")
         child = F.explode(F.transform(F.sequence(F.lit(0), F.lit(fan - 1)),
                                       lambda j: F.col("no") * fan + j)).alias("no")
         rows = cut_lineage(shared.where(F.col("n") > limit).select("fp", child)

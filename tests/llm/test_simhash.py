@@ -63,7 +63,7 @@ def test_links_match_brute_force_in_deep_and_shallow_trees(spark):
     fps = sorted(fps)
     df = spark.createDataFrame([(S._signed(x),) for x in fps], "fp long")
     want = brute_components(dict(enumerate(fps)))
-    for limit in (4, 2048):
+    for limit in (12, 2048):
         comp = connected_components(S.links(df, limit=limit))
         got = {r.node & (2**64 - 1): r.component for r in comp.collect()}
         groups, expect = {}, {}
