@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from innkeep.llm import oracle, pii, simhash
+from innkeep.llm import oracle, packing, pii, simhash
 from innkeep.llm.common import table
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer file named by the contract (never copied)."""
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every whole text of ``documents``."""
     return pii.report(table(spark, sf_dir, "documents"))
@@ -20,9 +26,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op8_simhash": op8_simhash,
+    "op10_packing": op10_packing,
 }
 
 
