@@ -57,4 +57,23 @@ SELECT doc_id, {counts},
 FROM t LEFT JOIN s USING (rid) GROUP BY rid, doc_id"""
 
 
-ORACLE = {"op4_pii": _pii()}
+# fixed values: control strings that the template escapes
+_CONTROL = ("<\\|turn\\|>|<\\|end\\|>|<\\|im_start\\|>|<\\|im_end\\|>|<\\|endoftext\\|>|<\\|startoftext\\|>|"
+            "<\\|system\\|>|<\\|user\\|>|<\\|assistant\\|>|<s>|</s>|\\[INST\\]|\\[/INST\\]|<<SYS>>|<</SYS>>")
+
+_CHAT = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'),
+                                  (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text)
+                       FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(8 + length(role) + 2 * len(regexp_extract_all(role, '[%<\\[\\n\\\\]')) + 1 + length(text)
+           + len(regexp_extract_all(text, '{_CONTROL}')) + 9) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+ORACLE = {"op4_pii": _pii(), "op6_chat": _CHAT}

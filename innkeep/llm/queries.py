@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from innkeep.llm import decontamination, oracle, packing, pii, quality, simhash
+from innkeep.llm import chat, decontamination, oracle, packing, pii, quality, simhash
 from innkeep.llm.common import table
 
 
@@ -32,6 +34,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``conversations`` (one row per turn) and conversation -7 (a JSON record
+    of the messages layout), formatted and read back."""
+    words = "</s>[INST] ok [/INST]"                                   # fixed value of the contract
+    record = json.dumps({"messages": [{"role": r, "content": words} for r in ("user", "assistant")]})
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(record).alias("record"))
+    turns = chat.turns_of_table(table(spark, sf_dir, "conversations")).unionByName(
+        chat.turns_of_records(extra, "conv_id", "record"))
+    return chat.report(chat.format_turns(turns))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -46,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op8_simhash": op8_simhash,
     "op10_packing": op10_packing,
 }
