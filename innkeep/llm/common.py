@@ -28,6 +28,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
+    """Rows (u, v) for each of the named column pairs."""
+    rows = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns]
+    return df.select(F.explode(F.array(*rows)).alias("x")).select("x.u", "x.v")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b).
 
@@ -44,17 +50,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = cut_lineage(e)
     before = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(e, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m"))
         low = low.select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
-        small = (joined.select(F.explode(F.array(
-            F.struct(F.col("v").alias("u"), F.col("m").alias("v")),
-            F.struct("u", F.col("m").alias("v")))).alias("x"))
-            .select("x.u", "x.v").where("u <> v").distinct())
+        small = _pairs(joined, ("v", "m"), ("u", "m")).where("u <> v").distinct()
         e = cut_lineage(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
@@ -62,6 +65,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return (e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            .unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")))
-            .groupBy("node").agg(F.min("component").alias("component")))
+    return (_pairs(e, ("u", "v"), ("v", "v")).groupBy(F.col("u").alias("node"))
+            .agg(F.min("v").alias("component")))
