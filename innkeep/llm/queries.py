@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontamination, oracle, packing, pii, quality, simhash
+from innkeep.llm import chat, decontamination, oracle, packing, paragraphs, pii, quality, simhash
 from innkeep.llm.common import table
 
 
@@ -50,6 +50,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents"))
 
 
+def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ``documents`` that repeat, exactly or nearly, and their removal."""
+    return paragraphs.report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 tokens."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
     "op8_simhash": op8_simhash,
+    "op9_paragraphs": op9_paragraphs,
     "op10_packing": op10_packing,
 }
 
