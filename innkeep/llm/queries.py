@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontamination, oracle, packing, paragraphs, pii, quality, simhash
+from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash
 from innkeep.llm.common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate links and components of all ``embeddings``."""
+    return embeddings.components(table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a benchmark item in a whole text of ``documents``."""
     return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,6 +66,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_embeddings": op2_embeddings,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
