@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash
+from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, toxicity
 from innkeep.llm.common import table
 
 
@@ -50,6 +50,12 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.format_turns(turns))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every whole text of ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -71,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_quality": op5_quality,
     "op6_chat": op6_chat,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_paragraphs": op9_paragraphs,
     "op10_packing": op10_packing,
