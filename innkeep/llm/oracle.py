@@ -76,4 +76,24 @@ SELECT conv_id, count(*) AS n_turns,
 FROM t GROUP BY conv_id"""
 
 
-ORACLE = {"op4_pii": _pii(), "op6_chat": _CHAT}
+_SUFFIX = """
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT rid, i, md5(substr(hx, 2 * i + 1, 400)) AS k
+      FROM (SELECT rid, hx, unnest(range(0, length(hx) // 2 - 199)) AS i FROM t WHERE length(hx) >= 400)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1),
+b AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS brk FROM r),
+s AS MATERIALIZED (SELECT rid, min(i) AS x, max(i) + 200 AS y FROM (
+      SELECT rid, i, sum(brk) OVER (PARTITION BY rid ORDER BY i) AS run FROM b) GROUP BY rid, run),
+g AS (SELECT rid, coalesce(lag(y) OVER (PARTITION BY rid ORDER BY x), 0) AS a, x AS z FROM s
+      UNION ALL SELECT rid, max(y), NULL FROM s GROUP BY rid
+      UNION ALL SELECT rid, 0, NULL FROM t WHERE rid NOT IN (SELECT rid FROM s)),
+kept AS (SELECT rid, string_agg(substr(hx, CAST(2 * a + 1 AS BIGINT),
+                CAST(coalesce(2 * z, length(hx)) - 2 * a AS BIGINT)), '' ORDER BY a) AS hk
+         FROM g JOIN t USING (rid) GROUP BY rid),
+n AS (SELECT rid, sum(y - x) AS removed, count(*) AS spans FROM s GROUP BY rid)
+SELECT doc_id, length(hx) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+       coalesce(spans, 0) AS n_spans, sha256(unhex(hk)) AS kept_sha256
+FROM t JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
+
+
+ORACLE = {"op1_suffix_dedup": _SUFFIX, "op4_pii": _pii(), "op6_chat": _CHAT}

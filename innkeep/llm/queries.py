@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, toxicity
+from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, toxicity
 from innkeep.llm.common import table
 
 
@@ -18,6 +18,11 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` covered by repeated 200-byte strings, and what stays."""
+    return suffix.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate links and components of all ``embeddings``."""
     return embeddings.components(table(spark, sf_dir, "embeddings"))
@@ -72,6 +77,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embeddings": op2_embeddings,
     "op3_decontamination": op3_decontamination,
     "op4_pii": op4_pii,
