@@ -171,7 +171,8 @@ class Network:
         char = np.zeros_like(self.p["char"])
         values = self.p["char"][slots]
         owner = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(slots))))
-        best = values == x[owner, WORD_DIM:]                       # the maximum's share of each slot
+        best = (values == x[owner, WORD_DIM:]).astype(np.float32)
+        best /= np.add.reduceat(best, starts, axis=0)[owner]       # equal maxima share the gradient
         np.add.at(char, slots, best * dx[owner, WORD_DIM:])
         return g | {"word": word, "char": char}
 
