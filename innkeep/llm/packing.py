@@ -2,8 +2,9 @@
 
 **Tokens.** A document's ids are those of the given tokenizer file followed by
 an end id.  The tokenizer splits at white space before anything else, so a text
-is encoded word by word and each task remembers the words it has seen (a
-bounded memory that is emptied when full; it changes no id).  A document longer
+is encoded word by word and each task remembers the words, and the parts of
+words between the tokenizer's own cuts, that it has seen (a bounded memory that
+is emptied when full; it changes no id).  A document longer
 than the capacity is cut into pieces of the capacity, the last one shorter.
 
 **Vector best fit.** A piece demands (tokens, one document, tokens squared as
@@ -25,6 +26,8 @@ packed each; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +44,11 @@ SHARD_ROWS = 8192
 REMEMBERED_WORDS = 1_000_000
 LONG_WORD = 64
 
+# fixed values: the tokenizer file's splitting pattern, and the same for words of PLAIN_WORD
+FILE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PLAIN_WORD = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN_SPLIT = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
 _state: dict = {}
 
 
@@ -51,23 +59,59 @@ class WordEncoder:
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.bytes_as_chars = ByteLevel(add_prefix_space=False, use_regex=False)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            head = json.loads(f.read())
+        steps = [x.get("pattern", {}).get("Regex") for x in (head.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.splits_plainly = FILE_SPLIT in steps and [
+            x["type"] for x in (head.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         self.remembered = remembered
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
+    def _whole(self, words: list[bytes]) -> list[bytes]:
+        """Each word through the whole tokenizer."""
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in found]
 
+    def _part(self, part: str) -> bytes:
+        """A lower-case part as the tokenizer's own splitter yields it, through its model."""
+        if not part.isascii():
+            part = self.bytes_as_chars.pre_tokenize_str(part)[0][0]
+        return np.array([t.id for t in self.tokenizer.model.tokenize(part)], "<u4").tobytes()
+
+    def _plain(self, word: str) -> bytes:
+        """A word of ASCII and Latin-1 letters: lower-casing and splitting need no
+        more than the file's own pattern, and equal parts are encoded once."""
+        out = []
+        for part in PLAIN_SPLIT.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                ids = self._part(part)
+                if len(part) <= LONG_WORD:
+                    self.parts[part] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, text: str) -> bytes:
         words = text.encode("utf-8").split()
         known = self.known
-        if len(known) > self.remembered:
+        if len(known) + len(self.parts) > self.remembered:
             known.clear()
+            self.parts.clear()
         new = [w for w in set(words) if w not in known]
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            known.update(zip(part, self._encode(part)))
+        other = []
+        for w in new:
+            s = w.decode("utf-8")
+            if self.splits_plainly and PLAIN_WORD.fullmatch(s) and "<|" not in s:
+                known[w] = self._plain(s)
+            else:
+                other.append(w)
+        for i in range(0, len(other), 4096):
+            part = other[i:i + 4096]
+            known.update(zip(part, self._whole(part)))
         out = b"".join([known[w] for w in words])
         for w in new:
             if len(w) > LONG_WORD:

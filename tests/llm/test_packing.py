@@ -9,7 +9,7 @@ from innkeep.llm import packing as P
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 TEXTS = [None, "", "  \n", "Hello, World!  don't <|startoftext|> stop<|endoftext|>now", "é É İ Σς ǅ é a b",
-         "w" * 5000, "\x1c x y ́z", "The cat's 1234 ... !!! ñandú " * 1500, "same text", "same text"]
+         "w" * 5000, "ÀÉÖ×÷ßÿ don'T it'S ''s 'll'd a'rex x1y22 ñ.ñ,Ñ! <|x|> ~}| e\u0301a o'\u0308 'ſ K", "\x1c x y ́z", "The cat's 1234 ... !!! ñandú " * 1500, "same text", "same text"]
 
 
 def brute_ids(text):
