@@ -42,7 +42,7 @@ def floor_div(x, d) -> Column:
     """Integer division rounding toward minus infinity (``div`` truncates)."""
     x = _c(x)
     d = _c(d) if not isinstance(d, int) else F.lit(d)
-    return ((x - F.pmod(x, d)) / d).cast("bigint")
+    return F.call_function("div", x - F.pmod(x, d), d)
 
 
 def default_zero(x) -> Column:

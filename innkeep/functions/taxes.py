@@ -138,7 +138,9 @@ def tax_parts(position) -> Column:
 
 
 def included_tax_cents(gross_sum, rate) -> Column:
-    """round_half_up(S * r / (100 + r)) in exact integer arithmetic."""
+    """round_half_up(S * r / (100 + r)) in exact integer arithmetic; null for rates
+    of -100 % and below, of which no gross amount can include a tax."""
     from innkeep.functions.money import floor_div
     s, r = _c(gross_sum).cast("bigint"), _c(rate).cast("bigint")
-    return floor_div(2 * s * r + (100 + r), 2 * (100 + r))
+    base = F.when(r > -100, 100 + r)
+    return floor_div(2 * s * r + base, 2 * base)

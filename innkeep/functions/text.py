@@ -35,8 +35,18 @@ def tokens(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(TOKEN_PATTERN), 0)
 
 
+# Stands between the leaves of a document; no query word contains it, so a phrase
+# cannot match across two leaves.
+LEAF_END = "\x1f"
+
+
+def leaf_tokens(data="data") -> Column:
+    """Search tokens of a customer document, a ``LEAF_END`` after every leaf but the last."""
+    return F.regexp_extract_all(F.lower(customer_text(data)), F.lit(TOKEN_PATTERN + "|" + LEAF_END), 0)
+
+
 def customer_text(data="data") -> Column:
-    """All string leaves of a customer document joined by spaces."""
+    """All string leaves of a customer document, joined by ``LEAF_END``."""
     d = _c(data)
     leaves = [d["name"][f] for f in ("title", "letter", "given", "family")]
     leaves += [d["company"][f] for f in ("name", "address")]
@@ -45,7 +55,7 @@ def customer_text(data="data") -> Column:
     leaves += [d["contact"][f] for f in ("phone", "phone2", "mobile", "fax", "fax2", "mail",
                                          "mail2", "web")]
     leaves += [d["keyword"], d["note"]]
-    return F.concat_ws(" ", *leaves)
+    return F.concat_ws(LEAF_END, *[F.coalesce(x, F.lit("")) for x in leaves])
 
 
 def letter_for_title(title) -> Column:

@@ -167,6 +167,14 @@ def write_registration_xml(forms: DataFrame, path: str, keep_id: bool = False) -
      .option("rootTag", "meldescheine").option("rowTag", "meldeschein").save(path))
 
 
+def escape_html(x) -> Column:
+    """Text as HTML: ``&``, ``<``, ``>`` and double quotes as entities."""
+    c = _c(x)
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):   # fixed values
+        c = F.replace(c, F.lit(raw), F.lit(entity))
+    return c
+
+
 def _p(text: Column) -> Column:
     return F.concat(F.lit("<p>"), text, F.lit("</p>"))
 
@@ -175,12 +183,12 @@ def _letter(subject: Column, body_parts: list[Column], cdata: Column, sidebar: C
             attachments: Column, sender: str = SENDER, signer: str = SIGNER) -> Column:
     """Letter record (sender, recipient, sidebar, subject, body, attachments)."""
     recipient = F.concat_ws("\n", F.lit("<br/>"),
-                            F.format_string("%s %s", cdata["name"]["given"], cdata["name"]["family"]),
-                            F.lit("<br/>"), cdata["address"]["street_with_num"], F.lit("<br/>"),
-                            F.format_string("%s-%s %s", cdata["address"]["country_code"],
-                                            cdata["address"]["postal_code"],
-                                            cdata["address"]["city"]))
-    opening = _p(F.format_string("%s %s,", cdata["name"]["letter"], cdata["name"]["family"]))
+                            escape_html(F.format_string("%s %s", cdata["name"]["given"], cdata["name"]["family"])),
+                            F.lit("<br/>"), escape_html(cdata["address"]["street_with_num"]), F.lit("<br/>"),
+                            escape_html(F.format_string("%s-%s %s", cdata["address"]["country_code"],
+                                                        cdata["address"]["postal_code"],
+                                                        cdata["address"]["city"])))
+    opening = _p(escape_html(F.format_string("%s %s,", cdata["name"]["letter"], cdata["name"]["family"])))
     body = F.concat_ws("\n", opening, *body_parts, F.lit("<br/>"), _p(F.lit(GREETING)),
                        _p(F.lit(signer)))
     return F.struct(F.lit(sender).alias("sender"), recipient.alias("recipient"),
@@ -196,7 +204,7 @@ def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date:
     d = F.col("data")
     n = F.size(d["allocs"])
     items = F.transform(d["allocs"], lambda a, i: F.concat(
-        F.lit("<li>"), alloc_phrase(a),
+        F.lit("<li>"), escape_html(alloc_phrase(a)),
         F.when(n - i == 1, F.lit("")).when(n - i == 2, F.lit(" und")).otherwise(F.lit(",")),
         F.lit("</li>")))
     deposit = F.when(d["deposit_asked"].isNull(), F.lit(CONFIRM_NO_DEPOSIT)) \
@@ -246,7 +254,7 @@ def invoice_letters(bookings: DataFrame) -> DataFrame:
                                           local_date(inv["departure_date"]))))
     return (has_invoice(bookings)
             .select("id", inv["title"].alias("subject"),
-                    F.regexp_replace(inv["recipient"], "\n", "<br>").alias("recipient"),
+                    F.regexp_replace(escape_html(inv["recipient"]), "\n", "<br>").alias("recipient"),
                     sidebar.alias("sidebar"),
                     F.array_join(invoice_lines(inv), "\n").alias("body")))
 

@@ -296,7 +296,14 @@ def decode_invoice(json_text) -> Column:
             F.transform(doc["positions"], pos).alias("positions"),
             doc["closing"].alias("closing"), M.cents_of_units(doc["deposit"]).alias("deposit"),
         )
-        return F.when(doc.isNotNull() & doc["recipient"].isNotNull(), parsed)
+        # a document counts only if its required fields are there and every
+        # position, its tax included, decodes
+        complete = (doc["recipient"].isNotNull() & doc["title"].isNotNull() & doc["intro"].isNotNull()
+                    & doc["positions"].isNotNull() & doc["closing"].isNotNull() & doc["deposit"].isNotNull())
+        usable = let(parsed, lambda d: F.when(F.forall(d["positions"], lambda p: p["quantity"].isNotNull()
+                                                       & p["description"].isNotNull() & p["price"].isNotNull()
+                                                       & p["tax"].isNotNull()), d))
+        return F.when(doc.isNotNull() & complete, usable)
 
     return let(F.from_json(_c(json_text), schemas.INVOICE_JSON), upgrade)
 

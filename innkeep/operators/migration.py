@@ -34,6 +34,9 @@ NOTE_FIELDS = [("KUNDENNUMMER", "Kunden-Nr."), ("KATEGORIE", "Kategorie"), ("PLZ
                ("POSTFACH", "Fach")]
 ITEM_LINE = "- %sx %s à %s€ (%s%%)\n"
 LOCAL_TAX_ITEM = "Kurtaxe"
+# Largest believable item count and percent of a legacy row.
+MAX_COPIES = 999
+MAX_PERCENT = 100_000
 _INT = r"^[+-]?[0-9]+$"
 
 
@@ -47,6 +50,13 @@ def _int_opt(c) -> Column:
     return F.when(s.rlike(_INT), s.try_cast("bigint"))
 
 
+def _bounded(c: str, most: int, default: int) -> Column:
+    """Whole number of a cell within -most..most, else the default (such cells are
+    reported by ``legacy_problems``)."""
+    n = _int_opt(c)
+    return F.when(F.abs(n) <= most, n).otherwise(F.lit(default))
+
+
 def needed_columns(raw: DataFrame) -> DataFrame:
     """Keep the columns the migration reads (Catalyst prunes the rest)."""
     present = raw.columns
@@ -64,8 +74,9 @@ def _date(c, dialect: str) -> Column:
 def money_cents(c, dialect: str = "iso") -> Column:
     """Text amount -> cents (null when blank or unparsable)."""
     s = _t(c)
-    if dialect != "iso":
-        s = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
+    if dialect != "iso":        # dots group thousands only where a comma marks the decimals
+        s = F.when(s.contains(","), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))) \
+            .otherwise(s)
     return F.when(s != "", cents_of_units(s.try_cast("double")))
 
 
@@ -184,13 +195,13 @@ def legacy_allocs() -> Column:
     """
     slots = []
     for i in range(1, 5):
-        pct = F.coalesce(_int_opt(f"PROZ{i}"), F.lit(100))
+        pct = _bounded(f"PROZ{i}", MAX_PERCENT, 100)
         slots.append(F.struct(
             (F.col("ZIMMER") if i == 1 else F.lit("")).alias("room"),
             F.col(f"price{i}_cents").alias("price_per_bed"),
             ((pct + 99) / 100).cast("int").alias("beds"),
             F.col(f"ART{i}").alias("description"),
-            F.coalesce(_int_opt(f"ANZAHL{i}"), F.lit(0)).cast("int").alias("amount")))
+            _bounded(f"ANZAHL{i}", MAX_COPIES, 0).cast("int").alias("amount")))
     valid = F.filter(F.array(*slots), lambda s: (s["description"] != LOCAL_TAX_ITEM)
                      & s["price_per_bed"].isNotNull() & (s["price_per_bed"] != 0))
 
@@ -217,7 +228,7 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
     the master-record aggregate then parses only the two id columns.
     """
     from innkeep.operators.ordering import stable
-    typed = cast_legacy(raw, dialect)
+    typed = valid_records(cast_legacy(raw, dialect))
     if materialize:
         typed = stable(typed)
     rows = typed.select(
@@ -239,6 +250,47 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
     return customers, bookings
 
 
+def valid_records(typed: DataFrame) -> DataFrame:
+    """Rows with a record id, one per id (C3 on the import).
+
+    Of several rows with one id the one with the smallest row hash stays, so the
+    choice does not depend on partitions.  The ids that occur more than once are
+    found by a partial aggregate over (id, hash) only; ``legacy_problems`` reports
+    the rows left out.
+    """
+    rows = typed.where(F.col("recordid").isNotNull())
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(typed.columns)])
+    several = (rows.select("recordid", mark.alias("_mark")).groupBy("recordid")
+               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_keep")).where("_n > 1")
+               .select("recordid", "_keep"))
+    single = rows.join(several.select("recordid"), "recordid", "left_anti")
+    chosen = (rows.withColumn("_mark", mark).join(several, "recordid")
+              .where(F.col("_mark") == F.col("_keep")).dropDuplicates(["recordid"]))
+    return single.unionByName(chosen.select(*single.columns))
+
+
+def legacy_problems(raw: DataFrame) -> DataFrame:
+    """Cells of the import that cannot be used: (RECORDID, problem, n) with the number of
+    rows: record id missing or not a number, record id given several times (n rows), and item counts or
+    percents beyond what is believable."""
+    rid = _int_opt("RECORDID")
+    text = F.coalesce(F.col("RECORDID"), F.lit(""))
+    huge = F.lit(False)
+    for i in range(1, 5):
+        for c, most in ((f"ANZAHL{i}", MAX_COPIES), (f"PROZ{i}", MAX_PERCENT)):
+            if c in raw.columns:
+                huge = huge | (_t(c).rlike(_INT) & F.coalesce(F.abs(_int_opt(c)) > most, F.lit(True)))
+    rows = raw.select(text.alias("RECORDID"), rid.alias("_id"), huge.alias("_huge"))
+    bad = rows.where(F.col("_id").isNull()).groupBy("RECORDID").agg(F.count(F.lit(1)).alias("n")) \
+        .select("RECORDID", F.lit("record id missing or not a number").alias("problem"), "n")
+    several = rows.where(F.col("_id").isNotNull()).groupBy(F.col("_id").cast("string").alias("RECORDID")) \
+        .agg(F.count(F.lit(1)).alias("n")).where("n > 1") \
+        .select("RECORDID", F.lit("record id occurs several times").alias("problem"), "n")
+    counts = rows.where("_huge").groupBy("RECORDID").agg(F.count(F.lit(1)).alias("n")) \
+        .select("RECORDID", F.lit("item count or percent out of range").alias("problem"), "n")
+    return bad.unionByName(several).unionByName(counts)
+
+
 def master_records(typed: DataFrame) -> DataFrame:
     """W1 on a typed frame: per group the row with the highest record id.
 

@@ -173,10 +173,23 @@ def search_page(customers: DataFrame, bookings: DataFrame, cond: Column | None,
 
 
 def append_pages(lower: DataFrame, upper: DataFrame, key: str = "position") -> DataFrame:
-    """Union of two pages; a key present in both is an error (raised on action)."""
-    both = lower.unionByName(upper)
-    dup = both.groupBy(key).count().where(F.col("count") > 1)
-    return both.join(dup.select(key), key, "left_anti").unionByName(
-        both.join(dup.select(key), key, "left_semi")
-        .select(*[F.raise_error(F.lit("Overlapping key ranges")).cast(f.dataType).alias(f.name)
-                  if f.name == key else F.col(f.name) for f in both.schema.fields]))
+    """Union of two pages; it is an error (raised on action) if the ranges of their
+    keys overlap, whether or not a key occurs twice."""
+    both = lower.withColumn("_upper", F.lit(False)).unionByName(upper.withColumn("_upper", F.lit(True)))
+    whole = Window.partitionBy()                       # two pages: a bounded window
+    last = F.max(F.when(~F.col("_upper"), F.col(key))).over(whole)
+    first = F.min(F.when(F.col("_upper"), F.col(key))).over(whole)
+    fits = F.when(last >= first, F.raise_error(F.lit("Overlapping key ranges")).cast("boolean")).otherwise(True)
+    return both.withColumn("_fits", fits).where("_fits").drop("_upper", "_fits")
+
+
+def page_after(df: DataFrame, modified=None, id=None, size: int = PAGE_SIZE) -> DataFrame:  # noqa: A002
+    """Keyset paging: the ``size`` rows after the row (modified, id), newest first.
+
+    A deep page costs as much as the first one: a pushed filter and a top-k of
+    ``size`` rows, where an offset merges all rows before it in one task.
+    """
+    if modified is not None:
+        last = F.lit(modified).cast(df.schema["modified"].dataType)
+        df = df.where((F.col("modified") < last) | ((F.col("modified") == last) & (F.col("id") > id)))
+    return df.orderBy(F.col("modified").desc(), F.col("id")).limit(size)

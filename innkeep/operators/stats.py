@@ -31,8 +31,8 @@ from innkeep.operators import stays
 
 
 def _recipient_lines(invoice: Column) -> Column:
-    """Lines of the recipient (a trailing newline and ``\r`` do not make lines)."""
-    return F.split(F.regexp_replace(invoice["recipient"], r"\r?\n$", ""), r"\r?\n")
+    """Lines of the recipient (one newline at the very end and ``\r`` do not make lines)."""
+    return F.split(F.regexp_replace(invoice["recipient"], r"\r?\n\z", ""), r"\r?\n")
 
 
 def _has_lines(invoice: Column) -> Column:
@@ -42,7 +42,7 @@ def _has_lines(invoice: Column) -> Column:
 def _country(lines: Column, has_lines: Column, customer_code: Column) -> Column:
     last = F.element_at(lines, -1)
     raw = F.when(F.instr(last, "-") > 0, F.substring_index(last, "-", 1)).otherwise(customer_code)
-    return F.when(has_lines, F.trim(raw)).otherwise(customer_code)
+    return F.when(has_lines, F.btrim(raw, F.lit(" \t\n\r\x0c"))).otherwise(customer_code)
 
 
 def invoice_country(invoice: Column, customer_code: Column) -> Column:
@@ -103,7 +103,8 @@ def statistics_rows(bookings: DataFrame, customers: DataFrame, month,
 def month_stats(bookings: DataFrame, customers: DataFrame, month, with_total: bool = True,
                 max_nights: int | None = None) -> DataFrame:
     """Country summary of one month; ``with_total`` adds the grand-total row
-    (country null) through ``rollup``.  Only the country of each row is derived."""
+    (country null); the rows are aggregated by country first.  Only the country of
+    each row is derived."""
     start, end = stays.month_bounds(month)
     b = stays.has_invoice(stays.overlapping(bookings, start, end, max_nights))
     b = b.select("customer", "arrival", "departure", F.col("data.invoice").alias("invoice"),
@@ -116,8 +117,17 @@ def month_stats(bookings: DataFrame, customers: DataFrame, month, with_total: bo
     aggs = [F.sum("arrivals").cast("bigint").alias("arrivals"),
             F.sum("nights").cast("bigint").alias("nights"),
             F.sum("carry").cast("bigint").alias("carry")]
-    g = rows.rollup("country") if with_total else rows.groupBy("country")
-    return g.agg(*aggs)
+    by_country = rows.groupBy("country").agg(*aggs)
+    if not with_total:
+        return by_country
+    # the total is the sum of the (few) country rows, not a second pass over the stays
+    return _with_total(by_country)
+
+
+def _with_total(by_country: DataFrame) -> DataFrame:
+    """Country rows and their grand total (``rollup`` over the aggregated rows)."""
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("arrivals", "nights", "carry")]
+    return by_country.rollup("country").agg(*sums)
 
 
 def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from innkeep.plans.catalog import register
 from innkeep.sources import legacy as LG
 from innkeep.sources.fixtures import load_model, model_location
 from innkeep.sources.shared import publish_once
-from innkeep.sources.tables import at_least_parallelism
 
 # DuckDB: the legacy wide rows written from the model (same rules as legacy_rows).
 _SLOT = """
@@ -99,7 +98,7 @@ def legacy_export(spark, sf_dir):
         return LG.legacy_rows(m.bookings, m.customers)
     path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv",
                         lambda p: LG.write_legacy_csv(
-                            at_least_parallelism(LG.legacy_rows(m.bookings, m.customers)), p))
+                            LG.legacy_rows(m.bookings, m.customers).repartitionByRange("RECORDID"), p))
     return LG.read_legacy_csv(spark, path)
 
 
@@ -117,6 +116,67 @@ def legacy_source(spark, sf_dir):
     return spark.read.schema(LG.LEGACY_SCHEMA).parquet(path)   # all text, schema known
 
 
+def foreign_export(spark, sf_dir):
+    """The rows of the export as another system writes them: columns in another
+    order, one with another name, unknown columns between them, ``;`` and decimal
+    commas, days before months; and rows that cannot be used: every 41st record id is blank, every 43rd
+    is no number, every 47th row comes twice, every 53rd has an absurd count."""
+    rows = legacy_source(spark, sf_dir)
+    k = F.col("RECORDID").cast("bigint")
+    for c in ("AGEF", "AEING", *[f"PREIS{i}" for i in range(1, 5)]):
+        rows = rows.withColumn(c, F.when(k % 2 == 0, F.replace(F.col(c), F.lit("."), F.lit(","))).otherwise(F.col(c)))
+    for c in ("ANREISE", "ABREISE", "AVON", "ABIS", *[g[2] for g in LG.GUEST_SLOTS]):
+        rows = rows.withColumn(c, F.regexp_replace(F.col(c), r"^(\d+)-(\d+)-(\d+)$", "$3.$2.$1"))
+    rows = rows.withColumn("ANZAHL2", F.when(k % 53 == 0, F.lit("99999999999")).otherwise(F.col("ANZAHL2")))
+    rows = rows.withColumn("_times", F.when(k % 47 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    rows = rows.withColumn("_copy", F.explode("_times"))
+    rows = rows.withColumn("BEMAUFE", F.when(F.col("_copy") == 2, F.lit("doppelt")).otherwise(F.col("BEMAUFE")))
+    rows = rows.withColumn("RECORDID", F.when(k % 41 == 0, F.lit(" ")).when(k % 43 == 0, F.lit("n/a"))
+                           .otherwise(F.col("RECORDID")))
+    order = sorted(LG.COLUMNS, key=lambda c: c[::-1])
+    out = [F.col(c).alias({"KUNDENNUMMER": "kundennr"}.get(c, c.lower() if i % 3 else c)) for i, c in enumerate(order)]
+    return rows.select(F.lit("x").alias("FREMD1"), *out[:20], F.lit("").alias("Fremd 2"), *out[20:])
+
+
+def read_foreign(spark, sf_dir):
+    loc = model_location(spark, sf_dir)
+    path = publish_once(spark, f"{loc}/foreign-export-v{LG.EXPORT_VERSION}.csv",
+                        lambda p: LG.write_legacy_csv(foreign_export(spark, sf_dir), p, sep=";"))
+    return LG.read_legacy_csv(spark, path, sep=";")
+
+
+@register("s3_foreign_export", LEGACY_SQL + f"""
+SELECT recordid_n AS id, groupid_n AS customer, SUCH AS keyword, FIRMA AS company,
+       CASE WHEN {cents_sql('AGEF')} > 0 THEN {cents_sql('AGEF')} END AS deposit_asked,
+       least(coalesce(f, CAST(t - 1 AS DATE)), coalesce(t, CAST(f + 1 AS DATE))) AS arrival,
+       CASE WHEN recordid_n % 53 = 0 THEN 0 ELSE greatest(coalesce(TRY_CAST(ANZAHL2 AS BIGINT), 0), 0) END AS n_second
+FROM lgt WHERE recordid_n % 41 <> 0 AND recordid_n % 43 <> 0
+""")
+def s3_foreign_export(spark, sf_dir):
+    """S3 + T8 + C3 + T16: an export of another layout and dialect, found by header
+    name; one row per usable record id, unbelievable counts as none."""
+    typed = MG.valid_records(MG.cast_legacy(read_foreign(spark, sf_dir), "de"))
+    return typed.select(F.col("recordid").alias("id"), F.col("groupid").alias("customer"),
+                        F.col("SUCH").alias("keyword"), F.col("FIRMA").alias("company"),
+                        F.col("agef").alias("deposit_asked"), MG.legacy_period(typed)["a"].alias("arrival"),
+                        F.greatest(MG._bounded("ANZAHL2", MG.MAX_COPIES, 0), F.lit(0)).alias("n_second"))
+
+
+@register("c3_import_problems", LEGACY_SQL + """
+SELECT CASE WHEN recordid_n % 41 = 0 THEN ' ' ELSE 'n/a' END AS RECORDID,
+       'record id missing or not a number' AS problem, sum(CASE WHEN recordid_n % 47 = 0 THEN 2 ELSE 1 END)::BIGINT AS n
+FROM lgt WHERE recordid_n % 41 = 0 OR recordid_n % 43 = 0 GROUP BY 1
+UNION ALL SELECT RECORDID, 'record id occurs several times', 2 FROM lgt
+WHERE recordid_n % 47 = 0 AND recordid_n % 41 <> 0 AND recordid_n % 43 <> 0
+UNION ALL SELECT CASE WHEN recordid_n % 41 = 0 THEN ' ' WHEN recordid_n % 43 = 0 THEN 'n/a' ELSE RECORDID END,
+       'item count or percent out of range', sum(CASE WHEN recordid_n % 47 = 0 THEN 2 ELSE 1 END)::BIGINT
+FROM lgt WHERE recordid_n % 53 = 0 GROUP BY 1
+""")
+def c3_import_problems(spark, sf_dir):
+    """C3 on the import: rows of the foreign export that cannot be used, and why."""
+    return MG.legacy_problems(read_foreign(spark, sf_dir))
+
+
 @register("s3_legacy_csv_roundtrip", LEGACY_SQL + """
 SELECT RECORDID, GROUPID, SUCH, BEMAUFE, TELEFAX, PREIS1, GEB_DAT02 FROM lg
 """)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from innkeep.operators import quality as Q
 from innkeep.operators import restore as RS
 from innkeep.plans.catalog import register
-from innkeep.session import scratch_root
+from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources.fixtures import load_model, model_location, table
 from innkeep.sources.shared import publish_once
 from innkeep.streaming import changes as ST
@@ -83,11 +83,8 @@ def c6_touch_customers_stream(spark, sf_dir):
     """C6 as Structured Streaming: stateful max per customer, appended per batch
     (idempotent on replay), applied to the customers table."""
     m = load_model(spark, sf_dir)
-    root = scratch_root(spark)
+    root = ensure_checkpoint_dir(spark)
     schema = table(spark, sf_dir, "events").schema
-    if root is None:     # no shared folder for state: same function over the batch
-        ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("customer"), "ts")
-        return Q.touch_customers(m.customers.select("id", "modified"), ev)
     source = os.path.join(sf_dir, "event[s].parquet")
     return ST.touch_once(spark, m.customers.select("id", "modified"), source, schema, root)
 
@@ -148,12 +145,48 @@ def c8_locked_changes(spark, sf_dir):
     m = load_model(spark, sf_dir)
     per_user = (table(spark, sf_dir, "events").where(F.col("event_type") == "purchase")
                 .groupBy(F.col("user_id").alias("customer")).agg(F.count(F.lit(1)).alias("n_edits")))
-    invoiced = F.col("invoiced") if "invoiced" in m.bookings.columns \
-        else F.col("data.invoice").isNotNull()
-    # one pass over the bookings: the stored invoiced flag decides the lock
-    edits = m.bookings.select("id", "customer", invoiced.alias("locked")).join(per_user, "customer")
-    return edits.select("id", "n_edits", F.when(F.col("locked"), F.lit("rejected"))
-                        .otherwise(F.lit("accepted")).alias("status"))
+    edits = m.bookings.select("id", "customer").join(per_user, "customer").select("id", "n_edits")
+    accepted, rejected = Q.locked_changes(edits, m.bookings)
+    return accepted.withColumn("status", F.lit("accepted")).unionByName(
+        rejected.withColumn("status", F.lit("rejected")))
+
+
+@register("c1_broken_rows", """
+SELECT 'customers' AS "table", CASE WHEN id % 29 = 0 THEN -id ELSE id END AS id,
+       unnest(list_filter([CASE WHEN id % 29 = 0 AND id > 0 THEN 'id >= 0' END, CASE WHEN id % 31 = 0 THEN 'keyword not blank' END],
+                          lambda x: x IS NOT NULL)) AS rule FROM cu WHERE (id % 29 = 0 AND id > 0) OR id % 31 = 0
+UNION ALL SELECT 'bookings', id, 'stay dates present' FROM bk WHERE id % 37 = 0
+""")
+def c1_broken_rows(spark, sf_dir):
+    """C1 + C2: constraint violations of a table in which every 29th customer has a
+    negative id, every 31st a blank keyword and every 37th booking no departure."""
+    m = load_model(spark, sf_dir)
+    k = F.col("id")
+    c = m.customers.select(F.when(k % 29 == 0, -k).otherwise(k).alias("id"),
+                           F.when(k % 31 == 0, F.lit("  ")).otherwise(F.col("keyword")).alias("keyword"))
+    b = m.bookings.select("id", "arrival", F.when(k % 37 != 0, F.col("departure")).alias("departure"))
+    return Q.violations(c, b)
+
+
+@register("c2_trimmed_keywords", """
+SELECT id, keyword FROM cu
+""")
+def c2_trimmed_keywords(spark, sf_dir):
+    """Padded keywords are stored trimmed."""
+    m = load_model(spark, sf_dir)
+    pad = F.concat(F.lit("  "), F.col("keyword"), F.lit(" "))
+    padded = m.customers.select("id", pad.alias("keyword"), F.col("data").withField("keyword", pad).alias("data"))
+    return Q.clean_keyword(padded).select("id", F.col("data.keyword").alias("keyword"))
+
+
+@register("c4_orphans", """
+SELECT bk.id, bk.customer FROM bk JOIN cu ON cu.id = bk.customer WHERE bk.customer % 10 = 3
+""")
+def c4_orphans(spark, sf_dir):
+    """C4: bookings left without their customer when every tenth customer is gone."""
+    m = load_model(spark, sf_dir)
+    return Q.orphans(m.bookings.select("id", "customer"), "customer", m.customers.where(F.col("id") % 10 != 3)) \
+        .select("id", "customer")
 
 
 @register("j5_cascade_delete", """
@@ -167,11 +200,11 @@ def j5_cascade_delete(spark, sf_dir):
     bookings referenced by an invoice number block the delete."""
     m = load_model(spark, sf_dir)
     gone = table(spark, sf_dir, "customer").where(F.col("c_acctbal") < 0) \
-        .select(F.col("c_custkey").alias("customer"))
-    doomed = m.bookings.select("id", "customer").join(gone, "customer", "left_semi")
-    refs = m.invoice_numbers.select(F.col("booking").alias("id"), F.lit(True).alias("blocked")) \
-        .distinct()
-    return doomed.join(refs, "id", "left").select(
+        .select(F.col("c_custkey").alias("id"))
+    before = m.bookings.select("id", "customer")
+    _, left, blocking = Q.delete_customers(m.customers.select("id"), before, m.invoice_numbers, gone)
+    doomed = before.join(left.select("id"), "id", "left_anti")
+    return doomed.join(blocking.select("id", F.lit(True).alias("blocked")), "id", "left").select(
         "id", "customer", F.coalesce("blocked", F.lit(False)).alias("blocked"))
 
 
@@ -232,13 +265,9 @@ def s8_bulk_append(spark, sf_dir):
     import uuid
     m = load_model(spark, sf_dir)
     b = m.bookings.select("id", "customer", "arrival", "departure")
-    root = scratch_root(spark)
-    if root is None:
-        out = b
-    else:
-        path = f"{root.rstrip('/')}/innkeep-append/{uuid.uuid4().hex}"
-        RS.append(b.where(F.year("arrival") < 1998), path)
-        RS.append(b.where(F.year("arrival") >= 1998), path)
-        out = spark.read.parquet(path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-append/{uuid.uuid4().hex}"
+    RS.append(b.where(F.year("arrival") < 1998), path)
+    RS.append(b.where(F.year("arrival") >= 1998), path)
+    out = spark.read.parquet(path)
     return out.groupBy(F.year("arrival").alias("arrival_year")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("id_sum"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from innkeep.functions.text import tokens
+from innkeep.functions.text import LEAF_END, tokens
 from innkeep.operators import search
 from innkeep.plans.catalog import register
 from innkeep.plans.q_stays import page_sql
@@ -52,23 +52,6 @@ def f4_fulltext_documents(spark, sf_dir):
     return search.search_documents(table(spark, sf_dir, "documents"), DOC_QUERY)
 
 
-@register("f4_fulltext_documents_indexed", f"""
-SELECT doc_id, lang, CAST(len(t) AS INTEGER) AS n_tokens
-FROM (SELECT doc_id, lang, {tok_sql('text')} AS t FROM documents)
-WHERE (list_contains(t, 'the') AND instr(' ' || array_to_string(t, ' ') || ' ', ' of the ') > 0
-       AND NOT list_contains(t, 'die'))
-   OR list_contains(t, 'und')
-""")
-def f4_fulltext_documents_indexed(spark, sf_dir):
-    """F4 through the inverted index: candidates from the postings of the query's
-    positive words, exact predicate on the stored tokens of the candidates."""
-    from innkeep.operators import textindex as TI
-    import os
-    src = os.path.join(sf_dir, "documents.parquet")
-    index = TI.open_index(spark, table(spark, sf_dir, "documents"), src)
-    return TI.search_index(index, DOC_QUERY)
-
-
 @register("f4_fulltext_customers", f"""
 , ct AS (
   SELECT id, {tok_sql("concat_ws(' ', title, letter, given, family, company, '', street, postal_code, "
@@ -88,7 +71,7 @@ def f4_fulltext_customers(spark, sf_dir):
     """F4 + T3: web-search query over the customers' search tokens."""
     m = load_model(spark, sf_dir)
     hits = search.search_text(m.customers.select("id", "tokens"), CUSTOMER_QUERY)
-    return hits.select("id", F.size("tokens").alias("n_tokens"))
+    return hits.select("id", F.size(F.array_remove("tokens", LEAF_END)).alias("n_tokens"))
 
 
 @register("t2_keywords", """
@@ -115,5 +98,17 @@ FROM (SELECT cu.id, {tok_sql("concat_ws(' ', cu.title, coalesce(lt.letter, ''),
 def t3_customer_tokens(spark, sf_dir):
     """The generated search tokens of every customer (all string leaves)."""
     m = load_model(spark, sf_dir)
-    return m.customers.select("id", F.size("tokens").alias("n_tokens"),
-                              F.array_join("tokens", " ").alias("tokens"))
+    words = F.array_remove("tokens", LEAF_END)
+    return m.customers.select("id", F.size(words).alias("n_tokens"), F.array_join(words, " ").alias("tokens"))
+
+
+@register("f4_phrase_within_leaf", """
+SELECT id FROM cu WHERE regexp_matches(lower(street), '(^|[^a-z0-9])weg 7([^a-z0-9]|$)')
+""")
+def f4_phrase_within_leaf(spark, sf_dir):
+    """a phrase matches within one field; the same words at the end of one field
+    and the start of the next (family name, company) do not."""
+    m = load_model(spark, sf_dir)
+    inside = search.search_text(m.customers.select("id", "tokens"), '"weg 7"')
+    across = search.search_text(m.customers.select("id", "tokens"), '"name7 machinery"')
+    return inside.select("id").unionByName(across.select("id"))

@@ -27,12 +27,19 @@ _LOCAL_DEFAULTS = {
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app: str = "innkeep", extra: dict | None = None) -> SparkSession:
-    """Session for tests, scripts and the bench (local mode by default)."""
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
-    conf = dict(_LOCAL_DEFAULTS)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
-    conf["spark.driver.memory"] = os.environ.get("INNKEEP_DRIVER_MEMORY", "8g")
+    """A session.  With ``master`` (tests, scripts, bench) a local one with its own
+    settings and, where none is set, a folder of this machine for checkpoints;
+    without, the one that spark-submit or the caller's settings describe."""
+    builder = SparkSession.builder.appName(app)
+    conf = {}
+    if master:
+        cpus = os.environ.get("BENCH_CPUS", "8")
+        builder = builder.master(master)
+        conf = dict(_LOCAL_DEFAULTS)
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
+        conf["spark.driver.memory"] = os.environ.get("INNKEEP_DRIVER_MEMORY", "8g")
+        if not _configured_checkpoint_dir():
+            conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="innkeep-ckpt-")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
@@ -42,17 +49,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+def _configured_checkpoint_dir() -> str | None:
+    """``spark.checkpoint.dir`` of a running session or of the settings Spark starts with."""
+    from pyspark import SparkContext
+    running = SparkContext._active_spark_context
+    if running is not None:
+        return running.getConf().get("spark.checkpoint.dir", None)
+    folder = os.environ.get("SPARK_CONF_DIR") or os.path.join(os.environ.get("SPARK_HOME", ""), "conf")
+    try:
+        with open(os.path.join(folder, "spark-defaults.conf"), encoding="utf-8") as f:
+            pairs = [line.replace("=", " ", 1).split(None, 1) for line in f if not line.lstrip().startswith("#")]
+        return next((p[1].strip() for p in pairs if len(p) == 2 and p[0] == "spark.checkpoint.dir"), None)
+    except OSError:
+        return None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a local one only if unset."""
+    """The cluster's shared folder; a local session that names none gets a folder of
+    this machine, any other must name one."""
     current = scratch_root(spark)
     if current:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
-    local = tempfile.mkdtemp(prefix="innkeep-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    folder = spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="innkeep-ckpt-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_root(spark: SparkSession) -> str | None:

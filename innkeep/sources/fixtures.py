@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innkeep.functions import periods as P
-from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, customer_text, tokens
+from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, leaf_tokens
 from innkeep.operators.invoices import invoice_document
 from innkeep.session import scratch_root
 from innkeep.sources import shared
@@ -53,7 +53,7 @@ class Model:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given test table (spread over the cores when it is a single small file)."""
+    """A given test table."""
     return read_table(spark, os.path.join(sf_dir, f"{name}.parquet"))
 
 
@@ -100,7 +100,7 @@ def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
                    F.timestamp_add("MINUTE", (k * 7919) % 20000, created).alias("modified"),
                    data.alias("data")))
     return out.select("*", F.col("data.keyword").alias("keyword"),
-                      tokens(customer_text("data")).alias("tokens"))
+                      leaf_tokens("data").alias("tokens"))
 
 
 def _allocs_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,7 +257,7 @@ _LOADED: dict[tuple[str, str], tuple[Model, int | None]] = {}
 
 def _write_model(spark: SparkSession, sf_dir: str, loc: str) -> None:
     m = derive_model(spark, sf_dir)
-    (m.customers.repartition("id").sortWithinPartitions("id")
+    (m.customers.repartitionByRange("id").sortWithinPartitions("id")
      .write.mode("overwrite").parquet(f"{loc}/customers"))
     customers = spark.read.parquet(f"{loc}/customers")
     write_bookings(derive_bookings(spark, sf_dir, customers), f"{loc}/bookings")

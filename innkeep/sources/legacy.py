@@ -115,12 +115,40 @@ def write_legacy_csv(df: DataFrame, path: str, sep: str = ",") -> None:
      .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
+# Columns without which an export cannot be migrated, and other
+# names under which exports carry a column.
+REQUIRED = ("RECORDID", "GROUPID", "VORNAME", "NAME", "ANREISE", "ABREISE")
+ALIASES = {"KUNDENNR": "KUNDENNUMMER"}
+
+
+def by_name(raw: DataFrame) -> DataFrame:
+    """The known columns of an export, found by name (any case, any order, aliases).
+
+    Unknown columns are left out, missing optional ones are null, a missing
+    required one is an error, and so is a known name that occurs twice.
+    """
+    found: dict[str, str] = {}
+    for c in raw.columns:
+        name = ALIASES.get(c.strip().upper(), c.strip().upper())
+        known = next((k for k in COLUMNS if k.upper() == name), None)
+        if known is None:
+            continue
+        if known in found:
+            raise ValueError(f"legacy export: column {known} occurs twice")
+        found[known] = c
+    missing = [c for c in REQUIRED if c not in found]
+    if missing:
+        raise ValueError(f"legacy export: missing columns {', '.join(missing)}")
+    return raw.select(*[(F.col(f"`{found[c]}`") if c in found else F.lit(None)).cast("string").alias(c)
+                        for c in COLUMNS])
+
+
 def read_legacy_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Read the legacy export: all columns as text, multi-line cells allowed."""
-    return (spark.read.option("header", True).option("sep", sep)
-            .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
-            .option("multiLine", True).option("mode", "PERMISSIVE")
-            .schema(LEGACY_SCHEMA).csv(path))
+    """Read the legacy export: columns by header name, all as text, multi-line cells allowed."""
+    raw = (spark.read.option("header", True).option("sep", sep)
+           .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
+           .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
+    return by_name(raw)
 
 
 def write_raw(df: DataFrame, path: str) -> None:

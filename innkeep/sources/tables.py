@@ -1,11 +1,7 @@
 """Readers and writers of the stored tables.
 
-``read_table`` reads a parquet table and, only when the scan consists of fewer
-files than the session's default parallelism, spreads it round-robin over that
-many partitions.  A single-file table with one row group is otherwise read by
-one task (byte-range splits without a row-group midpoint read nothing); at
-scale, tables have many files and the scan's own splits are used untouched.
-The decision uses the file listing only (no data is read).
+Scans are left as Spark splits them; how many files a table has is the business
+of whoever writes it.
 """
 
 from __future__ import annotations
@@ -16,34 +12,10 @@ from pyspark.sql import functions as F
 from innkeep import schemas
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a scan over the default parallelism only when it has fewer
-    files than that (decided from the file listing; a no-op at scale)."""
-    from innkeep.session import default_parallelism
-    target = min_partitions or default_parallelism(df.sparkSession)
-    if not target:
-        return df
-    try:
-        n_files = len(df.inputFiles())
-    except Exception:  # pragma: no cover - non-file sources
-        return df
-    return df.repartition(target) if n_files < target else df
-
-
-def at_least_parallelism(df: DataFrame) -> DataFrame:
-    """Repartition (round robin) only when the frame has fewer partitions than the
-    default parallelism, e.g. before writing a one-time export of a small table."""
-    from innkeep.session import default_parallelism, has_jvm
-    target = default_parallelism(df.sparkSession)
-    if not target or not has_jvm(df.sparkSession):
-        return df
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a parquet table (optionally with a known schema), spread if tiny."""
+    """Read a parquet table (optionally with a known schema)."""
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return spread(reader.parquet(path))
+    return reader.parquet(path)
 
 
 def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -52,9 +24,9 @@ def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     if fmt == "parquet":
         return spark.read.schema(schemas.CUSTOMERS).parquet(path)
     df = spark.read.schema(schemas.CUSTOMERS).format(fmt).load(path)
-    from innkeep.functions.text import customer_text, tokens
+    from innkeep.functions.text import leaf_tokens
     return (df.withColumn("keyword", F.coalesce("keyword", F.col("data.keyword")))
-            .withColumn("tokens", F.coalesce("tokens", tokens(customer_text("data")))))
+            .withColumn("tokens", F.coalesce("tokens", leaf_tokens("data"))))
 
 
 def read_bookings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -84,16 +56,16 @@ def write_bookings(bookings: DataFrame, path: str) -> None:
 def write_tables(customers: DataFrame, bookings: DataFrame, path: str,
                  invoice_numbers: DataFrame | None = None) -> None:
     """Store a model under ``path`` (customers by id, bookings by arrival layout)."""
-    from innkeep.functions.text import customer_text, tokens
+    from innkeep.functions.text import leaf_tokens
     c = customers
     if "keyword" not in c.columns:
         c = c.withColumn("keyword", F.col("data.keyword"))
     if "tokens" not in c.columns:
-        c = c.withColumn("tokens", tokens(customer_text("data")))
+        c = c.withColumn("tokens", leaf_tokens("data"))
     for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):
         if col not in c.columns:
             c = c.withColumn(col, F.lit(None).cast(typ))
-    c.repartition("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/customers")
+    c.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/customers")
     from innkeep.functions.periods import arrival_of, departure_of
     b = bookings
     for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):

@@ -31,14 +31,13 @@ def change_stream(spark: SparkSession, source: str, schema: T.StructType,
 
 
 def run_touch_stream(changes: DataFrame, table_path: str, checkpoint: str,
-                     available_now: bool = True, watermark: str | None = None):
+                     available_now: bool = True):
     """Start the touch job; returns the StreamingQuery.
 
-    ``watermark`` (e.g. ``"1 day"``) bounds the state when very late changes may
-    be ignored; without it the state is one row per customer.
+    The state is one row per customer (the key is not a time, so no watermark
+    could evict it); ``compact_touches`` bounds the table it writes.
     """
-    src = changes.withWatermark("ts", watermark) if watermark else changes
-    latest = src.groupBy("customer").agg(F.max("ts").alias("touched"))
+    latest = changes.groupBy("customer").agg(F.max("ts").alias("touched"))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         (batch.withColumn("batch", F.lit(batch_id))
@@ -51,6 +50,14 @@ def run_touch_stream(changes: DataFrame, table_path: str, checkpoint: str,
     return w.start()
 
 
+def compact_touches(spark: SparkSession, table_path: str, compacted_path: str) -> DataFrame:
+    """One row per customer from all batches so far, written to ``compacted_path``
+    (run while the stream is stopped; the stream then goes on in a new table)."""
+    (spark.read.parquet(table_path).groupBy("customer").agg(F.max("touched").alias("touched"))
+     .withColumn("batch", F.lit(-1)).write.mode("overwrite").partitionBy("batch").parquet(compacted_path))
+    return spark.read.parquet(compacted_path)
+
+
 def touched_customers(spark: SparkSession, customers: DataFrame, table_path: str) -> DataFrame:
     """Customers with ``modified`` advanced to their latest recorded change."""
     touches = spark.read.parquet(table_path).select("customer", F.col("touched").alias("ts"))

@@ -1,4 +1,4 @@
-"""Smaller operators: page append errors, payload round trip, import JSON, spreading."""
+"""Smaller operators: page append errors, payload round trip, import JSON."""
 
 import base64
 import json
@@ -47,14 +47,3 @@ def test_clean_keyword(spark):
     cust = customers_df(spark, [(1, "  kw ", customer_doc(keyword="  kw "))])
     r = Q.clean_keyword(cust).first()
     assert r.keyword == "kw" and r.data.keyword == "kw"
-
-
-def test_spread_only_small_scans(spark):
-    root = tempfile.mkdtemp(prefix="spread-")
-    spark.range(100).coalesce(1).write.parquet(f"{root}/one")
-    spark.range(100).repartition(16).write.parquet(f"{root}/many")
-    one = TB.read_table(spark, f"{root}/one")
-    many = TB.read_table(spark, f"{root}/many")
-    assert one.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert "Exchange" not in many._jdf.queryExecution().executedPlan().toString()
-    assert one.count() == many.count() == 100

@@ -195,23 +195,6 @@ def test_search_page_positions(spark):
     assert S.more_pages(cust, 2).first().has_more is False
 
 
-def test_text_index_matches_scan(spark):
-    import tempfile
-    from innkeep.operators import textindex as TI
-    docs = spark.createDataFrame(
-        [(1, "en", "The cat sat on the mat."), (2, "en", "the dog, and the cat"),
-         (3, "de", "Die Katze und der Hund"), (4, "en", "of the people"), (5, "en", ""),
-         (6, "fr", "le chat et le chien")], "doc_id long, lang string, text string")
-    path = tempfile.mkdtemp(prefix="tindex-") + "/ix"
-    TI.build_index(docs, path)
-    index = TI.TextIndex(spark.read.parquet(f"{path}/doc_tokens"), spark.read.parquet(f"{path}/postings"))
-    for q in ["the cat", '"the cat"', "the -cat", "cat or hund", "-the", '"of the" or chien',
-              "KATZE", "zebra", "  "]:
-        a = sorted((r.doc_id, r.n_tokens) for r in TI.search_index(index, q).collect())
-        b = sorted((r.doc_id, r.n_tokens) for r in S.search_documents(docs, q).collect())
-        assert a == b, q
-
-
 def test_decode_invoices_keeps_corrupt_rows(spark):
     ok = ('{"id":"a","recipient":"r","invoice_date":"2019-05-02","departure_date":null,'
           '"title":"t","intro":"","positions":[],"closing":"","deposit":0}')

@@ -141,21 +141,13 @@ words = st.sampled_from(["the", "cat", "dog", "of", "und", "Katze", "é", "x1",
 @given(st.lists(st.lists(words, min_size=0, max_size=12), min_size=1, max_size=15),
        st.lists(st.tuples(st.sampled_from(["", "-", "\"", "or"]), words, words),
                 min_size=1, max_size=4))
-def test_text_index_equals_scan_on_random_queries(spark, texts, parts):
-    import tempfile
+def test_search_equals_plain_evaluation_on_random_queries(spark, texts, parts):
     from innkeep.operators import search as S
-    from innkeep.operators import textindex as TI
     docs = spark.createDataFrame([(i, "en", " ".join(t) + ".") for i, t in enumerate(texts)],
                                  "doc_id long, lang string, text string")
-    path = tempfile.mkdtemp(prefix="tindex-prop-") + "/ix"
-    TI.build_index(docs, path)
-    index = TI.TextIndex(spark.read.parquet(f"{path}/doc_tokens"),
-                         spark.read.parquet(f"{path}/postings"))
     q = " ".join(f'"{a} {b}"' if op == "\"" else (f"{a} or {b}" if op == "or" else f"{op}{a}")
                  for op, a, b in parts)
-    got = sorted(r.doc_id for r in TI.search_index(index, q).collect())
     ref = sorted(r.doc_id for r in S.search_documents(docs, q).collect())
-    assert got == ref, q
 
     import re
 

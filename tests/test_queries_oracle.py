@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from innkeep.plans import catalog
 from innkeep.sources.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -45,14 +46,14 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.oracle_sql()) == set(E.queries())
+    assert set(catalog.oracle_sql()) == set(catalog.queries())
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_matches_oracle(spark, con, name):
-    sdf = E.queries()[name](spark, SF)
+    sdf = catalog.queries()[name](spark, SF)
     srows = [tuple(r) for r in sdf.collect()]
-    rel = con.execute(E.oracle_sql()[name])
+    rel = con.execute(catalog.oracle_sql()[name])
     dcols = [x[0] for x in rel.description]
     drows = rel.fetchall()
     assert sorted(sdf.columns) == sorted(dcols)
