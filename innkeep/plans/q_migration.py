@@ -91,11 +91,9 @@ def cents_sql(x: str) -> str:
 def legacy_export(spark, sf_dir):
     """The legacy export of the model as a CSV file in the shared folder (written
     once: header, Latin-1, CRLF, quoted multi-line cells), read with the legacy
-    reader.  Without a shared folder the rows are used directly."""
+    reader."""
     m = load_model(spark, sf_dir)
     loc = model_location(spark, sf_dir)
-    if loc is None:
-        return LG.legacy_rows(m.bookings, m.customers)
     path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv",
                         lambda p: LG.write_legacy_csv(
                             LG.legacy_rows(m.bookings, m.customers).repartitionByRange("RECORDID"), p))
@@ -105,12 +103,9 @@ def legacy_export(spark, sf_dir):
 def legacy_source(spark, sf_dir):
     """The staging table of the import: the export loaded once from the CSV into
     an untouched parquet copy (S4), on which every migration step runs, as the
-    SQL importer loads the file into a table first.  Without a shared folder the
-    export is read directly."""
+    SQL importer loads the file into a table first."""
     loc = model_location(spark, sf_dir)
     csv = legacy_export(spark, sf_dir)
-    if loc is None:
-        return csv
     path = publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
                         lambda p: LG.write_raw(csv, p))
     return spark.read.schema(LG.LEGACY_SCHEMA).parquet(path)   # all text, schema known
@@ -352,13 +347,9 @@ def s5_import_json(spark, sf_dir):
     from innkeep import schemas
     customers, _ = MG.migrate(legacy_source(spark, sf_dir))
     loc = model_location(spark, sf_dir)
-    if loc is None:
-        back = customers.select("data")
-    else:
-        path = publish_once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
-                     lambda p: LG.write_import_json(customers, p))
-        back = spark.read.schema(T.StructType([T.StructField("data", schemas.CUSTOMER_DOC)])) \
-            .json(path)
+    path = publish_once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
+                        lambda p: LG.write_import_json(customers, p))
+    back = spark.read.schema(T.StructType([T.StructField("data", schemas.CUSTOMER_DOC)])).json(path)
     d = F.col("data")
     return back.select(d["keyword"].alias("keyword"), d["name"]["given"].alias("given"),
                        d["name"]["family"].alias("family"), d["note"].alias("note"))

@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from innkeep.functions import periods as P
+from innkeep.sources import documents as DOC
 from innkeep.operators import quality as Q
 from innkeep.operators import restore as RS
 from innkeep.plans.catalog import register
@@ -211,8 +213,6 @@ def j5_cascade_delete(spark, sf_dir):
 def _backup_path(spark, sf_dir):
     loc = model_location(spark, sf_dir)
     m = load_model(spark, sf_dir)
-    if loc is None:
-        return None, m
     path = publish_once(spark, f"{loc}/backup-v1",
                         lambda p: RS.backup(m.customers, m.bookings, p))
     return path, m
@@ -234,14 +234,107 @@ def j3_restore_bookings(spark, sf_dir):
     """S6 + S7 + J3: back up both tables (JSON), restore with new ids; bookings
     follow their customer through the import key."""
     path, m = _backup_path(spark, sf_dir)
-    if path is None:
-        c, b = RS.remap_ids(m.customers, m.bookings, CUSTOMER_START, BOOKING_START)
-    else:
-        c, b = RS.restore(spark, path, CUSTOMER_START, BOOKING_START)
+    c, b = RS.restore(spark, path, CUSTOMER_START, BOOKING_START)
     key = c.select(F.col("id").alias("customer"), F.col("data._import_key").alias("old_customer"))
     return b.join(key, "customer").select("id", "old_id", "customer", "old_customer")
 
 
+def _backup_object(spark, sf_dir):
+    m = load_model(spark, sf_dir)
+    return publish_once(spark, f"{model_location(spark, sf_dir)}/backup-object-v1",
+                        lambda p: DOC.write_backup(m.customers, m.bookings, p))
+
+
+@register("s6_backup_object", """
+SELECT bk.id, bk.customer, cu.keyword AS keyword, bk.arrival, bk.departure, bk.deposit_asked, bk.deposit_got,
+       bk.n_guests, bk.has_invoice, bk.modified, false AS corrupt
+FROM bk JOIN cu ON cu.id = bk.customer
+""")
+def s6_backup_object(spark, sf_dir):
+    """S6 + S7 + T4 + T5: both tables written as one backup object in the exchanged
+    encoding and read back (period pairs, money in units, tax variants)."""
+    c, b = DOC.read_backup(spark, _backup_object(spark, sf_dir))
+    names = c.select(F.col("id").alias("customer"), F.col("data.keyword").alias("keyword"),
+                     F.col("_corrupt").alias("c_corrupt"))
+    d = F.col("data")
+    return b.join(names, "customer").select(
+        "id", "customer", "keyword", P.arrival_of(d["period"]).alias("arrival"),
+        P.departure_of(d["period"]).alias("departure"), d["deposit_asked"].alias("deposit_asked"),
+        d["deposit_got"].alias("deposit_got"), F.size(d["guests"]).alias("n_guests"),
+        d["invoice"].isNotNull().alias("has_invoice"), "modified",
+        (F.col("_corrupt").isNotNull() | F.col("c_corrupt").isNotNull()).alias("corrupt"))
+
+
+@register("s2_json_bookings", """
+SELECT bk.id, bk.customer, bk.arrival, bk.departure, bk.deposit_asked,
+       CASE WHEN bk.id % 7 = 0 THEN 'kept' ELSE '' END AS broken
+FROM bk WHERE bk.id % 7 <> 0
+UNION ALL SELECT bk.id, bk.customer, NULL, NULL, NULL, 'kept' FROM bk WHERE bk.id % 7 = 0
+""")
+def s2_json_bookings(spark, sf_dir):
+    """S2 + T4: bookings from JSON Lines in the exchanged encoding; every seventh
+    document lacks its note and stays, whole, as a corrupt one."""
+    m = load_model(spark, sf_dir)
+
+    def write(p):
+        good = DOC.encode_rows(m.bookings, "bookings")
+        good.select(F.when(F.col("id") % 7 == 0, F.replace(F.col("text"), F.lit('"note":'), F.lit('"noted":')))
+                    .otherwise(F.col("text")).alias("value")).write.text(p)
+    path = publish_once(spark, f"{model_location(spark, sf_dir)}/bookings-json-v1", write)
+    d = F.col("data")
+    return DOC.read_rows(spark, path, "bookings").select(
+        "id", "customer", P.arrival_of(d["period"]).alias("arrival"), P.departure_of(d["period"]).alias("departure"),
+        d["deposit_asked"].alias("deposit_asked"),
+        F.when(F.col("_corrupt").contains('"noted":'), F.lit("kept")).otherwise(F.lit("")).alias("broken"))
+
+
+@register("s1_json_customers", """
+SELECT id, keyword, given, family, city, created, modified FROM cu
+""")
+def s1_json_customers(spark, sf_dir):
+    """Customers from JSON Lines in the exchanged encoding."""
+    m = load_model(spark, sf_dir)
+    path = publish_once(spark, f"{model_location(spark, sf_dir)}/customers-json-v1",
+                        lambda p: DOC.write_rows(m.customers, p, "customers"))
+    d = F.col("data")
+    return DOC.read_rows(spark, path, "customers").where(F.col("_corrupt").isNull()).select(
+        "id", d["keyword"].alias("keyword"), d["name"]["given"].alias("given"), d["name"]["family"].alias("family"),
+        d["address"]["city"].alias("city"), "created", "modified")
+
+
+@register("s10_single_table_export", """
+SELECT -1 AS id, cu.id AS customer, bk.arrival, bk.departure, bk.n_guests, cu.modified
+FROM cu JOIN bk ON bk.customer = cu.id
+UNION ALL SELECT cu.id, NULL, NULL, NULL, CAST((SELECT count(*) FROM bk WHERE bk.customer = cu.id) AS INTEGER), cu.modified FROM cu
+""")
+def s10_single_table_export(spark, sf_dir):
+    """The old export (a customer's document holds its bookings) split into
+    customers and bookings; customers are listed with their number of bookings."""
+    m = load_model(spark, sf_dir)
+
+    def write(p):            # the layout itself has one document per customer
+        inner = m.bookings.groupBy(F.col("customer").alias("customer_id")).agg(
+            F.collect_list(DOC.encode_booking()).alias("b"))
+        doc = F.concat(F.regexp_replace(DOC.encode_customer(), r"\}$", ""), F.lit(',"bookings":['),
+                       F.array_join(F.coalesce("b", F.array().cast("array<string>")), ","), F.lit("]}"))
+        rows = m.customers.withColumnRenamed("id", "customer_id").join(inner, "customer_id", "left")
+        rows.select(F.concat(
+            F.lit('{"customer_id":'), F.col("customer_id").cast("string"),
+            *[x for c in ("created", "modified") for x in
+              (F.lit(f',"{c}":"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'))],
+            F.lit(',"data":'), doc, F.lit("}")).alias("value")).write.text(p)
+    path = publish_once(spark, f"{model_location(spark, sf_dir)}/single-table-v1", write)
+    c, b = DOC.read_single_table(spark, path, multi_line=False)
+    d = F.col("data")
+    per = b.groupBy("customer").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("customer", "bigint"), ("arrival", "date"), ("departure", "date"))]
+    return b.where(F.col("_corrupt").isNull()).select(
+        "id", "customer", P.arrival_of(d["period"]).alias("arrival"), P.departure_of(d["period"]).alias("departure"),
+        F.size(d["guests"]).alias("n_guests"), "modified").unionByName(
+            c.where(F.col("_corrupt").isNull()).join(per, c.id == per.customer, "left").select(
+                "id", *none, F.coalesce("n", F.lit(0)).alias("n_guests"), "modified"))
+
+
 @register("s7_restore_customers", _RESTORE_SQL + """
 SELECT nc.new_id AS id, cu.id AS import_key, cu.keyword, cu.created, cu.modified
 FROM nc JOIN cu ON cu.id = nc.old_id
@@ -249,7 +342,7 @@ FROM nc JOIN cu ON cu.id = nc.old_id
 def s7_restore_customers(spark, sf_dir):
     """S6 + S7: restored customers (new ids, old id kept as import key, timestamps kept)."""
     path, m = _backup_path(spark, sf_dir)
-    customers = m.customers if path is None else RS.read_backup(spark, path)[0]
+    customers = RS.read_backup(spark, path)[0]
     c = RS.remap_customers(customers, CUSTOMER_START)
     return c.select("id", F.col("data._import_key").alias("import_key"),
                     F.col("data.keyword").alias("keyword"), "created", "modified")

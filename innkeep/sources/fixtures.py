@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from innkeep.functions import periods as P
 from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, leaf_tokens
 from innkeep.operators.invoices import invoice_document
-from innkeep.session import scratch_root
+from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources import shared
 from innkeep.sources.tables import read_table, write_bookings
 
@@ -219,7 +219,7 @@ def derive_model(spark: SparkSession, sf_dir: str) -> Model:
     return Model(customers, bookings, derive_invoice_numbers(bookings))
 
 
-def _model_key(sf_dir: str) -> str:
+def _model_key(spark: SparkSession, sf_dir: str) -> str:
     h = hashlib.sha1(MODEL_VERSION.encode())
     pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     for sub in ("sources", "functions", "operators"):
@@ -229,12 +229,8 @@ def _model_key(sf_dir: str) -> str:
                 with open(os.path.join(folder, name), "rb") as fh:
                     h.update(fh.read())
     for name in ("customer", "nation", "orders", "lineitem"):
-        p = os.path.join(sf_dir, f"{name}.parquet")
-        try:
-            st = os.stat(p)
-            h.update(f"{p}:{st.st_size}:{int(st.st_mtime)}".encode())
-        except OSError:
-            h.update(p.encode())
+        for status in shared.file_states(spark, f"{sf_dir}/{name}.parquet"):
+            h.update(status.encode())
     return h.hexdigest()[:16]
 
 
@@ -242,14 +238,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return shared.exists(spark, path)
 
 
-def model_location(spark: SparkSession, sf_dir: str) -> str | None:
-    """Folder of the published model, or None (no shared folder, or a session
-    without JVM access, where the model is derived lazily instead)."""
-    from innkeep.session import has_jvm
-    root = scratch_root(spark)
-    if not root or not has_jvm(spark):
-        return None
-    return f"{root.rstrip('/')}/innkeep-model/{_model_key(os.path.abspath(sf_dir))}"
+def model_location(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the published model, below the cluster's shared folder."""
+    root = ensure_checkpoint_dir(spark)
+    return f"{root.rstrip('/')}/innkeep-model/{_model_key(spark, sf_dir)}"
 
 
 _LOADED: dict[tuple[str, str], tuple[Model, int | None]] = {}
@@ -271,8 +263,6 @@ def _write_model(spark: SparkSession, sf_dir: str, loc: str) -> None:
 
 def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
     loc = model_location(spark, sf_dir)
-    if loc is None:
-        return derive_model(spark, sf_dir), None
     key = (spark.sparkContext.applicationId, loc)   # a JVM session here (see model_location)
     if key not in _LOADED:
         # written into a temporary folder and published with one rename
@@ -287,8 +277,7 @@ def _load(spark: SparkSession, sf_dir: str) -> tuple[Model, int | None]:
 
 def load_model(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Model:
     """The model for ``sf_dir``: read from the shared folder (written there first
-    if missing; plans are reused within a session); without a shared folder, the
-    lazily derived plan."""
+    if missing; plans are reused within a session)."""
     if not materialize:
         return derive_model(spark, sf_dir)
     return _load(spark, sf_dir)[0]

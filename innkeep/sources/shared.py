@@ -28,6 +28,17 @@ def _conf(spark: SparkSession):
     return spark.sparkContext._jsc.hadoopConfiguration()
 
 
+def file_states(spark: SparkSession, path: str) -> list[str]:
+    """Name, size and time of every file of a table, from its own file system."""
+    p = _path(spark, path)
+    fs = p.getFileSystem(_conf(spark))
+    found, it = [], fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return sorted(found)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = _path(spark, path)
     return p.getFileSystem(_conf(spark)).exists(p)

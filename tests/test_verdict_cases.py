@@ -122,6 +122,39 @@ def test_touches_compact_to_one_row_per_customer(spark, tmp_path):
     assert sorted((r.customer, r.touched) for r in got) == [(1, 7), (2, 3)]
 
 
+def test_backup_object_of_the_application(spark, tmp_path):
+    from innkeep.sources import documents as DOC
+    text = """{"customers":[{"id":4,"created":"2020-01-01T00:00:00","modified":"2020-01-02T00:00:00","data":{
+      "name":{"title":"","letter":"","given":"G","family":"F"},"company":{"name":"","address":""},
+      "address":{"street_with_num":"","postal_code":"","city":"","country":"","country_code":"D"},
+      "contact":{"phone":"","phone2":"","mobile":"","fax":"","fax2":"","mail":"","mail2":"","web":""},
+      "keyword":"k","note":""}},{"id":5,"data":{"keyword":"x"}}],
+     "bookings":[{"id":1,"customer":4,"created":"2020-01-01T00:00:00","modified":"2020-01-02T00:00:00","data":{
+      "period":["2020-02-05","2020-02-01"],"deposit_asked":12.34,"deposit_got":null,"tax_free":false,"note":"n",
+      "guests":[{"given":"g","family":"f","born":null}],"allocs":[{"room":"7","price_per_bed":45.0,"beds":2,"description":"d"}],
+      "invoice":{"id":null,"recipient":"r","date":"2020-02-05","title":"t","intro":"i",
+       "positions":[{"quantity":1,"description":"d","price":1.5,"tax":["Legacy",16]},
+                    {"quantity":1,"description":"d","price":1.5,"tax":7}],"closing":"c","deposit":0.0}}},
+      {"id":2,"customer":4,"data":{"period":["2020-02-05"],"tax_free":false,"note":"","guests":[],"allocs":[]}}]}"""
+    (tmp_path / "b.json").write_text(text, encoding="utf-8")
+    c, b = DOC.read_backup(spark, str(tmp_path / "b.json"))
+    c, b = {r.id: r for r in c.collect()}, {r.id: r for r in b.collect()}
+    assert c[4].data.address.country_code == "D" and c[4]._corrupt is None and '"x"' in c[5]._corrupt
+    d = b[1].data
+    assert (str(d.period.a), str(d.period.b), d.deposit_asked, d.deposit_got) == ("2020-02-05", "2020-02-01", 1234, None)
+    assert d.allocs[0].price_per_bed == 4500 and str(d.invoice.invoice_date) == "2020-02-05"
+    assert [(p.tax, p.legacy_rate) for p in d.invoice.positions] == [("Legacy", 16), ("Reduced7", None)]
+    assert b[2].data is None and "2020-02-05" in b[2]._corrupt
+
+
+def test_single_table_array(spark, tmp_path):
+    from innkeep.sources import documents as DOC
+    (tmp_path / "s.json").write_text('[{"customer_id":3,"created":null,"modified":null,"data":{"keyword":"k","bookings":['
+                                     '{"period":["2020-01-01","2020-01-03"],"tax_free":true,"note":"","guests":[],"allocs":[]}]}}]')
+    c, b = DOC.read_single_table(spark, str(tmp_path / "s.json"))
+    assert (c.first().id, b.first().id, b.first().customer, b.first().data.tax_free) == (3, -1, 3, True)
+
+
 def test_session_starts_without_any_configured_folder(tmp_path):
     code = ("from innkeep.session import get_session, ensure_checkpoint_dir\n"
             "s = get_session(master='local[1]')\nprint(bool(ensure_checkpoint_dir(s)), s.range(3).checkpoint().count())")
