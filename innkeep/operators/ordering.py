@@ -35,10 +35,15 @@ def stable(df: DataFrame) -> DataFrame:
 
 
 def with_global_index(df: DataFrame, order_cols: list, partition_col: str | None = None,
-                      index_col: str = "index", num_partitions: int | None = None) -> DataFrame:
+                      index_col: str = "index", num_partitions: int | None = None,
+                      total_col: str | None = None, groups: DataFrame | None = None) -> DataFrame:
     """Add ``index_col``: the 0-based position of each row in the order of
     ``order_cols`` (within ``partition_col`` when given), computed without
-    funnelling a group into one task (see the module docstring)."""
+    funnelling a group into one task (see the module docstring).
+
+    ``total_col`` adds the size of the row's group, ``groups`` (a frame with the
+    partition column) drops the rows of other groups; both act on the table of
+    counts, so the rows themselves do not move again."""
     spark = df.sparkSession
     grp = [partition_col] if partition_col else []
     keys = grp + list(order_cols)
@@ -51,7 +56,13 @@ def with_global_index(df: DataFrame, order_cols: list, partition_col: str | None
     w = (Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))).orderBy("_pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    out = tagged.join(offsets.select("_pid", *grp, "_off", "_first"), ["_pid", *grp], "inner")
+    extra = []
+    if total_col:
+        every = Window.partitionBy(*grp) if grp else Window.partitionBy(F.lit(0))
+        offsets, extra = offsets.withColumn(total_col, F.sum("_n").over(every)), [total_col]
+    if groups is not None:
+        offsets = offsets.join(groups.select(*grp), grp, "left_semi")
+    out = tagged.join(offsets.select("_pid", *grp, "_off", "_first", *extra), ["_pid", *grp], "inner")
     return (out.withColumn(index_col, (F.col("_off") + F.col("_mid") - F.col("_first"))
                            .cast("bigint"))
             .drop("_pid", "_mid", "_off", "_first"))

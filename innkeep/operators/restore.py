@@ -66,10 +66,10 @@ def remap_customers(customers: DataFrame, customer_start: int, check: bool = Tru
     ``data._import_key``."""
     if check:
         check_unique_customers(customers)
-    c = with_global_index(customers, ["id"], index_col="_n")
-    return c.select((F.col("_n") + customer_start).alias("id"),
-                    F.col("data").withField("_import_key", F.col("id")).alias("data"),
-                    "created", "modified")
+    n = with_global_index(customers.select("id"), ["id"], index_col="_n")   # documents are not moved to count
+    return customers.join(n, "id").select(
+        (F.col("_n") + customer_start).alias("id"),
+        F.col("data").withField("_import_key", F.col("id")).alias("data"), "created", "modified")
 
 
 def remap_ids(customers: DataFrame, bookings: DataFrame, customer_start: int,
@@ -80,12 +80,15 @@ def remap_ids(customers: DataFrame, bookings: DataFrame, customer_start: int,
         check_restorable(customers, bookings)
     new_c = remap_customers(customers, customer_start, check=False)
     key = new_c.select(F.col("data._import_key").alias("_old"), F.col("id").alias("_new"))
-    b = with_global_index(bookings.select(
-        "*", (-F.col("customer")).alias("_c_desc"), (-F.col("id")).alias("_b_desc")),
+    numbered = with_global_index(bookings.select(
+        "id", "customer", (-F.col("customer")).alias("_c_desc"), (-F.col("id")).alias("_b_desc")),
         ["_c_desc", "_b_desc"], index_col="_n")
-    new_b = (b.join(key, b["customer"] == key["_old"], "inner")
-             .select((F.col("_n") + booking_start).alias("id"), F.col("_new").alias("customer"),
-                     "data", "created", "modified", F.col("id").alias("old_id")))
+    ids = numbered.join(key, numbered["customer"] == key["_old"], "inner").select(
+        F.col("id").alias("old_id"), (F.col("_n") + booking_start).alias("_id"), F.col("_new").alias("_customer"))
+    # ids only so far; each document moves once, to its new id
+    new_b = (bookings.select("id", "data", "created", "modified").join(ids, F.col("id") == F.col("old_id"))
+             .select(F.col("_id").alias("id"), F.col("_customer").alias("customer"), "data", "created", "modified",
+                     "old_id"))
     return new_c, new_b
 
 

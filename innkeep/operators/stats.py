@@ -161,19 +161,3 @@ def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
             .agg(F.sum("arrivals").cast("bigint").alias("arrivals"),
                  F.sum("nights").cast("bigint").alias("nights"),
                  F.sum("carry").cast("bigint").alias("carry")))
-
-
-def ordered_summary(stats: DataFrame) -> DataFrame:
-    """Country summary in descending key order, total row last."""
-    return stats.orderBy(F.col("country").isNull(), F.col("country").desc())
-
-
-def ordered_invoice_rows(rows: DataFrame) -> DataFrame:
-    """Statistics rows by invoice number, descending, missing numbers last."""
-    return rows.orderBy(F.col("invoice_no").desc_nulls_last(), F.col("id"))
-
-
-def month_title(month) -> str:
-    from innkeep.functions.periods import MONTH_NAMES
-    m = month if isinstance(month, dt.date) else dt.date.fromisoformat(str(month))
-    return f"Statistik {MONTH_NAMES[m.month - 1]} {m.year}"

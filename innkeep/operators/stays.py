@@ -119,8 +119,9 @@ def embedded_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
 
     Positions come from the distributed global index (range partitioning on
     customer and the sort keys), so a customer holding a third of all bookings
-    is spread over many tasks instead of one; the counts are a partial
-    aggregate.
+    is spread over many tasks instead of one.  List lengths and the check that
+    the customer exists act on the table of counts per partition and customer, so
+    the bookings are dealt out by range once and joined with that table once.
     """
     from innkeep.operators.ordering import with_global_index
     b = bookings.select(F.col("customer").alias("id"), F.col("id").alias("booking"), "arrival",
@@ -128,21 +129,17 @@ def embedded_bookings(customers: DataFrame, bookings: DataFrame) -> DataFrame:
     keyed = b.select("*", F.datediff(F.lit("2100-01-01"), "arrival").alias("_ka"),
                      F.datediff(F.lit("2100-01-01"), "departure").alias("_kd"),
                      (-F.col("booking")).alias("_kb"))
-    pos = with_global_index(keyed, ["_ka", "_kd", "_kb"], partition_col="id",
-                            index_col="position").drop("_ka", "_kd", "_kb")
-    counts = b.groupBy("id").agg(F.count(F.lit(1)).alias("n_bookings"))
-    # the (possibly skewed) booking rows stay on the probe side of an inner join;
-    # customers without bookings are added by an anti join on the per-customer counts
-    with_n = pos.join(counts, "id", "inner")
-    none = (customers.select("id").join(counts, "id", "left_anti")
+    pos = with_global_index(keyed, ["_ka", "_kd", "_kb"], partition_col="id", index_col="position",
+                            total_col="n_bookings", groups=customers.select("id"))
+    some = b.select("id").distinct()
+    none = (customers.select("id").join(some, "id", "left_anti")
             .select("id", F.lit(0).cast("bigint").alias("n_bookings"),
                     F.lit(None).cast("bigint").alias("position"),
                     F.lit(None).cast("bigint").alias("booking"),
                     F.lit(None).cast("date").alias("arrival"),
                     F.lit(None).cast("date").alias("departure")))
     cols = ["id", "n_bookings", "position", "booking", "arrival", "departure"]
-    return with_n.join(customers.select("id"), "id", "left_semi").select(*cols) \
-        .unionByName(none.select(*cols))
+    return pos.select(*cols).unionByName(none.select(*cols))
 
 
 def last_stays(bookings: DataFrame) -> DataFrame:

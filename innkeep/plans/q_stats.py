@@ -147,3 +147,54 @@ def e2_customer_stay_span(spark, sf_dir):
     return (m.bookings.groupBy("customer")
             .agg(F.min("arrival").alias("first_arrival"), F.max("departure").alias("last_departure"),
                  F.count(F.lit(1)).alias("n_stays")))
+
+
+@register("e3_period_edits", """
+SELECT id, CASE WHEN id % 3 = 0 THEN CAST(arrival - 2 AS DATE) ELSE arrival END AS new_from, departure AS new_till,
+       least(arrival, DATE '1996-01-01') AS all_from, greatest(departure, DATE '1996-01-08') AS all_till
+FROM bk
+""")
+def e3_period_edits(spark, sf_dir):
+    """E2 + E3: every third arrival moved two days ahead, other ends kept; the period
+    that covers the stay and a given week."""
+    from innkeep.functions import periods as P
+    m = load_model(spark, sf_dir)
+    moved = P.update_period(F.struct(F.col("arrival").alias("a"), F.col("departure").alias("b")),
+                            a=F.when(F.col("id") % 3 == 0, F.date_sub("arrival", 2)))
+    lo, hi = P.cover("arrival", "departure", F.lit("1996-01-01").cast("date"), F.lit("1996-01-08").cast("date"))
+    return m.bookings.select("id", moved["a"].alias("new_from"), moved["b"].alias("new_till"),
+                             lo.alias("all_from"), hi.alias("all_till"))
+
+
+@register("e9_local_tax_bands", """
+SELECT id, CAST(CASE WHEN year(d) <= 2021 THEN CASE WHEN month(d) BETWEEN 4 AND 10 THEN 200 ELSE 80 END
+                     WHEN year(d) <= 2025 THEN CASE WHEN month(d) BETWEEN 4 AND 10 THEN 250 ELSE 100 END
+                     ELSE CASE WHEN month(d) BETWEEN 4 AND 10 THEN 330 ELSE 150 END END AS BIGINT) AS cents
+FROM (SELECT id, CAST(departure + to_years(CAST(24 + id % 8 AS INTEGER)) AS DATE) AS d FROM bk)
+""")
+def e9_local_tax_bands(spark, sf_dir):
+    """The local tax of every booking as if it left 24 to 31 years later, which
+    reaches all three bands."""
+    from innkeep.functions.taxes import local_tax_cents
+    m = load_model(spark, sf_dir)
+    later = F.add_months("departure", ((24 + F.col("id") % 8) * 12).cast("int"))
+    return m.bookings.select("id", local_tax_cents(later).alias("cents"))
+
+
+@register("e21_blank_rules", """
+SELECT id, CASE WHEN title IN ('Herrn', 'Herrn und Frau', 'Frau', 'Herrn Dr.', 'Frau Dr.', 'Familie') THEN
+         CASE title WHEN 'Herrn' THEN 'Sehr geehrter Herr' WHEN 'Herrn und Frau' THEN 'Sehr geehrte Frau, sehr geehrter Herr'
+              WHEN 'Frau' THEN 'Sehr geehrte Frau' WHEN 'Herrn Dr.' THEN 'Sehr geehrter Herr Dr.'
+              WHEN 'Frau Dr.' THEN 'Sehr geehrte Frau Dr.' ELSE 'Liebe Familie' END END AS letter,
+       CASE WHEN mail = '' THEN phone ELSE mail END AS reach, nullif(trim(mail), '') AS mail
+FROM cu
+""")
+def e21_blank_rules(spark, sf_dir):
+    """E19 + E21: the greeting of a title, the first non-blank way to reach a customer,
+    blank mail addresses as null."""
+    from innkeep.functions import text as TXT
+    d = F.col("data")
+    return load_model(spark, sf_dir).customers.select(
+        "id", TXT.letter_for_title(d["name"]["title"]).alias("letter"),
+        TXT.coalesce_blank(d["contact"]["mail"], d["contact"]["phone"]).alias("reach"),
+        TXT.blank_to_null(d["contact"]["mail"]).alias("mail"))

@@ -18,26 +18,6 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
-def read_customers(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Customers with their explicit schema (id, created, modified, data,
-    keyword, tokens); JSON input may omit the generated columns."""
-    if fmt == "parquet":
-        return spark.read.schema(schemas.CUSTOMERS).parquet(path)
-    df = spark.read.schema(schemas.CUSTOMERS).format(fmt).load(path)
-    from innkeep.functions.text import leaf_tokens
-    return (df.withColumn("keyword", F.coalesce("keyword", F.col("data.keyword")))
-            .withColumn("tokens", F.coalesce("tokens", leaf_tokens("data"))))
-
-
-def read_bookings(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Bookings with their explicit schema; generated stay dates are
-    recomputed from the period when missing."""
-    from innkeep.functions.periods import arrival_of, departure_of
-    df = spark.read.schema(schemas.BOOKINGS).format(fmt).load(path)
-    return (df.withColumn("arrival", F.coalesce("arrival", arrival_of("data.period")))
-            .withColumn("departure", F.coalesce("departure", departure_of("data.period"))))
-
-
 def write_bookings(bookings: DataFrame, path: str) -> None:
     """Bookings laid out for date filters: partitioned by arrival year, sorted by
     arrival inside the files (row-group statistics skip the rest); the
