@@ -154,11 +154,13 @@ def components(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
                hits: float = HITS, cap: float = CAP, blocks: int = BLOCKS, codes: int = CODES,
                block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
-    v = F.col(vector_col).cast("array<float>")
+    element = table.schema[vector_col].dataType.elementType.simpleString()
+    kind = "double" if element == "double" else "float"
+    v = F.col(vector_col).cast(f"array<{kind}>")
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("vector")).withColumn(
         "vector", F.when(F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
                          | ~F.exists("vector", lambda x: x != 0), None)
-        .otherwise(F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast("float")).otherwise(x))))
+        .otherwise(F.transform("vector", lambda x: F.when(x == 0, F.lit(0.0).cast(kind)).otherwise(x))))
     good = rows.where("vector is not null").withColumn("digest", F.sha2(F.to_binary(F.concat_ws(
         ",", F.transform("vector", lambda x: x.cast("string"))), F.lit("utf-8")), 256))
     nodes = cut_lineage(good.groupBy("digest").agg(
