@@ -218,24 +218,52 @@ def confirmation_letters(bookings: DataFrame, customers: DataFrame, letter_date:
     return j.select("id", letter.alias("letter"))
 
 
-def invoice_lines(invoice="data.invoice") -> Column:
-    """Rendered invoice rows: positions with tax labels, sum, deposit, rest and
-    the tax table (label, rate or split text, included tax).  The tax table,
+# Headings and labels of the invoice letter.
+INVOICE_HEADINGS = (("left", "Anzahl"), ("left", "Beschreibung"), ("right", "Steuer"), ("right", "Einzelpreis"),
+                    ("right", "Preis"))
+INVOICE_SUMS = ("Summe", "Anzahlung", "Restsumme")
+INCLUDED_TAX = "enthaltene Mehrwertsteuer"
+_RIGHT = ' style="text-align:right"'
+
+
+def _cell(text, right: bool = False) -> Column:
+    return F.concat(F.lit(f"<td{_RIGHT if right else ''}>"), text, F.lit("</td>"))
+
+
+def _euro(cents) -> Column:
+    return F.concat(format_money(cents), F.lit("€"))
+
+
+def invoice_body(invoice="data.invoice") -> Column:
+    """The letter's body: intro, table of positions with tax labels and sums, the
+    included taxes (rate and amount, or the split text), closing.  The tax table,
     labels and sum are bound once per invoice."""
     inv = _c(invoice)
+    heading = "".join(f'<th style="text-align:{side}">{name}</th>' for side, name in INVOICE_HEADINGS)
+
+    def row(cells):
+        return F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
 
     def render(table, labels, total):
-        pos = F.transform(inv["positions"], lambda p, i: F.format_string(
-            "%dx|%s|%s|%s€|%s€", p["quantity"], p["description"], labels[i],
-            format_money(p["price"]), format_money(p["quantity"].cast("bigint") * p["price"])))
-        sums = F.array(F.format_string("Summe|%s€", format_money(total)),
-                       F.format_string("Anzahlung|%s€", format_money(inv["deposit"])),
-                       F.format_string("Restsumme|%s€", format_money(total - inv["deposit"])))
-        taxes = F.transform(table, lambda r: F.when(
-            r["kind"] == 0, F.format_string("%s|%d%%|%s€", r["label"], r["rate"],
-                                            format_money(r["tax_cents"])))
-            .otherwise(F.format_string("%s|%s", r["label"], r["description"])))
-        return F.concat(pos, sums, taxes)
+        positions = F.transform(inv["positions"], lambda p, i: row([
+            _cell(F.format_string("%dx", p["quantity"])), _cell(escape_html(p["description"])),
+            _cell(labels[i], True), _cell(_euro(p["price"]), True),
+            _cell(_euro(p["quantity"].cast("bigint") * p["price"]), True)]))
+        amounts = (total, inv["deposit"], total - inv["deposit"])
+        sums = F.array(*[row([F.lit("<td></td>" * 3 + f"<th{_RIGHT}>{name}</th>"), _cell(_euro(x), True)])
+                         for name, x in zip(INVOICE_SUMS, amounts)])
+        taxes = F.transform(table, lambda r: F.concat(
+            F.lit("<div><strong>"), r["label"], F.lit("</strong></div>"),
+            F.when(r["kind"] == 0, F.concat(
+                F.format_string('<div class="tax-rate">%d%%</div><div class="tax-value">', r["rate"]),
+                _euro(r["tax_cents"]), F.lit("</div><div></div>")))
+            .otherwise(F.concat(F.lit('<div class="tax-split">'), escape_html(r["description"]), F.lit("</div>")))))
+        return F.concat_ws(
+            "\n", _p(escape_html(inv["intro"])),
+            F.lit(f'<table style="width:100%"><thead><tr>{heading}</tr></thead>'), F.array_join(
+                F.concat(positions, sums), "\n"), F.lit("</table>"),
+            F.lit(f'<div class="tax-grid"><div class="tax-header"><strong>{INCLUDED_TAX}</strong></div>'),
+            F.array_join(taxes, "\n"), F.lit("</div>"), _p(escape_html(inv["closing"])))
 
     return let(INV.tax_rows(inv), lambda table: let(
         INV.labels_for(inv["positions"], table), lambda labels: let(
@@ -243,20 +271,16 @@ def invoice_lines(invoice="data.invoice") -> Column:
 
 
 def invoice_letters(bookings: DataFrame) -> DataFrame:
-    """Invoice letter per stored invoice: subject, sidebar facts, rendered lines."""
+    """The letter record of each stored invoice (sender and attachments empty)."""
     inv = F.col("data.invoice")
-    sidebar = F.concat_ws("\n", F.when(inv["id"].isNotNull(),
-                                       F.concat(F.lit("Rechnungsnummer: "), inv["id"])),
-                          F.when(inv["invoice_date"].isNotNull(),
-                                 F.concat(F.lit("Rechnungs-Datum: "), local_date(inv["invoice_date"]))),
-                          F.when(inv["departure_date"].isNotNull(),
-                                 F.concat(F.lit("Abreise-Datum: "),
-                                          local_date(inv["departure_date"]))))
+    fact = [F.when(value.isNotNull(), F.concat(F.lit(f"<b>{name}</b><br/>"), escape_html(value))) for name, value in
+            (("Rechnungsnummer", inv["id"]), ("Rechnungs-Datum", local_date(inv["invoice_date"])),
+             ("Abreise-Datum", local_date(inv["departure_date"])))]      # fixed values: names of the facts
     return (has_invoice(bookings)
-            .select("id", inv["title"].alias("subject"),
-                    F.regexp_replace(escape_html(inv["recipient"]), "\n", "<br>").alias("recipient"),
-                    sidebar.alias("sidebar"),
-                    F.array_join(invoice_lines(inv), "\n").alias("body")))
+            .select("id", F.lit("").alias("sender"), inv["title"].alias("subject"),
+                    F.regexp_replace(inv["recipient"], "\n", "<br>").alias("recipient"),
+                    F.concat_ws("\n<br/>\n", *fact).alias("sidebar"), invoice_body(inv).alias("body"),
+                    F.lit("").alias("attachments")))
 
 
 def mailing(customers: DataFrame, letter_date: str, kind: str = "flyer",

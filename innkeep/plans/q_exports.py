@@ -177,6 +177,9 @@ def d3_confirmation_letters(spark, sf_dir):
     return c.select("id", "letter.subject", "letter.recipient", "letter.body")
 
 
+_TDR = '<td style="text-align:right">'
+
+
 @register("d4_invoice_letters", _RULES + f"""
 , pl AS (
   SELECT po.*, row_number() OVER (PARTITION BY booking ORDER BY grp, ln, pk, sk, q) AS pos,
@@ -185,15 +188,16 @@ def d3_confirmation_letters(spark, sf_dir):
   FROM po
 ), lines AS (
   SELECT pl.booking, 1 AS sec, pl.pos AS k,
-         CAST(pl.quantity AS VARCHAR) || 'x|' || pl.description || '|' || l.label || '|'
-           || {money_sql('pl.price')} || '€|' || {money_sql('CAST(pl.quantity AS BIGINT) * pl.price')} || '€' AS line
+         '<tr><td>' || CAST(pl.quantity AS VARCHAR) || 'x</td><td>' || pl.description || '</td>{_TDR}' || l.label
+           || '</td>{_TDR}' || {money_sql('pl.price')} || '€</td>{_TDR}'
+           || {money_sql('CAST(pl.quantity AS BIGINT) * pl.price')} || '€</td></tr>' AS line
   FROM pl JOIN labelled l ON l.booking = pl.booking AND l.kind = pl.kind
     AND l.rate IS NOT DISTINCT FROM pl.rate
   UNION ALL
   SELECT l.booking, 3, ascii(l.label),
-         CASE WHEN l.kind = 0 THEN l.label || '|' || CAST(l.rate AS VARCHAR) || '%|'
-              || {money_sql('CAST(floor((2 * s.s * l.rate + (100 + l.rate)) / (2 * (100 + l.rate))) AS BIGINT)')} || '€'
-              ELSE l.label || '|Enthält 3,00€ Getränke-Anteil pro Frühstück zu 19%, Rest 7%' END
+         CASE WHEN l.kind = 0 THEN '<div><strong>' || l.label || '</strong></div><div class="tax-rate">' || CAST(l.rate AS VARCHAR)
+              || '%</div><div class="tax-value">' || {money_sql('CAST(floor((2 * s.s * l.rate + (100 + l.rate)) / (2 * (100 + l.rate))) AS BIGINT)')} || '€</div><div></div>'
+              ELSE '<div><strong>' || l.label || '</strong></div><div class="tax-split">Enthält 3,00€ Getränke-Anteil pro Frühstück zu 19%, Rest 7%</div>' END
   FROM labelled l LEFT JOIN sums s ON s.booking = l.booking AND s.rate = l.rate
 ), tot AS (
   SELECT inv.booking, coalesce(sum(CAST(po.quantity AS BIGINT) * po.price), 0) AS total,
@@ -202,17 +206,27 @@ def d3_confirmation_letters(spark, sf_dir):
   GROUP BY inv.booking, bk.deposit_got
 ), all_lines AS (
   SELECT booking, sec, k, line FROM lines
-  UNION ALL SELECT booking, 2, 1, 'Summe|' || {money_sql('total')} || '€' FROM tot
-  UNION ALL SELECT booking, 2, 2, 'Anzahlung|' || {money_sql('dep')} || '€' FROM tot
-  UNION ALL SELECT booking, 2, 3, 'Restsumme|' || {money_sql('total - dep')} || '€' FROM tot
+  UNION ALL SELECT booking, 2, 1, '<tr><td></td><td></td><td></td><th style="text-align:right">Summe</th>{_TDR}' || {money_sql('total')} || '€</td></tr>' FROM tot
+  UNION ALL SELECT booking, 2, 2, '<tr><td></td><td></td><td></td><th style="text-align:right">Anzahlung</th>{_TDR}' || {money_sql('dep')} || '€</td></tr>' FROM tot
+  UNION ALL SELECT booking, 2, 3, '<tr><td></td><td></td><td></td><th style="text-align:right">Restsumme</th>{_TDR}' || {money_sql('total - dep')} || '€</td></tr>' FROM tot
 )
-SELECT inv.booking AS id, 'Rechnung' AS subject, replace(inv.recipient, chr(10), '<br>') AS recipient,
-       concat_ws(chr(10), CASE WHEN inv.invoice_no IS NOT NULL THEN 'Rechnungsnummer: ' || inv.invoice_no END,
-                 'Rechnungs-Datum: ' || {local_date_sql('inv.invoice_date')},
-                 'Abreise-Datum: ' || {local_date_sql('inv.departure')}) AS sidebar,
-       (SELECT string_agg(line, chr(10) ORDER BY sec, k) FROM all_lines a WHERE a.booking = inv.booking)
-         AS body
-FROM inv
+SELECT inv.booking AS id, '' AS sender, '' AS attachments, 'Rechnung' AS subject,
+       replace(inv.recipient, chr(10), '<br>') AS recipient,
+       concat_ws(chr(10) || '<br/>' || chr(10),
+                 CASE WHEN inv.invoice_no IS NOT NULL THEN '<b>Rechnungsnummer</b><br/>' || inv.invoice_no END,
+                 '<b>Rechnungs-Datum</b><br/>' || {local_date_sql('inv.invoice_date')},
+                 '<b>Abreise-Datum</b><br/>' || {local_date_sql('inv.departure')}) AS sidebar,
+       '<p>' || 'Für Ihren Aufenthalt vom ' || {period_sql('bk.arrival', 'bk.departure')}
+         || ' stellen wir die folgenden Positionen in Rechnung.' || '</p>' || chr(10) || '<table style="width:100%"><thead><tr>'
+         || '<th style="text-align:left">Anzahl</th><th style="text-align:left">Beschreibung</th>'
+         || '<th style="text-align:right">Steuer</th><th style="text-align:right">Einzelpreis</th>'
+         || '<th style="text-align:right">Preis</th></tr></thead>' || chr(10)
+         || (SELECT string_agg(line, chr(10) ORDER BY sec, k) FROM all_lines a WHERE a.booking = inv.booking AND sec < 3)
+         || chr(10) || '</table>' || chr(10)
+         || '<div class="tax-grid"><div class="tax-header"><strong>enthaltene Mehrwertsteuer</strong></div>' || chr(10)
+         || coalesce((SELECT string_agg(line, chr(10) ORDER BY sec, k) FROM all_lines a WHERE a.booking = inv.booking AND sec = 3), '')
+         || chr(10) || '</div>' || chr(10) || '<p>Wir hoffen, dass es Ihnen bei uns gefallen hat und freuen uns, wenn Sie uns wieder einmal besuchen.</p>' AS body
+FROM inv JOIN bk ON bk.id = inv.booking
 """)
 def d4_invoice_letters(spark, sf_dir):
     """D4 + A4 + A7 + W3: invoice letter of every stored invoice."""
