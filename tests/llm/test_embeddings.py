@@ -52,5 +52,24 @@ def test_links_match_brute_force(spark):
         assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_recall_at_exactly_the_limit():
+    """Worst case: pairs at cosine 0.95, the code sized for 50,000 vectors."""
+    rng = np.random.default_rng(5)
+    n, dim = 1000, 64
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    z = rng.standard_normal((n, dim))
+    z -= (z * x).sum(axis=1)[:, None] * x
+    z /= np.linalg.norm(z, axis=1)[:, None]
+    y = 0.95 * x + np.sqrt(1 - 0.95 ** 2) * z
+    words, alpha = E.code_size(50_000)
+    found = np.zeros(n, bool)
+    for i in range(E.CODES):
+        cap = E.Caps(dim, words, alpha, E.BLOCKS, E.SEED + i)
+        a, b = (set(zip(*(v.tolist() for v in cap.decode(u)))) for u in (x, y))
+        found[[r for r, _ in a & b]] = True
+    assert found.mean() >= 0.99
+
+
 def test_empty_table(spark):
     assert E.components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
