@@ -14,8 +14,8 @@ keys, partial aggregation), so a line that a third of all documents share is
 one node.  Buckets of one are dropped before members move.  A bucket's members
 are first compared with a pivot each (two rounds with different pivots, chosen
 by a hash); components formed that way are then resolved, and only members of a
-bucket that are still in different components are compared with each other, in
-blocks inside tasks that return a spanning forest.  A large bucket is split into blocks
+bucket that are still in different components are compared with each other
+(behind a prefix filter), in blocks inside tasks that return a spanning forest.  A large bucket is split into blocks
 of ``block`` members, every pair of blocks meeting in one task.  Texts are
 fetched for members of shared buckets only.
 
@@ -26,6 +26,7 @@ stays); an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,17 +152,58 @@ def _forest(members: DataFrame, words: DataFrame, least: float, block: int) -> D
     m = m.select("band", "hash", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
                  "nid", "component", "words")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(bytes(w)) for w in g["words"]]
-        nid, comp = g["nid"].to_numpy(), g["component"].to_numpy().copy()
-        out = []
-        for i in range(len(g)):
-            for j in range(i + 1, len(g)):
-                if comp[i] != comp[j] and jaccard_at_least(sets[i], sets[j], least):
-                    out.append((nid[i], nid[j]))
-                    comp[comp == comp[j]] = comp[i]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-    return m.groupBy("band", "hash", "p", "q").applyInPandas(run, "a long, b long")
+    place = ["band", "hash", "p", "q"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # many small buckets in one task: rows arrive sorted, no bucket is cut
+        def done(rows: list) -> list:
+            return similar_pairs([r[4] for r in rows], [r[5] for r in rows], [bytes(r[6]) for r in rows], least)
+        held: list = []
+        for b in batches:
+            out = []
+            for row in b.itertuples(index=False, name=None):
+                if held and held[0][:4] != row[:4]:
+                    out += done(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if held:
+            yield pd.DataFrame(done(held), columns=["a", "b"], dtype="int64")
+    return m.select(*place, "nid", "component", "words").repartition(*[F.col(c) for c in place]) \
+        .sortWithinPartitions(*place, "nid").mapInPandas(run, "a long, b long")
+
+
+def similar_pairs(nid: list, component: list, words: list[bytes], least: float) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket.
+
+    Prefix filter: sets that reach the similarity share one of their first
+    ``len - ceil(least * len) + 1`` shingles in the order of rising frequency, so
+    only members that do are compared exactly.
+    """
+    sets = [shingles(w) for w in words]
+    often: dict = {}
+    for s in sets:
+        for g in s:
+            often[g] = often.get(g, 0) + 1
+    root = {c: c for c in component}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+    index: dict = {}
+    out = []
+    for i, s in enumerate(sets):
+        first = sorted(s, key=lambda g: (often[g], g))[:len(s) - math.ceil(least * len(s) - 1e-9) + 1]
+        for j in sorted({j for g in first for j in index.get(g, ())}):
+            a, b = find(component[i]), find(component[j])
+            if a != b and jaccard_at_least(s, sets[j], least):
+                root[b] = a
+                out.append((nid[j], nid[i]))
+        for g in first:
+            index.setdefault(g, []).append(i)
+    return out
 
 
 def groups(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:

@@ -56,6 +56,30 @@ def test_removed_lines_match_brute_force(spark):
         assert missed <= 0.01 * sum(map(len, want.values()))                # bands: recall by design 0.998
 
 
+def test_prefix_filter_loses_no_link():
+    rng = random.Random(5)
+    for _ in range(150):
+        base = [str(rng.randrange(30)) for _ in range(rng.randint(5, 60))]
+        words = []
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = str(rng.randrange(30))
+            words.append(" ".join(w).encode())
+        got = P.similar_pairs(list(range(12)), list(range(12)), words, 0.8)
+        sets = [P.shingles(w) for w in words]
+
+        def groups(pairs):
+            comp = list(range(12))
+            for a, b in pairs:
+                x, y = comp[a], comp[b]
+                comp = [x if c == y else c for c in comp]
+            return sorted(sorted(i for i in range(12) if comp[i] == c) for c in set(comp))
+        want = [(i, j) for i in range(12) for j in range(i) if P.jaccard_at_least(sets[i], sets[j], 0.8)]
+        assert all(P.jaccard_at_least(sets[a], sets[b], 0.8) for a, b in got)
+        assert groups(got) == groups(want)
+
+
 def test_remove_keeps_columns_and_short_lines(spark):
     df = spark.createDataFrame([(1, "a b c d e\nx", "p"), (2, "x\nA b c d e\ny", "q"), (3, None, "r")],
                                "doc_id long, text string, removed string")
