@@ -12,8 +12,8 @@ one anchor occurrence are consecutive; the bytes they span are its *segment*.
 
 **Suffix arrays.** The different segments of one anchor are aligned at it.
 They can only stop agreeing at a few offsets (where neighbours differ when they
-are sorted to the right, and to the left, of the anchor), so each segment is
-written as a short string of pieces between those offsets, equal pieces having
+are sorted to the right, and to the left, of the anchor; a segment that shares
+too little with both its neighbours shares no window).  So each segment is written as a short string of pieces between those offsets, equal pieces having
 equal symbols; a segment that occurs several times is written twice.  The suffix array
 of these strings is built by ``suffix_array``: suffixes are grouped by Lyndon
 prefix, groups are processed in descending order through pointers to the
@@ -143,20 +143,32 @@ def _shared(a: bytes, b: bytes) -> int:
 def repeated_parts(segments: list[tuple[int, bytes, bool]], width: int = WIDTH) -> list[list[tuple[int, int]]]:
     """Per segment (offset of the anchor in it, bytes, occurs several times): the
     covered byte ranges, relative to the anchor."""
-    right = sorted(s[left:] for left, s, _ in segments)
-    left_side = sorted(s[:left][::-1] for left, s, _ in segments)
-    cuts = {0}
-    for parts, sign in ((right, 1), (left_side, -1)):
-        cuts.update(sign * _shared(a, b) for a, b in zip(parts, parts[1:]))
-    for left, s, _ in segments:
-        cuts.update((-left, len(s) - left))
-    cuts = sorted(cuts)
+    n = len(segments)
+    right = [s[left:] for left, s, _ in segments]
+    back = [s[:left][::-1] for left, s, _ in segments]
+    best: list[list[int]] = []                      # most that a segment shares, to either side
+    steps: list[set[int]] = []
+    for parts in (right, back):
+        line = sorted(range(n), key=parts.__getitem__)
+        shared = [_shared(parts[i], parts[j]) for i, j in zip(line, line[1:])]
+        own = [0] * n
+        for i, j, k in zip(line, line[1:], shared):
+            own[i], own[j] = max(own[i], k), max(own[j], k)
+        best.append(own)
+        steps.append(set(shared))
+    # a string shared with another segment reaches at most so far to the two sides
+    used = [i for i in range(n) if segments[i][2] or best[0][i] + best[1][i] >= width]
+    if not used:
+        return [[] for _ in segments]
+    far = [max(len(side[i]) for i in used) for side in (right, back)]
+    cuts = sorted({0} | {k for k in steps[0] if k + far[1] >= width} | {-k for k in steps[1] if k + far[0] >= width})
     symbol: dict[tuple[int, bytes], int] = {}
     text: list[int] = []
     where: list[tuple[int, int]] = []               # (segment, cut) of each symbol, (-1, _) after a string
     bytes_from: list[int] = []
-    for no, (left, s, several) in enumerate(segments):
-        own = [c for c in cuts if -left <= c <= len(s) - left]
+    for no in used:
+        left, s, several = segments[no]
+        own = [-left, *(c for c in cuts if -left < c < len(s) - left), len(s) - left]
         pieces = [symbol.setdefault((a, s[a + left:b + left]), len(symbol) + 1) for a, b in zip(own, own[1:])]
         for _ in range(2 if several else 1):
             text += pieces
@@ -303,7 +315,8 @@ def _per_document(rows: DataFrame, *columns: str) -> DataFrame:
 def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
     """(doc_id, version, x, y): covered byte ranges; a range may appear in parts."""
     every = occurrences(docs, width, gram)
-    repeated = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # a table of its own, so that the join may split the rows of a very frequent anchor
+    repeated = cut_lineage(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
     occ = cut_lineage(every.join(repeated, "h"))
     kinds = cut_lineage(occ.groupBy("h", "d").agg(
         F.count("*").alias("n"), F.min(F.struct(*_KEY, "at", "back", "fore")).alias("one")))
