@@ -6,6 +6,15 @@ Two paragraphs are linked if they have the same words, or if the exact Jaccard
 similarity of their sets of 5-word shingles is at least 0.8.  Of each connected
 component of links the first paragraph (smallest document, then line) stays.
 
+**Passages.** What repeats inside longer lines, or is broken into lines otherwise,
+is found by runs of ``PASSAGE = 25`` words of the whole text.  Which runs are
+taken depends on their words only: of every ``WINDOW = 16`` neighbouring ones that
+with the smallest hash.  So of 40 or more equal words in a row at least one run is
+taken in both texts, and all words but at most 15 at either end are covered.
+Runs with the same words are a group, of which the first outside removed lines
+(smallest document, then place) stays.  An altered passage is found by its equal
+parts (at 25 words one altered word inside leaves a Jaccard of 0.6).
+
 **Bands.** ``BANDS = 6`` bands of 2 minima: a pair at similarity 0.8 collides
 with probability 1 - (1 - 0.64) ** 6 = 0.998, at 0.9 with 0.99996.
 
@@ -17,7 +26,8 @@ by a hash); components formed that way are then resolved, and only members of a
 bucket that are still in different components are compared with each other
 (behind a prefix filter), in blocks inside tasks that return a spanning forest.  A large bucket is split into blocks
 of ``block`` members, every pair of blocks meeting in one task.  Texts are
-fetched for members of shared buckets only.
+fetched for members of shared buckets only.  Of passages, hashes and places move;
+no text.
 
 Defined results: null text counts as empty; a repeated row (same id and text)
 is the same document; ties cannot occur (the first line of the smallest id
@@ -27,11 +37,12 @@ stays); an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm.common import connected_components, cut_lineage, texts
@@ -41,6 +52,7 @@ BANDS, ROWS = 6, 2
 SIMILARITY = 0.8
 BLOCK = 256
 PIVOT_ROUNDS = 2
+PASSAGE, WINDOW = 25, 16
 _U = np.uint64
 
 
@@ -261,28 +273,154 @@ def shared_lines(docs: DataFrame, **options) -> DataFrame:
         "removed", ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("para") == F.col("first_para"))))
 
 
+def passage_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
+    """(number of the text, first word, k1, k2) of the runs of PASSAGE words that are taken."""
+    import xxhash
+    digest = xxhash.xxh3_64_digest
+    h = np.frombuffer(b"".join([digest(w) for words in docs for w in words]), _U)
+    n = len(h) - PASSAGE + 1
+    if n < WINDOW:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    sizes = np.array([len(words) for words in docs])
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    place = np.arange(len(h)) - np.repeat(sizes.cumsum() - sizes, sizes)
+    keys = np.zeros(n, _U)
+    for i in range(PASSAGE):
+        keys = keys * _U(0x9E3779B97F4A7C15) + h[i:i + n]
+    keys = _mix(keys)
+    # the place modulo WINDOW parts equal runs, so that one word over and over takes one run a window
+    low = keys & ~_U(WINDOW - 1) | (place[:n] % WINDOW).astype(_U)
+    width = 1
+    while width < WINDOW:
+        low = np.minimum(low[:-width], low[width:])
+        width *= 2
+    first = np.arange(len(low))
+    at = first + ((low & _U(WINDOW - 1)).astype(np.int64) - place[:len(low)]) % WINDOW
+    at = np.unique(at[doc[first] == doc[first + PASSAGE + WINDOW - 2]])     # windows inside one text
+    second = np.zeros(len(at), _U)
+    for i in range(PASSAGE):
+        second = _mix(second + h[at + i])
+    return doc[at], place[at], keys[at].view(np.int64), second.view(np.int64)
+
+
+def _versions(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, text): version tells texts under one id apart."""
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(doc_id, version, word, para, last, k1, k2): runs of words, by their first word and
+    the lines of their first and last word."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 256):
+                part = batch[i:i + 256]
+                lined = [[normal_words(line) for line in text.split("\n")] for text in part["text"]]
+                doc, at, k1, k2 = passage_runs([[w for line in x for w in line] for x in lined])
+                if not len(at):
+                    continue
+                para, last = np.zeros(len(at), np.int32), np.zeros(len(at), np.int32)
+                bounds = np.searchsorted(doc, np.arange(len(lined) + 1))
+                for x, a, z in zip(lined, bounds, bounds[1:]):
+                    ends = np.cumsum([len(line) for line in x])
+                    para[a:z] = np.searchsorted(ends, at[a:z], "right")
+                    last[a:z] = np.searchsorted(ends, at[a:z] + PASSAGE - 1, "right")
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array[doc],
+                                    "version": part["version"].to_numpy()[doc], "word": at.astype(np.int32),
+                                    "para": para, "last": last, "k1": k1, "k2": k2})
+    return _versions(docs).mapInPandas(
+        run, "doc_id long, version long, word int, para int, last int, k1 long, k2 long")
+
+
+def repeated_passages(docs: DataFrame, shared: DataFrame) -> DataFrame:
+    """(doc_id, version, word, first_doc) of every run of words that repeats one before it,
+    outside the removed lines of ``shared`` (from ``shared_lines``)."""
+    often = cut_lineage(passages(docs).select("k1").groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
+    gone = (shared.where("removed").groupBy(F.col("doc_id").alias("_id"))
+            .agg(F.collect_set("para").alias("gone")))
+    found = passages(docs).join(often, "k1")
+    found = (found.join(gone, found.doc_id.eqNullSafe(gone["_id"]), "left")
+             .where(F.col("gone").isNull() | ~F.exists("gone", lambda g: g.between(F.col("para"), F.col("last")))))
+    found = cut_lineage(found.select("doc_id", "version", "word", "k1", "k2"))
+    place = F.struct("doc_id", "version", "word")
+    # a table of its own, so that the join may split the rows of a very frequent passage
+    first = cut_lineage(found.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max(place).alias("l"))
+                        .where("f <> l").select("k1", "k2", "f"))
+    return (found.join(first, ["k1", "k2"]).where(~place.eqNullSafe(F.col("f")))
+            .select("doc_id", "version", "word", F.col("f.doc_id").alias("first_doc")).distinct())
+
+
+def _spans(words: Column) -> Column:
+    """The runs that start at these words (rising), overlapping and touching ones joined: (a, b)."""
+    def add(spans, w):
+        end = w + PASSAGE
+        joined = F.concat(F.slice(spans, 1, F.size(spans) - 1),
+                          F.array(F.struct(F.element_at(spans, -1)["a"].alias("a"), end.alias("b"))))
+        return F.when((F.size(spans) > 0) & (w <= F.try_element_at(spans, F.lit(-1))["b"]), joined).otherwise(
+            F.concat(spans, F.array(F.struct(w.alias("a"), end.alias("b")))))
+    return F.aggregate(words, F.array().cast("array<struct<a:int,b:int>>"), add)
+
+
 def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: lines, lines shared with others, lines removed (their
-    numbers, comma-joined) and the documents that hold the first of each group."""
-    per_doc = shared_lines(docs, **options).distinct().groupBy("doc_id").agg(
+    numbers, comma-joined), passages removed besides (first word and word after the
+    last, ``a-b``, comma-joined) with their words, and the documents that hold the
+    first of each group."""
+    shared = shared_lines(docs, **options)
+    runs = repeated_passages(docs, shared).groupBy(F.col("doc_id").alias("_run_id"), "version").agg(
+        F.array_sort(F.collect_set("word")).alias("words"), F.collect_set("first_doc").alias("run_docs"))
+    runs = runs.select("_run_id", "version", "run_docs", _spans(F.col("words")).alias("spans"))
+    per_doc = shared.distinct().groupBy("doc_id").agg(
         F.count("*").alias("n_shared"), F.count_if("removed").alias("n_removed"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("para")))), ",").alias("removed"),
         F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    every = texts(docs).select(F.col("doc_id").alias("_id"), F.size(F.split("text", "\n", -1)).cast("long")
+    every = _versions(docs).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.size(F.split("text", "\n", -1)).cast("long")
                                .alias("n_paragraphs"))
     none = F.lit(0).cast("long")
-    return every.join(per_doc, F.col("_id").eqNullSafe(F.col("doc_id")), "left").select(
+    empty = F.array().cast("array<bigint>")
+    joined = every.join(per_doc, F.col("_id").eqNullSafe(F.col("doc_id")), "left").join(
+        runs, F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_version") == F.col("version")), "left")
+    return joined.select(
         F.col("_id").alias("doc_id"), "n_paragraphs", F.coalesce("n_shared", none).alias("n_shared"),
         F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"),
-        F.coalesce("first_docs", F.array().cast("array<bigint>")).alias("first_docs"))
+        F.sort_array(F.array_union(F.coalesce("first_docs", empty), F.coalesce("run_docs", empty))).alias("first_docs"),
+        F.coalesce(F.size("spans").cast("long"), none).alias("n_passages"),
+        F.coalesce(F.aggregate("spans", none, lambda n, x: n + x["b"] - x["a"]), none).alias("passage_words"),
+        F.coalesce(F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["a"], x["b"])), ","), F.lit(""))
+        .alias("passages"), F.col("_version").alias("version"))
+
+
+def without(text: str, removed: str, passages: str) -> str:
+    """The text without these lines and runs of words, as ``report`` names them."""
+    gone = set(map(int, removed.split(","))) if removed else set()
+    cut = {w for span in passages.split(",") if span for w in range(*map(int, span.split("-")))}
+    out, at = [], 0
+    for no, line in enumerate(text.split("\n")):
+        found = list(re.finditer(r"[^ \t\r\x0b\x0c]+", line))
+        own = [m for k, m in enumerate(found, at) if k in cut]
+        at += len(found)
+        if no in gone or own and len(own) == len(found):
+            continue
+        kept, upto = [], 0
+        for m in own:
+            kept.append(line[upto:m.start()])
+            upto = m.end() + (line[m.end():m.end() + 1] in (" ", "\t"))
+        out.append("".join([*kept, line[upto:]]))
+    return "\n".join(out)
 
 
 def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` with the removed lines taken out of the text."""
+    """The rows of ``docs`` with the removed lines and passages taken out of the text."""
     gone = (report(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **options)
-            .where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("removed").alias("_gone")).distinct())
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(
-        F.split("_gone", ","), i.cast("string"))), "\n")
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.select(*[F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col(text_col)).alias(c)
+            .where("n_removed > 0 OR n_passages > 0")
+            .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed").alias("_gone"),
+                    F.col("passages").alias("_passages")).distinct())
+
+    @F.pandas_udf("string")
+    def kept(text: pd.Series, lines: pd.Series, runs: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None or g is None else without(t, g, p) for t, g, p in zip(text, lines, runs)],
+                         dtype=object)
+    version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
+    return joined.select(*[kept(F.col(text_col), F.col("_gone"), F.col("_passages")).alias(c)
                            if c == text_col else F.col(f"`{c}`") for c in docs.columns])

@@ -67,7 +67,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of ``documents`` that repeat, exactly or nearly, and their removal."""
+    """Lines and passages of ``documents`` that repeat, and their removal."""
     return paragraphs.report(table(spark, sf_dir, "documents"))
 
 

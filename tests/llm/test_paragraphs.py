@@ -89,3 +89,55 @@ def test_remove_keeps_columns_and_short_lines(spark):
 
 def test_empty_table(spark):
     assert P.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_passage_inside_longer_lines(spark):
+    rng = random.Random(9)
+
+    def prose(n):
+        return [f"w{rng.randrange(500)}" for _ in range(n)]
+    passage = prose(60)
+    a, b, c = prose(70), prose(90), prose(80)
+    wrapped = "\n".join(" ".join(passage[i:i + 4]) for i in range(0, 60, 4))       # lines too short to count
+    docs = [(1, " ".join(a + passage + a[::-1])), (2, "x y\n" + " ".join(b + passage + b[::-1]).upper()),
+            (3, " ".join(c) + "\n" + wrapped), (4, " ".join(prose(300))), (None, " ".join(c[::-1])), (2, "other text")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = P.report(df).collect()
+    got = {r.doc_id: r for r in rows if r.n_passages or r.doc_id != 2}
+    assert len(rows) == 6 and all(r.n_removed == 0 for r in rows)
+    assert [got[i].n_passages for i in (1, 2, 3, 4, None)] == [0, 1, 1, 0, 0]
+    for i, at in ((2, 92), (3, 80)):
+        x, y = map(int, got[i].passages.split("-"))
+        assert at <= x <= at + 15 and at + 45 <= y <= at + 60 and got[i].passage_words == y - x
+        assert got[i].first_docs == [1]
+    x, y = map(int, got[2].passages.split("-"))
+    words = docs[1][1].split()
+    texts = [r.text for r in P.remove(df).collect()]
+    assert docs[0][1] in texts and "other text" in texts
+    assert "x y\n" + " ".join(words[2:x] + words[y:]) in texts
+
+
+def test_passage_in_a_removed_line_is_not_the_first(spark):
+    rng = random.Random(10)
+    line = [f"w{rng.randrange(500)}" for _ in range(150)]
+    near = [*line[:20], "new", *line[21:]]                       # goes as a line: near copy of document 1
+    passage = near[:60]
+    docs = [(1, " ".join(line)), (2, " ".join(near)), (3, " ".join(["q"] * 3 + passage + [f"z{i}" for i in range(200)]))]
+    got = {r.doc_id: r for r in P.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2].removed == "0" and got[2].n_passages == 0
+    assert got[3].first_docs == [1] and all(int(s.split("-")[0]) >= 24 for s in got[3].passages.split(",") if s)
+
+
+def test_runs_are_taken_by_content_only():
+    rng = random.Random(11)
+    _, at, k1, _ = P.passage_runs([[b"w"] * 5000])
+    assert len(set(k1)) == 1 and len(at) < 700 and max(b - a for a, b in zip(at, at[1:])) <= P.PASSAGE
+    for n in (40, 41, 60):
+        for _ in range(50):
+            run = [b"%d" % rng.randrange(10 ** 6) for _ in range(n)]
+            texts = [[b"%d" % rng.randrange(10 ** 6) for _ in range(rng.randrange(90))] for _ in range(4)]
+            doc, at, k1, k2 = P.passage_runs([texts[0] + run + texts[1], [], texts[2] + run + texts[3]])
+            both = {(a, b) for d, a, b in zip(doc, k1, k2) if d == 0} & {(a, b) for d, a, b in zip(doc, k1, k2) if d == 2}
+            place = sorted(p - len(texts[0]) for d, p, a, b in zip(doc, at, k1, k2) if d == 0 and (a, b) in both)
+            assert place and 0 <= place[0] <= 15 and n - 40 <= place[-1] <= n - 25
+            assert all(y - x <= P.PASSAGE for x, y in zip(place, place[1:]))
