@@ -24,7 +24,10 @@ returns a spanning forest of its links, not its pairs; components are then
 contracted in Spark.
 
 Defined results: null text counts as empty; all texts without words share
-fingerprint 0 and one component; repeated rows (same id) keep one row each;
+fingerprint 0 and one component, whose id is null if no member has one; repeated
+rows (same id) keep one row each; ``keep_one`` keeps of every component the row
+that comes first by id (nulls last), then digest of the text, so a component of
+null ids keeps one row, and two texts under one id in two components keep both;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -43,6 +46,7 @@ WIDTHS = (9, 9, 9, 9, 9, 9, 10)         # bits of the ring's segments, low bits
 MAX_BITS = 3
 SHINGLE = 3
 LIMIT = 2048
+KEY = ["none", "doc_id", "k1", "k2"]     # of a row, in keep_one
 
 
 def fingerprint_bytes(data: bytes, shingle: int = SHINGLE) -> int:
@@ -183,26 +187,54 @@ def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS, widths: tuple[int,
     return out.distinct()
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-               shingle: int = SHINGLE, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, fingerprint, component_id): the smallest id reachable over links."""
-    fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+def _members(fps: DataFrame, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
+    """(fp, component_id, component): the component of every fingerprint by its smallest
+    id and by its smallest fingerprint."""
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     comps = connected_components(links(nodes.select("fp"), max_bits, limit=limit))
     named = (nodes.join(comps, nodes.fp == comps.node, "left")
              .select("fp", "first_id", F.coalesce("component", "fp").alias("component")))
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_fp = named.join(least, "component").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(
+    return named.join(least, "component").select("fp", "component_id", "component")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               shingle: int = SHINGLE, max_bits: int = MAX_BITS, limit: int = LIMIT) -> DataFrame:
+    """(doc_id, fingerprint, component_id): the smallest id reachable over links."""
+    fps = cut_lineage(fingerprints(docs, id_col, text_col, shingle))
+    return fps.join(_members(fps, max_bits, limit), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _row_key(doc_id: Column, text: Column) -> Column:
+    """(none, doc_id, k1, k2): the order of rows, by id (nulls last) and 128 bits of the
+    text.  No part is null: in pandas, nulls would turn ids into doubles."""
+    number, value = doc_id.cast("long"), F.md5(F.coalesce(text.cast("string"), F.lit("")))
+    halves = [F.conv(F.substring(value, at, 16), 16, -10).cast("long") for at in (1, 17)]
+    return F.struct(number.isNull().alias("none"), F.coalesce(number, F.lit(0)).alias("doc_id"),
+                    halves[0].alias("k1"), halves[1].alias("k2"))
+
+
+def _keyed_fingerprints(rows: DataFrame) -> DataFrame:
+    """(none, doc_id, k1, k2, fp) of rows (key, text)."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps = np.array([fingerprint_bytes(t.encode("utf-8")) for t in b["text"]], np.uint64)
+            yield b[KEY].assign(fp=fps.view(np.int64))
+    return (rows.select("key.*", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+            .mapInPandas(run, "none boolean, doc_id long, k1 long, k2 long, fp long"))
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component.
+    """One row of ``docs`` for every component: the first by id (nulls last), then text digest.
 
-    Rows that repeat the kept id are all the same document's; of them one stays.
+    Rows that repeat the kept id and text are the same document's; of them one stays.
     """
-    kept = (components(docs, id_col, text_col).where("doc_id = component_id")
-            .select(F.col("doc_id").alias("_kept")).distinct())
-    return (docs.join(kept, docs[id_col].cast("long") == kept["_kept"], "left_semi")
-            .dropDuplicates([id_col]))
+    key = _row_key(F.col(id_col), F.col(text_col))
+    fps = cut_lineage(_keyed_fingerprints(docs.select(key.alias("key"), F.col(text_col).alias("text"))))
+    by_fp = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first"))
+    kept = (by_fp.join(_members(fps), "fp").groupBy("component").agg(F.min("first").alias("first"))
+            .select(*[F.col(f"first.{c}").alias(f"_{c}") for c in KEY]))
+    rows = docs.withColumn("_key", key)
+    same = [F.col(f"_key.{c}") == F.col(f"_{c}") for c in KEY]
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_key"]).drop("_key")

@@ -79,3 +79,19 @@ def test_chain_budget_holds_for_every_pattern_of_three_bits():
     for _ in range(3000):
         bits = sum(1 << int(b) for b in set(rng.integers(0, 64, 3)))
         assert any(not bits & m for m in masks)
+
+
+def test_keep_one_with_null_and_repeated_ids(spark):
+    far = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, far[0], "p"),                                        # alone, without an id
+            (None, far[1], "q"), (None, far[1].upper(), "r"),           # a group without ids
+            (5, far[2], "s"), (5, far[3], "t"), (5, far[3], "t"),       # two texts under one id
+            (None, far[4], "u"), (9, far[4], "v"),                      # an id goes before none
+            (2 ** 53 + 1, far[5], "w"), (None, None, "x"), (None, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(5)
+    got = sorted(((r.doc_id, r.text or "", r.key) for r in S.keep_one(df).collect()), key=str)
+    want = [(None, far[0], "p"), (5, far[2], "s"), (5, far[3], "t"), (9, far[4], "v"), (2 ** 53 + 1, far[5], "w")]
+    assert [r for r in got if r[2] not in "qrxy"] == sorted(want, key=str)
+    assert len([r for r in got if r[2] in "qr"]) == 1 and len([r for r in got if r[2] in "xy"]) == 1
+    again = sorted(((r.doc_id, r.text or "") for r in S.keep_one(df.repartition(2)).collect()), key=str)
+    assert again == [r[:2] for r in got]
