@@ -256,25 +256,33 @@ def anchors(data: bytes, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarr
     return tuple(np.concatenate(c) for c in zip(*found))
 
 
-_KEY = ["doc_id", "version"]
+_KEY = ["t1", "t2"]
 _NO_ID = -(1 << 63)
 
 
 def _documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, text): version tells texts under one id apart; a null id
-    stands under the smallest number."""
-    return texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"),
-                              F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("version"), "text")
+    """(doc_id, text): a null id stands under the smallest number."""
+    return texts(docs).select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text")
+
+
+def document_key(doc: int, data: bytes) -> tuple[int, int]:
+    """(t1, t2): 128 bits of the id and the text, so that texts under one id are told apart."""
+    import xxhash
+    t1, t2 = np.frombuffer(xxhash.xxh3_128_digest(data, int(doc) & (1 << 64) - 1), np.int64)
+    return int(t1), int(t2)
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, z): the text compressed, for the joins that move it."""
+    """(doc_id, t1, t2, z): the text compressed, for the joins that move it."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
         pack = zstandard.ZstdCompressor(level=3)
         for b in batches:
-            yield b[_KEY].assign(z=[pack.compress(t.encode("utf-8")) for t in b["text"]])
-    return _documents(docs).mapInPandas(run, "doc_id long, version int, z binary")
+            datas = [t.encode("utf-8") for t in b["text"]]
+            keys = np.array([document_key(d, x) for d, x in zip(b["doc_id"], datas)], np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t1": keys[:, 0], "t2": keys[:, 1],
+                                "z": [pack.compress(x) for x in datas]})
+    return _documents(docs).mapInPandas(run, "doc_id long, t1 long, t2 long, z binary")
 
 
 def _unpack(z) -> bytes:
@@ -283,7 +291,7 @@ def _unpack(z) -> bytes:
 
 
 def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(h, d, doc_id, version, at, back, fore): every anchor, with its segment's digest
+    """(h, d, t1, t2, at, back, fore): every anchor, with its segment's digest
     and the distances from the anchor back to its first and last window."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -291,7 +299,7 @@ def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
         for b in batches:
             for a in range(0, len(b), 256):
                 out = []
-                for doc, version, text in zip(*(b[c][a:a + 256] for c in (*_KEY, "text"))):
+                for doc, text in zip(*(b[c][a:a + 256] for c in ("doc_id", "text"))):
                     data = text.encode("utf-8")
                     at, first, last, h = anchors(data, width, gram)
                     if not len(at):
@@ -299,13 +307,14 @@ def occurrences(docs: DataFrame, width: int, gram: int) -> DataFrame:
                     view = memoryview(data)
                     d = b"".join([digest(view[x:y + width], p - x) for p, x, y in
                                   zip(at.tolist(), first.tolist(), last.tolist())])
-                    out.append(pd.DataFrame({"h": h, "d": np.frombuffer(d, np.int64), "doc_id": doc,
-                                             "version": version, "at": at, "back": (at - first).astype(np.int16),
+                    t1, t2 = document_key(doc, data)
+                    out.append(pd.DataFrame({"h": h, "d": np.frombuffer(d, np.int64), "t1": t1,
+                                             "t2": t2, "at": at, "back": (at - first).astype(np.int16),
                                              "fore": (at - last).astype(np.int16)}))
                 if out:
                     yield pd.concat(out, ignore_index=True)
     return _documents(docs).mapInPandas(
-        run, "h long, d long, doc_id long, version int, at long, back short, fore short")
+        run, "h long, d long, t1 long, t2 long, at long, back short, fore short")
 
 
 def _per_document(rows: DataFrame, *columns: str) -> DataFrame:
@@ -313,7 +322,7 @@ def _per_document(rows: DataFrame, *columns: str) -> DataFrame:
 
 
 def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int = LIMIT) -> DataFrame:
-    """(doc_id, version, x, y): covered byte ranges; a range may appear in parts."""
+    """(t1, t2, x, y): covered byte ranges; a range may appear in parts."""
     every = occurrences(docs, width, gram)
     # a table of its own, so that the join may split the rows of a very frequent anchor
     repeated = cut_lineage(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"))
@@ -322,7 +331,7 @@ def covered(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, limit: int =
         F.count("*").alias("n"), F.min(F.struct(*_KEY, "at", "back", "fore")).alias("one")))
     wide = kinds.groupBy("h").agg(F.count("*").alias("kinds")).where(F.col("kinds") > limit).select("h")
     narrow = kinds.join(wide, "h", "left_anti").select("h", "d", "n", "one.*")
-    texts_of = _packed(docs)
+    texts_of = _packed(docs).drop("doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -365,15 +374,15 @@ def _wide_ranges(texts_of: DataFrame, occ: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
         for b in batches:
-            for doc, version, z, items in zip(b["doc_id"], b["version"], b["z"], b["items"]):
+            for t1, t2, z, items in zip(b["t1"], b["t2"], b["z"], b["items"]):
                 view, out = memoryview(_unpack(z)), []
                 for i in items:
                     for s in range(i["at"] - i["back"], i["at"] - i["fore"] + 1):
                         key = np.frombuffer(xxhash.xxh3_128_digest(view[s:s + width]), np.int64)
-                        out.append((key[0], key[1], doc, version, s))
-                yield pd.DataFrame(out, columns=["k1", "k2", "doc_id", "version", "x"], dtype="int64")
+                        out.append((key[0], key[1], t1, t2, s))
+                yield pd.DataFrame(out, columns=["k1", "k2", *_KEY, "x"], dtype="int64")
     listed = _per_document(occ, "at", "back", "fore")
-    rows = texts_of.join(listed, _KEY).mapInPandas(run, "k1 long, k2 long, doc_id long, version int, x long")
+    rows = texts_of.join(listed, _KEY).mapInPandas(run, "k1 long, k2 long, t1 long, t2 long, x long")
     often = rows.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2")
     return rows.join(often, ["k1", "k2"], "left_semi").select(*_KEY, "x", (F.col("x") + width).alias("y"))
 

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import xxhash
+
 from innkeep.llm import suffix as S
 
 
@@ -48,3 +50,21 @@ def test_removed_bytes_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_under_one_id_are_told_apart_by_more_than_31_bits(spark):
+    rng = random.Random(3)
+    one, two = ("".join(rng.choice("abcd ") for _ in range(n)) for n in (260, 330))
+
+    def short(text):
+        return xxhash.xxh64_intdigest(text.encode(), 42) & 0x7FFFFFFF
+    of_one = {short(f"{one}{i}"): f"{one}{i}" for i in range(200_000)}
+    x, y = next((of_one[short(t)], t) for i in range(200_000) if short(t := f"{i}-{two}") in of_one)
+    rows = [(None, x), (None, y), (1, one), (2, two), (3, x)]
+    datas = [t.encode() for _, t in rows]
+    want = [(i, len(d), sum(c), hashlib.sha256(bytes(b for b, gone in zip(d, c) if not gone)).hexdigest())
+            for (i, _), d, c in zip(rows, datas, brute(datas, 200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for limit in (1, S.LIMIT):
+        got = [(r.doc_id, r.n_bytes, r.n_removed, r.kept_sha256) for r in S.deduplicate(df, limit=limit).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
