@@ -5,8 +5,8 @@ shapes.  A record's *schema fingerprint* is the hash of its sorted nested field
 paths, kept to the names that some layout knows; it selects a declarative
 mapping (``LAYOUTS``) that yields the canonical turns, an array of (role,
 text).  Records of mixed layouts may stand in one column: the fingerprint is
-computed per record from its parsed variant; a typed frame has its layout from
-its schema.
+computed per record from its parsed variant, array elements taken together; a
+typed frame has its layout from its schema's fingerprint (``rows``: one row per turn).
 
 **Template.** A turn is ``<|turn|>role\\ntext\\n<|end|>\\n``.  A control string
 inside a text (the template's own markers and those of common chat formats)
@@ -23,7 +23,9 @@ conversation meet; a conversation is one output row, so its turns do meet in one
 
 Defined results: null text or role counts as empty; a null turn number sorts
 first, ties by role, then text; a null id is a conversation of its own;
-repeated turns are kept; a record of an unknown layout has null turns; an empty table gives an
+repeated turns are kept; a record of an unknown layout (also: text under a known name that
+its layout does not have) has null turns and is a conversation of no turns, listed by
+``unknown_records``; so is one whose array is empty or null; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -45,7 +47,7 @@ CONTROL = ("<|turn|>", "<|end|>", "<|im_start|>", "<|im_end|>", "<|endoftext|>",
 _ANY_CONTROL = "|".join(re.sub(r"([\[\]|/<>])", r"\\\1", c) for c in CONTROL)
 
 # Declarative mappings: layout -> (field paths, ordered sources of turns).
-# A source is (role, path) for one text, or (path of an array, role field, text field).
+# A source is (role, path, ...) for one text, or (path of an array, role field, text field).
 LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
     "messages": (("messages[].content", "messages[].role"), (("messages", "role", "content"),)),
     "turns": (("turns[].role", "turns[].text"), (("turns", "role", "text"),)),
@@ -59,9 +61,16 @@ LAYOUTS: dict[str, tuple[tuple[str, ...], tuple[tuple[str, ...], ...]]] = {
     "instruction_input": (("input", "instruction", "output"),
                           (("user", "instruction", "input"), ("assistant", "output"))),
 }
+# the same with a system text before the turns
+LAYOUTS |= {f"system_{name}": ((*paths, "system"), (("system", "system"), *sources))
+            for name, (paths, sources) in LAYOUTS.items() if "system" not in paths and f"system_{name}" not in LAYOUTS}
+# typed frames only: one row per turn
+LAYOUTS["rows"] = (("role", "text", "turn"), ())
 # fixed values: role names of the layouts and their canonical names
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "prompter": "user"}
-_KNOWN = sorted({p for paths, _ in LAYOUTS.values() for p in paths})
+_RECORDS = {name: layout for name, layout in LAYOUTS.items() if layout[1]}
+_KNOWN = sorted({p for paths, _ in _RECORDS.values() for p in paths})
+_ARRAYS = {p.partition("[].")[0] for p in _KNOWN if "[]." in p}
 
 
 def fingerprint(paths: Column) -> Column:
@@ -80,15 +89,28 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
     return [prefix]
 
 
-def _json_path(path: str) -> str:
-    return "$." + path.replace("[]", "[0]")
+def schema_layout(schema: T.StructType) -> str | None:
+    """The layout that has the fingerprint of a typed schema, or None."""
+    own = schema_paths(schema)
+    for known in (set(_KNOWN) | set(LAYOUTS["rows"][0]), set(_KNOWN)):
+        for name, (paths, _) in LAYOUTS.items():
+            if known & set(own) == set(paths):
+                return name
+    return None
+
+
+def _has(v: Column, path: str) -> Column:
+    head, _, field = path.partition("[].")
+    if not field:
+        return F.try_variant_get(v, f"$.{head}", "variant").isNotNull()
+    return F.coalesce(F.exists(F.try_variant_get(v, f"$.{head}", "array<variant>"),
+                               lambda x: F.try_variant_get(x, f"$.{field}", "variant").isNotNull()), F.lit(False))
 
 
 def record_paths(record: Column) -> Column:
-    """Known nested field paths that one JSON record has (arrays: in their first element)."""
+    """Known nested field paths that one JSON record has (arrays: in any element)."""
     v = F.try_parse_json(record)
-    return F.filter(F.array(*[F.when(F.try_variant_get(v, _json_path(p), "variant").isNotNull(), F.lit(p))
-                              for p in _KNOWN]), lambda p: p.isNotNull())
+    return F.filter(F.array(*[F.when(_has(v, p), F.lit(p)) for p in _KNOWN]), lambda p: p.isNotNull())
 
 
 def _record_type() -> str:
@@ -109,42 +131,59 @@ def _canonical_role(role: Column) -> Column:
 
 def _mapped(record: Column, sources: tuple[tuple[str, ...], ...]) -> Column:
     """Turns of one layout from the typed record."""
-    if len(sources) == 1:
-        array, role, text = sources[0]
+    def of_array(array: str, name: str, text: str) -> Column:
         return F.transform(record[array], lambda x: F.struct(
-            _canonical_role(x[role]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
-    return F.array(*[F.struct(F.lit(role).alias("role"), F.array_join(F.filter(
-        F.array(*[record[p] for p in paths]), lambda t: t.isNotNull() & (t != "")), "\n").alias("text"))
-        for role, *paths in sources])
+            _canonical_role(x[name]).alias("role"), F.coalesce(x[text], F.lit("")).alias("text")))
+
+    def of_texts(role: str, *paths: str) -> Column:
+        return F.array(F.struct(F.lit(role).alias("role"), F.array_join(F.filter(
+            F.array(*[record[p] for p in paths]), lambda t: t.isNotNull() & (t != "")), "\n").alias("text")))
+    return F.concat(*[of_array(*source) if source[0] in _ARRAYS else of_texts(*source) for source in sources])
 
 
 def record_turns(record: Column) -> Column:
     """Canonical turns of a JSON record, or null if no layout has its fingerprint."""
     typed = F.from_json(record, _record_type())
     mark, out = fingerprint(record_paths(record)), None
-    for paths, sources in LAYOUTS.values():
+    for paths, sources in _RECORDS.values():
         hit = mark == fingerprint(F.array(*[F.lit(p) for p in paths]))
         out = F.when(hit, _mapped(typed, sources)) if out is None else out.when(hit, _mapped(typed, sources))
     return out
 
 
-def turns_of_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
-    """(conv_id, turn, role, text) of JSON records of mixed layouts."""
-    turns = df.select(F.col(id_col).alias("conv_id"), record_turns(F.col(record_col)).alias("turns"))
-    return turns.select("conv_id", F.posexplode("turns").alias("turn", "t")).select(
+def _rows(df: DataFrame, id_col: str, turns: Column) -> DataFrame:
+    """(conv_id, turn, role, text); a conversation without turns has one row of nulls."""
+    found = df.select(F.col(id_col).alias("conv_id"), turns.alias("turns"))
+    return found.select("conv_id", F.posexplode_outer("turns").alias("turn", "t")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
+def turns_of_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
+    """(conv_id, turn, role, text) of JSON records of mixed layouts; a record without
+    turns (see ``unknown_records``) has one row of nulls."""
+    return _rows(df, id_col, record_turns(F.col(record_col)))
+
+
+def unknown_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
+    """(conv_id, record, paths) of the records that no layout fits, with the known paths they have."""
+    return df.where(record_turns(F.col(record_col)).isNull()).select(
+        F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"), record_paths(F.col(record_col)).alias("paths"))
+
+
 def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a typed frame, by its schema's layout: one row
-    per turn, or one row per conversation in any of ``LAYOUTS``."""
-    paths = schema_paths(df.schema)
-    if {"turn", "role", "text"} <= set(paths):
+    per turn, or one row per conversation in any of ``LAYOUTS``.  If the schema is
+    of no layout, every conversation has one row of nulls."""
+    own = df.select([F.col(f"`{c}`") for c in df.columns if c != id_col])
+    layout = schema_layout(own.schema)
+    if layout == "rows":
         return df.select(F.col(id_col).alias("conv_id"), F.col("turn").cast("long").alias("turn"),
                          F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    fields = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != id_col])
-    return turns_of_records(df.select(F.col(id_col), F.to_json(fields).alias("_record")), id_col, "_record")
+    if layout is None:
+        return _rows(df, id_col, F.lit(None).cast(TURNS))
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in own.columns]), {"ignoreNullFields": "false"})
+    return _rows(df, id_col, _mapped(F.from_json(record, _record_type()), LAYOUTS[layout][1]))
 
 
 _ROLE_CODES = (("%", "%25"), ("\n", "%0A"), ("\\", "%5C"), ("<", "%3C"), ("[", "%5B"))   # fixed values
@@ -171,9 +210,10 @@ def _unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """(conv_id, segments, formatted) from (conv_id, turn, role, text)."""
-    grouped = turns.groupBy("conv_id").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    """(conv_id, segments, formatted) from (conv_id, turn, role, text); a row without role
+    and text is no turn, so a conversation of only such a row is formatted as empty."""
+    turn = F.when(F.col("role").isNotNull() | F.col("text").isNotNull(), F.struct("turn", "role", "text"))
+    grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
 
     def pieces(t):
         return F.array(
@@ -190,6 +230,7 @@ def parse_formatted(formatted: Column) -> Column:
     head, tail = len(TURN), len(f"\n{END}\n")
     body = F.substring(formatted, F.lit(head + 1), F.length(formatted) - head - tail)
     parts = F.split(body, re.sub(r"([|<>])", r"\\\1", f"\n{END}\n{TURN}"), -1)
+    parts = F.when(formatted == "", F.array().cast("array<string>")).otherwise(parts)
     return F.transform(parts, lambda p: F.struct(
         _decode_role(F.substring_index(p, "\n", 1)).alias("role"),
         _unescape(F.substring(p, F.length(F.substring_index(p, "\n", 1)) + 2, F.length(p))).alias("text")))

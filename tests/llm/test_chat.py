@@ -60,3 +60,48 @@ def test_typed_frame_and_empty_table(spark):
     assert [(r.role, r.text) for r in C.turns_of_table(df).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.report(C.format_turns(C.turns_of_table(none))).count() == 0
+
+
+def test_no_conversation_is_lost(spark):
+    def m(*turns):
+        return [dict(zip(("role", "content"), x)) for x in turns]
+    records = [
+        {"messages": [{"role": "user"}, {"role": "assistant", "content": "a"}]},      # first element without content
+        {"messages": [{"content": "q"}, {"role": "assistant", "content": "a"}]},
+        {"system": "s", "messages": m(("user", "q"), ("assistant", "a"))},
+        {"system": "s", "conversations": [{"from": "human", "value": "q"}]},
+        {"system": "s", "question": "q", "answer": "a", "turn": 3},
+        {"prompt": "q", "response": "a", "completion": "b"}, {"messages": []}, {"messages": None}, {"x": 1}]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)] + [(50, None), (51, "{bad")],
+                               "id long, rec string")
+    turns = C.turns_of_records(df, "id", "rec")
+    got = {}
+    for r in turns.where("role is not null").orderBy("turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    qa = [("user", "q"), ("assistant", "a")]
+    assert got == {0: [("user", ""), ("assistant", "a")], 1: [("", "q"), ("assistant", "a")], 2: [("system", "s"), *qa],
+                   3: [("system", "s"), ("user", "q")], 4: [("system", "s"), *qa]}
+    out = {r.conv_id: r for r in C.report(C.format_turns(turns)).collect()}
+    assert len(out) == df.count()
+    assert {i: r.n_turns for i, r in out.items()} == {i: len(got.get(i, [])) for i in out}
+    assert (out[8].formatted_chars, out[8].loss_chars, out[8].turns_sha256) == (0, 0, sha(""))
+    lost = {r.conv_id: r for r in C.unknown_records(df, "id", "rec").collect()}
+    assert set(lost) == set(out) - set(got)
+    assert lost[5].paths == ["completion", "prompt", "response"] and json.loads(lost[5].record) == records[5]
+
+
+def test_typed_frames_keep_every_conversation(spark):
+    df = spark.createDataFrame([(1, "q", "a"), (2, "q", None), (3, None, "a"), (4, None, None)],
+                               "conv_id long, prompt string, response string")
+    got = {}
+    for r in C.turns_of_table(df).orderBy("turn").collect():
+        got.setdefault(r.conv_id, []).append((r.role, r.text))
+    assert got == {1: [("user", "q"), ("assistant", "a")], 2: [("user", "q"), ("assistant", "")],
+                   3: [("user", ""), ("assistant", "a")], 4: [("user", ""), ("assistant", "")]}
+    df = spark.createDataFrame([(1, [("user", "q")]), (2, []), (3, None), (4, [(None, None), ("assistant", "a")])],
+                               "conv_id long, messages array<struct<role:string,content:string>>")
+    out = {r.conv_id: r.n_turns for r in C.report(C.format_turns(C.turns_of_table(df))).collect()}
+    assert out == {1: 1, 2: 0, 3: 0, 4: 2}
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "conv_id long, other string")
+    assert {r.conv_id: r.n_turns for r in C.report(C.format_turns(C.turns_of_table(df))).collect()} == {1: 0, 2: 0}
+    assert C.schema_layout(spark.createDataFrame([], "turn int, role string, text string, x int").schema) == "rows"
