@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, toxicity
+from innkeep.llm import alignment, chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, toxicity
 from innkeep.llm.common import table
 
 
@@ -76,6 +76,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of ``documents`` by two tokenizers: groups, links and their corpus counts."""
+    import public_tokenizers
+    return alignment.count_links(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                 public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embeddings": op2_embeddings,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_paragraphs": op9_paragraphs,
     "op10_packing": op10_packing,
+    "op12_alignment": op12_alignment,
 }
 
 
