@@ -96,4 +96,14 @@ SELECT doc_id, length(hx) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
 FROM t JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
 
 
-ORACLE = {"op1_suffix_dedup": _SUFFIX, "op4_pii": _pii(), "op6_chat": _CHAT}
+_TOPK = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS u FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.rid AS qrid, d.rid, q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.u, d.u) AS BIGINT) AS score
+      FROM (SELECT * FROM v WHERE vec_id % 100 = 0) q JOIN v d ON q.rid <> d.rid AND len(q.u) = len(d.u)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id NULLS LAST, rid) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10"""
+
+
+ORACLE = {"op1_suffix_dedup": _SUFFIX, "op4_pii": _pii(), "op6_chat": _CHAT, "op13_topk": _TOPK}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import alignment, chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, toxicity
+from innkeep.llm import alignment, chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, topk, toxicity
 from innkeep.llm.common import table
 
 
@@ -83,6 +83,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best scores of every hundredth vector of ``embeddings`` against all others."""
+    found = topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return found.drop("query_row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_embeddings": op2_embeddings,
@@ -95,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_paragraphs": op9_paragraphs,
     "op10_packing": op10_packing,
     "op12_alignment": op12_alignment,
+    "op13_topk": op13_topk,
 }
 
 
