@@ -96,6 +96,58 @@ SELECT doc_id, length(hx) // 2 AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT)
 FROM t JOIN kept USING (rid) LEFT JOIN n USING (rid)"""
 
 
+_STRUCTURE = """
+WITH RECURSIVE
+tab AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k:
+               CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+f AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(ch)::BIGINT FOR ch IN
+               string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+               lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS d
+      FROM conversations, tab),
+h AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+             unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE d <> 0),
+o AS (SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS cid,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM h),
+r AS MATERIALIZED (
+  SELECT *, left(role, 1) AS x, lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) || left(role, 1) AS two,
+         CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+tr(q, x, q2) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(q, q2, n, turns) AS (VALUES
+  (0, 0, 0, []::VARCHAR[]), (1, 1, 0, []), (2, 2, 0, []), (3, 3, 0, []), (0, 2, 1, ['user:']), (1, 2, 1, ['user:']),
+  (3, 2, 1, ['user:']), (2, 3, 1, ['assistant:']), (0, 3, 2, ['user:', 'assistant:']), (1, 3, 2, ['user:', 'assistant:'])),
+opt AS MATERIALIZED (
+  SELECT cid, i, q, q AS q2, 2 AS cost, 'D' AS letter, []::VARCHAR[] AS turns FROM r, range(4) s(q)
+  UNION ALL SELECT cid, i, q, q2, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [role || ':' || text]
+            FROM r JOIN tr USING (x) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL SELECT cid, i, q, q2, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R',
+                   [CASE tr.x WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text]
+            FROM r JOIN tr ON tr.x IN ('u', 'a') WHERE fault NOT IN ('blank', 'duplicate')),
+best(cid, i, q, k, turns) AS (
+  SELECT DISTINCT cid, 0::BIGINT, 0, '000000000', []::VARCHAR[] FROM r
+  UNION ALL
+  SELECT cid, i, q, min(k), arg_min(turns, k) FROM (
+    SELECT b.cid, p.i, p.q2 AS q, printf('%09d', left(b.k, 9)::BIGINT + 5 * n.n + p.cost) || substr(b.k, 10)
+             || repeat('I', n.n) || p.letter AS k, list_concat(list_concat(b.turns, n.turns), p.turns) AS turns
+    FROM best b JOIN ins n ON n.q = b.q JOIN opt p ON p.cid = b.cid AND p.i = b.i + 1 AND p.q = n.q2)
+  GROUP BY cid, i, q),
+size AS (SELECT cid, any_value(conv_id) AS conv_id, count(*) AS n, count(*) FILTER (WHERE fault = 'blank') AS blank,
+                count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal,
+                coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM r GROUP BY cid),
+goal AS (SELECT b.cid, min(printf('%09d', left(b.k, 9)::BIGINT + 5 * n.n) || substr(b.k, 10) || repeat('I', n.n)) AS k,
+                arg_min(list_concat(b.turns, n.turns), printf('%09d', left(b.k, 9)::BIGINT + 5 * n.n) || substr(b.k, 10) || repeat('I', n.n)) AS turns
+         FROM best b JOIN size s ON s.cid = b.cid AND s.n = b.i JOIN ins n ON n.q = b.q WHERE n.q2 IN (0, 3) GROUP BY b.cid)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(left(k, 9)::BIGINT, 0) AS cost,
+       coalesce(substr(k, 10), '') AS audit, sha256(coalesce(array_to_string(turns, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN (size JOIN goal USING (cid)) s ON s.conv_id IS NOT DISTINCT FROM ids.conv_id"""
+
+
 _TOPK = """
 WITH v AS MATERIALIZED (
   SELECT row_number() OVER () AS rid, vec_id, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS u FROM embeddings
@@ -106,4 +158,4 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qrid ORDER BY score DESC, vec_id
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 10"""
 
 
-ORACLE = {"op1_suffix_dedup": _SUFFIX, "op4_pii": _pii(), "op6_chat": _CHAT, "op13_topk": _TOPK}
+ORACLE = {"op1_suffix_dedup": _SUFFIX, "op4_pii": _pii(), "op6_chat": _CHAT, "op11_structure": _STRUCTURE, "op13_topk": _TOPK}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from innkeep.llm import alignment, chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, suffix, topk, toxicity
+from innkeep.llm import alignment, chat, decontamination, embeddings, oracle, packing, paragraphs, pii, quality, simhash, structure, suffix, topk, toxicity
 from innkeep.llm.common import table
 
 
@@ -76,6 +76,12 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation after the damage of the contract."""
+    conversations = table(spark, sf_dir, "conversations")
+    return structure.report(conversations, structure.damage(conversations))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of ``documents`` by two tokenizers: groups, links and their corpus counts."""
     import public_tokenizers
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_paragraphs": op9_paragraphs,
     "op10_packing": op10_packing,
+    "op11_structure": op11_structure,
     "op12_alignment": op12_alignment,
     "op13_topk": op13_topk,
 }
