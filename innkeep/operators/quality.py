@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def violations(customers: DataFrame, bookings: DataFrame) -> DataFrame:
@@ -106,6 +107,52 @@ def changed(local: DataFrame, remote: DataFrame, key: str = "id", col: str = "da
     return l.join(r, key, "full_outer").where(~F.col("_l").eqNullSafe(F.col("_r"))).select(key)
 
 
+def leaves(column: Column, kind: T.DataType, path: Column) -> Column:
+    """Every leaf of a document as (path, value): fields by name, list elements by
+    position; a list also gives its length, a missing struct or list a null of its own path."""
+    pair = lambda p, v: F.array(F.struct(p.alias("path"), v.cast("string").alias("value")))
+    if isinstance(kind, T.StructType):
+        inner = F.concat(*[leaves(column[f.name], f.dataType, F.concat(path, F.lit(f".{f.name}"))) for f in kind.fields])
+        return F.when(column.isNull(), pair(path, F.lit(None))).otherwise(inner)
+    if isinstance(kind, T.ArrayType):
+        each = F.flatten(F.transform(column, lambda x, i: leaves(
+            x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
+        return F.when(column.isNull(), pair(path, F.lit(None))).otherwise(
+            F.concat(pair(F.concat(path, F.lit(".length")), F.size(column)), each))
+    return pair(path, column)
+
+
+def document_digest(column: Column, kind: T.DataType) -> Column:
+    """128 bits of a document's leaves; null for none."""
+    return F.when(column.isNotNull(), F.md5(F.to_json(leaves(column, kind, F.lit("")), {"ignoreNullFields": "false"}).cast("binary")))
+
+
+def changed_documents(local: DataFrame, remote: DataFrame, key: str = "id", col: str = "data") -> DataFrame:
+    """C7 over whole documents: (key, status, paths) of those that differ.
+
+    ``status``: ``added`` (remote only), ``removed`` (local only) or ``changed``, with the paths of the
+    leaves that differ.  First the digests of both sides meet; only documents whose digests differ are
+    moved and compared leaf by leaf.  Keys are unique in each version.
+    """
+    kind = local.schema[col].dataType
+    if kind != remote.schema[col].dataType:
+        raise ValueError("documents of different layouts")
+    mark = document_digest(F.col(col), kind)
+    marks = (local.select(key, mark.alias("_l"), F.lit(1).alias("_in_l"))
+             .join(remote.select(key, mark.alias("_r"), F.lit(1).alias("_in_r")), key, "full_outer"))
+    differ = marks.where(F.col("_in_l").isNull() | F.col("_in_r").isNull() | ~F.col("_l").eqNullSafe(F.col("_r")))
+    one_sided = differ.where(F.col("_in_l").isNull() | F.col("_in_r").isNull()).select(
+        key, F.when(F.col("_in_l").isNull(), F.lit("added")).otherwise(F.lit("removed")).alias("status"),
+        F.array().cast("array<string>").alias("paths"))
+    both = differ.where(F.col("_in_l").isNotNull() & F.col("_in_r").isNotNull()).select(key)
+    side = lambda df, name: df.select(key, col).join(both, key, "left_semi").select(
+        key, leaves(F.col(col), kind, F.lit("")).alias(name))
+    paths = F.transform(F.concat(F.array_except("_l", "_r"), F.array_except("_r", "_l")), lambda x: F.ltrim(x["path"], F.lit(".")))
+    compared = side(local, "_l").join(side(remote, "_r"), key).select(
+        key, F.lit("changed").alias("status"), F.array_sort(F.array_distinct(paths)).alias("paths"))
+    return one_sided.unionByName(compared)
+
+
 def locked_changes(changes: DataFrame, bookings: DataFrame, key: str = "id"
                    ) -> tuple[DataFrame, DataFrame]:
     """Split a booking change batch into (accepted, rejected): a booking with

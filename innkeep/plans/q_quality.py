@@ -3,7 +3,7 @@ C8, S9, J5, S6/S7 + J3."""
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from innkeep.operators import restore as RS
 from innkeep.plans.catalog import register
 from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources.fixtures import load_model, model_location, table
+from innkeep.sources import versions as V
 from innkeep.sources.shared import publish_once
 from innkeep.streaming import changes as ST
 
@@ -87,8 +88,23 @@ def c6_touch_customers_stream(spark, sf_dir):
     m = load_model(spark, sf_dir)
     root = ensure_checkpoint_dir(spark)
     schema = table(spark, sf_dir, "events").schema
-    source = os.path.join(sf_dir, "event[s].parquet")
-    return ST.touch_once(spark, m.customers.select("id", "modified"), source, schema, root)
+    return ST.touch_once(spark, m.customers.select("id", "modified"), sf_dir, schema, root, files="events.parquet")
+
+
+def _new_table(spark, rows, block_rows=1000):
+    """A versioned table of its own for a run that changes it."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-versions/{uuid.uuid4().hex}"
+    V.create(spark, root, rows, block_rows=block_rows)
+    return root
+
+
+@register("c6_touch_table_stream", _TOUCH_SQL)
+def c6_touch_table_stream(spark, sf_dir):
+    """C6 + S9: the change stream merged into the stored customers, a version per micro-batch."""
+    root = _new_table(spark, load_model(spark, sf_dir).customers.select("id", "modified"))
+    stream = ST.change_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, files="events.parquet")
+    ST.run_table_stream(stream, root, f"{root}-stream").awaitTermination()
+    return V.read(spark, root)
 
 
 def _changes(spark, sf_dir):
@@ -123,6 +139,60 @@ def s9_apply_changes(spark, sf_dir):
     return Q.apply_changes(m.customers.select("id", "keyword", "modified"), _changes(spark, sf_dir))
 
 
+@register("s9_versioned_upsert", _APPLY_SQL + "SELECT id, keyword, modified FROM applied")
+def s9_versioned_upsert(spark, sf_dir):
+    """S9 + C5, stored: the changes in three batches by time, the second one delivered twice, each a
+    version of the customers table; the last version is read."""
+    root = _new_table(spark, load_model(spark, sf_dir).customers.select("id", "keyword", "modified"))
+    changes = _changes(spark, sf_dir)
+    cuts = changes.agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.4, 0.8]).alias("c")).first()["c"]
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    batches = [changes.where(at <= cuts[0]), changes.where((at > cuts[0]) & (at <= cuts[1])), changes.where(at > cuts[1])]
+    for number in (0, 1, 1, 2):
+        V.commit(spark, root, batches[number], Q.apply_changes, "changes", number)
+    return V.read(spark, root)
+
+
+@register("c7_changed_documents", """
+SELECT 'customers' AS "table", id, CASE WHEN id % 13 = 0 THEN 'removed' ELSE 'changed' END AS status,
+       CASE WHEN id % 13 = 0 THEN '' ELSE concat_ws(',', CASE WHEN id % 7 = 0 THEN 'address.city' END,
+            CASE WHEN id % 11 = 0 THEN 'contact.phone' END, CASE WHEN id % 11 = 0 THEN 'name.given' END) END AS paths
+FROM cu WHERE id % 13 = 0 OR id % 7 = 0 OR id % 11 = 0
+UNION ALL SELECT 'customers', -id, 'added', '' FROM cu WHERE id % 17 = 0 AND id > 0
+UNION ALL
+SELECT 'bookings', bk.id, 'changed', concat_ws(',',
+       CASE WHEN bk.id % 3 = 0 AND deposit_asked IS NOT NULL THEN 'deposit_asked' END,
+       CASE WHEN bk.id % 5 = 1 THEN 'guests.length' END,
+       CASE WHEN bk.id % 5 = 1 THEN 'guests[' || n_guests || ']' END,
+       CASE WHEN bk.id % 4 = 2 THEN 'note' END)
+FROM bk WHERE (bk.id % 3 = 0 AND deposit_asked IS NOT NULL) OR bk.id % 5 = 1 OR bk.id % 4 = 2
+""")
+def c7_changed_documents(spark, sf_dir):
+    """C7 over whole documents: a second version of both tables in which towns, names and phones differ,
+    customers are gone or new, deposits are gone, a guest was added (or the list of none was replaced)
+    and notes changed; (table, id, status, paths)."""
+    m = load_model(spark, sf_dir)
+    k, d = F.col("id"), F.col("data")
+    edited = d
+    for cond, field in ((k % 7 == 0, "address.city"), (k % 11 == 0, "contact.phone"), (k % 11 == 0, "name.given")):
+        old = d
+        for part in field.split("."):
+            old = old[part]
+        edited = edited.withField(field, F.when(cond, F.concat(old, F.lit("*"))).otherwise(old))
+    c = m.customers.select("id", "data")
+    remote = c.where(k % 13 != 0).select("id", edited.alias("data")).unionByName(
+        c.where((k % 17 == 0) & (k > 0)).select((-k).alias("id"), "data"))
+    b = m.bookings.select("id", "data")
+    guest = b.schema["data"].dataType["guests"].dataType.elementType
+    none = F.lit(None).cast(guest)
+    later = (d.withField("deposit_asked", F.when(k % 3 != 0, d["deposit_asked"]))
+             .withField("guests", F.when(k % 5 == 1, F.concat(d["guests"], F.array(none))).otherwise(d["guests"]))
+             .withField("note", F.when(k % 4 == 2, F.concat(d["note"], F.lit("!"))).otherwise(d["note"])))
+    out = [Q.changed_documents(c, remote).withColumn("table", F.lit("customers")),
+           Q.changed_documents(b, b.select("id", later.alias("data"))).withColumn("table", F.lit("bookings"))]
+    return out[0].unionByName(out[1]).select("table", "id", "status", F.array_join("paths", ",").alias("paths"))
+
+
 @register("c7_changed_customers", _APPLY_SQL + """
 SELECT coalesce(cu.id, a.id) AS id FROM cu FULL OUTER JOIN applied a ON a.id = cu.id
 WHERE cu.keyword IS DISTINCT FROM a.keyword
@@ -355,7 +425,6 @@ FROM bk GROUP BY year(arrival)
 def s8_bulk_append(spark, sf_dir):
     """Bulk create: the bookings appended to a fresh table in two batches
     (stays before 1998, then the rest) and read back per arrival year."""
-    import uuid
     m = load_model(spark, sf_dir)
     b = m.bookings.select("id", "customer", "arrival", "departure")
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-append/{uuid.uuid4().hex}"

@@ -10,6 +10,7 @@ folder behind, so a half-written dataset is never visible under ``path``.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -39,12 +40,39 @@ def file_states(spark: SparkSession, path: str) -> list[str]:
     return sorted(found)
 
 
+def files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, size) of every file below a folder."""
+    p = _path(spark, path)
+    found, it = [], p.getFileSystem(_conf(spark)).listFiles(p, True)
+    while it.hasNext():
+        f = it.next()
+        found.append((f.getPath().toString(), f.getLen()))
+    return sorted(found)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if there is no such folder."""
+    p = _path(spark, path)
+    fs = p.getFileSystem(_conf(spark))
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def age_ms(spark: SparkSession, path: str) -> int:
+    p = _path(spark, path)
+    return int(time.time() * 1000) - p.getFileSystem(_conf(spark)).getFileStatus(p).getModificationTime()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = _path(spark, path)
+    p.getFileSystem(_conf(spark)).delete(p, True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = _path(spark, path)
     return p.getFileSystem(_conf(spark)).exists(p)
 
 
-def _rename_no_overwrite(spark: SparkSession, src: str, dst: str) -> bool:
+def rename_once(spark: SparkSession, src: str, dst: str) -> bool:
     jvm = _jvm(spark)
     fs = jvm.org.apache.hadoop.fs
     ctx = fs.FileContext.getFileContext(_path(spark, dst).toUri(), _conf(spark))
@@ -67,5 +95,5 @@ def publish_once(spark: SparkSession, path: str, write: Callable[[str], None]) -
         return path
     tmp = f"{path.rstrip('/')}.tmp-{uuid.uuid4().hex}"
     write(tmp)
-    _rename_no_overwrite(spark, tmp, path)
+    rename_once(spark, tmp, path)
     return path

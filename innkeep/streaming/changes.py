@@ -7,6 +7,9 @@ table, one partition per batch id written in overwrite mode, so a replayed
 batch after a failure replaces its own output (exactly-once with the
 checkpoint).  Readers take the maximum per customer, so the table never needs
 rewriting; ``touched_customers`` applies it to the customers table.
+
+``run_table_stream`` keeps the customers in a versioned table instead: no state and no
+touch table, each micro-batch is one version of the table.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innkeep.operators.quality import touch_customers
+from innkeep.sources import versions
 
 
 def change_stream(spark: SparkSession, source: str, schema: T.StructType,
-                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Booking changes (customer, ts) from a directory or glob of parquet files."""
+                  max_files_per_trigger: int | None = None, files: str | None = None) -> DataFrame:
+    """Booking changes (customer, ts) from the parquet files of a folder (those named ``files``)."""
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     events = reader.parquet(source)
@@ -64,11 +70,33 @@ def touched_customers(spark: SparkSession, customers: DataFrame, table_path: str
     return touch_customers(customers, touches)
 
 
+def run_table_stream(changes: DataFrame, table_root: str, checkpoint: str, available_now: bool = True):
+    """Touch the customers of a versioned table; returns the StreamingQuery.
+
+    The stream has no state of its own: each micro-batch is reduced to one row per customer and merged
+    into the stored ``modified`` as one version.  The version records the query's id and the batch
+    number, so a batch that is run again after a failure, whether before or after its version was
+    published, is applied exactly once.
+    """
+    def merge(rows: DataFrame, batch: DataFrame) -> DataFrame:
+        return touch_customers(rows, batch, "id", "ts")
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        writer = "stream:" + (spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint)
+        last = batch.groupBy(F.col("customer").alias("id")).agg(F.max("ts").alias("ts"))
+        versions.commit(spark, table_root, last.where("id is not null"), merge, writer, batch_id)
+
+    w = changes.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()
+
+
 def touch_once(spark: SparkSession, customers: DataFrame, source: str, schema: T.StructType,
-               root: str) -> DataFrame:
+               root: str, files: str | None = None) -> DataFrame:
     """Run the stream over everything available now (a fresh folder per run under
     ``root``) and return the touched customers."""
     run = f"{root.rstrip('/')}/innkeep-touch/{uuid.uuid4().hex}"
-    q = run_touch_stream(change_stream(spark, source, schema), f"{run}/table", f"{run}/checkpoint")
+    q = run_touch_stream(change_stream(spark, source, schema, files=files), f"{run}/table", f"{run}/checkpoint")
     q.awaitTermination()
     return touched_customers(spark, customers, f"{run}/table")

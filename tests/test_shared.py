@@ -21,6 +21,6 @@ def test_publish_once_and_lost_race(spark):
     # a second writer that finished after the first published: its rename is refused
     late = target + ".tmp-late"
     spark.range(3).write.parquet(late)
-    assert shared._rename_no_overwrite(spark, late, target) is False
+    assert shared.rename_once(spark, late, target) is False
     assert spark.read.parquet(target).count() == 5
     assert not os.path.exists(os.path.join(target, "ds.tmp-late"))
