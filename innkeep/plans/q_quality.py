@@ -311,7 +311,7 @@ def j3_restore_bookings(spark, sf_dir):
 
 def _backup_object(spark, sf_dir):
     m = load_model(spark, sf_dir)
-    return publish_once(spark, f"{model_location(spark, sf_dir)}/backup-object-v1",
+    return publish_once(spark, f"{model_location(spark, sf_dir)}/backup-object-v2",
                         lambda p: DOC.write_backup(m.customers, m.bookings, p))
 
 
@@ -372,14 +372,15 @@ def s1_json_customers(spark, sf_dir):
         d["address"]["city"].alias("city"), "created", "modified")
 
 
-@register("s10_single_table_export", """
+_SINGLE_SQL = """
 SELECT -1 AS id, cu.id AS customer, bk.arrival, bk.departure, bk.n_guests, cu.modified
 FROM cu JOIN bk ON bk.customer = cu.id
 UNION ALL SELECT cu.id, NULL, NULL, NULL, CAST((SELECT count(*) FROM bk WHERE bk.customer = cu.id) AS INTEGER), cu.modified FROM cu
-""")
-def s10_single_table_export(spark, sf_dir):
-    """The old export (a customer's document holds its bookings) split into
-    customers and bookings; customers are listed with their number of bookings."""
+"""
+
+
+def _single_table(spark, sf_dir, array):
+    """The old export written from the model: JSON Lines, or one array over several parts."""
     m = load_model(spark, sf_dir)
 
     def write(p):            # the layout itself has one document per customer
@@ -388,13 +389,22 @@ def s10_single_table_export(spark, sf_dir):
         doc = F.concat(F.regexp_replace(DOC.encode_customer(), r"\}$", ""), F.lit(',"bookings":['),
                        F.array_join(F.coalesce("b", F.array().cast("array<string>")), ","), F.lit("]}"))
         rows = m.customers.withColumnRenamed("id", "customer_id").join(inner, "customer_id", "left")
-        rows.select(F.concat(
+        lines = rows.select("customer_id", F.concat(
             F.lit('{"customer_id":'), F.col("customer_id").cast("string"),
             *[x for c in ("created", "modified") for x in
               (F.lit(f',"{c}":"'), F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('"'))],
-            F.lit(',"data":'), doc, F.lit("}")).alias("value")).write.text(p)
-    path = publish_once(spark, f"{model_location(spark, sf_dir)}/single-table-v1", write)
-    c, b = DOC.read_single_table(spark, path, multi_line=False)
+            F.lit(',"data":'), doc, F.lit("}")).alias("value"))
+        if array:
+            ends = lines.agg(F.min("customer_id").alias("first"), F.max("customer_id").alias("last"))
+            k = F.col("customer_id")
+            lines = lines.join(F.broadcast(ends), k.isNotNull() & (k >= F.col("first")), "left").select(
+                "customer_id", F.concat(F.when(k == F.col("first"), F.lit("[")).otherwise(F.lit("\n,")), "value",
+                                        F.when(k == F.col("last"), F.lit("]")).otherwise(F.lit(""))).alias("value"))
+            lines = lines.repartitionByRange("customer_id").sortWithinPartitions("customer_id")
+        lines.select("value").write.text(p)
+    name = "single-array-v1" if array else "single-table-v1"
+    path = publish_once(spark, f"{model_location(spark, sf_dir)}/{name}", write)
+    c, b = DOC.read_single_table(spark, path, multi_line=array)
     d = F.col("data")
     per = b.groupBy("customer").agg(F.count(F.lit(1)).cast("int").alias("n"))
     none = [F.lit(None).cast(t).alias(n) for n, t in (("customer", "bigint"), ("arrival", "date"), ("departure", "date"))]
@@ -405,6 +415,19 @@ def s10_single_table_export(spark, sf_dir):
                 "id", *none, F.coalesce("n", F.lit(0)).alias("n_guests"), "modified"))
 
 
+@register("s10_single_table_export", _SINGLE_SQL)
+def s10_single_table_export(spark, sf_dir):
+    """The old export (a customer's document holds its bookings) split into
+    customers and bookings; customers are listed with their number of bookings."""
+    return _single_table(spark, sf_dir, array=False)
+
+
+@register("s10_single_table_array", _SINGLE_SQL)
+def s10_single_table_array(spark, sf_dir):
+    """S10 as the old tool wrote it, one JSON array, read in byte ranges."""
+    return _single_table(spark, sf_dir, array=True)
+
+
 @register("s7_restore_customers", _RESTORE_SQL + """
 SELECT nc.new_id AS id, cu.id AS import_key, cu.keyword, cu.created, cu.modified
 FROM nc JOIN cu ON cu.id = nc.old_id

@@ -13,11 +13,14 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innkeep.functions.money import format_money_dot
+from innkeep.sources.ranges import csv_records
 
 GUEST_SLOTS = [("VORNAME", "NAME", "GEB_DAT01"), ("P_VORNAME", "P_NAME", "GEB_DAT02")] + [
     (f"P_VORNAME{i}", f"P_NAME{i}", f"GEB_DAT0{i}") for i in range(3, 7)]
@@ -143,12 +146,23 @@ def by_name(raw: DataFrame) -> DataFrame:
                         for c in COLUMNS])
 
 
-def read_legacy_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Read the legacy export: columns by header name, all as text, multi-line cells allowed."""
-    raw = (spark.read.option("header", True).option("sep", sep)
-           .option("encoding", "ISO-8859-1").option("quote", '"').option("escape", '"')
-           .option("multiLine", True).option("mode", "PERMISSIVE").csv(path))
-    return by_name(raw)
+def read_legacy_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "ISO-8859-1") -> DataFrame:
+    """Read the legacy export: columns by header name, all as text, cells may span lines.
+
+    A file is cut into records in byte ranges, so one large file is many tasks.  All files
+    of a folder carry the same header; a file with another one is an error.
+    """
+    records = csv_records(spark, path, encoding)
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    heads = [r["text"] for r in records.where("head").select("text").distinct().limit(2).collect()]
+    if not heads:
+        return by_name(spark.createDataFrame([], "nothing string"))
+    if len(heads) > 1:
+        raise ValueError("legacy export: files with different headers")
+    names = next(csv.reader([heads[0]], delimiter=sep))
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = records.where("not head").select(F.from_csv("text", cells.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    return by_name(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
 
 
 def write_raw(df: DataFrame, path: str) -> None:
