@@ -228,9 +228,10 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
     the master-record aggregate then parses only the two id columns.
     """
     from innkeep.operators.ordering import stable
-    typed = valid_records(cast_legacy(raw, dialect))
+    every = cast_legacy(raw, dialect)
+    typed = valid_records(every)
     if materialize:
-        typed = stable(typed)
+        typed = every = stable(typed)
     rows = typed.select(
         "recordid", "groupid",
         legacy_period(typed).alias("period"),
@@ -239,7 +240,7 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
         legacy_guests().alias("guests"),
         legacy_allocs().alias("allocs"),
     )
-    customers = master_customers(typed)
+    customers = master_customers(every)        # its own choice of winners needs no valid rows first
     bookings = rows.where(F.col("period").isNotNull()).select(
         F.col("recordid").alias("id"), F.col("groupid").alias("customer"),
         F.struct(F.col("period"), F.col("deposit_asked"), F.col("deposit_got"),
@@ -250,22 +251,31 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
     return customers, bookings
 
 
+def _record_ids(typed: DataFrame) -> DataFrame:
+    """(recordid, _n, groupid): each record id with its number of rows and its smallest group.
+    Only the two id columns are read."""
+    return typed.where(F.col("recordid").isNotNull()).groupBy("recordid").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("groupid").alias("groupid"))
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """Of rows with one record id the one with the smallest row hash."""
+    mark = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    return rows.groupBy("recordid").agg(F.min_by(whole, mark).alias("_row")).select("_row.*")
+
+
 def valid_records(typed: DataFrame) -> DataFrame:
     """Rows with a record id, one per id (C3 on the import).
 
-    Of several rows with one id the one with the smallest row hash stays, so the
-    choice does not depend on partitions.  The ids that occur more than once are
-    found by a partial aggregate over (id, hash) only; ``legacy_problems`` reports
-    the rows left out.
+    Of several rows with one id the one with the smallest group, then the smallest row hash stays, so the
+    choice does not depend on partitions.  Repeated ids are found on the id columns alone; wide rows are read
+    once, and only those of repeated ids are hashed and compared (that branch is empty, and goes, where there
+    are none).  ``legacy_problems`` reports the rows left out.
     """
-    rows = typed.where(F.col("recordid").isNotNull())
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(typed.columns)])
-    several = (rows.select("recordid", mark.alias("_mark")).groupBy("recordid")
-               .agg(F.count(F.lit(1)).alias("_n"), F.min("_mark").alias("_keep")).where("_n > 1")
-               .select("recordid", "_keep"))
-    single = rows.join(several.select("recordid"), "recordid", "left_anti")
-    chosen = (rows.withColumn("_mark", mark).join(several, "recordid")
-              .where(F.col("_mark") == F.col("_keep")).dropDuplicates(["recordid"]))
+    several = _record_ids(typed).where("_n > 1").select("recordid", "groupid")
+    single = typed.where(F.col("recordid").isNotNull()).join(several.select("recordid"), "recordid", "left_anti")
+    chosen = _one_each(typed.join(several, ["recordid", "groupid"], "left_semi"))
     return single.unionByName(chosen.select(*single.columns))
 
 
@@ -292,15 +302,17 @@ def legacy_problems(raw: DataFrame) -> DataFrame:
 
 
 def master_records(typed: DataFrame) -> DataFrame:
-    """W1 on a typed frame: per group the row with the highest record id.
+    """W1 on a typed frame (before or after ``valid_records``): per group the row with the highest record id.
 
-    The winning record id per group is a fixed-width hash aggregate (partial per
-    partition); the rows are then joined back on the unique (group, record) key,
-    so a group holding a third of all rows is spread by record id, and the
-    documents are built for the winners only.
+    The winning record id per group comes from the id columns alone (partial aggregates); wide rows are
+    read once and joined on the (group, record) key, so a group holding a third of all rows is
+    spread by record id, and the documents are built for the winners only.
     """
-    win = typed.groupBy("groupid").agg(F.max("recordid").alias("recordid"))
-    return typed.join(win, ["groupid", "recordid"], "inner")
+    best = _record_ids(typed).groupBy("groupid").agg(F.max(F.struct("recordid", "_n")).alias("w"))
+    win = best.select("groupid", "w.recordid", "w._n")
+    key = ["groupid", "recordid"]
+    single = typed.join(win.where("_n = 1").select(*key), key, "left_semi")
+    return single.unionByName(_one_each(typed.join(win.where("_n > 1").select(*key), key, "left_semi")).select(*single.columns))
 
 
 def master_customers(typed: DataFrame) -> DataFrame:

@@ -105,9 +105,8 @@ def legacy_source(spark, sf_dir):
     an untouched parquet copy (S4), on which every migration step runs, as the
     SQL importer loads the file into a table first."""
     loc = model_location(spark, sf_dir)
-    csv = legacy_export(spark, sf_dir)
     path = publish_once(spark, f"{loc}/legacy-raw-v{LG.EXPORT_VERSION}",
-                        lambda p: LG.write_raw(csv, p))
+                        lambda p: LG.write_raw(legacy_export(spark, sf_dir), p))
     return spark.read.schema(LG.LEGACY_SCHEMA).parquet(path)   # all text, schema known
 
 

@@ -152,16 +152,15 @@ def read_legacy_csv(spark: SparkSession, path: str, sep: str = ",", encoding: st
     A file is cut into records in byte ranges, so one large file is many tasks.  All files
     of a folder carry the same header; a file with another one is an error.
     """
-    records = csv_records(spark, path, encoding)
+    heads, records = csv_records(spark, path, encoding)
     options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
-    heads = [r["text"] for r in records.where("head").select("text").distinct().limit(2).collect()]
     if not heads:
         return by_name(spark.createDataFrame([], "nothing string"))
     if len(heads) > 1:
         raise ValueError("legacy export: files with different headers")
     names = next(csv.reader([heads[0]], delimiter=sep))
     cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
-    rows = records.where("not head").select(F.from_csv("text", cells.simpleString()[7:-1].replace(":", " "), options).alias("r"))
+    rows = records.select(F.from_csv("text", cells.simpleString()[7:-1].replace(":", " "), options).alias("r"))
     return by_name(rows.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
 
 
