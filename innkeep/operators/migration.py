@@ -251,6 +251,11 @@ def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False
     return customers, bookings
 
 
+def migrate_customers(raw: DataFrame, dialect: str = "iso") -> DataFrame:
+    """The customers of ``migrate`` alone."""
+    return master_customers(cast_legacy(raw, dialect))
+
+
 def _record_ids(typed: DataFrame) -> DataFrame:
     """(recordid, _n, groupid): each record id with its number of rows and its smallest group.
     Only the two id columns are read."""

@@ -8,7 +8,7 @@ one row per partition in the shuffle) before they meet the table.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,6 +59,33 @@ def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id") -
     return lost.agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n"))
 
 
+def refused_changes(changes: DataFrame, stored: DataFrame, key: str = "id",
+                    references: dict[str, DataFrame] | None = None) -> DataFrame:
+    """C3 + C4 on a change batch: (key, change_id, rule) of the changes that would break the tables.
+
+    ``stored`` holds the keys of the batch that the table has, ``references`` for each foreign key the parent ids
+    of the batch that there are (``versions.rows_of`` reads both without the rest of the tables).
+    Refused are inserts of a key that is stored or that an earlier change of the batch inserted, updates and
+    deletes of a key that is neither, and inserts and updates without a parent.  Changes apply in the order of
+    (ts, change_id); a delete makes room for a new insert.
+    """
+    writes = F.col("op").isin("insert", "update")
+    known = stored.select(key).distinct().withColumn("_stored", F.lit(1))
+    # what the batch itself did to a key before: its last insert or delete; a key's changes in one batch are few
+    before = Window.partitionBy(key).orderBy("ts", "change_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("op").isin("insert", "delete"), F.col("op")), ignorenulls=True).over(before)
+    out = changes.join(known, key, "left").withColumn("_last", last)
+    there = F.coalesce(F.col("_last") == "insert", F.col("_stored").isNotNull())
+    rules = [F.when(F.col(key).isNull(), F.lit(f"{key} missing")),
+             F.when((F.col("op") == "insert") & there, F.lit(f"{key} exists")),
+             F.when(F.col("op").isin("update", "delete") & F.col(key).isNotNull() & ~there, F.lit(f"{key} unknown"))]
+    for n, (column, parents) in enumerate((references or {}).items()):
+        mark = f"_parent{n}"
+        out = out.join(parents.select(F.col(parents.columns[0]).alias(column)).distinct().withColumn(mark, F.lit(1)), column, "left")
+        rules.append(F.when(writes & F.col(mark).isNull(), F.lit(f"{column} without a parent")))
+    return out.select(key, "change_id", F.explode(F.array_compact(F.array(*rules))).alias("rule"))
+
+
 def touch_customers(customers: DataFrame, booking_changes: DataFrame,
                     customer_col: str = "customer", ts_col: str = "ts") -> DataFrame:
     """C5 + C6: every booking insert/update/delete touches its customer's

@@ -203,7 +203,7 @@ WHERE rn = 1
 """)
 def w1_legacy_customers(spark, sf_dir):
     """W1 + T8, T9, T12, T13, T14: one customer per legacy group (highest record id)."""
-    customers, _ = MG.migrate(legacy_source(spark, sf_dir))
+    customers = MG.migrate_customers(legacy_source(spark, sf_dir))
     d = F.col("data")
     return customers.select("id", d["keyword"].alias("keyword"), d["name"]["given"].alias("given"),
                             d["name"]["family"].alias("family"),
@@ -295,7 +295,7 @@ SELECT max(groupid_n) AS max_id, count(DISTINCT groupid_n) AS n_customers FROM l
 """)
 def a10_import_summary(spark, sf_dir):
     """A10: highest imported customer id and number of imported customers."""
-    customers, _ = MG.migrate(legacy_source(spark, sf_dir))
+    customers = MG.migrate_customers(legacy_source(spark, sf_dir))
     return MG.import_summary(customers)
 
 
@@ -344,7 +344,7 @@ def s5_import_json(spark, sf_dir):
     """Imported customers emitted as JSON Lines of ``{{"data": ...}}`` and read back."""
     from pyspark.sql import types as T
     from innkeep import schemas
-    customers, _ = MG.migrate(legacy_source(spark, sf_dir))
+    customers = MG.migrate_customers(legacy_source(spark, sf_dir))
     loc = model_location(spark, sf_dir)
     path = publish_once(spark, f"{loc}/import-json-v{LG.EXPORT_VERSION}",
                         lambda p: LG.write_import_json(customers, p))

@@ -14,6 +14,7 @@ from innkeep.operators import restore as RS
 from innkeep.plans.catalog import register
 from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources.fixtures import load_model, model_location, table
+from innkeep.sources import ids as IDS
 from innkeep.sources import versions as V
 from innkeep.sources.shared import publish_once
 from innkeep.streaming import changes as ST
@@ -456,3 +457,44 @@ def s8_bulk_append(spark, sf_dir):
     out = spark.read.parquet(path)
     return out.groupBy(F.year("arrival").alias("arrival_year")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("id").cast("bigint").alias("id_sum"))
+
+
+@register("s8_append_reserved", f"""
+SELECT {BOOKING_START} + row_number() OVER (ORDER BY year(arrival) >= 1998, id) - 1 AS id, id AS old_id, arrival FROM bk
+""")
+def s8_append_reserved(spark, sf_dir):
+    """S8 + A10: two appends (stays before 1998, then the rest) whose new ids come from blocks reserved for
+    each; the first append is run a second time, as after a failure, and gets its block again."""
+    b = load_model(spark, sf_dir).bookings.select(F.col("id").alias("old_id"), "arrival")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-append/{uuid.uuid4().hex}"
+    early, late = b.where(F.year("arrival") < 1998), b.where(F.year("arrival") >= 1998)
+    for name, rows in (("early", early), ("late", late), ("early", early)):
+        new = IDS.numbered(rows, f"{root}/ids", name, ["old_id"], start=BOOKING_START)
+        new.write.mode("overwrite").parquet(f"{root}/rows/batch={name}")
+    return spark.read.parquet(f"{root}/rows").select("id", "old_id", "arrival")
+
+
+@register("c3_refused_changes", """
+, ch AS (SELECT CASE WHEN event_id % 5 = 0 THEN -user_id - 1 ELSE user_id END AS id, event_id AS change_id, ts,
+                CASE WHEN event_type = 'signup' THEN 'insert' WHEN event_type = 'error' THEN 'delete' ELSE 'update' END AS op,
+                CASE WHEN event_id % 7 = 0 THEN -1 ELSE user_id END AS country FROM events),
+st AS (SELECT ch.*, cu.id IS NOT NULL AS stored,
+              last_value(CASE WHEN op IN ('insert', 'delete') THEN op END IGNORE NULLS) OVER (
+                PARTITION BY ch.id ORDER BY ts, change_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l
+       FROM ch LEFT JOIN cu ON cu.id = ch.id),
+th AS (SELECT *, coalesce(l = 'insert', stored) AS there FROM st)
+SELECT id, change_id, 'id exists' AS rule FROM th WHERE op = 'insert' AND there
+UNION ALL SELECT id, change_id, 'id unknown' FROM th WHERE op <> 'insert' AND NOT there
+UNION ALL SELECT id, change_id, 'country without a parent' FROM th
+WHERE op <> 'delete' AND country NOT IN (SELECT id FROM cu)
+""")
+def c3_refused_changes(spark, sf_dir):
+    """C3 + C4 on a change batch: the changes that the stored customers (a versioned table of which only the
+    batch's blocks are read) refuse; every fifth change names an unknown customer, every seventh an unknown parent."""
+    root = _new_table(spark, load_model(spark, sf_dir).customers.select("id", "keyword"))
+    ev = table(spark, sf_dir, "events")
+    batch = ev.select(F.when(F.col("event_id") % 5 == 0, -F.col("user_id") - 1).otherwise(F.col("user_id")).alias("id"),
+                      Q.change_ops(F.col("event_type")).alias("op"), "ts", F.col("event_id").alias("change_id"),
+                      F.when(F.col("event_id") % 7 == 0, F.lit(-1)).otherwise(F.col("user_id")).alias("country"))
+    return Q.refused_changes(batch, V.rows_of(spark, root, batch.select("id")), "id",
+                             {"country": V.rows_of(spark, root, batch.select("country")).select("id")})

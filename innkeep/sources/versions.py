@@ -91,6 +91,16 @@ def find(spark: SparkSession, root: str, ids: list[int], version: int | None = N
     return _open(spark, root, meta, paths).where(F.col(meta["key"]).isin(list(ids))).drop("commit", "block")
 
 
+def rows_of(spark: SparkSession, root: str, keys: DataFrame, version: int | None = None) -> DataFrame:
+    """The stored rows of the keys in ``keys`` (its only column): files of other blocks are not opened."""
+    version = latest(spark, root) if version is None else version
+    meta = _meta(spark, root, version)
+    mine = keys.toDF(meta["key"]).where(F.col(meta["key"]).isNotNull()).distinct()
+    blocks = mine.select(block_of(meta["key"], meta["block_rows"]).alias("block")).distinct()
+    paths = [r["path"] for r in files(spark, root, version).join(blocks, "block", "left_semi").select("path").collect()]
+    return _open(spark, root, meta, paths).drop("commit", "block").join(mine, meta["key"], "left_semi")
+
+
 def _write_files(spark: SparkSession, root: str, rows: DataFrame, key: str, block_rows: int) -> list[tuple]:
     """Rows as files of their blocks in a commit folder of their own."""
     commit = uuid.uuid4().hex
