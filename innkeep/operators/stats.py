@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from innkeep.functions import guests as G
@@ -130,23 +130,25 @@ def _with_total(by_country: DataFrame) -> DataFrame:
     return by_country.rollup("country").agg(*sums)
 
 
-def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
-    """The month summary for every month at once.
-
-    Each invoiced booking is expanded to the months it overlaps under the same
-    predicate as the one-month query (``arrival <= end AND departure > start``):
-    the months of its nights, or for a zero-night stay its arrival month unless
-    it arrives on the 1st.  The expansion is bounded by the stay length.
-    """
+def _stays_with_country(bookings: DataFrame, customers: DataFrame) -> DataFrame:
+    """(arrival, departure, n_guests, country) of each invoiced stay."""
     b = stays.has_invoice(bookings).select(
         "id", "customer", "arrival", "departure", F.col("data.invoice").alias("invoice"),
         G.guest_count("data.guests").alias("n_guests"))
     c = customers.select(F.col("id").alias("customer"),
                          F.col("data.address.country_code").alias("ccode"))
-    # the country is fixed per booking: join and derive it before the expansion
-    j = b.join(c, "customer", "inner").select(
+    # the country is fixed per booking: join and derive it before anything is expanded
+    return b.join(c, "customer", "inner").select(
         "arrival", "departure", "n_guests",
         invoice_country(F.col("invoice"), F.col("ccode")).alias("country"))
+
+
+_SUMS = ("arrivals", "nights", "carry")
+
+
+def month_counts(bookings: DataFrame, customers: DataFrame) -> DataFrame:
+    """``all_months_stats`` with the number of ``stays`` behind each row."""
+    j = _stays_with_country(bookings, customers)
     a, d = F.col("arrival"), F.col("departure")
     first = F.trunc(a, "MM")
     months = (F.when(d > a, F.sequence(first, F.trunc(F.date_sub(d, 1), "MM"),
@@ -157,7 +159,81 @@ def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
     start = F.col("month")
     end = F.last_day(start)
     rows = per_month.select("month", "country", *_counts(F.col("n_guests"), start, end))
-    return (rows.groupBy("month", "country")
-            .agg(F.sum("arrivals").cast("bigint").alias("arrivals"),
-                 F.sum("nights").cast("bigint").alias("nights"),
-                 F.sum("carry").cast("bigint").alias("carry")))
+    return rows.groupBy("month", "country").agg(
+        *[F.sum(c).cast("bigint").alias(c) for c in _SUMS], F.count("*").alias("stays"))
+
+
+def all_months_stats(bookings: DataFrame, customers: DataFrame) -> DataFrame:
+    """The month summary for every month at once.
+
+    Each invoiced booking is expanded to the months it overlaps under the same
+    predicate as the one-month query (``arrival <= end AND departure > start``):
+    the months of its nights, or for a zero-night stay its arrival month unless
+    it arrives on the 1st.  The expansion is bounded by the stay length.
+    """
+    return month_counts(bookings, customers).drop("stays")
+
+
+def month_count_changes(old: DataFrame, new: DataFrame, customers: DataFrame,
+                        new_customers: DataFrame | None = None) -> DataFrame:
+    """What replacing the bookings ``old`` by ``new`` changes in ``month_counts``: signed counts.
+
+    An insert is in ``new`` only, a delete in ``old`` only, a changed stay in both.  Only the rows of
+    the batch and their customers are read.  ``new_customers`` where customers change as well (the old and new
+    bookings of a customer whose country changes belong to the batch).
+    """
+    minus = month_counts(old, customers)
+    plus = month_counts(new, new_customers or customers)
+    names = [*_SUMS, "stays"]
+    return (minus.select("month", "country", *[(-F.col(c)).alias(c) for c in names]).unionByName(plus)
+            .groupBy("month", "country").agg(*[F.sum(c).cast("bigint").alias(c) for c in names]))
+
+
+def add_counts(stored: DataFrame, *changes: DataFrame) -> DataFrame:
+    """Stored ``month_counts`` with changes merged in: equal to counting again.  A row goes with its last stay."""
+    every = stored
+    for c in changes:
+        every = every.unionByName(c)
+    return (every.groupBy("month", "country").agg(*[F.sum(c).cast("bigint").alias(c) for c in (*_SUMS, "stays")])
+            .where(F.col("stays") > 0))
+
+
+def all_months_sweep(bookings: DataFrame, customers: DataFrame) -> DataFrame:
+    """``all_months_stats`` from arrivals and departures alone: two rows per stay, however long it is.
+
+    A stay counts in the month of its arrival and in that of its last night; what lies between follows from
+    running sums over each country's months: the guests who came earlier and are still there spend all
+    nights of a month, and those who stay on carry their remaining nights over.  The stays are summed up
+    per country and month before anything is ordered, so the running sums go over a calendar's rows, not a
+    country's stays.
+    """
+    a, d, n = F.col("arrival"), F.col("departure"), F.col("n_guests").cast("bigint")
+    j = _stays_with_country(bookings, customers).where((d > a) | (F.dayofmonth(a) != 1))
+    last_night = F.when(d > a, F.date_sub(d, 1)).otherwise(a)
+    left = n * F.unix_date(d)
+    event = lambda day, sign: F.struct(
+        F.trunc(day, "MM").alias("month"), F.lit(sign).alias("sign"),
+        (n * (F.datediff(F.last_day(day), a if sign > 0 else d) + 1)).alias("part"))
+    events = j.select("country", n.alias("n"), left.alias("left"),
+                      F.explode(F.array(event(a, 1), event(last_night, -1))).alias("e")).select("country", "n", "left", "e.*")
+    came, went = F.col("sign") > 0, F.col("sign") < 0
+    zero = F.lit(0).cast("bigint")
+    sums = events.groupBy("country", "month").agg(
+        *[F.sum(F.when(side, x).otherwise(zero)).alias(f"{name}_{what}")
+          for side, name in ((came, "in"), (went, "out"))
+          for x, what in ((F.col("n"), "n"), (F.col("left"), "left"), (F.lit(1), "stays"))],
+        F.sum(F.col("sign") * F.col("part")).alias("part"))
+    names = sums.columns[2:]
+    between = sums.groupBy("country").agg(F.min("month").alias("x"), F.max("month").alias("y")).select(
+        "country", F.explode(F.sequence("x", "y", F.expr("INTERVAL 1 MONTH"))).alias("month"), *[zero.alias(c) for c in names])
+    calendar = sums.unionByName(between).groupBy("country", "month").agg(*[F.sum(c).alias(c) for c in names])
+    so_far = Window.partitionBy("country").orderBy("month").rowsBetween(Window.unboundedPreceding, 0)
+    run = {c: F.sum(c).over(so_far) for c in names if c != "part"}
+    end = F.date_add(F.last_day("month"), 1)
+    days = F.dayofmonth(F.last_day("month"))
+    on = calendar.select(
+        "month", "country", F.col("in_n").alias("arrivals"),
+        ((run["in_n"] - F.col("in_n") - run["out_n"] + F.col("out_n")) * days + F.col("part")).alias("nights"),
+        (run["in_left"] - run["out_left"] - (run["in_n"] - run["out_n"]) * F.unix_date(end)).alias("carry"),
+        (run["in_stays"] - run["out_stays"] + F.col("out_stays")).alias("stays"))
+    return on.where("stays > 0").select("month", "country", *[F.col(c).cast("bigint").alias(c) for c in _SUMS])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from innkeep.operators import stats
 from innkeep.plans.catalog import STAT_MONTH, STAT_MONTH_END, register
 from innkeep.plans.oracle import stat_rows
+from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources.fixtures import load_model, model_max_nights
 
 _ROWS = stat_rows(STAT_MONTH, STAT_MONTH_END)
@@ -55,7 +58,8 @@ def e15_statistics_rows(spark, sf_dir):
                        F.col("carry").cast("bigint").alias("carry"))
 
 
-@register("a2_all_months_stats", """
+def _months_sql(stays: str = "bk") -> str:
+    return f"""
 , months AS (
   SELECT bk.id, inv.country, coalesce(g.guests, 0) AS n, bk.arrival, bk.departure,
          CAST(unnest(CASE WHEN bk.departure > bk.arrival THEN
@@ -64,7 +68,7 @@ def e15_statistics_rows(spark, sf_dir):
                                         INTERVAL 1 MONTH)
                       WHEN day(bk.arrival) <> 1 THEN [CAST(date_trunc('month', bk.arrival) AS TIMESTAMP)]
                       ELSE [] END) AS DATE) AS month
-  FROM bk JOIN inv ON inv.booking = bk.id LEFT JOIN gsum g ON g.booking = bk.id
+  FROM {stays} bk JOIN inv ON inv.booking = bk.id LEFT JOIN gsum g ON g.booking = bk.id
 ), cnt AS (
   SELECT month, country,
          CASE WHEN arrival < month THEN 0 ELSE n END AS arrivals,
@@ -77,13 +81,54 @@ def e15_statistics_rows(spark, sf_dir):
 SELECT month, country, CAST(sum(arrivals) AS BIGINT) AS arrivals,
        CAST(sum(nights) AS BIGINT) AS nights, CAST(sum(carry) AS BIGINT) AS carry
 FROM cnt GROUP BY month, country
-""")
+"""
+
+
+@register("a2_all_months_stats", _months_sql())
 def a2_all_months_stats(spark, sf_dir):
     """A2: every month's statistics by country in one pass."""
     m, _ = _model(spark, sf_dir)
     return stats.all_months_stats(m.bookings, m.customers)
 
 
+@register("a2_all_months_sweep", _months_sql())
+def a2_all_months_sweep(spark, sf_dir):
+    """A2 by arrivals and departures alone: two rows per stay, running sums per country."""
+    m, _ = _model(spark, sf_dir)
+    return stats.all_months_sweep(m.bookings, m.customers)
+
+
+@register("a2_long_stays_sweep", """
+, longer AS (SELECT * REPLACE (CAST(departure + CAST(id % 5 * 300 AS INTEGER) AS DATE) AS departure) FROM bk)
+""" + _months_sql("longer"))
+def a2_long_stays_sweep(spark, sf_dir):
+    """A2 by sweep where stays last up to three years more."""
+    m, _ = _model(spark, sf_dir)
+    longer = m.bookings.withColumn("departure", F.date_add("departure", (F.col("id") % 5 * 300).cast("int")))
+    return stats.all_months_sweep(longer, m.customers)
+
+
+@register("a2_changed_months_stats", """
+, after AS (SELECT * REPLACE (CASE WHEN id % 20 = 4 THEN CAST(arrival + 40 AS DATE) ELSE arrival END AS arrival,
+                              CASE WHEN id % 20 = 4 THEN CAST(departure + 45 AS DATE) ELSE departure END AS departure)
+            FROM bk WHERE id % 50 <> 7)
+""" + _months_sql("after"))
+def a2_changed_months_stats(spark, sf_dir):
+    """A2 + C6: stored counts of all stays but every tenth, then two batches merged in: the missing stays come;
+    every 50th stay goes and every 20th is moved and lengthened."""
+    m, _ = _model(spark, sf_dir)
+    k = F.col("id")
+    first = m.bookings.where(k % 10 != 3)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-counts/{uuid.uuid4().hex}"
+    stats.month_counts(first, m.customers).write.parquet(path)
+    none = m.bookings.limit(0)
+    come = stats.month_count_changes(none, m.bookings.where(k % 10 == 3), m.customers)
+    old = m.bookings.where((k % 50 == 7) | (k % 20 == 4))
+    new = old.where(k % 50 != 7).withColumn("arrival", F.date_add("arrival", 40)).withColumn("departure", F.date_add("departure", 45))
+    edits = stats.month_count_changes(old, new, m.customers)
+    return stats.add_counts(spark.read.parquet(path), come, edits).drop("stays")
+
+
 @register("o4_invoice_row_order", _ROWS + """
 SELECT scnt.id, CAST(row_number() OVER (ORDER BY coalesce(inv.invoice_no, '') DESC, scnt.id) - 1
                      AS BIGINT) AS position

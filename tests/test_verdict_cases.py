@@ -161,3 +161,15 @@ def test_session_starts_without_any_configured_folder(tmp_path):
     env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": ROOT}
     out = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120)
     assert "True 3" in out.stdout, out.stderr[-2000:]
+
+
+def test_money_that_is_no_number_makes_a_document_corrupt(spark):
+    from innkeep.sources import documents as DOC
+    head = '{"period":["2020-01-01","2020-01-03"],"tax_free":false,"note":"","guests":[],"allocs":[]'
+    cases = {'"deposit_asked":"abc"': None, '"deposit_got":"12"': None, '"deposit_asked":true': None, '"deposit_got":{}': None,
+             '"deposit_asked":null': (None, None), '"deposit_asked":12.5,"deposit_got":3': (1250, 300), '"x":1': (None, None)}
+    df = spark.createDataFrame([(i, head + "," + c + "}") for i, c in enumerate(cases)], "id long, data string")
+    rows = sorted(DOC.decode_rows(df, "bookings").collect(), key=lambda r: r.id)
+    got = [None if r.data is None else (r.data.deposit_asked, r.data.deposit_got) for r in rows]
+    assert got == list(cases.values())
+    assert [r._corrupt is None for r in rows] == [c is not None for c in cases.values()]
