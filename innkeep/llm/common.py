@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innkeep.session import ensure_checkpoint_dir
+from innkeep.sources import shared
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,13 +31,39 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Parquet tables of one run in the shared folder, each freed once its successor is written.
+
+    Lineage is cut as by a reliable checkpoint, but the rows are compressed and the
+    space can be given back while the run goes on.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark = spark
+        self.root = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def free(self, *frames: DataFrame) -> None:
+        """Deletes tables that nothing reads any more."""
+        for df in frames:
+            _, path = self.paths.pop(id(df))
+            shared.delete(self.spark, path)
+
+
 def _pairs(df: DataFrame, *columns: tuple[str, str]) -> DataFrame:
     """Rows (u, v) for each of the named column pairs."""
     rows = [F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in columns]
     return df.select(F.explode(F.array(*rows)).alias("x")).select("x.u", "x.v")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, tables: Tables | None = None) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b).
 
     Every node that occurs in an edge gets the smallest node reachable from
@@ -43,11 +72,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     shuffle, so a hub costs one row per partition) and is checkpointed; the
     number of rounds is logarithmic in the longest chain.  No part of the graph
     is brought to the driver; only the count and an order-free hash of the
-    edges are, to see whether a round still changed anything.
+    edges are, to see whether a round still changed anything.  With ``tables`` each
+    round's edges are written there and the round before is freed.
     """
+    keep = tables.keep if tables else cut_lineage
     e = (edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
          .where("u <> v").distinct())
-    e = cut_lineage(e)
+    e = keep(e)
     before = None
     for _ in range(max_rounds):
         both = _pairs(e, ("u", "v"), ("v", "u"))
@@ -58,7 +89,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = _pairs(joined, ("v", "m"), ("u", "m")).where("u <> v").distinct()
-        e = cut_lineage(small)
+        last, e = e, keep(small)
+        if tables:
+            tables.free(last)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

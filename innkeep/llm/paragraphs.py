@@ -24,33 +24,36 @@ one node.  Buckets of one are dropped before members move.  A bucket's members
 are first compared with a pivot each (two rounds with different pivots, chosen
 by a hash); components formed that way are then resolved, and only members of a
 bucket that are still in different components are compared with each other
-(behind a prefix filter), in blocks inside tasks that return a spanning forest.  A large bucket is split into blocks
-of ``block`` members, every pair of blocks meeting in one task.  Texts are
+in tasks that count shared shingles and return a spanning forest.  A large bucket is split into blocks
+of about ``block`` members or ``BLOCK_BYTES`` of words, every pair of blocks meeting in one task.  Texts are
 fetched for members of shared buckets only.  Of passages, hashes and places move;
-no text.
+no text.  Tables in between are freed as soon as their successors are written.
 
 Defined results: null text counts as empty; a repeated row (same id and text)
-is the same document; ties cannot occur (the first line of the smallest id
+is the same document, different texts under one id (or under none) are different
+documents, told apart by 128 bits of id and text; ties cannot occur (the first line of the smallest id
 stays); an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from innkeep.llm.common import connected_components, cut_lineage, texts
+from innkeep.llm.common import Tables, connected_components, texts
 
 SHINGLE = 5
 BANDS, ROWS = 6, 2
 SIMILARITY = 0.8
-BLOCK = 256
+BLOCK = 2048
+BLOCK_BYTES = 4 << 20
+HOT = 1000
 PIVOT_ROUNDS = 2
 PASSAGE, WINDOW = 25, 16
 _U = np.uint64
@@ -92,9 +95,23 @@ def _minima(lines: list[list[bytes]]) -> np.ndarray:
     return out.view(np.int64)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): 128 bits of id and text tell texts under one id apart."""
+    return texts(docs).select("doc_id", *_keys(F.col("doc_id"), F.col("text")), "text")
+
+
+def _keys(doc_id: Column, text: Column) -> list[Column]:
+    tell = [doc_id.isNull(), doc_id, text]
+    return [F.xxhash64(*tell).alias("t1"), F.xxhash64(F.lit("t2"), *tell).alias("t2")]
+
+
 def lines(docs: DataFrame, bands: bool = False, with_words: bool = False) -> DataFrame:
-    """(doc_id, para, k1, k2[, words][, b0..]): lines of SHINGLE words or more."""
-    schema = "doc_id long, para int, k1 long, k2 long"
+    """(k1, k2) of the lines of SHINGLE words or more, with the bands b0.. or with the
+    words, or else with their place (doc_id, t1, t2, para)."""
+    placed = not bands and not with_words
+    schema = "k1 long, k2 long"
+    if placed:
+        schema = "doc_id long, t1 long, t2 long, para int, " + schema
     if with_words:
         schema += ", words binary"
     if bands:
@@ -104,20 +121,25 @@ def lines(docs: DataFrame, bands: bool = False, with_words: bool = False) -> Dat
         import xxhash
         for batch in batches:
             for a in range(0, len(batch), 256):
-                ids, where, split, keys = [], [], [], []
-                for doc, text in zip(batch["doc_id"][a:a + 256], batch["text"][a:a + 256]):
+                part = batch[a:a + 256]
+                of, where, split, keys = [], [], [], []
+                for doc, text in enumerate(part["text"]):
                     for no, line in enumerate(text.split("\n")):
                         words = normal_words(line)
                         if len(words) >= SHINGLE:
-                            ids.append(doc)
+                            of.append(doc)
                             where.append(no)
                             split.append(words)
                             keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if not ids:
+                if not of:
                     continue
                 key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
-                out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "para": np.array(where, np.int32),
-                                    "k1": key[:, 0], "k2": key[:, 1]})
+                out = pd.DataFrame({"k1": key[:, 0], "k2": key[:, 1]})
+                if placed:
+                    out["doc_id"] = part["doc_id"].astype("Int64").array[of]
+                    out["t1"], out["t2"] = part["t1"].to_numpy()[of], part["t2"].to_numpy()[of]
+                    out["para"] = np.array(where, np.int32)
+                    out = out[["doc_id", "t1", "t2", "para", "k1", "k2"]]
                 if with_words:
                     out["words"] = [b" ".join(w) for w in split]
                 if bands:
@@ -125,7 +147,7 @@ def lines(docs: DataFrame, bands: bool = False, with_words: bool = False) -> Dat
                     for i in range(BANDS):
                         out[f"b{i}"] = found[:, i]
                 yield out
-    return texts(docs).mapInPandas(run, schema)
+    return keyed(docs).mapInPandas(run, schema)
 
 
 def shingles(words: bytes) -> set[tuple[bytes, ...]]:
@@ -154,22 +176,25 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 def _forest(members: DataFrame, words: DataFrame, least: float, block: int) -> DataFrame:
     """Links that connect, within each bucket, members of different components.
 
-    ``members``: (band, hash, nid, component).  Blocks of a bucket meet pairwise.
+    ``members``: (band, hash, nid, component).  A bucket is cut into blocks of about
+    ``block`` members or ``BLOCK_BYTES`` of words, and blocks meet pairwise; a member is
+    sent once if its bucket is one block.
     """
-    sizes = members.groupBy("band", "hash").agg(F.count("*").alias("n"))
-    m = (members.join(sizes, ["band", "hash"]).join(words, "nid")
-         .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-         .withColumn("own", F.pmod(F.xxhash64("nid"), "blocks").cast("int")))
+    m = members.join(words, "nid")
+    sizes = (members.join(words.select("nid", F.length("words").alias("size")), "nid").groupBy("band", "hash")
+             .agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int").alias("blocks")))
+    m = m.join(sizes, ["band", "hash"]).withColumn("own", F.pmod(F.xxhash64("nid"), "blocks").cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("band", "hash", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                 "nid", "component", "words")
-
     place = ["band", "hash", "p", "q"]
+    m = m.select("band", "hash", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
+                 "nid", "component", "words", (F.col("own") > F.col("other")).alias("second"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # many small buckets in one task: rows arrive sorted, no bucket is cut
         def done(rows: list) -> list:
-            return similar_pairs([r[4] for r in rows], [r[5] for r in rows], [bytes(r[6]) for r in rows], least)
+            _, _, p, q = rows[0][:4]
+            return similar_pairs([r[4] for r in rows], [r[5] for r in rows], [bytes(r[6]) for r in rows], least,
+                                 [r[7] for r in rows] if p != q else None)
         held: list = []
         for b in batches:
             out = []
@@ -181,76 +206,94 @@ def _forest(members: DataFrame, words: DataFrame, least: float, block: int) -> D
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
         if held:
             yield pd.DataFrame(done(held), columns=["a", "b"], dtype="int64")
-    return m.select(*place, "nid", "component", "words").repartition(*[F.col(c) for c in place]) \
+    return m.select(*place, "nid", "component", "words", "second").repartition(*[F.col(c) for c in place]) \
         .sortWithinPartitions(*place, "nid").mapInPandas(run, "a long, b long")
 
 
-def similar_pairs(nid: list, component: list, words: list[bytes], least: float) -> list[tuple[int, int]]:
-    """Links that join the components of one bucket.
-
-    Prefix filter: sets that reach the similarity share one of their first
-    ``len - ceil(least * len) + 1`` shingles in the order of rising frequency, so
-    only members that do are compared exactly.
+def _shingle_numbers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(member, shingle): the distinct shingles of each member, numbered over all members."""
+    number: dict = {}
+    split = [w.split(b" ") for w in words]
+    flat = np.fromiter((number.setdefault(x, len(number)) for w in split for x in w), np.int64)
+    sizes = np.array([len(w) for w in split])
+    n = len(flat) - SHINGLE + 1
+    gram = flat[:n]
+    for i in range(1, SHINGLE):                      # pairs of (prefix, next word), numbered anew each time
+        gram = np.unique(gram * len(number) + flat[i:i + n], return_inverse=True)[1]
+    member = np.repeat(np.arange(len(words)), sizes)
+    inside = member[:n] == member[SHINGLE - 1:]
+    both = np.unique(member[:n][inside] * n + gram[inside])
+    return both // n, both % n
+
+
+def similar_pairs(nid: list, component: list, words: list[bytes], least: float,
+                  second: list | None = None) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket; with ``second``, only links
+    between the members marked so and the others.
+
+    For each member one count over the lists of its shingles gives what it shares with
+    all others, so the Jaccard similarity of every pair of components is exact.
     """
-    sets = [shingles(w) for w in words]
-    often: dict = {}
-    for s in sets:
-        for g in s:
-            often[g] = often.get(g, 0) + 1
-    root = {c: c for c in component}
-
-    def find(c):
-        while root[c] != c:
-            root[c] = root[root[c]]
-            c = root[c]
-        return c
-    index: dict = {}
+    member, gram = _shingle_numbers(words)
+    size = np.bincount(member, minlength=len(words))
+    order = np.argsort(gram, kind="stable")
+    holders, ends = member[order], np.bincount(gram).cumsum()
+    root = np.unique(np.array(component, np.int64), return_inverse=True)[1]
+    start = np.searchsorted(member, np.arange(len(words) + 1))
+    side = None if second is None else np.array(second, bool)
+    # a pair of components always has a member outside the largest one
+    biggest = np.bincount(root).argmax()
     out = []
-    for i, s in enumerate(sets):
-        first = sorted(s, key=lambda g: (often[g], g))[:len(s) - math.ceil(least * len(s) - 1e-9) + 1]
-        for j in sorted({j for g in first for j in index.get(g, ())}):
-            a, b = find(component[i]), find(component[j])
-            if a != b and jaccard_at_least(s, sets[j], least):
-                root[b] = a
+    for i in np.flatnonzero(root != biggest):
+        mine = gram[start[i]:start[i + 1]]
+        common = np.bincount(np.concatenate([holders[ends[g] - n:ends[g]] for g, n in zip(mine, _lengths(ends, mine))]),
+                             minlength=len(words))
+        near = (common >= least * (size[i] + size - common) - 1e-12) & (root != root[i])
+        if side is not None:
+            near &= side != side[i]
+        for j in np.flatnonzero(near):
+            if root[j] != root[i]:
+                root[root == root[j]] = root[i]
                 out.append((nid[j], nid[i]))
-        for g in first:
-            index.setdefault(g, []).append(i)
     return out
 
 
-def groups(docs: DataFrame, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _lengths(ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+    return ends[which] - np.where(which > 0, ends[which - 1], 0)
+
+
+def groups(docs: DataFrame, tables: Tables, least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
     """(k1, k2, component) of every paragraph text that occurs
     more than once, exactly or nearly; component is any number of the group."""
-    one = lines(docs, bands=True)
-    nodes = cut_lineage(one.groupBy("k1", "k2").agg(
-        F.count("*").alias("copies"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)]))
-    nodes = nodes.withColumn("nid", F.monotonically_increasing_id())
+    nodes = tables.keep(lines(docs, bands=True).groupBy("k1", "k2").agg(
+        F.count("*").alias("copies"), *[F.min(f"b{i}").alias(f"b{i}") for i in range(BANDS)])
+        .withColumn("nid", F.monotonically_increasing_id()))
     rows = nodes.select("nid", F.posexplode(F.array(*[f"b{i}" for i in range(BANDS)]))
                         .alias("band", "hash"))
-    shared = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = cut_lineage(rows.join(shared, ["band", "hash"]))
+    often = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    members = tables.keep(rows.join(often, ["band", "hash"]))
     wanted = members.select("nid").distinct().join(nodes.select("nid", "k1", "k2"), "nid")
-    words = cut_lineage(lines(docs, with_words=True).select("k1", "k2", "words")
-                        .join(wanted, ["k1", "k2"], "inner").select("nid", "words")
+    words = tables.keep(lines(docs, with_words=True).join(wanted, ["k1", "k2"], "inner").select("nid", "words")
                         .groupBy("nid").agg(F.first("words").alias("words")))
-    links = None
-    comps = None
+    links, comps = [], None
     for turn in range(PIVOT_ROUNDS):
         live = members if comps is None else _open_buckets(members, comps)
         pivot = live.groupBy("band", "hash").agg(
             F.min(F.struct(F.xxhash64("nid", F.lit(turn)).alias("h"), F.col("nid").alias("pivot"))).alias("p"))
         pairs = (live.join(pivot, ["band", "hash"]).where(F.col("nid") != F.col("p.pivot"))
                  .select(F.least("nid", "p.pivot").alias("a"), F.greatest("nid", "p.pivot").alias("b")).distinct())
-        found = cut_lineage(_verified(pairs, words, least))
-        links = found if links is None else links.unionByName(found)
-        comps = cut_lineage(connected_components(links))
-    rest = _open_buckets(members, comps)
-    links = links.unionByName(_forest(rest.select("band", "hash", "nid", "component"), words, least, block))
-    comps = connected_components(links)
-    grouped = nodes.join(comps, nodes.nid == comps.node, "left").select(
-        "k1", "k2", "copies", F.coalesce("component", "nid").alias("component"),
-        F.col("component").isNotNull().alias("near"))
-    return grouped.where("near OR copies > 1").select("k1", "k2", "component")
+        links.append(tables.keep(_verified(pairs, words, least)))
+        comps = tables.keep(connected_components(reduce(DataFrame.unionByName, links), tables=tables))
+    rest = tables.keep(_open_buckets(members, comps).select("band", "hash", "nid", "component"))
+    links.append(tables.keep(_forest(rest, words, least, block)))
+    tables.free(members, words, rest)
+    comps = connected_components(reduce(DataFrame.unionByName, links), tables=tables)
+    found = tables.keep(
+        nodes.join(comps, nodes.nid == comps.node, "left")
+        .where("component IS NOT NULL OR copies > 1")
+        .select("k1", "k2", F.coalesce("component", "nid").alias("component")))
+    tables.free(nodes, *links)
+    return found
 
 
 def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
@@ -262,15 +305,31 @@ def _open_buckets(members: DataFrame, comps: DataFrame) -> DataFrame:
     return m.join(several, ["band", "hash"])
 
 
-def shared_lines(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, para, component, first_doc, first_para, removed) of every line of a group."""
-    found = cut_lineage(groups(docs, **options))
-    rows = cut_lineage(lines(docs).select("doc_id", "para", "k1", "k2").join(found, ["k1", "k2"])
-                       .select("doc_id", "para", "component"))
-    first = (rows.groupBy("component").agg(F.min(F.struct("doc_id", "para")).alias("f"))
-             .select("component", F.col("f.doc_id").alias("first_doc"), F.col("f.para").alias("first_para")))
-    return rows.join(first, "component").withColumn(
-        "removed", ~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("para") == F.col("first_para"))))
+def with_first(rows: DataFrame, group: list[str], place: Column, tables: Tables) -> DataFrame:
+    """``rows`` (stored) with ``f``, the smallest place of the row's group.
+
+    Groups of more than one in ``HOT`` rows (so fewer than ``HOT`` groups) are joined by
+    broadcast and never meet in one task; all others are shuffled.
+    """
+    first = tables.keep(rows.groupBy(*group).agg(F.min(place).alias("f"), F.count("*").alias("n")))
+    least = (first.agg(F.sum("n")).first()[0] or 0) // HOT
+    hot = first.where(F.col("n") > least + 1).drop("n")
+    cold = first.where(F.col("n") <= least + 1).drop("n")
+    return rows.join(F.broadcast(hot), group).unionByName(
+        rows.join(F.broadcast(hot.select(*group)), group, "left_anti").join(cold, group))
+
+
+def shared_lines(docs: DataFrame, tables: Tables | None = None, **options) -> DataFrame:
+    """(doc_id, t1, t2, para, component, first_doc, first_para, removed) of every line of a group;
+    (t1, t2) as in ``keyed``."""
+    tables = tables or Tables(docs.sparkSession, "paragraphs")
+    found = groups(docs, tables, **options)
+    rows = tables.keep(lines(docs).join(found, ["k1", "k2"]).select("doc_id", "t1", "t2", "para", "component"))
+    tables.free(found)
+    place = F.struct("doc_id", "t1", "t2", "para")
+    return with_first(rows, ["component"], place, tables).select(
+        "doc_id", "t1", "t2", "para", "component", F.col("f.doc_id").alias("first_doc"),
+        F.col("f.para").alias("first_para"), (~place.eqNullSafe(F.col("f"))).alias("removed"))
 
 
 def passage_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
@@ -303,13 +362,8 @@ def passage_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, ...]:
     return doc[at], place[at], keys[at].view(np.int64), second.view(np.int64)
 
 
-def _versions(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, text): version tells texts under one id apart."""
-    return texts(docs).select("doc_id", F.xxhash64("text").alias("version"), "text")
-
-
 def passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, version, word, para, last, k1, k2): runs of words, by their first word and
+    """(doc_id, t1, t2, word, para, last, k1, k2): runs of words, by their first word and
     the lines of their first and last word."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -326,28 +380,26 @@ def passages(docs: DataFrame) -> DataFrame:
                     para[a:z] = np.searchsorted(ends, at[a:z], "right")
                     last[a:z] = np.searchsorted(ends, at[a:z] + PASSAGE - 1, "right")
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array[doc],
-                                    "version": part["version"].to_numpy()[doc], "word": at.astype(np.int32),
+                                    "t1": part["t1"].to_numpy()[doc], "t2": part["t2"].to_numpy()[doc],
+                                    "word": at.astype(np.int32),
                                     "para": para, "last": last, "k1": k1, "k2": k2})
-    return _versions(docs).mapInPandas(
-        run, "doc_id long, version long, word int, para int, last int, k1 long, k2 long")
+    return keyed(docs).mapInPandas(
+        run, "doc_id long, t1 long, t2 long, word int, para int, last int, k1 long, k2 long")
 
 
-def repeated_passages(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, version, word, first_doc) of every run of words that repeats one before it,
-    outside the removed lines of ``shared`` (from ``shared_lines``)."""
-    often = cut_lineage(passages(docs).select("k1").groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
-    gone = (shared.where("removed").groupBy(F.col("doc_id").alias("_id"))
-            .agg(F.collect_set("para").alias("gone")))
+def repeated_passages(docs: DataFrame, found_lines: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, t1, t2, word, first_doc) of every run of words that repeats one before it,
+    outside the removed lines of ``found_lines`` (from ``shared_lines``)."""
+    often = tables.keep(passages(docs).select("k1").groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
+    gone = (found_lines.where("removed").groupBy("t1", "t2").agg(F.collect_set("para").alias("gone")))
     found = passages(docs).join(often, "k1")
-    found = (found.join(gone, found.doc_id.eqNullSafe(gone["_id"]), "left")
+    found = (found.join(gone, ["t1", "t2"], "left")
              .where(F.col("gone").isNull() | ~F.exists("gone", lambda g: g.between(F.col("para"), F.col("last")))))
-    found = cut_lineage(found.select("doc_id", "version", "word", "k1", "k2"))
-    place = F.struct("doc_id", "version", "word")
-    # a table of its own, so that the join may split the rows of a very frequent passage
-    first = cut_lineage(found.groupBy("k1", "k2").agg(F.min(place).alias("f"), F.max(place).alias("l"))
-                        .where("f <> l").select("k1", "k2", "f"))
-    return (found.join(first, ["k1", "k2"]).where(~place.eqNullSafe(F.col("f")))
-            .select("doc_id", "version", "word", F.col("f.doc_id").alias("first_doc")).distinct())
+    found = tables.keep(found.select("doc_id", "t1", "t2", "word", "k1", "k2"))
+    tables.free(often)
+    place = F.struct("doc_id", "t1", "t2", "word")
+    return (with_first(found, ["k1", "k2"], place, tables).where(~place.eqNullSafe(F.col("f")))
+            .select("doc_id", "t1", "t2", "word", F.col("f.doc_id").alias("first_doc")).distinct())
 
 
 def _spans(words: Column) -> Column:
@@ -365,29 +417,27 @@ def report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: lines, lines shared with others, lines removed (their
     numbers, comma-joined), passages removed besides (first word and word after the
     last, ``a-b``, comma-joined) with their words, and the documents that hold the
-    first of each group."""
-    shared = shared_lines(docs, **options)
-    runs = repeated_passages(docs, shared).groupBy(F.col("doc_id").alias("_run_id"), "version").agg(
+    first of each group of which this one loses something."""
+    tables = Tables(docs.sparkSession, "paragraphs")
+    found = tables.keep(shared_lines(docs, tables, **options))
+    runs = repeated_passages(docs, found, tables).groupBy("t1", "t2").agg(
         F.array_sort(F.collect_set("word")).alias("words"), F.collect_set("first_doc").alias("run_docs"))
-    runs = runs.select("_run_id", "version", "run_docs", _spans(F.col("words")).alias("spans"))
-    per_doc = shared.distinct().groupBy("doc_id").agg(
+    runs = runs.select("t1", "t2", "run_docs", _spans(F.col("words")).alias("spans"))
+    per_doc = found.distinct().groupBy("t1", "t2").agg(
         F.count("*").alias("n_shared"), F.count_if("removed").alias("n_removed"),
         F.array_join(F.sort_array(F.collect_list(F.when(F.col("removed"), F.col("para")))), ",").alias("removed"),
-        F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
-    every = _versions(docs).select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.size(F.split("text", "\n", -1)).cast("long")
-                               .alias("n_paragraphs"))
+        F.sort_array(F.collect_set(F.when(F.col("removed"), F.col("first_doc")))).alias("first_docs"))
+    every = keyed(docs).select("doc_id", "t1", "t2", F.size(F.split("text", "\n", -1)).cast("long").alias("n_paragraphs"))
     none = F.lit(0).cast("long")
     empty = F.array().cast("array<bigint>")
-    joined = every.join(per_doc, F.col("_id").eqNullSafe(F.col("doc_id")), "left").join(
-        runs, F.col("_id").eqNullSafe(F.col("_run_id")) & (F.col("_version") == F.col("version")), "left")
-    return joined.select(
-        F.col("_id").alias("doc_id"), "n_paragraphs", F.coalesce("n_shared", none).alias("n_shared"),
+    return every.join(per_doc, ["t1", "t2"], "left").join(runs, ["t1", "t2"], "left").select(
+        "doc_id", "n_paragraphs", F.coalesce("n_shared", none).alias("n_shared"),
         F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("removed", F.lit("")).alias("removed"),
         F.sort_array(F.array_union(F.coalesce("first_docs", empty), F.coalesce("run_docs", empty))).alias("first_docs"),
         F.coalesce(F.size("spans").cast("long"), none).alias("n_passages"),
         F.coalesce(F.aggregate("spans", none, lambda n, x: n + x["b"] - x["a"]), none).alias("passage_words"),
         F.coalesce(F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["a"], x["b"])), ","), F.lit(""))
-        .alias("passages"), F.col("_version").alias("version"))
+        .alias("passages"), "t1", "t2")
 
 
 def without(text: str, removed: str, passages: str) -> str:
@@ -411,16 +461,18 @@ def without(text: str, removed: str, passages: str) -> str:
 
 def remove(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` with the removed lines and passages taken out of the text."""
-    gone = (report(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), **options)
-            .where("n_removed > 0 OR n_passages > 0")
-            .select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed").alias("_gone"),
-                    F.col("passages").alias("_passages")).distinct())
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    gone = (report(named, **options).where("n_removed > 0 OR n_passages > 0")
+            .select("t1", "t2", "removed", "passages").distinct())
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, lines: pd.Series, runs: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or g is None else without(t, g, p) for t, g, p in zip(text, lines, runs)],
                          dtype=object)
-    version = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (version == F.col("_version")), "left")
-    return joined.select(*[kept(F.col(text_col), F.col("_gone"), F.col("_passages")).alias(c)
-                           if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    # the row is one column, so that no name of its own meets ours
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"),
+                       *_keys(F.col(f"`{id_col}`").cast("long"), F.coalesce(text, F.lit(""))))
+    joined = rows.join(gone, ["t1", "t2"], "left")
+    return joined.select(*[kept(F.col("text"), F.col("removed"), F.col("passages")).alias(c) if c == text_col
+                           else F.col("row").getField(c).alias(c) for c in docs.columns])

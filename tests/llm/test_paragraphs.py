@@ -141,3 +141,27 @@ def test_runs_are_taken_by_content_only():
             place = sorted(p - len(texts[0]) for d, p, a, b in zip(doc, at, k1, k2) if d == 0 and (a, b) in both)
             assert place and 0 <= place[0] <= 15 and n - 40 <= place[-1] <= n - 25
             assert all(y - x <= P.PASSAGE for x, y in zip(place, place[1:]))
+
+
+def test_texts_under_one_id_or_none_keep_their_own_lines(spark):
+    a, b = "a b c d e f", "one two three four five six"
+    docs = [(1, f"{a}\n{b}", "p"), (5, f"{a}\nonly in the second text here", "q"),
+            (5, f"also only here in this one\nx\n{b}", "r"), (None, f"{b}\nnull one has this line alone", "s"),
+            (None, f"null two has this other line\n{a}", "t")]
+    # names that the operator uses itself
+    df = spark.createDataFrame([(*d, d[2], d[2], d[2], d[2]) for d in docs],
+                               "doc_id long, text string, _id string, _gone string, row string, t1 string, removed string")
+    got = sorted((r.doc_id is not None, r.removed) for r in P.report(df).collect())
+    # a null id is the smallest, so the null rows hold the first of each group
+    assert got == sorted([(True, "0,1"), (True, "0"), (True, "2"), (False, ""), (False, "")])
+    rows = {r._id: r for r in P.remove(df).collect()}
+    assert rows["p"].text == "" and rows["q"].text == "only in the second text here"
+    assert rows["r"].text == "also only here in this one\nx"
+    assert rows["s"].text == docs[3][1] and rows["t"].text == docs[4][1]
+    assert all((r._gone, r.row, r.t1, r.removed) == (k,) * 4 for k, r in rows.items())
+
+
+def test_documents_that_lose_nothing_name_no_other(spark):
+    df = spark.createDataFrame([(1, "a b c d e\nx"), (2, "a b c d e"), (3, "clean text of its own here")],
+                               "doc_id long, text string")
+    assert {r.doc_id: r.first_docs for r in P.report(df).collect()} == {1: [], 2: [1], 3: []}
