@@ -153,6 +153,33 @@ def last_stays(bookings: DataFrame) -> DataFrame:
                     F.col("last.id").alias("last_booking")))
 
 
+def merged_last_stays(stored: DataFrame, changes: DataFrame, bookings: DataFrame) -> DataFrame:
+    """``stored`` rows of ``last_stays`` after a change batch, equal to computing them again.
+
+    ``changes``: (sign, customer, arrival, departure, id), -1 for a booking as it was (deleted, moved or
+    changed), 1 for one as it is now; ``bookings`` are those after the batch.  A new stay only has to be
+    compared with the stored one.  Where the stored last stay itself is gone and no new one reaches it, the
+    customer's bookings are read again; of no other customer.  A customer without a stay left has
+    no row; changes without a customer count for nobody.  A plain max per customer, so a hot
+    customer costs one row per partition.
+    """
+    named = changes.where(F.col("customer").isNotNull())
+    stay = F.struct("arrival", "departure", "id")
+    came = named.where("sign > 0").groupBy("customer").agg(F.max(stay).alias("came"))
+    gone = (named.where("sign < 0").select("customer", F.col("id").alias("last_booking")).distinct()
+            .withColumn("gone", F.lit(True)))
+    was = F.struct(F.col("last_from").alias("arrival"), F.col("last_till").alias("departure"),
+                   F.col("last_booking").alias("id"))
+    state = (stored.join(gone, ["customer", "last_booking"], "left").select("customer", was.alias("was"), "gone")
+             .join(came, "customer", "full"))
+    again = F.col("gone").isNotNull() & (F.col("came").isNull() | (F.col("came") < F.col("was")))
+    kept = state.where(~again).select("customer", F.greatest("was", "came").alias("last")).select(
+        "customer", F.col("last.arrival").alias("last_from"), F.col("last.departure").alias("last_till"),
+        F.col("last.id").alias("last_booking"))
+    anew = last_stays(bookings.join(state.where(again).select("customer"), "customer", "left_semi"))
+    return kept.unionByName(anew)
+
+
 def customer_rows(customers: DataFrame, bookings: DataFrame) -> DataFrame:
     """Search-result rows: id, keyword, given, family, company, last stay."""
     last = last_stays(bookings).withColumnRenamed("customer", "id")

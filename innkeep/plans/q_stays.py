@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from innkeep.functions import periods as P
 from innkeep.operators import search, stays
 from innkeep.plans.catalog import AGENDA_DAY, STAT_MONTH, STAT_MONTH_END, register
+from innkeep.session import ensure_checkpoint_dir
+from innkeep.sources import versions
 from innkeep.sources.fixtures import load_model, model_max_nights
 
 LOOKUP_KEY = 1031
@@ -146,6 +150,41 @@ def w2_last_stay(spark, sf_dir):
     return stays.last_stays(m.bookings.select("id", "customer", "arrival", "departure"))
 
 
+@register("w2_last_stay_kept", """
+SELECT customer, arrival AS last_from, departure AS last_till, id AS last_booking
+FROM (SELECT *, row_number() OVER (PARTITION BY customer ORDER BY arrival DESC, departure DESC, id DESC) AS rn
+      FROM (SELECT id, customer, arrival - CASE WHEN id % 5 = 1 THEN 400 ELSE 0 END AS arrival,
+                   departure - CASE WHEN id % 5 = 1 THEN 400 ELSE 0 END AS departure
+            FROM bk WHERE id % 7 <> 0
+            UNION ALL
+            SELECT -id, customer, arrival + 10, departure + 10 FROM bk WHERE id % 11 = 3 AND id % 7 <> 0 AND id > 0))
+WHERE rn = 1
+""")
+def w2_last_stay_kept(spark, sf_dir):
+    """W2 kept up to date in a stored table: bookings deleted in one batch, in the next one stays moved
+    400 days back and new ones made; the second batch comes twice."""
+    k = F.col("id")
+    cols = ["id", "customer", "arrival", "departure"]
+    first = load_model(spark, sf_dir).bookings.select(*cols)
+    second = first.where(k % 7 != 0)
+    move = k % 5 == 1
+    made = second.where((k % 11 == 3) & (k > 0)).select(
+        (-k).alias("id"), "customer", F.date_add("arrival", 10).alias("arrival"), F.date_add("departure", 10).alias("departure"))
+    moved = second.where(move).select(
+        "id", "customer", F.date_sub("arrival", 400).alias("arrival"), F.date_sub("departure", 400).alias("departure"))
+    third = second.where(~move).unionByName(moved).unionByName(made)
+    signed = lambda df, sign: df.select(F.lit(sign).alias("sign"), *cols)
+    batches = [(signed(first.where(k % 7 == 0), -1), second),
+               (signed(second.where(move), -1).unionByName(signed(moved, 1)).unionByName(signed(made, 1)), third)]
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/innkeep-versions/{uuid.uuid4().hex}"
+    versions.create(spark, root, stays.last_stays(first), key="customer")
+    for number in (0, 1, 1):
+        changes, after = batches[number]
+        versions.commit(spark, root, changes, lambda rows, batch, b=after: stays.merged_last_stays(rows, batch, b),
+                        "bookings", number)
+    return versions.read(spark, root)
+
+
 @register("t6_customer_rows", """
 SELECT cu.id, cu.keyword, cu.given, cu.family, cu.company, l.arrival AS from_date,
        l.departure AS till_date

@@ -114,3 +114,35 @@ def test_expire_keeps_what_is_listed(spark):
 def test_rows_without_an_id_are_refused(spark):
     with pytest.raises(ValueError):
         V.create(spark, tempfile.mkdtemp() + "/t", spark.createDataFrame([(None, 1)], "id long, x int"))
+
+
+def test_last_stays_are_kept_through_batches(spark, tmp_path):
+    """Deletes of the maximum and of others, moves between customers, a hot customer, replays."""
+    import datetime as dt
+    import random
+
+    from innkeep.operators import stays
+    rnd = random.Random(4)
+    schema = "id long, customer long, arrival date, departure date"
+
+    def row(i):
+        a = dt.date(2020, 1, 1) + dt.timedelta(days=rnd.randint(0, 40))
+        return (i, rnd.choice([1, 1, 1, 2, 3, 4, 5, 6]), a, a + dt.timedelta(days=rnd.randint(0, 3)))
+    now = {i: row(i) for i in range(60)}
+    root = str(tmp_path / "last")
+    V.create(spark, root, stays.last_stays(spark.createDataFrame(list(now.values()), schema)), "customer", 2)
+    for number in range(4):
+        last = max(now.values(), key=lambda r: (r[2], r[3], r[0]))[0]
+        out = {*rnd.sample(sorted(now), 8), last, *([i for i, r in now.items() if r[1] == 5] if number == 1 else [])}
+        old = [now.pop(i) for i in sorted(out)]
+        new = [row(i) for i in [*sorted(out)[::2], *range(100 * number + 100, 100 * number + 103)]]
+        now.update({r[0]: r for r in new})
+        changes = spark.createDataFrame([(-1, *r) for r in old] + [(1, *r) for r in new], f"sign int, {schema}")
+        after = spark.createDataFrame(list(now.values()), schema)
+        for _ in range(2):
+            V.commit(spark, root, changes, lambda rows, b: stays.merged_last_stays(rows, b, after), "w", number)
+        want = {}
+        for i, c, a, d in now.values():
+            want[c] = max(want.get(c, (dt.date.min, dt.date.min, 0)), (a, d, i))
+        got = {r.customer: (r.last_from, r.last_till, r.last_booking) for r in V.read(spark, root).collect()}
+        assert got == want
