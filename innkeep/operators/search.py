@@ -188,8 +188,12 @@ def page_after(df: DataFrame, modified=None, id=None, size: int = PAGE_SIZE) ->
 
     A deep page costs as much as the first one: a pushed filter and a top-k of
     ``size`` rows, where an offset merges all rows before it in one task.
+    Rows never modified come last, by id; without an id the first page is returned.
     """
-    if modified is not None:
+    if id is not None and modified is None:
+        df = df.where(F.col("modified").isNull() & (F.col("id") > id))
+    elif id is not None:
         last = F.lit(modified).cast(df.schema["modified"].dataType)
-        df = df.where((F.col("modified") < last) | ((F.col("modified") == last) & (F.col("id") > id)))
-    return df.orderBy(F.col("modified").desc(), F.col("id")).limit(size)
+        df = df.where((F.col("modified") < last) | ((F.col("modified") == last) & (F.col("id") > id))
+                      | F.col("modified").isNull())
+    return df.orderBy(F.col("modified").desc_nulls_last(), F.col("id")).limit(size)

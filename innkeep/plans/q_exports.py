@@ -263,6 +263,24 @@ def d5_mailing(spark, sf_dir):
     return c.select("id", "letter.subject", "letter.recipient", "letter.body", "letter.attachments")
 
 
+_BLANK_SQL = f"""
+, letters AS (
+  SELECT cu.id, {_recipient_sql()} AS recipient, '<p>{LETTER_DATE}</p>' AS sidebar, 'Betreff' AS subject,
+         {_body_sql("'<p>...</p>'")} AS body, '' AS attachments
+  FROM cu LEFT JOIN lt ON lt.title = cu.title
+)
+"""
+
+
+@register("d5_blank_letter", _LT + _BLANK_SQL + """
+SELECT id, subject, recipient, sidebar, body, attachments FROM letters
+""")
+def d5_blank_letter(spark, sf_dir):
+    """The blank letter for every customer, to be filled in by hand."""
+    c = EX.mailing(load_model(spark, sf_dir).customers, LETTER_DATE, "blank")
+    return c.select("id", "letter.subject", "letter.recipient", "letter.sidebar", "letter.body", "letter.attachments")
+
+
 @register("d6_letter_payload", _LT + _FLYER_SQL + """
 SELECT id, to_base64(encode(CAST(to_json({'sender': sender, 'recipient': recipient, 'sidebar': sidebar,
        'subject': subject, 'body': body, 'attachments': attachments}) AS VARCHAR))) AS payload

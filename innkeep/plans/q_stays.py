@@ -233,6 +233,21 @@ def o1_third_page(spark, sf_dir):
     return search.search_page(m.customers, m.bookings, None, 2)
 
 
+@register("o1_keyset_page", """
+SELECT id, keyword, modified FROM cu ORDER BY modified DESC NULLS LAST, id LIMIT 50 OFFSET 100
+""")
+def o1_keyset_page(spark, sf_dir):
+    """O1 by key: the third page of 50, each page from the last row of the one before it."""
+    c = load_model(spark, sf_dir).customers.select("id", "keyword", "modified")
+    page = search.page_after(c, size=50)
+    for _ in range(2):
+        last = page.tail(1)                              # one row reaches the driver
+        if not last:
+            return page
+        page = search.page_after(c, last[0]["modified"], last[0]["id"], size=50)
+    return page
+
+
 @register("o2_more_pages", f"""
 SELECT 5 AS page, CAST(least(count(*), {search.PAGE_SIZE}) AS BIGINT) AS rows,
        count(*) > {search.PAGE_SIZE} AS has_more
