@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm.common import cut_lineage, texts
@@ -182,6 +182,12 @@ def best_fit(lengths: np.ndarray, capacity: int, max_docs: int, max_attention: i
     return seq, offset
 
 
+def shard(shards: int) -> Column:
+    """A shard for every row of a stored frame, even for any number and size of partitions (row
+    numbers themselves start at multiples of a power of two in each partition)."""
+    return F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
+
+
 def pack(rows: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None,
          max_attention: int | None = None, shard_rows: int = SHARD_ROWS, rule: str = "norm") -> DataFrame:
     """``rows`` (with ``length`` of at most ``capacity``) plus sequence_id and offset."""
@@ -190,7 +196,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, max_docs: int | None = None,
         raise ValueError("max_attention must allow one piece of the full capacity")
     rows = cut_lineage(rows)
     shards = max(1, -(-rows.count() // shard_rows))
-    numbered = rows.withColumn("_shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)))
+    numbered = rows.withColumn("_shard", shard(shards))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
     def run(b: pd.DataFrame) -> pd.DataFrame:

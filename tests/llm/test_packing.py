@@ -64,3 +64,9 @@ def test_every_constraint_holds(rule):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack_documents(df, PATH).count() == 0
+
+
+def test_rows_are_dealt_evenly(spark):
+    for rows, parts, shards in ((4000, 200, 128), (4000, 3, 64), (4000, 200, 50)):
+        dealt = spark.range(0, rows, 1, parts).groupBy(P.shard(shards).alias("s")).count().collect()
+        assert len(dealt) == shards and max(r["count"] for r in dealt) < 2.5 * rows / shards
