@@ -1,12 +1,16 @@
 """Chat formatting: layouts chosen by schema fingerprint, reversible template, loss mask.
 
 **Layouts.** Conversations come as JSON records (or typed columns) of many
-shapes.  A record's *schema fingerprint* is the hash of its sorted nested field
-paths, kept to the names that some layout knows; it selects a declarative
-mapping (``LAYOUTS``) that yields the canonical turns, an array of (role,
-text).  Records of mixed layouts may stand in one column: the fingerprint is
-computed per record from its parsed variant, array elements taken together; a
-typed frame has its layout from its schema's fingerprint (``rows``: one row per turn).
+shapes.  A *schema fingerprint* is the hash of sorted nested field paths; a layout fits
+a record if the record's paths, kept to the names of the layout, have the layout's
+fingerprint.  Of the layouts that fit, the one that explains most paths selects the
+declarative mapping (``LAYOUTS``) that yields the canonical turns, an array of (role,
+text); further fields are left alone, also those with names that another layout knows
+(``unexplained_records`` lists them).  Where two layouts explain equally many paths, the
+record is ambiguous and counts as unknown.  Records of mixed layouts may stand in one
+column: paths are taken per record from its parsed variant, array elements taken
+together; a typed frame has its layout from its schema, and ``rows`` (one row per turn)
+goes before all others there.
 
 **Template.** A turn is ``<|turn|>role\\ntext\\n<|end|>\\n``.  A control string
 inside a text (the template's own markers and those of common chat formats)
@@ -23,20 +27,24 @@ conversation meet; a conversation is one output row, so its turns do meet in one
 
 Defined results: null text or role counts as empty; a null turn number sorts
 first, ties by role, then text; a null id is a conversation of its own;
-repeated turns are kept; a record of an unknown layout (also: text under a known name that
-its layout does not have) has null turns and is a conversation of no turns, listed by
-``unknown_records``; so is one whose array is empty or null; an empty table gives an
-empty result; extra columns are ignored.
+repeated turns are kept; a record of an unknown or ambiguous layout has null turns and is
+a conversation of no turns, listed by ``unknown_records``; so is one whose array is empty
+or null; an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from innkeep.functions.util import let
+
 TURN, END = "<|turn|>", "<|end|>"
 LOSS_ROLES = ("assistant",)
 TURNS = "array<struct<role:string,text:string>>"
@@ -74,9 +82,14 @@ _ARRAYS = {p.partition("[].")[0] for p in _KNOWN if "[]." in p}
 
 
 def fingerprint(paths: Column) -> Column:
-    """Hash of the known nested field paths, in sorted order."""
-    known = F.array_sort(F.array_distinct(F.filter(paths, lambda p: p.isin(*_KNOWN))))
-    return F.xxhash64(F.array_join(known, "\n"))
+    """Hash of nested field paths, in sorted order."""
+    return F.xxhash64(F.array_join(F.array_sort(F.array_distinct(paths)), "\n"))
+
+
+def fingerprint_of(paths: Iterable[str]) -> int:
+    """The same of paths known beforehand (those of a layout or a schema)."""
+    mark = xxhash.xxh64_intdigest("\n".join(sorted(set(paths))).encode(), seed=42)
+    return mark - (1 << 64) if mark >> 63 else mark
 
 
 def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
@@ -90,13 +103,14 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 
 def schema_layout(schema: T.StructType) -> str | None:
-    """The layout that has the fingerprint of a typed schema, or None."""
-    own = schema_paths(schema)
-    for known in (set(_KNOWN) | set(LAYOUTS["rows"][0]), set(_KNOWN)):
-        for name, (paths, _) in LAYOUTS.items():
-            if known & set(own) == set(paths):
-                return name
-    return None
+    """The layout that fits a typed schema and explains most of its paths, or None."""
+    own = set(schema_paths(schema))
+    fit = [name for name, (paths, _) in LAYOUTS.items() if fingerprint_of(own & set(paths)) == fingerprint_of(paths)]
+    if "rows" in fit:
+        return "rows"
+    most = max((len(LAYOUTS[name][0]) for name in fit), default=0)
+    best = [name for name in fit if len(LAYOUTS[name][0]) == most]
+    return best[0] if len(best) == 1 else None
 
 
 def _has(v: Column, path: str) -> Column:
@@ -113,10 +127,10 @@ def record_paths(record: Column) -> Column:
     return F.filter(F.array(*[F.when(_has(v, p), F.lit(p)) for p in _KNOWN]), lambda p: p.isNotNull())
 
 
-def _record_type() -> str:
-    """One type that holds the fields of every layout."""
+def _record_type(paths: Iterable[str]) -> str:
+    """The type that holds the fields of a layout."""
     arrays: dict[str, set[str]] = {}
-    for p in _KNOWN:
+    for p in paths:
         head, _, field = p.partition("[].")
         arrays.setdefault(head, set()).update([field] if field else [])
     return "struct<" + ",".join(
@@ -141,14 +155,29 @@ def _mapped(record: Column, sources: tuple[tuple[str, ...], ...]) -> Column:
     return F.concat(*[of_array(*source) if source[0] in _ARRAYS else of_texts(*source) for source in sources])
 
 
+def record_layout(record: Column) -> Column:
+    """Name of the layout that fits a JSON record and explains most of its paths; null if
+    none fits or two explain equally many."""
+    def best(paths):
+        fits = F.array(*[F.when(
+            fingerprint(F.filter(paths, lambda p: p.isin(*own))) == F.lit(fingerprint_of(own)),
+            F.struct(F.lit(len(own)).alias("n"), F.lit(name).alias("name"))) for name, (own, _) in _RECORDS.items()])
+
+        def named(found):
+            most = F.filter(found, lambda x: x["n"] == F.array_max(found)["n"])
+            return F.when(F.size(most) == 1, most[0]["name"])
+        return let(F.filter(fits, lambda x: x.isNotNull()), named)
+    return let(record_paths(record), best)
+
+
 def record_turns(record: Column) -> Column:
-    """Canonical turns of a JSON record, or null if no layout has its fingerprint."""
-    typed = F.from_json(record, _record_type())
-    mark, out = fingerprint(record_paths(record)), None
-    for paths, sources in _RECORDS.values():
-        hit = mark == fingerprint(F.array(*[F.lit(p) for p in paths]))
-        out = F.when(hit, _mapped(typed, sources)) if out is None else out.when(hit, _mapped(typed, sources))
-    return out
+    """Canonical turns of a JSON record, or null if no one layout fits it best."""
+    def of_layout(name):
+        out = F.lit(None).cast(TURNS)
+        for key, (paths, sources) in _RECORDS.items():
+            out = F.when(name == key, _mapped(F.from_json(record, _record_type(paths)), sources)).otherwise(out)
+        return out
+    return let(record_layout(record), of_layout)
 
 
 def _rows(df: DataFrame, id_col: str, turns: Column) -> DataFrame:
@@ -170,6 +199,17 @@ def unknown_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
         F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"), record_paths(F.col(record_col)).alias("paths"))
 
 
+def unexplained_records(df: DataFrame, id_col: str, record_col: str) -> DataFrame:
+    """(conv_id, record, layout, paths) of the records that have a layout and, besides, known
+    paths that it does not explain; their turns are those of the layout."""
+    own = F.create_map(*[x for name, (paths, _) in _RECORDS.items()
+                         for x in (F.lit(name), F.array(*[F.lit(p) for p in paths]))])
+    found = df.select(F.col(id_col).alias("conv_id"), F.col(record_col).alias("record"),
+                      record_layout(F.col(record_col)).alias("layout"),
+                      record_paths(F.col(record_col)).alias("paths")).where("layout is not null")
+    return found.withColumn("paths", F.array_except("paths", own[F.col("layout")])).where("size(paths) > 0")
+
+
 def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     """(conv_id, turn, role, text) of a typed frame, by its schema's layout: one row
     per turn, or one row per conversation in any of ``LAYOUTS``.  If the schema is
@@ -182,8 +222,10 @@ def turns_of_table(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
                          F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if layout is None:
         return _rows(df, id_col, F.lit(None).cast(TURNS))
-    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in own.columns]), {"ignoreNullFields": "false"})
-    return _rows(df, id_col, _mapped(F.from_json(record, _record_type()), LAYOUTS[layout][1]))
+    paths, sources = LAYOUTS[layout]
+    names = sorted({p.partition("[].")[0] for p in paths})
+    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
+    return _rows(df, id_col, _mapped(F.from_json(record, _record_type(paths)), sources))
 
 
 _ROLE_CODES = (("%", "%25"), ("\n", "%0A"), ("\\", "%5C"), ("<", "%3C"), ("[", "%5B"))   # fixed values

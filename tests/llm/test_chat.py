@@ -1,6 +1,7 @@
 import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from innkeep.llm import chat as C
@@ -54,6 +55,39 @@ def test_layouts_give_the_same_turns(spark):
     assert [got[i] for i in (9, 10, 99, 98)] == [None] * 4
 
 
+KNOWN = ["prompt", "response", "completion", "system", "question", "answer", "instruction", "output", "input",
+         "messages", "turns", "conversations"]
+
+
+@pytest.mark.parametrize("name", KNOWN)
+def test_extra_columns_with_known_names(spark, name):
+    """A column or field with a name that another layout knows loses no turn."""
+    rows = spark.createDataFrame([(1, 0, "user", "q", "z"), (1, 1, "assistant", "a", None)],
+                                 f"conv_id long, turn long, role string, text string, {name} string")
+    assert [(r.role, r.text) for r in C.turns_of_table(rows).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+    record = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
+    record = {name: "z", **record}
+    df = spark.createDataFrame([(1, json.dumps(record))], "id long, rec string")
+    want = [("system", "z")] * (name == "system") + [("user", "q"), ("assistant", "a")]
+    got = [(r.role, r.text) for r in C.turns_of_records(df, "id", "rec").orderBy("turn").collect()]
+    assert got == want
+    left = [(r.layout, r.paths) for r in C.unexplained_records(df, "id", "rec").collect()]
+    assert left == ([] if name in ("system", "messages", "turns", "conversations") else [("messages", [name])])
+    if name not in ("system", "messages"):
+        typed = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")], "z")],
+                                      f"conv_id long, messages array<struct<role:string,content:string>>, {name} string")
+        assert [(r.role, r.text) for r in C.turns_of_table(typed).orderBy("turn").collect()] == want
+
+
+def test_fingerprints_of_layouts_and_ambiguous_records(spark):
+    for paths, _ in C.LAYOUTS.values():
+        mark = spark.range(1).select(C.fingerprint(F.array(*[F.lit(p) for p in reversed(paths)])).alias("m")).first().m
+        assert mark == C.fingerprint_of(paths)
+    schema = "prompt string, response string, completion string"
+    assert C.schema_layout(spark.createDataFrame([], schema).schema) is None
+    assert C.schema_layout(spark.createDataFrame([], "prompt string, response string, input string").schema) == "prompt"
+
+
 def test_typed_frame_and_empty_table(spark):
     df = spark.createDataFrame([(1, [("user", "q"), ("assistant", "a")])],
                                "conv_id long, messages array<struct<role:string,content:string>>")
