@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from innkeep.llm.pii import IBAN_LENGTHS
+
 # fixed values: the patterns in their plain forms
 _PII = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
@@ -13,28 +15,32 @@ _PII = [
      "THEN digits[i]::INTEGER WHEN digits[i]::INTEGER > 4 THEN 2 * digits[i]::INTEGER - 9 "
      "ELSE 2 * digits[i]::INTEGER END FOR i IN range(1, length(digits) + 1)]) % 10 = 0"),
     ("phone", r"\+[0-9][ ().0-9-]+[0-9]", "length(digits) BETWEEN 9 AND 15"),
-    ("iban", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}(?: ?[0-9]{4}){1,6}(?: ?[0-9]{1,3})?",
-     "length(replace(hit, ' ', '')) BETWEEN 15 AND 34 AND "
-     "(((num[1:18]::HUGEINT % 97)::VARCHAR || num[19:36])::HUGEINT % 97) = 1 AND length(num) <= 36 "
-     "AND 0.8 + ctx >= 0.6"),
+    ("iban", "|".join(rf"\b{c}[0-9][0-9](?: ?[0-9A-Z]){{{n - 4}}}\b" for n, cs in IBAN_LENGTHS.items() for c in cs.split()),
+     "(((((((num[1:18]::HUGEINT % 97)::VARCHAR || num[19:36])::HUGEINT % 97)::VARCHAR || num[37:54])::HUGEINT % 97)"
+     "::VARCHAR || num[55:72])::HUGEINT % 97) = 1 AND score >= 60"),
     ("secret", r"[A-Za-z0-9_+/-]{20,}",
-     "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND 0.3 + ctx >= 0.6"),
+     "regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Za-z]') AND score >= 60"),
 ]
+# score in percent without context, and the words that add 30 to it
 _CONTEXT = {
-    "iban": "(?i)(iban|account|bank|konto|cuenta|compte)",
-    "secret": "(?i)(token|secret|password|passwd|api[_ -]?key|access[_ -]?key|credential)",
+    "email": (60, "(?i)(mail|contact|kontakt|correo|courriel)"),
+    "ip": (50, "(?i)(ip|host|server|address|login)"),
+    "card": (80, "(?i)(card|visa|credit|karte|tarjeta|carte)"),
+    "phone": (50, "(?i)(phone|call|tel|mobil|fax)"),
+    "iban": (80, "(?i)(iban|account|bank|konto|cuenta|compte)"),
+    "secret": (30, "(?i)(token|secret|password|passwd|api[_ -]?key|access[_ -]?key|credential)"),
 }
 
 
 def _pii_kind(no: int, kind: str, pattern: str, valid: str) -> str:
-    ctx = (f"CASE WHEN regexp_matches(right(text[:pos], 32), '{_CONTEXT[kind]}') THEN 0.3 ELSE 0.0 END"
-           if kind in _CONTEXT else "0.0")
+    prior, words = _CONTEXT[kind]
+    score = f"least(100, {prior} + CASE WHEN regexp_matches(right(text[:pos], 32), '{words}') THEN 30 ELSE 0 END)"
     num = ("list_aggregate([CASE WHEN c BETWEEN 'A' AND 'Z' THEN (ascii(c) - 55)::VARCHAR ELSE c END "
            "FOR c IN string_split(substring(replace(hit, ' ', ''), 5) || left(hit, 4), '')], 'string_agg', '')"
            if kind == "iban" else "''")
     return f"""
-SELECT rid, {no} AS no, '{kind}' AS kind, pos, pos + length(hit) AS stop FROM (
-  SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, {ctx} AS ctx, {num} AS num FROM (
+SELECT rid, {no} AS no, '{kind}' AS kind, pos, pos + length(hit) AS stop, score FROM (
+  SELECT *, regexp_replace(hit, '[^0-9]', '', 'g') AS digits, {score} AS score, {num} AS num FROM (
     SELECT rid, text, hit, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY rid ORDER BY i)
            - length(hit) AS BIGINT) AS pos FROM (
       SELECT rid, text, unnest(hits) AS hit, unnest(gaps[1:len(hits)]) AS gap,
@@ -53,7 +59,8 @@ WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(tex
 s AS ({kinds})
 SELECT doc_id, {counts},
        sha256(coalesce(string_agg({line}, ',' ORDER BY no, pos) FILTER (WHERE no < 4), '')) AS base_sha256,
-       coalesce(string_agg({line}, ',' ORDER BY no, pos), '') AS spans
+       coalesce(string_agg({line}, ',' ORDER BY no, pos), '') AS spans,
+       coalesce(string_agg(score::VARCHAR, ',' ORDER BY no, pos), '') AS scores
 FROM t LEFT JOIN s USING (rid) GROUP BY rid, doc_id"""
 
 
