@@ -26,6 +26,7 @@ class Lodging:
     customers: DataFrame
     bookings: DataFrame
     invoice_numbers: DataFrame | None = None
+    max_nights: int | None = None                 # bound stored with the tables: date filters skip years
 
     # ------------------------------------------------------------ construction
     @classmethod
@@ -35,7 +36,7 @@ class Lodging:
             numbers = spark.read.parquet(f"{path}/invoice_numbers")
         except Exception:  # noqa: BLE001 - the table is optional
             numbers = None
-        return cls(customers, bookings, numbers)
+        return cls(customers, bookings, numbers, tables.longest_stay(spark, path))
 
     @classmethod
     def from_legacy_csv(cls, spark: SparkSession, path: str, sep: str = ",",
@@ -50,10 +51,10 @@ class Lodging:
 
     # ------------------------------------------------------------ stays
     def agenda(self, day) -> DataFrame:
-        return stays.agenda(self.bookings, self.customers, day).drop("room_key")
+        return stays.agenda(self.bookings, self.customers, day, self.max_nights).drop("room_key")
 
     def overlapping(self, start, end) -> DataFrame:
-        return stays.overlapping(self.bookings, start, end)
+        return stays.overlapping(self.bookings, start, end, self.max_nights)
 
     def last_stays(self) -> DataFrame:
         return stays.last_stays(self.bookings)
@@ -66,10 +67,10 @@ class Lodging:
 
     # ------------------------------------------------------------ statistics
     def month_stats(self, month, with_total: bool = True) -> DataFrame:
-        return stats.month_stats(self.bookings, self.customers, month, with_total)
+        return stats.month_stats(self.bookings, self.customers, month, with_total, self.max_nights)
 
     def month_invoice_rows(self, month) -> DataFrame:
-        return stats.statistics_rows(self.bookings, self.customers, month)
+        return stats.statistics_rows(self.bookings, self.customers, month, self.max_nights)
 
     def all_months_stats(self) -> DataFrame:
         return stats.all_months_stats(self.bookings, self.customers)

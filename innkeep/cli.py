@@ -66,10 +66,12 @@ def run(spark, args) -> None:
         tables.write_tables(c, b.drop("old_id"), args.out)
     elif args.cmd == "stats":
         c, b = tables.open_tables(spark, args.tables)
-        stats.month_stats(b, c, args.month).write.mode("overwrite").parquet(args.out)
+        bound = tables.longest_stay(spark, args.tables)
+        stats.month_stats(b, c, args.month, max_nights=bound).write.mode("overwrite").parquet(args.out)
     elif args.cmd == "agenda":
         c, b = tables.open_tables(spark, args.tables)
-        stays.agenda(b, c, args.day).drop("room_key").write.mode("overwrite").parquet(args.out)
+        bound = tables.longest_stay(spark, args.tables)
+        stays.agenda(b, c, args.day, bound).drop("room_key").write.mode("overwrite").parquet(args.out)
     elif args.cmd == "registrations":
         c, b = tables.open_tables(spark, args.tables)
         exports.write_registration_xml(exports.registration_forms(b, c), args.out)

@@ -103,7 +103,8 @@ def statistics_rows(bookings: DataFrame, customers: DataFrame, month,
 def month_stats(bookings: DataFrame, customers: DataFrame, month, with_total: bool = True,
                 max_nights: int | None = None) -> DataFrame:
     """Country summary of one month; ``with_total`` adds the grand-total row
-    (country null); the rows are aggregated by country first.  Only the country of
+    (country null) and the flag ``is_total``, which tells it from stays without a
+    country; the rows are aggregated by country first.  Only the country of
     each row is derived."""
     start, end = stays.month_bounds(month)
     b = stays.has_invoice(stays.overlapping(bookings, start, end, max_nights))
@@ -127,7 +128,7 @@ def month_stats(bookings: DataFrame, customers: DataFrame, month, with_total: bo
 def _with_total(by_country: DataFrame) -> DataFrame:
     """Country rows and their grand total (``rollup`` over the aggregated rows)."""
     sums = [F.sum(c).cast("bigint").alias(c) for c in ("arrivals", "nights", "carry")]
-    return by_country.rollup("country").agg(*sums)
+    return by_country.rollup("country").agg(*sums, (F.grouping("country") == 1).alias("is_total"))
 
 
 def _stays_with_country(bookings: DataFrame, customers: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def _model(spark, sf_dir):
 
 @register("a1_month_country_stats", _ROWS + """
 SELECT country, CAST(sum(arrivals) AS BIGINT) AS arrivals, CAST(sum(nights) AS BIGINT) AS nights,
-       CAST(sum(carry) AS BIGINT) AS carry
+       CAST(sum(carry) AS BIGINT) AS carry, grouping(country) = 1 AS is_total
 FROM scnt GROUP BY ROLLUP (country)
 """)
 def a1_month_country_stats(spark, sf_dir):
@@ -154,7 +154,7 @@ def o6_country_summary_order(spark, sf_dir):
     from innkeep.operators.ordering import with_global_index
     m, mx = _model(spark, sf_dir)
     s = stats.month_stats(m.bookings, m.customers, STAT_MONTH, with_total=True, max_nights=mx)
-    return with_global_index(s.select("country", F.col("country").isNull().alias("_total")),
+    return with_global_index(s.select("country", F.col("is_total").alias("_total")),
                              ["_total", F.col("country").desc()], index_col="position") \
         .select("country", "position")
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from innkeep import schemas
+from innkeep.sources import shared
 
 
 def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -28,15 +29,61 @@ def write_bookings(bookings: DataFrame, path: str) -> None:
     would send a whole year to one task.  Ids and customers have Bloom filters, sized
     by what a row group holds, so a lookup by either skips the row groups without it.
     """
+    _store_bookings(bookings, path, "overwrite")
+
+
+def _store_bookings(bookings: DataFrame, path: str, mode: str) -> None:
     (bookings.withColumn("arrival_year", F.year("arrival"))
      .withColumn("invoiced", F.col("data.invoice").isNotNull())
      .repartitionByRange("arrival", "id").sortWithinPartitions("arrival", "id")
-     .write.mode("overwrite").partitionBy("arrival_year")
+     .write.mode(mode).partitionBy("arrival_year")
      .option("parquet.bloom.filter.adaptive.enabled", "true")
      .option("parquet.bloom.filter.enabled#id", "true")
      .option("parquet.bloom.filter.enabled#customer", "true").parquet(path))
 
 
+def _note_longest_stay(bookings: DataFrame, path: str) -> None:
+    """Adds the longest stay of these bookings to the table's ``stay_bounds``."""
+    nights = F.coalesce(F.greatest(F.lit(0), F.max(F.datediff("departure", "arrival"))), F.lit(0))
+    bookings.agg(nights.cast("int").alias("max_nights")).write.mode("append").parquet(f"{path}/stay_bounds")
+
+
+def longest_stay(spark: SparkSession, path: str) -> int | None:
+    """A bound on the nights of every booking below ``path``; None if none is stored.
+
+    Date filters use it to skip the years before (``stays.overlapping``).  Writers keep it
+    at or above the truth at any time: it goes before the bookings are replaced, and an
+    appended batch adds its own bound before its rows.
+    """
+    if not shared.exists(spark, f"{path}/stay_bounds"):
+        return None
+    bounds = read_table(spark, f"{path}/stay_bounds", "max_nights int")
+    return bounds.agg(F.max("max_nights").alias("n")).first().n
+
+
+def _with_generated(bookings: DataFrame) -> DataFrame:
+    """The stored columns of bookings; generated ones come from the document when absent."""
+    from innkeep.functions.periods import arrival_of, departure_of
+    b = bookings
+    for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):
+        if col not in b.columns:
+            b = b.withColumn(col, F.lit(None).cast(typ))
+    if "arrival" not in b.columns:
+        b = b.withColumn("arrival", arrival_of("data.period"))
+    if "departure" not in b.columns:
+        b = b.withColumn("departure", departure_of("data.period"))
+    return b
+
+
+def append_bookings(bookings: DataFrame, path: str) -> None:
+    """Adds bookings to the tables below ``path``, in the same layout."""
+    b = _with_generated(bookings)
+    _note_longest_stay(b, path)
+    _store_bookings(b, f"{path}/bookings", "append")
+
+
+
+
 def write_tables(customers: DataFrame, bookings: DataFrame, path: str,
                  invoice_numbers: DataFrame | None = None) -> None:
     """Store a model under ``path`` (customers by id, bookings by arrival layout)."""
@@ -50,17 +97,10 @@ def write_tables(customers: DataFrame, bookings: DataFrame, path: str,
         if col not in c.columns:
             c = c.withColumn(col, F.lit(None).cast(typ))
     c.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/customers")
-    from innkeep.functions.periods import arrival_of, departure_of
-    b = bookings
-    for col, typ in (("created", "timestamp_ntz"), ("modified", "timestamp_ntz")):
-        if col not in b.columns:
-            b = b.withColumn(col, F.lit(None).cast(typ))
-    # generated columns are recomputed from the document when absent
-    if "arrival" not in b.columns:
-        b = b.withColumn("arrival", arrival_of("data.period"))
-    if "departure" not in b.columns:
-        b = b.withColumn("departure", departure_of("data.period"))
-    write_bookings(b, f"{path}/bookings")
+    spark = bookings.sparkSession
+    shared.delete(spark, f"{path}/stay_bounds")
+    write_bookings(_with_generated(bookings), f"{path}/bookings")
+    _note_longest_stay(read_table(spark, f"{path}/bookings", "arrival date, departure date"), path)
     if invoice_numbers is not None:
         invoice_numbers.write.mode("overwrite").parquet(f"{path}/invoice_numbers")
 
