@@ -29,8 +29,8 @@ def op2_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every occurrence of a benchmark item in a whole text of ``documents``."""
-    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Every benchmark item found in a whole text of ``documents``: its best and its other occurrences."""
+    return decontamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_words=True)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
