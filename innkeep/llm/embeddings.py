@@ -26,7 +26,8 @@ forest of them, never the pairs.  A pair that shares several filters is counted
 under the smallest only, found from the filter lists that travel with the rows.
 
 Defined results: null, zero and non-finite vectors link with nothing and are
-their own component, also where several are equal; vectors of different length do not link; repeated
+their own component, also where several are equal; vectors of different length do not link; parallel vectors
+link whatever their norms; repeated
 rows (equal id) are reported each and count as different vectors; an empty
 table gives an empty result; labels and other columns are not read.
 """
@@ -87,6 +88,7 @@ class Caps:
 
 def _unit(column: pd.Series) -> np.ndarray:
     x = np.stack([np.asarray(v, np.float64) for v in column])
+    x = x / np.abs(x).max(axis=1)[:, None]                    # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 

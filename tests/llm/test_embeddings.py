@@ -73,3 +73,10 @@ def test_recall_at_exactly_the_limit():
 
 def test_empty_table(spark):
     assert E.components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_parallel_vectors_of_extreme_norms_link(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e-200, 0.0]), (3, [1e200, 0.0]), (4, [0.0, 1e-300]), (5, [0.0, 5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in E.components(df).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
