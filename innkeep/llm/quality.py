@@ -12,7 +12,8 @@ ratios.  A logistic curve fitted on a part of the sample that the linear model
 did not see turns the margin into the score.
 
 **Sample.** Fitting uses at most ``max_rows`` labelled documents (the smallest
-by a hash of the id, so the choice does not depend on partitions); their
+by a hash of the id, so the choice does not depend on partitions; the bound holds
+for rows, also where many texts share an id); their
 hashed features, not their texts, come to the driver.  Scoring reads every
 whole text in place, without a shuffle.
 
@@ -170,10 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
     sample = (texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")
               .select("doc_id", "_y", slots("text").alias("f")).dropDuplicates(["doc_id", "_y", "f"])
-              .toLocalIterator())
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("f")).limit(max_rows).toLocalIterator())
     rows = sorted(((r.doc_id, r._y, bytes(r.f)) for r in sample))
     rng = np.random.default_rng(11)
-    rows = [rows[i] for i in rng.permutation(len(rows))][:max_rows]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
     return fit([np.frombuffer(f, "<u4") for _, _, f in rows], np.array([y for _, y, _ in rows]))
 
 
@@ -190,9 +191,11 @@ def scorer(model: Model, docs: DataFrame):
 
 def score_documents(docs: DataFrame, model: Model, folds: int = 4, held_out: int = 2,
                     threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted) of every document; without an id it is in no fold
+    (``held_out`` false) and is not learned from either."""
     t = texts(docs).withColumn("score", scorer(model, docs)(F.col("text")))
-    return t.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
+    aside = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
+    return t.select("doc_id", aside.alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

@@ -38,6 +38,7 @@ from innkeep.llm.common import texts
 from innkeep.llm.quality import remainder
 
 WINDOW, STRIDE = 48, 36
+LEAST_SHOWN, MOST_EPOCHS = 12_000, 60
 HIDDEN, WORD_DIM, CHAR_DIM, ATTENTION = 12, 8, 12, 12
 CHAR_SLOTS = 1 << 14
 VOCABULARY = 4096
@@ -215,8 +216,10 @@ class Constant:
 
 
 def fit(raw: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5, docs_per_step: int = 64,
-        top: int = 2, rate: float = 0.01) -> Network | Constant:
-    """Train on texts with 0/1 labels."""
+        top: int = 2, rate: float = 0.01, least_shown: int = LEAST_SHOWN, most_epochs: int = MOST_EPOCHS
+        ) -> Network | Constant:
+    """Train on texts with 0/1 labels: ``epochs`` rounds, more on a small sample until
+    ``least_shown`` documents were shown in all, at most ``most_epochs``."""
     y = np.asarray(labels, np.float32)
     if not len(y) or y.min() == y.max():
         return Constant()
@@ -231,7 +234,7 @@ def fit(raw: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = 5,
     var = {k: np.zeros_like(v) for k, v in net.p.items()}
     weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum())) ** 0.5
     step, picked = 0, {}
-    epochs = max(epochs, min(60, 12_000 // len(y)))                # small samples: as many steps
+    epochs = max(epochs, min(most_epochs, least_shown // len(y)))
     total = epochs * -(-len(y) // docs_per_step)
     for epoch in range(epochs):
         order = rng.permutation(len(y))
@@ -277,8 +280,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
                     & (remainder(F.col("doc_id"), folds) != held_out))
              .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows))
     sample = (texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "_y", "text")
-              .dropDuplicates(["doc_id", "_y", "text"]).toLocalIterator())
-    rows = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r._y, r.text) for r in sample)[:max_rows]
+              .dropDuplicates(["doc_id", "_y", "text"])
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("text")).limit(max_rows).toLocalIterator())
+    rows = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r._y, r.text) for r in sample)
     return fit([r[3] for r in rows], np.array([r[2] for r in rows]))
 
 
@@ -305,7 +309,9 @@ def scorer(model, docs: DataFrame):
 
 def score_documents(docs: DataFrame, model, folds: int = 5, held_out: int = 0,
                     threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted) of every document; without an id it is in no fold
+    (``held_out`` false) and is not learned from either."""
     t = texts(docs).withColumn("score", scorer(model, docs)(F.col("text")))
-    return t.select("doc_id", (remainder(F.col("doc_id"), folds) == held_out).alias("held_out"), "score",
+    aside = F.coalesce(remainder(F.col("doc_id"), folds) == held_out, F.lit(False))
+    return t.select("doc_id", aside.alias("held_out"), "score",
                     (F.col("score") >= threshold).cast("int").alias("predicted"))

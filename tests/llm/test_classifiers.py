@@ -120,3 +120,22 @@ def test_toxicity_learns_planted_words(spark):
     s = net.score(texts[350:])
     assert ((s >= 0.5) == y[350:]).mean() >= 0.95
     assert np.allclose(s[:5], [net.score([t])[0] for t in texts[350:355]], atol=1e-5)
+
+
+def test_sample_is_bounded_where_texts_share_an_id(spark, monkeypatch):
+    """Many texts under one labelled id: no more than ``max_rows`` rows reach the fit."""
+    docs = spark.createDataFrame([(1, f"text number {i}") for i in range(60)] + [(4, "good"), (None, "no id")],
+                                 "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    seen = []
+    for module in (Q, T):
+        monkeypatch.setattr(module, "fit", lambda rows, y, **kw: seen.append(len(rows)))
+        module.train(docs, labels, folds=4, held_out=9, max_rows=7)
+    assert seen == [7, 7]
+
+
+def test_documents_without_an_id_are_in_no_fold(spark):
+    docs = spark.createDataFrame([(None, "a b"), (3, None)], "doc_id long, text string")
+    for module, model in ((Q, Q.fit([], np.array([]))), (T, T.fit([], np.array([])))):
+        got = {r.doc_id: (r.held_out, r.score) for r in module.score_documents(docs, model).collect()}
+        assert got[None] == (False, 0.5) and got[3][1] == 0.5
