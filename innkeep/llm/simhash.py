@@ -235,6 +235,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     by_fp = fps.groupBy("fp").agg(F.min(F.struct(*KEY)).alias("first"))
     kept = (by_fp.join(_members(fps), "fp").groupBy("component").agg(F.min("first").alias("first"))
             .select(*[F.col(f"first.{c}").alias(f"_{c}") for c in KEY]))
-    rows = docs.withColumn("_key", key)
+    # the columns travel in one struct, so that none of them can clash with the key
+    rows = docs.select(key.alias("_key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     same = [F.col(f"_key.{c}") == F.col(f"_{c}") for c in KEY]
-    return rows.join(kept, same, "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return rows.join(kept, same, "left_semi").dropDuplicates(["_key"]).select(
+        *[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

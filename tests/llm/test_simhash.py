@@ -95,3 +95,11 @@ def test_keep_one_with_null_and_repeated_ids(spark):
     assert len([r for r in got if r[2] in "qr"]) == 1 and len([r for r in got if r[2] in "xy"]) == 1
     again = sorted(((r.doc_id, r.text or "") for r in S.keep_one(df.repartition(2)).collect()), key=str)
     assert again == [r[:2] for r in got]
+
+
+def test_keep_one_keeps_columns_with_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d", "k1", 7), (2, "a b c d", "k2", 8), (3, None, "k3", 9)],
+                               "doc_id long, text string, _key string, _none int")
+    out = S.keep_one(df)
+    assert out.columns == df.columns
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b c d", "k1", 7), (3, None, "k3", 9)]
