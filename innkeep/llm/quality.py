@@ -38,6 +38,7 @@ from innkeep.llm.common import texts
 BITS = 18
 ORDERS = (1, 2, 3, 4)
 MAX_ROWS = 4000
+PARTS = 32
 THRESHOLD = 0.7
 _scratch: dict = {}
 
@@ -171,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds:
 
     sample = (texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id")
               .select("doc_id", "_y", slots("text").alias("f")).dropDuplicates(["doc_id", "_y", "f"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("f")).limit(max_rows).toLocalIterator())
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("f")).limit(max_rows)
+              .repartition(PARTS, "doc_id", "f").toLocalIterator())       # fetched in parts: small in the driver
     rows = sorted(((r.doc_id, r._y, bytes(r.f)) for r in sample))
     rng = np.random.default_rng(11)
     rows = [rows[i] for i in rng.permutation(len(rows))]

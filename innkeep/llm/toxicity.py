@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from innkeep.llm.common import texts
-from innkeep.llm.quality import remainder
+from innkeep.llm.quality import PARTS, remainder
 
 WINDOW, STRIDE = 48, 36
 LEAST_SHOWN, MOST_EPOCHS = 12_000, 60
@@ -281,7 +281,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
              .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows))
     sample = (texts(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("doc_id", "_y", "text")
               .dropDuplicates(["doc_id", "_y", "text"])
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("text")).limit(max_rows).toLocalIterator())
+              .orderBy(F.xxhash64("doc_id"), "doc_id", "_y", F.md5("text")).limit(max_rows)
+              .repartition(PARTS, "doc_id", "text").toLocalIterator())    # fetched in parts: small in the driver
     rows = sorted((zlib.crc32(str(r.doc_id).encode()), r.doc_id, r._y, r.text) for r in sample)
     return fit([r[3] for r in rows], np.array([r[2] for r in rows]))
 
