@@ -11,8 +11,8 @@ per lineitem.  The moduli are pairwise coprime so the properties vary
 independently.  The DuckDB oracle (``innkeep.plans.oracle``) restates the same
 mapping in SQL.
 
-Scale: the only shuffle is lineitem grouped by order key (map-side partial
-collection, then one row per order).  The room lines of a booking are part of
+Scale: what is shuffled are bare order lines, orders with what an invoice names of their
+customers, and, to be laid out, slim rows; documents are built after the last shuffle.  The room lines of a booking are part of
 its document, so they are gathered per order; an order has at most 7 lines by
 the TPC-H rules (13 in these fixtures), which bounds that list.  customer ⋈
 nation and orders ⋈ customers are equi-joins that AQE turns into broadcasts
@@ -64,9 +64,19 @@ def _titles() -> Column:
 
 def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer ⋈ nation -> customers (id, created, modified, data, keyword, tokens)."""
+    return customer_documents(customer_rows(spark, sf_dir))
+
+
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """customer ⋈ nation: what the customers are made of."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
                                                 "c_mktsegment")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return c.join(n, c.c_nationkey == n.n_nationkey, "inner").select("c_custkey", "c_name", "c_mktsegment", "n_name")
+
+
+def customer_documents(rows: DataFrame) -> DataFrame:
+    """``customer_rows`` -> customers, row by row."""
     k = F.col("c_custkey")
     title = F.element_at(_titles(), (k % 7 + 1).cast("int"))
     letters = F.create_map(*[F.lit(x) for pair in LETTER_BY_TITLE for x in pair])
@@ -95,10 +105,9 @@ def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("").alias("note"),
         F.lit(None).cast("bigint").alias("_import_key"),
     )
-    out = (c.join(n, c.c_nationkey == n.n_nationkey, "inner")
-           .select(k.alias("id"), created.alias("created"),
-                   F.timestamp_add("MINUTE", (k * 7919) % 20000, created).alias("modified"),
-                   data.alias("data")))
+    out = rows.select(k.alias("id"), created.alias("created"),
+                      F.timestamp_add("MINUTE", (k * 7919) % 20000, created).alias("modified"),
+                      data.alias("data"))
     return out.select("*", F.col("data.keyword").alias("keyword"),
                       leaf_tokens("data").alias("tokens"))
 
@@ -106,6 +115,7 @@ def derive_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _allocs_per_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey",
                                                  "l_linenumber", "l_quantity")
+    li = li.repartition("l_orderkey")          # bare lines are shuffled; room lines are made and gathered behind it
     ln = F.col("l_linenumber")
     room = (F.when(ln % 4 == 0, F.lit(""))
             .when(ln % 4 == 1, F.concat(F.lit("A"), ln.cast("string")))
@@ -143,18 +153,41 @@ def _guests(k: Column, departure: Column, custkey: Column) -> Column:
 
 def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
     """orders + lineitem lines (+ customers for the stored invoices) -> bookings."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                              "o_orderdate")
-    k = F.col("o_orderkey")
-    arrival = F.col("o_orderdate").cast("date")
+    return booking_documents(booking_rows(spark, sf_dir, customers))
+
+
+def _period(k: Column, orderdate: Column) -> tuple[Column, Column, Column]:
+    """(arrival, departure, stored period) of an order."""
+    arrival = orderdate.cast("date")
     departure = F.date_add(arrival, (k % 13).cast("int"))
     swap = k % 4 == 0
-    period = F.struct(F.when(swap, departure).otherwise(arrival).alias("a"),
-                      F.when(swap, arrival).otherwise(departure).alias("b"))
-    base = o.select(
-        k.alias("id"), F.col("o_custkey").alias("customer"), F.col("o_orderstatus").alias("status"),
-        F.col("o_orderdate").alias("created"),
-        F.timestamp_add("HOUR", k % 400, F.col("o_orderdate")).alias("modified"),
+    return arrival, departure, F.struct(F.when(swap, departure).otherwise(arrival).alias("a"),
+                                        F.when(swap, arrival).otherwise(departure).alias("b"))
+
+
+def booking_rows(spark: SparkSession, sf_dir: str, customers: DataFrame) -> DataFrame:
+    """What the bookings are made of: orders, their room lines and of their customers what an invoice
+    names; ``id`` and ``arrival`` are those of the bookings."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                              "o_orderdate")
+    base = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"),
+                    F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created"))
+    d = F.col("data")
+    cust = customers.select(F.col("id").alias("customer"), *[x.alias(f"c_{n}") for n, x in (
+        ("given", d["name"]["given"]), ("family", d["name"]["family"]),
+        *[(n, d["address"][n]) for n in ("street_with_num", "postal_code", "city", "country_code")])])
+    allocs = _allocs_per_order(spark, sf_dir).hint("merge")      # its estimated size leaves out the lists
+    rows = base.join(cust, "customer", "left").join(allocs, "id", "left")
+    return rows.withColumn("arrival", P.arrival_of(_period(F.col("id"), F.col("created"))[2]))
+
+
+def booking_documents(rows: DataFrame) -> DataFrame:
+    """``booking_rows`` -> bookings, row by row."""
+    k = F.col("id")
+    arrival, departure, period = _period(k, F.col("created"))
+    j = rows.select(
+        "id", "customer", "status", "created", "allocs", *[c for c in rows.columns if c.startswith("c_") or c == "arrival_year"],
+        F.timestamp_add("HOUR", k % 400, F.col("created")).alias("modified"),
         arrival.alias("arrival"), departure.alias("departure"), period.alias("period"),
         F.when(k % 5 == 0, F.lit(None)).otherwise((k % 150) * 100).cast("bigint")
         .alias("deposit_asked"),
@@ -162,12 +195,8 @@ def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> D
         .alias("deposit_got"),
         (k % 11 == 0).alias("tax_free"),
         F.when(k % 10 == 0, F.format_string("Notiz %d", k)).otherwise(F.lit("")).alias("note"),
-        _guests(k, departure, F.col("o_custkey")).alias("guests"),
+        _guests(k, departure, F.col("customer")).alias("guests"),
     )
-    allocs = _allocs_per_order(spark, sf_dir)
-    cust = customers.select(F.col("id").alias("customer"), F.col("data").alias("cdata"))
-    j = (base.join(allocs, "id", "left")
-         .join(cust, "customer", "left"))
     empty_allocs = F.array_repeat(F.struct(F.lit("").alias("room"),
                                            F.lit(0).cast("bigint").alias("price_per_bed"),
                                            F.lit(0).alias("beds"),
@@ -181,19 +210,16 @@ def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> D
     # Stored invoices: generated at departure; recipients were partly edited by
     # hand (k % 7 = 0: no dash in the last line, k % 7 = 1: code "D"), older
     # invoices carry other room tax codes (k % 9 = 0: legacy 16 %, = 1: 19 %).
-    k = F.col("id")
-    ca = F.col("cdata.address")
-    name_line = F.format_string("%s %s", F.col("cdata.name.given"), F.col("cdata.name.family"))
-    last = (F.when(k % 7 == 0, F.format_string("%s %s", ca["postal_code"], ca["city"]))
-            .when(k % 7 == 1, F.format_string("D-%s %s", ca["postal_code"], ca["city"]))
-            .otherwise(F.format_string("%s-%s %s", ca["country_code"], ca["postal_code"],
-                                       ca["city"])))
-    recipient = F.concat_ws("\n", name_line, ca["street_with_num"], last)
+    name_line = F.format_string("%s %s", "c_given", "c_family")
+    last = (F.when(k % 7 == 0, F.format_string("%s %s", "c_postal_code", "c_city"))
+            .when(k % 7 == 1, F.format_string("D-%s %s", "c_postal_code", "c_city"))
+            .otherwise(F.format_string("%s-%s %s", "c_country_code", "c_postal_code", "c_city")))
+    recipient = F.concat_ws("\n", name_line, "c_street_with_num", last)
     room_tax = F.struct(
         F.when(k % 9 == 0, F.lit("Legacy")).when(k % 9 == 1, F.lit("General19"))
         .otherwise(F.lit("Reduced7With3EuroDrinks19")).alias("tax"),
         F.when(k % 9 == 0, F.lit(16)).cast("int").alias("legacy_rate"))
-    invoice = invoice_document(doc_wo_invoice, "cdata", "arrival", "departure",
+    invoice = invoice_document(doc_wo_invoice, None, "arrival", "departure",
                                invoice_date=F.col("departure"), recipient=recipient,
                                room_tax=room_tax)
     data = F.struct(*[doc_wo_invoice[f].alias(f) for f in
@@ -202,7 +228,8 @@ def derive_bookings(spark: SparkSession, sf_dir: str, customers: DataFrame) -> D
                     F.when(F.col("status") == "F", invoice).alias("invoice"))
     return j.select("id", "customer", "created", "modified", data.alias("data"),
                     P.arrival_of(F.col("period")).alias("arrival"),
-                    P.departure_of(F.col("period")).alias("departure"))
+                    P.departure_of(F.col("period")).alias("departure"),
+                    *[c for c in rows.columns if c == "arrival_year"])
 
 
 def derive_invoice_numbers(bookings: DataFrame) -> DataFrame:
@@ -248,11 +275,11 @@ _LOADED: dict[tuple[str, str], tuple[Model, int | None]] = {}
 
 
 def _write_model(spark: SparkSession, sf_dir: str, loc: str) -> None:
-    m = derive_model(spark, sf_dir)
-    (m.customers.repartitionByRange("id").sortWithinPartitions("id")
+    rows = customer_rows(spark, sf_dir).repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+    (customer_documents(rows)
      .write.mode("overwrite").parquet(f"{loc}/customers"))
     customers = spark.read.parquet(f"{loc}/customers")
-    write_bookings(derive_bookings(spark, sf_dir, customers), f"{loc}/bookings")
+    write_bookings(booking_rows(spark, sf_dir, customers), f"{loc}/bookings", booking_documents)
     bookings = spark.read.parquet(f"{loc}/bookings")
     derive_invoice_numbers(bookings).write.mode("overwrite").parquet(f"{loc}/invoice_numbers")
     stats = bookings.agg(F.max(F.datediff("departure", "arrival")).alias("max_nights")).first()

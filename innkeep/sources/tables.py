@@ -6,6 +6,8 @@ of whoever writes it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def read_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
-def write_bookings(bookings: DataFrame, path: str) -> None:
+def write_bookings(bookings: DataFrame, path: str, document: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Bookings laid out for date filters: partitioned by arrival year, sorted by
     arrival inside the files (row-group statistics skip the rest); the
     generated flag ``invoiced`` is stored next to the stay dates.
@@ -28,14 +30,20 @@ def write_bookings(bookings: DataFrame, path: str) -> None:
     writes an equal slice of one or two years; partitioning by the year itself
     would send a whole year to one task.  Ids and customers have Bloom filters, sized
     by what a row group holds, so a lookup by either skips the row groups without it.
+
+    ``document`` builds the stored columns, row by row, of slimmer rows (with ``arrival`` and ``id``) once
+    these are in their place, so whole documents are neither shuffled nor sorted; it keeps ``arrival_year``.
     """
-    _store_bookings(bookings, path, "overwrite")
+    _store_bookings(bookings, path, "overwrite", document)
 
 
-def _store_bookings(bookings: DataFrame, path: str, mode: str) -> None:
-    (bookings.withColumn("arrival_year", F.year("arrival"))
-     .withColumn("invoiced", F.col("data.invoice").isNotNull())
-     .repartitionByRange("arrival", "id").sortWithinPartitions("arrival", "id")
+def _store_bookings(bookings: DataFrame, path: str, mode: str,
+                    document: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    # sorted by the year first, as the writer needs it: it would sort the rows again otherwise
+    laid = (bookings.withColumn("arrival_year", F.year("arrival"))
+            .repartitionByRange("arrival", "id").sortWithinPartitions("arrival_year", "arrival", "id"))
+    stored = laid if document is None else document(laid)
+    (stored.withColumn("invoiced", F.col("data.invoice").isNotNull())
      .write.mode(mode).partitionBy("arrival_year")
      .option("parquet.bloom.filter.adaptive.enabled", "true")
      .option("parquet.bloom.filter.enabled#id", "true")
