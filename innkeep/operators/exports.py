@@ -158,12 +158,13 @@ def registration_forms(bookings: DataFrame, customers: DataFrame,
         main["vorname"].alias("vorname"), companions.alias("begleitperson"))
 
 
-def write_registration_xml(forms: DataFrame, path: str, keep_id: bool = False) -> None:
+def write_registration_xml(forms: DataFrame, path: str, keep_id: bool = False, rows_per_file: int = 50_000) -> None:
     """Registration records as XML (one ``meldeschein`` element per booking;
     companions repeat as ``begleitperson`` elements; text is escaped).  The
-    booking id is not part of the record unless ``keep_id``."""
+    booking id is not part of the record unless ``keep_id``.  An XML file is read by one task, so it
+    holds at most ``rows_per_file`` records."""
     out = forms if keep_id else forms.drop("id")
-    (out.write.mode("overwrite").format("xml")
+    (out.write.mode("overwrite").format("xml").option("maxRecordsPerFile", rows_per_file)
      .option("rootTag", "meldescheine").option("rowTag", "meldeschein").save(path))
 
 
