@@ -8,9 +8,10 @@ Steps (all per row, no shuffle) except the master-record choice:
     -> booking document (T15-T18, U1) ; one master record per group (W1)
 
 W1 keeps, per group, the row with the highest record id: a fixed-width ``max``
-per group (partial per partition before the shuffle), joined back on the unique
-(group, record) key, so a group holding a third of all rows never lands in one
-task.
+per group (partial per partition before the shuffle), kept as a narrow table and joined
+back on the unique (group, record) key, so a group holding a third of all rows never lands in one
+task.  Where that table is too large to be broadcast, a bitmap of bounded size first drops
+most wide rows that it does not name, so that they do not move.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from innkeep import schemas
 from innkeep.functions.money import cents_of_units
 from innkeep.functions.util import session_cached
+from innkeep.sources import shared
 from innkeep.sources.legacy import COLUMNS, GUEST_SLOTS
 
 # Whitespace removed by trimming (space, tab, newline, carriage return, form feed).
@@ -38,6 +40,9 @@ LOCAL_TAX_ITEM = "Kurtaxe"
 MAX_COPIES = 999
 MAX_PERCENT = 100_000
 _INT = r"^[+-]?[0-9]+$"
+# Bits (8 MB) that name the winning rows of more groups than FEW_GROUPS.
+FILTER_BITS = 1 << 26
+FEW_GROUPS = 1 << 18
 
 
 def _t(c) -> Column:
@@ -263,24 +268,32 @@ def _record_ids(typed: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.min("groupid").alias("groupid"))
 
 
-def _one_each(rows: DataFrame) -> DataFrame:
-    """Of rows with one record id the one with the smallest row hash."""
-    mark = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(rows.columns)])
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    return rows.groupBy("recordid").agg(F.min_by(whole, mark).alias("_row")).select("_row.*")
+def _marked(typed: DataFrame) -> DataFrame:
+    """Rows with ``_mark``, a hash of all their columns."""
+    return typed.withColumn("_mark", F.xxhash64(*[F.col(f"`{c}`") for c in sorted(typed.columns)]))
+
+
+def _one_each(marked: DataFrame) -> DataFrame:
+    """Of rows with one record id the one with the smallest row hash; only the columns used later move."""
+    rest = [c for c in marked.columns if c not in ("recordid", "_mark")]
+    return marked.groupBy("recordid").agg(*[F.min_by(F.col(f"`{c}`"), F.col("_mark")).alias(c) for c in rest])
 
 
 def valid_records(typed: DataFrame) -> DataFrame:
     """Rows with a record id, one per id (C3 on the import).
 
     Of several rows with one id the one with the smallest group, then the smallest row hash stays, so the
-    choice does not depend on partitions.  Repeated ids are found on the id columns alone; wide rows are read
-    once, and only those of repeated ids are hashed and compared (that branch is empty, and goes, where there
-    are none).  ``legacy_problems`` reports the rows left out.
+    choice does not depend on partitions.  Repeated ids are found first, on the id columns alone, and kept as a
+    table: where there are none, the wide rows are passed on as they are; otherwise only those of repeated
+    ids are hashed and compared.  ``legacy_problems`` reports the rows left out.
     """
-    several = _record_ids(typed).where("_n > 1").select("recordid", "groupid")
-    single = typed.where(F.col("recordid").isNotNull()).join(several.select("recordid"), "recordid", "left_anti")
-    chosen = _one_each(typed.join(several, ["recordid", "groupid"], "left_semi"))
+    named = typed.where(F.col("recordid").isNotNull())
+    several = shared.kept(_record_ids(typed).where("_n > 1").select("recordid", "groupid"), "import-ids")
+    if several.isEmpty():
+        return named
+    single = named.join(several.select("recordid"), "recordid", "left_anti")
+    chosen = _one_each(_marked(_may_match(typed, several, ["recordid", "groupid"])).join(
+        several, ["recordid", "groupid"]))
     return single.unionByName(chosen.select(*single.columns))
 
 
@@ -306,18 +319,39 @@ def legacy_problems(raw: DataFrame) -> DataFrame:
     return bad.unionByName(several).unionByName(counts)
 
 
+def _may_match(rows: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` without most of those whose key is not in ``wanted``: the hash of each wanted key sets one of
+    ``FILTER_BITS`` bits, which are broadcast (their size does not depend on the tables).  No row with a wanted key goes.
+    The exact join that follows is an inner one on unique keys: a semi join would be moved in front of this."""
+    slot = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS)) + 1
+    bits = (wanted.select(slot.alias("_slot")).groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+    at = F.bitmap_bit_position(slot)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).join(F.broadcast(bits), "_bucket")
+            .where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns))
+
+
 def master_records(typed: DataFrame) -> DataFrame:
     """W1 on a typed frame (before or after ``valid_records``): per group the row with the highest record id.
 
-    The winning record id per group comes from the id columns alone (partial aggregates); wide rows are
-    read once and joined on the (group, record) key, so a group holding a third of all rows is
-    spread by record id, and the documents are built for the winners only.
+    The winning record id per group comes from the id columns alone (partial aggregates) and is kept as a
+    table; wide rows are read once and joined on the (group, record) key, so a group holding a third of all rows is
+    spread by record id, and the documents are built for the winners only.  Only winners of which there are several
+    rows are hashed and compared, and only if there are any.
     """
     best = _record_ids(typed).groupBy("groupid").agg(F.max(F.struct("recordid", "_n")).alias("w"))
-    win = best.select("groupid", "w.recordid", "w._n")
+    win = shared.kept(best.select("groupid", "w.recordid", "w._n"), "import-ids")
     key = ["groupid", "recordid"]
-    single = typed.join(win.where("_n = 1").select(*key), key, "left_semi")
-    return single.unionByName(_one_each(typed.join(win.where("_n > 1").select(*key), key, "left_semi")).select(*single.columns))
+    found = win.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("_n") > 1).alias("repeated")).first()
+    once = win.where("_n = 1").select(*key)
+    rows = _may_match(typed, once, key) if found["groups"] > FEW_GROUPS else typed
+    single = rows.join(once, key)
+    if not found["repeated"]:
+        return single
+    several = shared.kept(win.where("_n > 1").select(*key), "import-ids")
+    chosen = _one_each(_marked(_may_match(typed, several, key)).join(several, key))
+    return single.unionByName(chosen.select(*single.columns))
 
 
 def master_customers(typed: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _jvm(spark: SparkSession):
@@ -97,3 +97,12 @@ def publish_once(spark: SparkSession, path: str, write: Callable[[str], None]) -
     write(tmp)
     rename_once(spark, tmp, path)
     return path
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a table of this run in the shared folder, so that its true size is known to the
+    plans that read it."""
+    from innkeep.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/innkeep-{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
