@@ -18,6 +18,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def printed(x: Column) -> Column:
+    """A value as ``format_string`` prints it (``null`` when missing), without parsing a format for every row."""
+    return F.coalesce(x.cast("string"), F.lit("null"))
+
+
 def spread(struct_col: Column) -> Column:
     """Generator turning one struct per row into its fields as columns.
 

@@ -15,7 +15,7 @@ from innkeep.functions import guests as G
 from innkeep.functions.money import format_money, format_money_dot
 from innkeep.functions.periods import local_date, period_text
 from innkeep.functions.text import alloc_phrase
-from innkeep.functions.util import let
+from innkeep.functions.util import let, printed
 from innkeep.operators import invoices as INV
 from innkeep.operators.stays import has_invoice, with_customer
 
@@ -247,7 +247,7 @@ def invoice_body(invoice="data.invoice") -> Column:
 
     def render(table, labels, total):
         positions = F.transform(inv["positions"], lambda p, i: row([
-            _cell(F.format_string("%dx", p["quantity"])), _cell(escape_html(p["description"])),
+            _cell(F.concat(printed(p["quantity"]), F.lit("x"))), _cell(escape_html(p["description"])),
             _cell(labels[i], True), _cell(_euro(p["price"]), True),
             _cell(_euro(p["quantity"].cast("bigint") * p["price"]), True)]))
         amounts = (total, inv["deposit"], total - inv["deposit"])
@@ -256,7 +256,7 @@ def invoice_body(invoice="data.invoice") -> Column:
         taxes = F.transform(table, lambda r: F.concat(
             F.lit("<div><strong>"), r["label"], F.lit("</strong></div>"),
             F.when(r["kind"] == 0, F.concat(
-                F.format_string('<div class="tax-rate">%d%%</div><div class="tax-value">', r["rate"]),
+                F.lit('<div class="tax-rate">'), printed(r["rate"]), F.lit('%</div><div class="tax-value">'),
                 _euro(r["tax_cents"]), F.lit("</div><div></div>")))
             .otherwise(F.concat(F.lit('<div class="tax-split">'), escape_html(r["description"]), F.lit("</div>")))))
         return F.concat_ws(

@@ -18,14 +18,14 @@ from innkeep.functions import rooms as R
 from innkeep.functions import taxes as TX
 from innkeep.functions.periods import period_text
 from innkeep.functions.text import recipient_block
-from innkeep.functions.util import let, spread
+from innkeep.functions.util import let, printed, spread
 
 # Texts of a generated invoice.
 TITLE = "Rechnung"
 INTRO = "Für Ihren Aufenthalt vom %s stellen wir die folgenden Positionen in Rechnung."
 CLOSING = ("Wir hoffen, dass es Ihnen bei uns gefallen hat und freuen uns, wenn Sie uns "
            "wieder einmal besuchen.")
-STAY_DESCRIPTION = "Übernachtung im %s"
+STAY_DESCRIPTION = "Übernachtung im "
 LOCAL_TAX_DESCRIPTION = "Kurtaxe"
 ACTIVE_CODES = [TX.GENERAL19, TX.REDUCED7, TX.SPLIT]
 
@@ -75,7 +75,7 @@ def invoice_positions(data="data", arrival="arrival", departure="departure",
     def room_line(a):
         tax = F.lit(TX.SPLIT) if room_tax is None else room_tax["tax"]
         rate = None if room_tax is None else room_tax["legacy_rate"]
-        return _position(a["beds"] * n, F.format_string(STAY_DESCRIPTION, a["description"]),
+        return _position(a["beds"] * n, F.concat(F.lit(STAY_DESCRIPTION), printed(a["description"])),
                          a["price_per_bed"], tax, rate)
 
     def with_payers(payers):
@@ -187,9 +187,9 @@ def tax_rows(invoice="data.invoice") -> Column:
             F.chr(F.lit(65) + i).alias("label"),
             rule["kind"].alias("kind"),
             rule["rate"].alias("rate"),
-            F.when(rule["kind"] == 0, F.format_string("%d%%", rule["rate"]))
+            F.when(rule["kind"] == 0, F.concat(printed(rule["rate"]), F.lit("%")))
             .otherwise(F.lit(TX.SPLIT_DESCRIPTION)).alias("description"),
-            F.when(rule["kind"] == 0, TX.included_tax_cents(gross, rule["rate"]))
+            F.when(rule["kind"] == 0, let(gross, lambda s: TX.included_tax_cents(s, rule["rate"])))
             .otherwise(F.lit(0).cast("bigint")).alias("tax_cents"),
         )
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from innkeep.functions import periods as P
 from innkeep.functions.text import ROOM_DESCRIPTIONS, LETTER_BY_TITLE, leaf_tokens
+from innkeep.functions.util import printed
 from innkeep.operators.invoices import invoice_document
 from innkeep.session import ensure_checkpoint_dir
 from innkeep.sources import shared
@@ -143,8 +144,8 @@ def _guests(k: Column, departure: Column, custkey: Column) -> Column:
         i = i0 + 1
         born = F.date_add(F.add_months(departure, (-12 * ((7 * k + 13 * i) % 80)).cast("int")),
                           ((k % 3) - 1).cast("int"))
-        return F.struct(F.format_string("Gast%d", i).alias("given"),
-                        F.format_string("Name%d", custkey % 211).alias("family"),
+        return F.struct(F.concat(F.lit("Gast"), printed(i)).alias("given"),
+                        F.concat(F.lit("Name"), printed(custkey % 211)).alias("family"),
                         F.when((k + i) % 4 == 0, F.lit(None).cast("date")).otherwise(born)
                         .alias("born"))
 
