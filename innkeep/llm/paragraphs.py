@@ -54,6 +54,7 @@ SIMILARITY = 0.8
 BLOCK = 2048
 BLOCK_BYTES = 4 << 20
 HOT = 1000
+FEW, FEW_BYTES = 32, 1 << 18
 PIVOT_ROUNDS = 2
 PASSAGE, WINDOW = 25, 16
 _U = np.uint64
@@ -232,8 +233,11 @@ def similar_pairs(nid: list, component: list, words: list[bytes], least: float,
     between the members marked so and the others.
 
     For each member one count over the lists of its shingles gives what it shares with
-    all others, so the Jaccard similarity of every pair of components is exact.
+    all others, so the Jaccard similarity of every pair of components is exact.  Buckets of
+    up to ``FEW`` members and ``FEW_BYTES`` of words, most of all buckets, are compared set by set.
     """
+    if len(words) <= FEW and sum(map(len, words)) <= FEW_BYTES:
+        return _few_pairs(nid, component, words, least, second)
     member, gram = _shingle_numbers(words)
     size = np.bincount(member, minlength=len(words))
     order = np.argsort(gram, kind="stable")
@@ -258,6 +262,19 @@ def similar_pairs(nid: list, component: list, words: list[bytes], least: float,
     return out
 
 
+def _few_pairs(nid: list, component: list, words: list[bytes], least: float,
+               second: list | None) -> list[tuple[int, int]]:
+    sets, root, out = [shingles(w) for w in words], list(component), []
+    for i in range(len(sets)):
+        for j in range(i):
+            if root[j] != root[i] and (second is None or bool(second[i]) != bool(second[j])) \
+                    and jaccard_at_least(sets[i], sets[j], least):
+                gone = root[j]
+                root = [root[i] if r == gone else r for r in root]
+                out.append((nid[j], nid[i]))
+    return out
+
+
 def _lengths(ends: np.ndarray, which: np.ndarray) -> np.ndarray:
     return ends[which] - np.where(which > 0, ends[which - 1], 0)
 
@@ -390,13 +407,14 @@ def passages(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, found_lines: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, t1, t2, word, first_doc) of every run of words that repeats one before it,
     outside the removed lines of ``found_lines`` (from ``shared_lines``)."""
-    often = tables.keep(passages(docs).select("k1").groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
+    runs = tables.keep(passages(docs))         # read twice; the texts are split and hashed once
+    often = tables.keep(runs.groupBy("k1").agg(F.count("*").alias("n")).where("n > 1").select("k1"))
     gone = (found_lines.where("removed").groupBy("t1", "t2").agg(F.collect_set("para").alias("gone")))
-    found = passages(docs).join(often, "k1")
+    found = runs.join(often, "k1")
     found = (found.join(gone, ["t1", "t2"], "left")
              .where(F.col("gone").isNull() | ~F.exists("gone", lambda g: g.between(F.col("para"), F.col("last")))))
     found = tables.keep(found.select("doc_id", "t1", "t2", "word", "k1", "k2"))
-    tables.free(often)
+    tables.free(often, runs)
     place = F.struct("doc_id", "t1", "t2", "word")
     return (with_first(found, ["k1", "k2"], place, tables).where(~place.eqNullSafe(F.col("f")))
             .select("doc_id", "t1", "t2", "word", F.col("f.doc_id").alias("first_doc")).distinct())
