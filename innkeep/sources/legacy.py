@@ -45,7 +45,14 @@ def _s(c: Column) -> Column:
 def legacy_rows(bookings: DataFrame, customers: DataFrame) -> DataFrame:
     """Bookings ⋈ customers in the wide legacy layout (ISO dates, decimal point)."""
     c = customers.select(F.col("id").alias("customer"), F.col("data").alias("c"))
-    j = bookings.select("id", "customer", "arrival", "departure", "data").join(c, "customer")
+    # of a booking only what the layout has room for moves to its customer: four room lines, the first one's room
+    d = F.col("data")
+    line = F.transform(F.slice(d["allocs"], 1, 4), lambda a: F.when(a.isNotNull(), F.struct(
+        a["description"].alias("description"), a["price_per_bed"].alias("price_per_bed"), a["beds"].alias("beds"))))
+    j = bookings.select("id", "customer", "arrival", "departure", F.struct(
+        d["deposit_asked"].alias("deposit_asked"), d["deposit_got"].alias("deposit_got"), d["note"].alias("note"),
+        F.slice(d["guests"], 1, 6).alias("guests"), line.alias("allocs"),
+        F.try_element_at(d["allocs"], F.lit(1))["room"].alias("room")).alias("data")).join(c, "customer")
     k = F.col("id")
     cd = F.col("c")
     a_iso, d_iso = F.col("arrival").cast("string"), F.col("departure").cast("string")
@@ -85,7 +92,7 @@ def legacy_rows(bookings: DataFrame, customers: DataFrame) -> DataFrame:
         "AEING": F.when(k % 29 == 0, F.lit("-5.00"))
         .when(F.col("data.deposit_got").isNull(), F.lit("0.00"))
         .otherwise(format_money_dot("data.deposit_got")),
-        "ZIMMER": _s(F.try_element_at(allocs, F.lit(1))["room"]),
+        "ZIMMER": _s(F.col("data.room")),
         "BEMAUFE": F.when(k % 10 == 0, F.concat(F.col("data.note"), F.lit('\nzweite "Zeile"')))
         .otherwise(F.col("data.note")),
     }
