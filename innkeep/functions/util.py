@@ -18,6 +18,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def in_short_methods(array: Column) -> Column:
+    """An array as it is; the projection that holds it is worked out in many short generated methods.
+
+    Spark makes one method of all that a stage does with a row, and the JVM does not compile methods beyond 8,000
+    bytes: it interprets them, several times slower.  A projection with a lambda in it is generated apart, in short
+    methods; the lambda here looks at nothing (a slice of no elements), the array is not part of it.
+    """
+    none = F.filter(F.slice(F.array(F.spark_partition_id()), 1, 0), lambda x: x < 0)
+    return F.slice(array, F.size(none) + 1, F.lit(2**31 - 1))
+
+
 def printed(x: Column) -> Column:
     """A value as ``format_string`` prints it (``null`` when missing), without parsing a format for every row."""
     return F.coalesce(x.cast("string"), F.lit("null"))

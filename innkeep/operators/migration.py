@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from innkeep import schemas
 from innkeep.functions.money import cents_of_units
-from innkeep.functions.util import session_cached
+from innkeep.functions.util import in_short_methods, session_cached
 from innkeep.sources import shared
 from innkeep.sources.legacy import COLUMNS, GUEST_SLOTS
 
@@ -198,26 +198,21 @@ def legacy_allocs() -> Column:
     (unparsable -> 0); beds = ceil(percent / 100) with percent defaulting to
     100; the room number goes only on the first copy of slot 1.
     """
-    slots = []
+    # plain expressions: lambdas are interpreted, and would work out a cell anew wherever it is used
+    def line(i, room):
+        beds = ((_bounded(f"PROZ{i}", MAX_PERCENT, 100) + 99) / 100).cast("int")
+        return F.struct(room.alias("room"), F.col(f"price{i}_cents").alias("price_per_bed"), beds.alias("beds"),
+                        F.col(f"ART{i}").alias("description"))
+    parts, blank = [], F.lit("")
     for i in range(1, 5):
-        pct = _bounded(f"PROZ{i}", MAX_PERCENT, 100)
-        slots.append(F.struct(
-            (F.col("ZIMMER") if i == 1 else F.lit("")).alias("room"),
-            F.col(f"price{i}_cents").alias("price_per_bed"),
-            ((pct + 99) / 100).cast("int").alias("beds"),
-            F.col(f"ART{i}").alias("description"),
-            _bounded(f"ANZAHL{i}", MAX_COPIES, 0).cast("int").alias("amount")))
-    valid = F.filter(F.array(*slots), lambda s: (s["description"] != LOCAL_TAX_ITEM)
-                     & s["price_per_bed"].isNotNull() & (s["price_per_bed"] != 0))
-
-    def copies(s):
-        return F.transform(F.array_repeat(s, F.greatest(s["amount"], F.lit(0))),
-                           lambda x, j: F.struct(
-                               F.when(j == 0, x["room"]).otherwise(F.lit("")).alias("room"),
-                               x["price_per_bed"].alias("price_per_bed"),
-                               x["beds"].alias("beds"), x["description"].alias("description")))
-
-    return F.flatten(F.transform(valid, copies))
+        art, price = F.col(f"ART{i}"), F.col(f"price{i}_cents")
+        valid = (art != LOCAL_TAX_ITEM) & price.isNotNull() & (price != 0)
+        amount = F.when(valid, F.greatest(_bounded(f"ANZAHL{i}", MAX_COPIES, 0).cast("int"), F.lit(0))).otherwise(0)
+        if i == 1:
+            parts.append(F.array_repeat(line(i, F.col("ZIMMER")), F.least(amount, F.lit(1))))
+            amount = amount - 1                     # none if negative
+        parts.append(F.array_repeat(line(i, blank), amount))
+    return in_short_methods(F.concat(*parts))
 
 
 def migrate(raw: DataFrame, dialect: str = "iso", materialize: bool = False

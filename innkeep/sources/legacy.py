@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from innkeep.functions.money import format_money_dot
+from innkeep.functions.util import in_short_methods
+from innkeep.sources import shared
 from innkeep.sources.ranges import csv_records
 
 GUEST_SLOTS = [("VORNAME", "NAME", "GEB_DAT01"), ("P_VORNAME", "P_NAME", "GEB_DAT02")] + [
@@ -34,7 +36,9 @@ COLUMNS = (["RECORDID", "GROUPID", "ANREDE", "ANREDEBR", "VORNAME", "NAME", "FIR
            + [f"GEB_DAT0{i}" for i in range(1, 7)]
            + ["P_VORNAME", "P_NAME"] + [f"P_{p}{i}" for i in range(3, 7) for p in ("VORNAME", "NAME")])
 
-EXPORT_VERSION = 3
+EXPORT_VERSION = 4
+# Rows of a file of the export.
+LINES = 200_000
 LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
 
@@ -92,7 +96,8 @@ def legacy_rows(bookings: DataFrame, customers: DataFrame) -> DataFrame:
         "AEING": F.when(k % 29 == 0, F.lit("-5.00"))
         .when(F.col("data.deposit_got").isNull(), F.lit("0.00"))
         .otherwise(format_money_dot("data.deposit_got")),
-        "ZIMMER": _s(F.col("data.room")),
+        # seventy cells in one generated method would be interpreted
+        "ZIMMER": _s(in_short_methods(F.array(F.col("data.room")))[0]),
         "BEMAUFE": F.when(k % 10 == 0, F.concat(F.col("data.note"), F.lit('\nzweite "Zeile"')))
         .otherwise(F.col("data.note")),
     }
@@ -118,8 +123,8 @@ def legacy_rows(bookings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def write_legacy_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Write rows as the legacy export: header, Latin-1, CRLF, quoted cells."""
-    (df.write.mode("overwrite").option("header", True).option("sep", sep)
+    """Write rows as the legacy export: header, Latin-1, CRLF, quoted cells; compressed, ``LINES`` rows a file."""
+    (shared.packed(df.write.mode("overwrite"), LINES).option("header", True).option("sep", sep)
      .option("encoding", "ISO-8859-1").option("lineSep", "\r\n").option("quote", '"')
      .option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
