@@ -132,10 +132,14 @@ def foreign_export(spark, sf_dir):
 
 
 def read_foreign(spark, sf_dir):
+    """The foreign export: read once from its CSV into an untouched parquet copy, as ``legacy_source`` is; the steps on it
+    (ids, single rows, repeated ones) read that and not the file again."""
     loc = model_location(spark, sf_dir)
     path = publish_once(spark, f"{loc}/foreign-export-v{LG.EXPORT_VERSION}.csv",
                         lambda p: LG.write_legacy_csv(foreign_export(spark, sf_dir), p, sep=";"))
-    return LG.read_legacy_csv(spark, path, sep=";")
+    raw = publish_once(spark, f"{loc}/foreign-raw-v{LG.EXPORT_VERSION}",
+                       lambda p: LG.write_raw(LG.read_legacy_csv(spark, path, sep=";"), p))
+    return spark.read.schema(LG.LEGACY_SCHEMA).parquet(raw)
 
 
 @register("s3_foreign_export", LEGACY_SQL + f"""
