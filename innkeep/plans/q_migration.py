@@ -94,9 +94,9 @@ def legacy_export(spark, sf_dir):
     reader."""
     m = load_model(spark, sf_dir)
     loc = model_location(spark, sf_dir)
-    path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}.csv",
-                        lambda p: LG.write_legacy_csv(LG.legacy_rows(m.bookings, m.customers), p))
-    return LG.read_legacy_csv(spark, path)
+    path = publish_once(spark, f"{loc}/legacy-export-v{LG.EXPORT_VERSION}",
+                        lambda p: LG.write_legacy_csv(LG.legacy_rows(m.bookings, m.customers), f"{p}/rows.csv.gz"))
+    return LG.read_legacy_csv(spark, f"{path}/rows.csv.gz")
 
 
 def legacy_source(spark, sf_dir):
@@ -135,10 +135,10 @@ def read_foreign(spark, sf_dir):
     """The foreign export: read once from its CSV into an untouched parquet copy, as ``legacy_source`` is; the steps on it
     (ids, single rows, repeated ones) read that and not the file again."""
     loc = model_location(spark, sf_dir)
-    path = publish_once(spark, f"{loc}/foreign-export-v{LG.EXPORT_VERSION}.csv",
-                        lambda p: LG.write_legacy_csv(foreign_export(spark, sf_dir), p, sep=";"))
+    path = publish_once(spark, f"{loc}/foreign-export-v{LG.EXPORT_VERSION}",
+                        lambda p: LG.write_legacy_csv(foreign_export(spark, sf_dir), f"{p}/rows.csv.gz", sep=";"))
     raw = publish_once(spark, f"{loc}/foreign-raw-v{LG.EXPORT_VERSION}",
-                       lambda p: LG.write_raw(LG.read_legacy_csv(spark, path, sep=";"), p))
+                       lambda p: LG.write_raw(LG.read_legacy_csv(spark, f"{path}/rows.csv.gz", sep=";"), p))
     return spark.read.schema(LG.LEGACY_SCHEMA).parquet(raw)
 
 

@@ -37,7 +37,7 @@ COLUMNS = (["RECORDID", "GROUPID", "ANREDE", "ANREDEBR", "VORNAME", "NAME", "FIR
            + ["P_VORNAME", "P_NAME"] + [f"P_{p}{i}" for i in range(3, 7) for p in ("VORNAME", "NAME")])
 
 EXPORT_VERSION = 4
-# Rows of a file of the export.
+# Rows of a compressed file of the export.
 LINES = 200_000
 LEGACY_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
 
@@ -123,8 +123,10 @@ def legacy_rows(bookings: DataFrame, customers: DataFrame) -> DataFrame:
 
 
 def write_legacy_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    """Write rows as the legacy export: header, Latin-1, CRLF, quoted cells; compressed, ``LINES`` rows a file."""
-    (shared.packed(df.write.mode("overwrite"), LINES).option("header", True).option("sep", sep)
+    """Write rows as the legacy export: header, Latin-1, CRLF, quoted cells; below a path that ends in ``.gz``
+    compressed, ``LINES`` rows a file."""
+    writer = df.write.mode("overwrite")
+    ((shared.packed(writer, LINES) if path.endswith(".gz") else writer).option("header", True).option("sep", sep)
      .option("encoding", "ISO-8859-1").option("lineSep", "\r\n").option("quote", '"')
      .option("escape", '"').option("quoteAll", True).option("ignoreLeadingWhiteSpace", False)
      .option("ignoreTrailingWhiteSpace", False).csv(path))
